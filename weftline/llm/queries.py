@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, packing, sharding, urlrules
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, ctw, minhash, packing, quality, sharding, toxicity, urlrules
 from weftline.llm.common import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_crf_toxicity(spark, sf_dir):
+    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
+def op2_byte_cnn_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_rules(spark, sf_dir):
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_context_tree_weighting(spark, sf_dir):
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     import public_tokenizers
 
