@@ -30,10 +30,6 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     """A small vocabulary file, as a driver-local path or through Spark's readers."""
     if "://" in path:

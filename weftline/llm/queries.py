@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, ctw, minhash, packing, quality, sharding, toxicity, urlrules
-from weftline.llm.common import table
+from weftline.sources.tables import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
