@@ -180,3 +180,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = rows.select("doc_id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
     rest = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps; of a repeated doc_id's rows each."""
+    gone = near_duplicates(docs, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

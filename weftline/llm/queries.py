@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, ctw, minhash, packing, quality, sharding, toxicity, urlrules
+from weftline.llm import ann, bpe, ctw, embdedup, minhash, packing, quality, sharding, toxicity, urlrules
 from weftline.sources.tables import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -23,6 +24,10 @@ def op3_url_rules(spark, sf_dir):
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_learned_partitions(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_cross_polytope_dedup(spark, sf_dir):
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_hash_tree_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,8 +56,12 @@ def op10_segment_tree_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op") or k == "pipeline"}
 
 
 OP3_SQL = """
