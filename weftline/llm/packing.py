@@ -178,10 +178,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, chunks: int = 256) -> DataFram
         "select length, _chunk, coalesce(sum(n) over (partition by length order by _chunk "
         "rows between unbounded preceding and 1 preceding), 0) as _start from {counts}", counts=counts
     )
-    # capacity x chunks rows at most, so that its broadcast is bounded
     ranked = spark.sql(
         "select *, row_number() over (partition by length, _chunk order by doc_id, piece) - 1 as _r from {dealt}", dealt=dealt
-    ).join(F.broadcast(starts), ["length", "_chunk"]).withColumn("_rank", F.col("_start") + F.col("_r"))
+    ).join(starts, ["length", "_chunk"]).withColumn("_rank", F.col("_start") + F.col("_r"))
     by_length: dict[int, list] = {}
     for r in runs:
         by_length.setdefault(r[0], []).append(r[1:])
