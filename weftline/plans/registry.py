@@ -1,29 +1,94 @@
-"""The queries that the library registers, by name."""
+"""Operators as declarative plans, and the queries that apply them."""
 
 from __future__ import annotations
 
-FLAGSHIP = "ranked_actions"
-_QUERIES: dict = {}
+import importlib
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.plans import surrogates
+from weftline.plans.dialect import render
+from weftline.sources.tables import table
+
+FLAGSHIP = "w02_rank_actions"
+MODULES = ["scalars", "rollups", "joins", "windows", "detectors", "imperative"]
+_QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query function under its name, with the equivalent SQL if there is one."""
+@dataclass(frozen=True)
+class Operator:
+    """A plan over named inputs. Calling it with a DataFrame for each input builds the result; nothing runs."""
+
+    name: str
+    text: str
+    inputs: tuple[str, ...]
+    defaults: tuple[tuple[str, str], ...]
+
+    def sql(self, spark: bool, **params: str) -> str:
+        text = self.text
+        for k, v in (dict(self.defaults) | params).items():
+            text = re.sub(rf":{k}\b", str(v), text)
+        return render(text, spark)
+
+    def __call__(self, spark: SparkSession, params: dict[str, str] | None = None, **frames: DataFrame) -> DataFrame:
+        text = self.sql(True, **(params or {}))
+        for name in self.inputs:
+            text = re.sub(rf"\b{name}\b", "{%s}" % name, text)
+        return spark.sql(text, **{n: frames[n] for n in self.inputs})
+
+
+def frames(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
+    out = {}
+    for n in names:
+        if n in surrogates.VIEWS:
+            text = render(surrogates.VIEWS[n], True)
+            own = [t for t in surrogates.TABLES if re.search(rf"from {t}\b", text)]
+            for t in own:
+                text = re.sub(rf"from {t}\b", "from {%s}" % t, text)
+            out[n] = spark.sql(text, **{t: table(spark, sf_dir, t) for t in own})
+        else:
+            out[n] = table(spark, sf_dir, n)
+    return out
+
+
+def operator(name: str, text: str, **defaults: str) -> Operator:
+    """Define an operator and register the query that applies it to the views it names."""
+    defaults = {"now": surrogates.NOW, "now_events": surrogates.NOW_EVENTS} | defaults
+    inputs = tuple(surrogates.used(text))
+    op = Operator(name, text, inputs, tuple(defaults.items()))
+    _QUERIES[name] = lambda spark, sf_dir: op(spark, **frames(spark, sf_dir, inputs))
+    views = ", ".join(f"{v} as ({render(surrogates.VIEWS[v], False)})" for v in inputs if v in surrogates.VIEWS)
+    body = op.sql(False)
+    if views:
+        body = f"with {views}, {body.lstrip()[5:]}" if body.lstrip().lower().startswith("with ") else f"with {views} {body}"
+    _SQL[name] = body
+    return op
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query that isn't a single plan, with its SQL over the views if there is one."""
 
     def add(f):
-        _QUERIES[f.__name__] = f
+        _QUERIES[name] = f
         if sql is not None:
-            _SQL[f.__name__] = sql
+            views = ", ".join(f"{v} as ({render(surrogates.VIEWS[v], False)})" for v in surrogates.used(sql) if v in surrogates.VIEWS)
+            body = render(sql.replace(":now_events", surrogates.NOW_EVENTS).replace(":now", surrogates.NOW), False)
+            _SQL[name] = f"with {views} {body}" if views else body
         return f
 
     return add
 
 
 def _load() -> None:
-    pass
+    for m in MODULES:
+        importlib.import_module(f"weftline.operators.{m}")
 
 
-def queries() -> dict:
+def queries() -> dict[str, Callable]:
     _load()
     return dict(_QUERIES)
 
