@@ -76,9 +76,9 @@ operator("a33_confidence_freshness", "select i.id, coalesce(round(avg(exp(-great
 operator("a35_provenance", "select issue_id, round(coalesce(avg(case claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 else 0.2e0 end), 1e0), 6) as reliability from claims group by issue_id")
 operator("a34_context_accuracy", """
     select id, round((coverage + freshness + provenance + referential) / 4e0, 6) as accuracy from (
-      select i.id, round(coalesce(FLOAT(count(distinct c.claim_type)) / 4e0, 0e0), 6) as coverage, coalesce(round(avg(exp(-greatest(0e0, :now - c.last_seen_ts) / 86400e0 / 90e0)), 6), 1e0) as freshness,
-        coalesce(round(avg(case c.claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 when 'date' then 0.2e0 end), 6), 1e0) as provenance,
-        coalesce(round(1e0 - FLOAT(count_if(c.reference_base is not null and c.status = 'superseded')) / nullif(count(c.reference_base), 0), 6), 1e0) as referential
+      select i.id, coalesce(FLOAT(count(distinct c.claim_type)) / 4e0, 0e0) as coverage, coalesce(avg(exp(-greatest(0e0, :now - c.last_seen_ts) / 86400e0 / 90e0)), 1e0) as freshness,
+        coalesce(avg(case c.claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 when 'date' then 0.2e0 end), 1e0) as provenance,
+        coalesce(1e0 - FLOAT(count_if(c.reference_base is not null and c.status = 'superseded')) / nullif(count(c.reference_base), 0), 1e0) as referential
       from issues i left join claims c on i.id = c.issue_id group by i.id) x""")
 operator("a32_measure_project", """
     select project_id, round(((1e0 - freshness) + ambiguity + (1e0 - coherence)) / 3e0, 4) as ambiguity_score from (
@@ -114,7 +114,7 @@ operator("a52b_calendar_selection", "select id, firm, place from (select id, fir
 operator("a53_inbox_counts", "select owner, count(*) as n from issues where state <> 'done' group by owner")
 operator("a54_outcome_summary", "select action_kind, count(*) as n, count_if(outcome = 'accepted') as accepted, round(FLOAT(count_if(outcome = 'accepted')) / count(*), 6) as accepted_rate, round(FLOAT(count_if(outcome = 'accepted' or rewritten)) / count(*), 6) as used_rate from outcomes group by action_kind")
 operator("a55_values_for_issues", "select i.id, coalesce(max(c.amount), 0e0) as amount from issues i left join claims c on i.id = c.issue_id and c.claim_type = 'commitment' group by i.id")
-operator("a56_content_hashes", "select id, SHA256('{\"owner\":\"' || owner || '\",\"text\":\"' || text || '\",\"type\":\"' || claim_type || '\"}') as content_hash from claims".replace("{", "<").replace("}", ">"))
+operator("a56_content_hashes", "select id, SHA256(chr(123) || '\"owner\":\"' || owner || '\",\"text\":\"' || text || '\",\"type\":\"' || claim_type || '\"' || chr(125)) as content_hash from claims")
 operator("a57_handoff_package", "select p.id, p.name, count(distinct i.id) as n_issues, JOINED(MAP_EACH(SET(case when i.state <> 'done' then i.id end), v, TEXT(v)), ',') as open_issues, JOINED(SET(c.owner), ',') as owners, count_if(c.claim_type = 'decision') as n_decisions from projects p join issues i on i.project_id = p.id join claims c on c.issue_id = i.id group by p.id, p.name")
 operator("a58_other_portfolio_value", "select i.id, round(coalesce(sum(i.value_amount) over (partition by p.company), 0e0) - i.value_amount, 2) as other_value from issues i join parties p on p.id = i.project_id where i.state <> 'done' and p.company <> ''")
 operator("a59_unmatched_definitions", "select signal_type, issue_id, max(occurred_ts) as last_ts from raw_items group by signal_type, issue_id having :now_events - max(occurred_ts) > 5 * 86400")

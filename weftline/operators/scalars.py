@@ -31,7 +31,7 @@ scalar("f25_tag_issue_id", "nullif(regexp_extract(title, 'Order ([0-9]+)', 1), '
 scalar("f26_text_matches_any", "ANY_OF(ARRAY('signed copy', 'urgent', 'completed'), p, contains(lower(body_preview), p))", "raw_items")
 scalar("f29_estimate_tokens", t.estimate_tokens("text"), "documents_")
 scalar("f31_strip_leading_mention", "trim(REPLACE_ALL('@' || owner || ' ' || title, '^@[^ ]+ +', ''))", "issues")
-scalar("f21_audit_time_claims", "case when LIKES(lower(body_preview), '(friday|tomorrow|by the date)') then body_preview || ' [server time ' || TEXT(LONG(occurred_ts)) || ']' else body_preview end", "raw_items")
+scalar("f21_audit_time_claims", "case when LIKES(lower(body_preview), '(friday|tomorrow|by the date)') then body_preview || ' [server time ' || TEXT(WHOLE(occurred_ts)) || ']' else body_preview end", "raw_items")
 operator("f05_classify_item", f"""
     select id, item_class, direction, topic, sentiment,
       case when inferred <= 1 then 'H' when inferred = 2 then 'M' else 'L' end as confidence

@@ -8,8 +8,8 @@ from weftline.plans.registry import operator
 operator("w01_sessionize", """
     with gaps as (select id, thread_key, occurred_ts, pr_number_base as ref, coalesce(pr_number_base is null and occurred_ts - lag(occurred_ts) over (partition by thread_key order by occurred_ts, id) > :gap_hours * 3600, false) as is_gap from raw_items),
     islands as (select *, sum(case when is_gap then 1 else 0 end) over (partition by thread_key order by occurred_ts, id) as g from gaps),
-    carried as (select *, last_value(ref IGNORE_NULLS) over (partition by thread_key, g order by occurred_ts, id rows between unbounded preceding and 1 preceding) as held from islands)
-    select id, thread_key, LONG(sum(case when is_gap or (ref is not null and held is not null and ref <> held) then 1 else 0 end) over (partition by thread_key order by occurred_ts, id)) as session from carried""".replace("IGNORE_NULLS) over", "ignore nulls) over"), gap_hours="24")
+    carried as (select *, LAST_KNOWN(ref) over (partition by thread_key, g order by occurred_ts, id rows between unbounded preceding and 1 preceding) as held from islands)
+    select id, thread_key, LONG(sum(case when is_gap or (ref is not null and held is not null and ref <> held) then 1 else 0 end) over (partition by thread_key order by occurred_ts, id)) as session from carried""", gap_hours="24")
 operator("w02_rank_actions", f"""
     with urgency as (select issue_id, max(case date_kind when 'hard' then 1e0 when 'soft' then 0.5e0 else 0e0 end) as date_urgency, count(distinct author) as senders, max(amount) as amount,
         round((FLOAT(count(distinct claim_type)) / 4e0 + avg(exp(-greatest(0e0, :now - last_seen_ts) / 86400e0 / 900e0)) + avg(case claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 else 0.2e0 end)) / 3e0, 6) as accuracy from claims group by issue_id),

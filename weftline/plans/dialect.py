@@ -42,6 +42,8 @@ MACROS = {
     "SPAN": ("sequence({0}, {1})", "generate_series({0}, {1})"),
     "TEXT": ("cast({0} as string)", "cast({0} as varchar)"),
     "FLOAT": ("cast({0} as double)", "cast({0} as double)"),
+    "WHOLE": ("cast({0} as bigint)", "cast(trunc({0}) as bigint)"),
+    "LAST_KNOWN": ("last_value({0}) ignore nulls", "last_value({0} ignore nulls)"),
     "LONG": ("cast({0} as bigint)", "cast({0} as bigint)"),
     "TOLONG": ("try_cast({0} as bigint)", "try_cast({0} as bigint)"),
     "TOFLOAT": ("try_cast({0} as double)", "try_cast({0} as double)"),

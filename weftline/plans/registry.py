@@ -29,15 +29,12 @@ class Operator:
     defaults: tuple[tuple[str, str], ...]
 
     def sql(self, spark: bool, **params: str) -> str:
-        text = self.text
-        for k, v in (dict(self.defaults) | params).items():
-            text = re.sub(rf":{k}\b", str(v), text)
-        return render(text, spark)
+        return render(_filled(self.text, dict(self.defaults) | params), spark)
 
     def __call__(self, spark: SparkSession, params: dict[str, str] | None = None, **frames: DataFrame) -> DataFrame:
         text = self.sql(True, **(params or {}))
         for name in self.inputs:
-            text = re.sub(rf"\b{name}\b", "{%s}" % name, text)
+            text = re.sub(rf"\b(from|join) +{name}\b", r"\1 {%s}" % name, text)
         return spark.sql(text, **{n: frames[n] for n in self.inputs})
 
 
@@ -55,17 +52,33 @@ def frames(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return out
 
 
+def oracle(text: str) -> str:
+    """The statement for DuckDB, with the views it reads in front."""
+    views = ", ".join(f"{v} as ({render(surrogates.VIEWS[v], False)})" for v in surrogates.used(text) if v in surrogates.VIEWS)
+    body = render(text, False).strip()
+    if not views:
+        return body
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"with {views} {body}"
+
+
+def _filled(text: str, params: dict[str, str]) -> str:
+    for k, v in params.items():
+        text = re.sub(rf":{k}\b", str(v), text)
+    return text
+
+
+TIMES = {"now": surrogates.NOW, "now_events": surrogates.NOW_EVENTS}
+
+
 def operator(name: str, text: str, **defaults: str) -> Operator:
     """Define an operator and register the query that applies it to the views it names."""
-    defaults = {"now": surrogates.NOW, "now_events": surrogates.NOW_EVENTS} | defaults
     inputs = tuple(surrogates.used(text))
-    op = Operator(name, text, inputs, tuple(defaults.items()))
+    op = Operator(name, text, inputs, tuple((TIMES | defaults).items()))
     _QUERIES[name] = lambda spark, sf_dir: op(spark, **frames(spark, sf_dir, inputs))
-    views = ", ".join(f"{v} as ({render(surrogates.VIEWS[v], False)})" for v in inputs if v in surrogates.VIEWS)
-    body = op.sql(False)
-    if views:
-        body = f"with {views}, {body.lstrip()[5:]}" if body.lstrip().lower().startswith("with ") else f"with {views} {body}"
-    _SQL[name] = body
+    _SQL[name] = oracle(_filled(text, TIMES | defaults))
     return op
 
 
@@ -75,9 +88,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         _QUERIES[name] = f
         if sql is not None:
-            views = ", ".join(f"{v} as ({render(surrogates.VIEWS[v], False)})" for v in surrogates.used(sql) if v in surrogates.VIEWS)
-            body = render(sql.replace(":now_events", surrogates.NOW_EVENTS).replace(":now", surrogates.NOW), False)
-            _SQL[name] = f"with {views} {body}" if views else body
+            _SQL[name] = oracle(_filled(sql, TIMES))
         return f
 
     return add

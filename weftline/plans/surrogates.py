@@ -59,7 +59,7 @@ VIEWS = {
     "documents_": "select doc_id as id, text, lang, source from documents",
     "pages_": "select page_id as id, url, html from pages",
     "outcomes": "select doc_id as id, case quality when 1 then 'accepted' else 'dismissed' end as outcome, toxic = 1 as rewritten, case doc_id % 3 when 0 then 'reply' when 1 then 'escalate' else 'close' end as action_kind from labels",
-    "scores": "select l_orderkey as id, l_linenumber as seq, round(l_discount * 5 + l_tax, 4) as score, EPOCH(l_shipdate) as ts from lineitem",
+    "scores": "select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, round(l_discount * 5 + l_tax, 4) as score, EPOCH(l_shipdate) as ts from lineitem",
     "rules": """select * from (values (1, 'signup', 'purchase'), (2, 'click', 'purchase'), (3, 'view', 'error'), (4, 'error', 'signup')) as t(rule_id, requires_type, trigger_type)""",
     "states": "select o_orderkey as issue_id, o_orderkey % 3 as n, case when o_orderkey % 2 = 0 then 'waiting' else 'active' end as to_state, 'active' as from_state, EPOCH(o_orderdate) as changed_ts, case when o_orderkey % 4 < 3 then 'user' || TEXT(o_orderkey % 5) end as actor from orders",
 }
@@ -67,6 +67,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def used(text: str) -> list[str]:
-    """The views and tables that a statement names."""
-    words = set(re.findall(r"[a-z_]+", text))
+    """The views and tables that a statement reads."""
+    words = set(re.findall(r"(?:from|join) +([a-z_]+)", text))
     return [v for v in [*VIEWS, *TABLES] if v in words]
