@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as t
 from weftline.operators import imperative, windows
 from weftline.plans.dialect import render
+from weftline.sources import files
 
 
 def value(spark, expression, **columns):
@@ -65,8 +66,8 @@ def test_merged_groups(spark):
 
 
 def test_docx_round_trip():
-    assert imperative.docx_text(imperative.plain_docx(["one", "two"])) == "one\ntwo"
-    assert imperative.docx_text(b"broken") == ""
+    assert files.docx_text(files.plain_docx(["one", "two"])) == "one\ntwo"
+    assert files.docx_text(b"broken") == ""
 
 
 def test_macros_nest_and_leave_literals_alone():

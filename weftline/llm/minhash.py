@@ -6,10 +6,12 @@ it. So each coordinate fills after 2 T rounds at the latest (a few, for all but
 agree in a share of coordinates that is concentrated around the Jaccard similarity.
 
 Texts with equal sets are one class from the start, so copies cost nothing further. Bands of ROWS coordinates put
-classes in buckets. First each bucket's members are compared with its smallest member; then, in the buckets
-whose members are not all connected yet, members of different components are compared in blocks. Pairs whose
-sketches agree in under LEAST coordinates are put aside (more than four standard deviations below the
-threshold); all others are confirmed on full sets.
+classes in buckets. First each class is compared with the smallest member it meets in any bucket. Then, in the
+buckets whose members aren't all connected yet, ever more is compared: members of the first and the last component,
+the best pairs of any two components, and at last all pairs across components, in blocks. Pairs whose sketches
+agree in under LEAST coordinates are put aside (more than four standard deviations below the threshold); all
+others are confirmed on full sets. So every pair that meets in a bucket is confirmed, ruled out, or connected by
+other links, and a large group of near copies needs few comparisons.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from weftline.llm.words import Words, grouped, mix
 
 T, BANDS, ROWS = 256, 28, 4
 LEAST = 160
-#: Members of a bucket that are compared in one task at a time.
-BLOCK = 1024
+#: Members of a bucket that are compared in one task at a time, and the pairs of two components tried there at first.
+BLOCK, BEST = 1024, 8
+#: Ids up to which a set of ids is broadcast (16 bytes each); a larger one is joined by a shuffle.
+FEW_IDS = 2_000_000
 
 
 def sketch(shingles: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -100,7 +104,9 @@ def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of `pairs` whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     texts = stored(texts, "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
@@ -127,21 +133,36 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket's blocks i and j, of different labels, whose sketches agree well enough."""
-    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    group = group.sort_values("rep")
-    rows, columns = group[group["block"] == i], group[group["block"] == j]
-    x, y = (np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, T) for g in (rows, columns))
-    (xr, xl), (yr, yl) = ((g["rep"].to_numpy(), g["label"].to_numpy()) for g in (rows, columns))
-    found = []
-    for at in range(0, len(x), 32):
-        same = (x[at : at + 32, None, :] == y[None, :, :]).sum(axis=2)
-        r, c = np.nonzero((same >= LEAST) & (xl[at : at + 32, None] != yl[None, :]))
-        found.append(np.stack([xr[at + r], yr[c]], axis=1))
-    found = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    found.sort(axis=1)
-    return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"])
+def _across(most: int | None):
+    """Pairs of one bucket's blocks i and j, of different labels, whose sketches agree well enough.
+
+    With `most`: that many of each two labels, the best first; cut is true where there were more.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        group = group.sort_values("rep")
+        rows, columns = group[group["block"] == i], group[group["block"] == j]
+        x, y = (np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, T) for g in (rows, columns))
+        (xr, xl), (yr, yl) = ((g["rep"].to_numpy(), g["label"].to_numpy()) for g in (rows, columns))
+        out = []
+        for at in range(0, len(x), 32):
+            same = (x[at : at + 32, None, :] == y[None, :, :]).sum(axis=2)
+            r, c = np.nonzero((same >= LEAST) & (xl[at : at + 32, None] != yl[None, :]))
+            a, b, la, lb = xr[at + r], yr[c], xl[at + r], yl[c]
+            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "la": np.minimum(la, lb), "lb": np.maximum(la, lb), "same": same[r, c]})
+            if most:  # two more than are kept, so that a cut shows
+                found = found.sort_values(["same", "a", "b"], ascending=[False, True, True]).groupby(["la", "lb"]).head(2 * most + 2)
+            out.append(found)
+        found = pd.concat(out).drop_duplicates(["a", "b"])
+        found["cut"] = False
+        if most:
+            found = found.sort_values(["same", "a", "b"], ascending=[False, True, True])
+            found["cut"] = found.groupby(["la", "lb"])["a"].transform("size") > most
+            found = found.groupby(["la", "lb"]).head(most)
+        return found[["a", "b", "cut"]]
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -159,22 +180,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = members.groupBy("h").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").drop("q")
     members = stored(members.join(buckets, "h"), "buckets")
 
-    pairs = members.where("rep <> p").select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    pairs = stored(pairs.where(agreeing("sa", "sb") >= LEAST).select("a", "b"), "pairs")
-    links = stored(verified(pairs, docs, percent), "links")
-    roots = connected_components(links)
-
-    labelled = stored(members.join(roots, members["rep"] == roots["node"], "left").select("h", "rep", F.coalesce("root", "rep").alias("label")), "labelled")
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = labelled.join(mixed.select("h", blocks.alias("blocks")), "h").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("h", "rep", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    more = stored(dealt.groupBy("h", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "more")
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(verified(stored(more, "more"), docs, percent)))
+    def alike(pairs):
+        with_b = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+        both = with_b.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+        return both.where(agreeing("sa", "sb") >= LEAST).select("a", "b").distinct()
+
+    tried = stored(alike(members.where("rep <> p").groupBy(F.col("rep").alias("b")).agg(F.min("p").alias("a"))), "pairs")
+    roots = connected_components(verified(tried, docs, percent))
+    for step in ("ends", "ends", "best", "all"):
+        labelled = stored(members.join(roots, members["rep"] == roots["node"], "left").select("h", "rep", F.coalesce("root", "rep").alias("label")), "labelled")
+        mixed = labelled.groupBy("h").agg(F.min(F.struct("label", "rep")).alias("lo"), F.max(F.struct("label", "rep")).alias("hi"), F.count("*").alias("n")).where("lo.label < hi.label")
+        if step == "ends":
+            ends = mixed.groupBy("lo.label", F.col("hi.label").alias("other")).agg(F.min(F.struct("lo.rep", F.col("hi.rep").alias("far"))).alias("e"))
+            more = alike(ends.select(F.least("e.rep", "e.far").alias("a"), F.greatest("e.rep", "e.far").alias("b"))).withColumn("cut", F.lit(True))
+        else:
+            dealt = labelled.join(mixed.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "h").join(sketches, "rep")
+            dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            dealt = dealt.select("h", "rep", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+            more = dealt.groupBy("h", "i", "j").applyInPandas(_across(BEST if step == "best" else None), "a long, b long, cut boolean")
+            more = more.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        more = stored(more, "more")
+        state = more.agg(F.count("*"), F.count_if("cut")).first()
+        if state[0]:
+            new = more.select("a", "b").join(tried, ["a", "b"], "left_anti")
+            links = stored(verified(stored(new, "new"), docs, percent), "links")
+            tried = tried.unionByName(more.select("a", "b"))
+            if not links.isEmpty():
+                roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if step == "best" and not state[1]:
+            break
 
     of_class = classes.select("c1", "c2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("root", "rep").alias("component_id"))
     found = rows.select("doc_id", "n_shingles", "c1", "c2").join(of_class, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")

@@ -1,16 +1,9 @@
-"""Operators that are not single plans: folds, graph merges, upserts, streams, files, text diffs, verdict tables."""
+"""Operators that are not single plans: folds, graph merges, upserts, text diffs, verdict tables."""
 
 from __future__ import annotations
 
 import difflib
-import io
-import os
-import re
-import tempfile
 import unicodedata
-import uuid
-import xml.etree.ElementTree as ET
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,19 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.plans.registry import frames, query
-from weftline.plans.surrogates import NOW_EVENTS
-
-
-def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return frames(spark, sf_dir, [name])[name]
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
-
+from weftline.plans.registry import query
+from weftline.plans.views import view, work_dir
 
 # --- folds -----------------------------------------------------------------------------------------------------
 
@@ -52,14 +34,14 @@ def greedy_budget(items: DataFrame, group: str, score: str, ts: str, key: str, c
 
 @query("l01_assemble_evidence")
 def assemble_evidence(spark, sf_dir):
-    items = _view(spark, sf_dir, "claims").select("issue_id", "id", "first_seen_ts", F.col("amount").alias("score"), F.greatest(F.lit(1), F.expr("length(text) div 4")).alias("cost"))
+    items = view(spark, sf_dir, "claims").select("issue_id", "id", "first_seen_ts", F.col("amount").alias("score"), F.greatest(F.lit(1), F.expr("length(text) div 4")).alias("cost"))
     return greedy_budget(items, "issue_id", "score", "first_seen_ts", "id", "cost", 30)
 
 
 @query("m14_trust_fold")
 def trust_fold(spark, sf_dir):
     """Trust per situation: every confirmation adds 0.1 up to 0.9, every rejection takes 0.15 down to 0.1, in order."""
-    seen = _view(spark, sf_dir, "outcomes").groupBy("action_kind").agg(F.array_sort(F.collect_list(F.struct("id", (F.col("outcome") == "accepted").alias("up")))).alias("steps"))
+    seen = view(spark, sf_dir, "outcomes").groupBy("action_kind").agg(F.array_sort(F.collect_list(F.struct("id", (F.col("outcome") == "accepted").alias("up")))).alias("steps"))
     fold = F.aggregate("steps", F.lit(0.5), lambda t, s: F.when(s["up"], F.least(F.lit(0.9), t + 0.1)).otherwise(F.greatest(F.lit(0.1), t - 0.15)))
     return seen.select("action_kind", F.round(fold, 6).alias("trust"), F.size("steps").alias("n"))
 
@@ -67,13 +49,14 @@ def trust_fold(spark, sf_dir):
 @query("m11_tiered_answer")
 def tiered_answer(spark, sf_dir):
     """The first tier, in order, whose best score reaches the band; the best of all where none does."""
-    claims = _view(spark, sf_dir, "claims").where("issue_id % 50 = 1")
+    claims = view(spark, sf_dir, "claims").where("issue_id % 50 = 1")
     tier = F.when(F.col("claim_type") == "decision", 1).when(F.col("claim_type") == "commitment", 2).otherwise(3)
     best = claims.groupBy("issue_id", tier.alias("tier")).agg(F.max(F.struct("amount", (-F.col("id")).alias("k"))).alias("b"))
     ranked = best.groupBy("issue_id").agg(F.min(F.when(F.col("b.amount") >= 40000, F.struct("tier", "b"))).alias("first"), F.max(F.struct("b", "tier")).alias("top"))
     return ranked.select("issue_id", F.coalesce("first.tier", "top.tier").alias("tier"), F.coalesce("first.b.amount", "top.b.amount").alias("amount"))
 
 
+
 # --- merges and upserts ----------------------------------------------------------------------------------------
 
 
@@ -103,7 +86,7 @@ def merged_groups(edges: DataFrame, spark: SparkSession) -> DataFrame:
     reach as (select a as node, b as other from pairs union select r.node, p.b from reach r join pairs p on r.other = p.a)
     select node, least(node, min(other)) as root from reach group by node""")
 def merge_issues(spark, sf_dir):
-    links = _view(spark, sf_dir, "links").where("issue_id % 6 = 0")
+    links = view(spark, sf_dir, "links").where("issue_id % 6 = 0")
     a, b = links.select(F.col("issue_id").alias("a"), "reference"), links.select(F.col("issue_id").alias("b"), "reference")
     return merged_groups(a.join(b, "reference").where("a <> b").select("a", "b"), spark)
 
@@ -128,7 +111,7 @@ def upsert(current: DataFrame, fresh: DataFrame, keys: list[str], touch: dict[st
       coalesce(o.first_ts, n.first_ts) as first_ts, case when o.issue_id is not null and n.issue_id is not null then greatest(o.last_ts, n.last_ts) else coalesce(o.last_ts, n.last_ts) end as last_ts
     from old_rows o full outer join new_rows n on o.issue_id = n.issue_id and o.claim_type = n.claim_type and o.canonical_key = n.canonical_key""")
 def materialize_fresh(spark, sf_dir):
-    claims = _view(spark, sf_dir, "claims")
+    claims = view(spark, sf_dir, "claims")
     keys = ["issue_id", "claim_type", "canonical_key"]
 
     def state(df):
@@ -137,6 +120,7 @@ def materialize_fresh(spark, sf_dir):
     return upsert(state(claims.where("raw_item_id % 3 > 0")), state(claims.where("raw_item_id % 3 < 2 and id % 2 = 0")), keys, {"last_ts": F.greatest})
 
 
+
 # --- text that needs more than SQL ------------------------------------------------------------------------------
 
 
@@ -148,21 +132,21 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 @query("f02b_nfkc_entity_key")
 def nfkc_entity_key(spark, sf_dir):
-    names = _view(spark, sf_dir, "companies").select("id", F.concat(F.lit("Ａ"), "name").alias("name"))
+    names = view(spark, sf_dir, "companies").select("id", F.concat(F.lit("Ａ"), "name").alias("name"))
     return names.select("id", F.lower(nfkc("name")).alias("result"))
 
 
 @query("f13_labelled_party")
 def labelled_party(spark, sf_dir):
     """A labelled value that isn't itself another label (negative look-ahead)."""
-    items = _view(spark, sf_dir, "raw_items")
+    items = view(spark, sf_dir, "raw_items")
     return items.select("id", F.expr(r"nullif(regexp_extract(body_preview, r'Owner: (?!Due)([^\n]+)', 1), '')").alias("result"))
 
 
 @query("f19_amount_candidates")
 def amount_candidates(spark, sf_dir):
     """Dollar figures, both ends of a range scaled by its suffix, with whether a cue word stands within 40 characters."""
-    items = _view(spark, sf_dir, "raw_items")
+    items = view(spark, sf_dir, "raw_items")
     found = items.select("id", "body_preview", F.explode(F.expr(r"regexp_extract_all(body_preview, r'([$][0-9]+(?: - [$][0-9]+)?[km]?)', 1)")).alias("hit"))
     at = F.expr("instr(body_preview, hit)")
     near = F.lower(F.expr("substring(body_preview, greatest(1, instr(body_preview, hit) - 40), length(hit) + 80)"))
@@ -196,7 +180,7 @@ def paragraph_diff(pairs: DataFrame) -> DataFrame:
 
 @query("n07_compare_attachments")
 def compare_attachments(spark, sf_dir):
-    docs = _view(spark, sf_dir, "documents_").where("id < 100")
+    docs = view(spark, sf_dir, "documents_").where("id < 100")
     return paragraph_diff(docs.select("id", F.col("text").alias("old"), F.regexp_replace("text", "(?m)^The .*$", "Changed.").alias("new")))
 
 
@@ -208,18 +192,19 @@ def rewrite_severity(suggested: pd.Series, sent: pd.Series) -> pd.Series:
 
 @query("u03_rewrite_severity")
 def rewrite_severities(spark, sf_dir):
-    return _view(spark, sf_dir, "raw_items").select("id", rewrite_severity("subject", F.lower("body_preview")).alias("severity"))
+    return view(spark, sf_dir, "raw_items").select("id", rewrite_severity("subject", F.lower("body_preview")).alias("severity"))
 
 
 @query("n01_date_mentions")
 def date_mentions(spark, sf_dir):
     """A JSON element that is a text or a struct: (id, text, resolved date, hard)."""
-    raw = _view(spark, sf_dir, "raw_items").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('"next week '), F.col("k"), F.lit('"'))).otherwise(F.concat(F.lit('{"text": "by '), "k", F.lit('", "date": "2024-02-01", "hard": true}'))).alias("entry"))
+    raw = view(spark, sf_dir, "raw_items").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('"next week '), F.col("k"), F.lit('"'))).otherwise(F.concat(F.lit('{"text": "by '), "k", F.lit('", "date": "2024-02-01", "hard": true}'))).alias("entry"))
     parsed = raw.select("id", F.from_json("entry", "text string, date string, hard boolean").alias("s"), F.expr("try_cast(from_json('[' || entry || ']', 'array<string>')[0] as string)").alias("plain"))
     hard = F.coalesce(F.col("s.hard"), F.lit(False))
     return parsed.select("id", F.coalesce("s.text", "plain").alias("text"), F.when(hard, F.col("s.date")).alias("resolved"), hard.alias("hard"))
 
 
+
 # --- verdict tables in place of model calls ---------------------------------------------------------------------
 
 
@@ -227,7 +212,7 @@ def date_mentions(spark, sf_dir):
     select id_a, min(id_b) as id_b from (select l.issue_id as id_a, m.issue_id as id_b from links l join links m on l.reference = m.reference and l.issue_id < m.issue_id where (l.issue_id + m.issue_id) % 3 = 0) x group by id_a""")
 def judged_candidates(spark, sf_dir):
     """Candidate pairs joined with a table of verdicts; the smallest confirmed partner of each."""
-    links = _view(spark, sf_dir, "links")
+    links = view(spark, sf_dir, "links")
     pairs = links.select(F.col("issue_id").alias("id_a"), "reference").join(links.select(F.col("issue_id").alias("id_b"), "reference"), "reference").where("id_a < id_b")
     verdicts = pairs.select("id_a", "id_b", F.when((F.col("id_a") + F.col("id_b")) % 3 == 0, "SAME").otherwise("DIFFERENT").alias("verdict"))
     return verdicts.where("verdict = 'SAME'").groupBy("id_a").agg(F.min("id_b").alias("id_b"))
@@ -236,7 +221,7 @@ def judged_candidates(spark, sf_dir):
 @query("u05_proposals", "select substr(lower(subject), 1, 64) as definition_id, count(*) as n from raw_items group by 1 having count(*) >= 5 and min(id) % 2 = 1")
 def proposals(spark, sf_dir):
     """Observations over the bar whose deterministic id isn't among the known definitions."""
-    seen = _view(spark, sf_dir, "raw_items").groupBy(F.substring(F.lower("subject"), 1, 64).alias("definition_id")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    seen = view(spark, sf_dir, "raw_items").groupBy(F.substring(F.lower("subject"), 1, 64).alias("definition_id")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     known = seen.where("first_id % 2 = 0").select("definition_id")
     return seen.where("n >= 5").join(known, "definition_id", "left_anti").select("definition_id", "n")
 
@@ -251,341 +236,15 @@ def batched_enrichment(spark, sf_dir, size: int = 50):
                 part = batch.iloc[at : at + size]
                 yield part.assign(summary="status of " + part["name"].str.lower(), batch_rows=len(part))
 
-    return _view(spark, sf_dir, "projects").select("id", "name").mapInPandas(run, "id long, name string, summary string, batch_rows long")
+    return view(spark, sf_dir, "projects").select("id", "name").mapInPandas(run, "id long, name string, summary string, batch_rows long")
 
 
 @query("u07_rule_candidates", """
     select distinct a.signal_type as requires_type, b.signal_type as trigger_type from raw_items a join raw_items b on a.id + 1 = b.id where a.signal_type <> b.signal_type and a.k % 4 = 0 and a.signal_type in ('signup', 'click', 'view')""")
 def rule_candidates(spark, sf_dir):
     """Proposed rules kept only with high confidence, two known and different types, and an allowed scope."""
-    items = _view(spark, sf_dir, "raw_items")
+    items = view(spark, sf_dir, "raw_items")
     a = items.select(F.col("id").alias("x"), F.col("signal_type").alias("requires_type"), F.when(F.col("k") % 4 == 0, "high").otherwise("low").alias("confidence"))
     b = items.select((F.col("id") - 1).alias("x"), F.col("signal_type").alias("trigger_type"))
     known = spark.createDataFrame([("signup",), ("click",), ("view",)], "requires_type string")
     return a.join(b, "x").where("confidence = 'high' and requires_type <> trigger_type").join(known, "requires_type", "left_semi").select("requires_type", "trigger_type").distinct()
-
-
-# --- files and sinks --------------------------------------------------------------------------------------------
-
-DROP = ("source string, events array<struct<id:string,start:string,recurrence:string,subject:string>>, messages array<struct<id:string,messageType:string,body:string>>, results array<struct<driveId:string,id:string,name:string>>, events_count int, _corrupt string")
-
-
-def _drop_files(spark: SparkSession, sf_dir: str) -> str:
-    """Staged drop files made from the raw items, for the readers below."""
-    items = _view(spark, sf_dir, "raw_items").where("id < 200")
-    event = F.struct(F.col("id").cast("string").alias("id"), F.date_format("occurred_at", "yyyy-MM-dd").alias("start"), F.when(F.col("k") % 3 == 0, "weekly").alias("recurrence"), "subject")
-    message = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("k") % 4 == 0, "system").otherwise("message").alias("messageType"), F.concat(F.lit("<p>"), "body_preview", F.lit("</p>")).alias("body"))
-    doc = F.struct((F.col("id") % 4).cast("string").alias("driveId"), F.col("id").cast("string").alias("id"), F.col("subject").alias("name"))
-    grouped = items.groupBy((F.col("id") % 10).alias("g")).agg(F.collect_list(event).alias("events"), F.collect_list(message).alias("messages"), F.collect_list(doc).alias("results"))
-    kind = F.col("g") % 3
-    body = F.to_json(F.struct(
-        F.when(kind == 0, "calendar").when(kind == 1, "teams_chat").otherwise("sharepoint").alias("source"), F.when((kind == 0) & (F.col("g") != 9), F.col("events")).alias("events"),
-        F.when(kind == 1, F.col("messages")).alias("messages"), F.when(kind == 2, F.col("results")).alias("results"), F.when(kind == 0, F.size("events")).alias("events_count"),
-    ))
-    folder = work_dir(spark)
-    grouped.select(F.when(F.col("g") == 4, F.lit("{broken")).otherwise(body).alias("value")).repartition(3).write.text(folder)
-    return folder
-
-
-def read_drops(spark: SparkSession, folder: str) -> DataFrame:
-    """Staged JSON drops, one to a line; a corrupt one has its text in _corrupt."""
-    return spark.read.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-
-
-def flatten_drops(drops: DataFrame) -> DataFrame:
-    """source, stable_key, subject of every item; corrupt drops give none."""
-    calendar = drops.where("source = 'calendar'").select("source", F.explode("events").alias("e")).select("source", F.when(F.col("e.recurrence").isNotNull(), F.concat_ws(":", "e.id", "e.start")).otherwise(F.col("e.id")).alias("stable_key"), F.col("e.subject").alias("subject"))
-    chat = drops.where("source = 'teams_chat'").select("source", F.explode("messages").alias("m")).where("m.messageType = 'message'").select("source", F.col("m.id").alias("stable_key"), F.trim(F.regexp_replace("m.body", "<[^>]*>", "")).alias("subject"))
-    files = drops.where("source = 'sharepoint'").select("source", F.explode("results").alias("r")).select("source", F.concat_ws(":", "r.driveId", "r.id").alias("stable_key"), F.col("r.name").alias("subject"))
-    return calendar.unionByName(chat).unionByName(files)
-
-
-@query("s01_process_drops")
-def process_drops(spark, sf_dir):
-    return flatten_drops(read_drops(spark, _drop_files(spark, sf_dir)))
-
-
-@query("s04_chat_messages")
-def chat_messages(spark, sf_dir):
-    return flatten_drops(read_drops(spark, _drop_files(spark, sf_dir))).where("source = 'teams_chat'")
-
-
-@query("s06_content_but_empty")
-def content_but_empty(spark, sf_dir):
-    """Drops to set aside: corrupt ones, and those that claim a count and hold nothing."""
-    drops = read_drops(spark, _drop_files(spark, sf_dir)).cache()
-    why = F.when(F.col("_corrupt").isNotNull(), "corrupt").when((F.col("events_count") > 0) & F.coalesce(F.size("events") <= 0, F.lit(True)), "claims content but empty")
-    return drops.select("source", "events_count", why.alias("reason")).where("reason is not null")
-
-
-def _stream_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there, into Parquet, and read the result."""
-    folder = work_dir(spark)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/check").option("path", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
-
-
-@query("s02_inbox_stream")
-def inbox_stream(spark, sf_dir):
-    drops = spark.readStream.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(_drop_files(spark, sf_dir))
-    return _stream_to_table(spark, flatten_drops(drops), "items")
-
-
-@query("s10_filename_index")
-def filename_index(spark, sf_dir):
-    """Lower-case file name -> paths, of every file under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_drop_files(spark, sf_dir)).select("path")
-    name = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "-[0-9a-f-]{30,}-", "-"))
-    return files.groupBy(name.alias("name")).agg(F.count("*").alias("n_paths"))
-
-
-def docx_text(content: bytes) -> str:
-    """Paragraph texts of a docx file, one to a line; empty where it can't be read."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            root = ET.fromstring(z.read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
-        return ""
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    lines = ("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
-    return "\n".join(x for x in lines if x.strip())
-
-
-def plain_docx(paragraphs: list[str]) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-    return out.getvalue()
-
-
-def extract_text(files: DataFrame) -> DataFrame:
-    """path, text of binary files (path, content), by the ending; empty for those that can't be read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "text": [docx_text(c) if p.endswith(".docx") else c.decode("utf-8", "replace") for p, c in zip(b["path"], b["content"], strict=True)]})
-
-    return files.select("path", "content").mapInPandas(run, "path string, text string")
-
-
-def _attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = F.udf(lambda a, b, ok: plain_docx([a, b]) if ok else b"not a zip", T.BinaryType())
-    items = _view(spark, sf_dir, "raw_items").where("id < 300")
-    return items.select(F.concat(F.lit("/a/"), "id", F.lit(".docx")).alias("path"), make("subject", "signal_type", F.col("id") % 9 != 0).alias("content"))
-
-
-@query("s12_extract_text")
-def extracted_text(spark, sf_dir):
-    return extract_text(_attachments(spark, sf_dir))
-
-
-@query("s13_docx_text")
-def extracted_docx(spark, sf_dir):
-    return extract_text(_attachments(spark, sf_dir)).where("text <> ''")
-
-
-def parse_blocks(logs: DataFrame) -> DataFrame:
-    """month, text of logs of `---` blocks with from / ts / message_id headers -> one row per message."""
-    block = logs.select("month", F.explode(F.split("text", "(?m)^---$")).alias("b")).where("trim(b) <> ''")
-
-    def header(name):
-        return F.nullif(F.trim(F.regexp_extract("b", rf"(?m)^{name}: (.*)$", 1)), F.lit(""))
-
-    return block.select("month", header("from").alias("sender"), header("ts").cast("double").alias("ts"), header("message_id").alias("message_id"), F.trim(F.regexp_replace("b", r"(?m)^(from|ts|message_id): .*$", "")).alias("body")).where("message_id is not null")
-
-
-def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _view(spark, sf_dir, "messages").where("conv_id < 60")
-    one = F.concat(F.lit("from: "), "role", F.lit("\nts: "), "ts", F.lit("\nmessage_id: m"), "conv_id", F.lit("."), "turn", F.lit("\n"), F.substring("text", 1, 60))
-    return m.groupBy(F.concat(F.lit("2024-0"), F.col("conv_id") % 4 + 1).alias("month")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\n---\n").alias("text"))
-
-
-@query("s17_parse_blocks")
-def parsed_blocks(spark, sf_dir):
-    return parse_blocks(_logs(spark, sf_dir))
-
-
-@query("s18_list_messages")
-def list_messages(spark, sf_dir):
-    """The last two months' messages, from files partitioned by month, with their reactions."""
-    folder = work_dir(spark)
-    _logs(spark, sf_dir).write.partitionBy("month").parquet(folder)
-    months = spark.read.parquet(folder).where("month >= '2024-03'").select(F.col("month").cast("string").alias("month"), "text")
-    reactions = _view(spark, sf_dir, "messages").groupBy(F.concat(F.lit("m"), "conv_id", F.lit("."), "turn").alias("message_id")).agg(F.count_if(F.expr("turn % 2 = 0")).alias("reactions"))
-    return parse_blocks(months).join(reactions, "message_id", "left")
-
-
-@query("s20_report_sheet")
-def report_sheet(spark, sf_dir):
-    """The status report written as a sheet (CSV with nine fixed headers) and read back."""
-    issues = _view(spark, sf_dir, "issues").where("id % 40 = 0")
-    sheet = issues.select(F.col("id").alias("Issue"), F.col("title").alias("Title"), F.col("category").alias("Category"), F.col("state").alias("State"), F.col("owner").alias("Owner"), F.col("value_amount").alias("Value"), F.col("opened_at").alias("Opened"), F.col("updated_at").alias("Updated"), F.col("due").alias("Due"))
-    folder = work_dir(spark)
-    sheet.coalesce(1).write.option("header", True).csv(folder)
-    return spark.read.schema(sheet.schema).option("header", True).csv(folder)
-
-
-@query("s21_emit_events")
-def emit_events(spark, sf_dir):
-    """Two appends to an event log, which only grows."""
-    folder, items = work_dir(spark), _view(spark, sf_dir, "raw_items").select("id", "occurred_ts", F.col("signal_type").alias("kind"), F.col("from_actor").alias("actor"))
-    items.where("id % 2 = 0").write.mode("append").parquet(folder)
-    items.where("id % 2 = 1").write.mode("append").parquet(folder)
-    return spark.read.schema(items.schema).parquet(folder)
-
-
-@query("s22_snapshot")
-def snapshot(spark, sf_dir):
-    folder = work_dir(spark)
-    issues = _view(spark, sf_dir, "issues").select("id", "state", "updated_at")
-    issues.write.parquet(f"{folder}/snapshot=2001-08-02")
-    return spark.read.parquet(folder).withColumn("snapshot", F.col("snapshot").cast("string"))
-
-
-@query("s24_chat_records")
-def chat_records(spark, sf_dir):
-    """JSON chat records whose content is a text or a list of blocks: kept roles, joined text cut to 2,000, token sums."""
-    m = _view(spark, sf_dir, "messages")
-    content = F.when(F.col("turn") % 2 == 0, F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.to_json(F.struct(F.col("text").alias("v"))))
-    line = m.select("conv_id", "turn", F.to_json(F.struct("role", content.alias("content"), F.struct((F.length("text")).alias("input"), F.lit(3).alias("output")).alias("usage"))).alias("line"))
-    parsed = line.select("conv_id", "turn", F.from_json("line", "role string, content string, usage struct<input:int,output:int>").alias("r")).where("r.role in ('user', 'assistant')")
-    text = F.coalesce(F.array_join(F.transform(F.from_json("r.content", "array<struct<type:string,text:string>>"), lambda b: b["text"]), "\n"), F.from_json("r.content", "v string")["v"])
-    return parsed.select("conv_id", "turn", F.col("r.role").alias("role"), F.substring(text, 1, 2000).alias("text"), (F.col("r.usage.input") + F.col("r.usage.output")).alias("tokens"))
-
-
-@query("s23_tail_lines")
-def tail_lines(spark, sf_dir):
-    """Lines that arrive after the first sight of a text folder: what was there before is skipped by file time."""
-    folder = work_dir(spark)
-    m = _view(spark, sf_dir, "messages").select(F.concat_ws("|", "conv_id", "turn", "role").alias("value"))
-    m.where("conv_id % 2 = 0").repartition(1).write.mode("append").text(folder)
-    seen = spark.read.format("binaryFile").load(folder).agg(F.max("modificationTime").alias("t")).first()["t"]
-    m.where("conv_id % 2 = 1").repartition(1).write.mode("append").text(folder)
-    stream = spark.readStream.schema("value string").text(folder).select("value", F.col("_metadata.file_modification_time").alias("t")).where(F.col("t") > F.lit(seen)).select("value")
-    return _stream_to_table(spark, stream, "lines")
-
-
-@query("s25_expert_directory")
-def expert_directory(spark, sf_dir):
-    """Markdown sections (Email, Triggers, Threshold) to rows, one per trigger."""
-    nation = frames(spark, sf_dir, ["nation"])["nation"]
-    md = nation.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("## "), "n_name", F.lit("\nEmail: e"), "n_nationkey", F.lit("@x.example\nTriggers: a"), "n_nationkey", F.lit(", b\nThreshold: "), F.col("n_nationkey") * 100))), "\n").alias("text"))
-    section = md.select(F.explode(F.split("text", "(?m)^## ")).alias("s")).where("trim(s) <> ''")
-    return section.select(F.regexp_extract("s", r"^([^\n]*)", 1).alias("expert"), F.regexp_extract("s", r"Email: ([^\n]*)", 1).alias("email"), F.explode(F.split(F.regexp_extract("s", r"Triggers: ([^\n]*)", 1), ", *")).alias("trigger"), F.regexp_extract("s", "Threshold: ([0-9]+)", 1).cast("long").alias("threshold"))
-
-
-@query("a48_disk_usage")
-def disk_usage(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_drop_files(spark, sf_dir)).select("path", "length")
-    return files.groupBy(F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("kind")).agg(F.count("*").alias("n"), F.min(F.col("length") > 0).alias("all_filled"))
-
-
-# --- connectors' common core ------------------------------------------------------------------------------------
-
-
-def scan_since(items: DataFrame, seen: DataFrame, cursor: float, limit: int, **fixed: str) -> DataFrame:
-    """A mail scan: items after the cursor, at most `limit`, oldest first; known keys don't come again but move the cursor."""
-    window = items.where(F.col("occurred_ts") > cursor).orderBy("occurred_ts", "id").limit(limit)
-    fresh = window.join(seen, "id", "left_anti")
-    return fresh.crossJoin(F.broadcast(window.agg(F.max("occurred_ts").alias("cursor_ts")))).withColumns({k: F.lit(v) for k, v in fixed.items()})
-
-
-def _scan(source: str, name: str, **fixed: str):
-    @query(name)
-    def run(spark, sf_dir):
-        items = _view(spark, sf_dir, "raw_items").where(F.col("source") == source).select("id", "occurred_ts", "subject")
-        return scan_since(items, items.where("id % 5 = 0").select("id"), float(NOW_EVENTS[:-2]) - 864000, 100, **fixed)
-
-    return run
-
-
-_scan("outlook_mail", "s07_mail_scan")
-_scan("outlook_mail", "s08_sent_scan", confirmed_direction="outbound")
-_scan("calendar", "s09_calendar_scan")
-
-
-# --- incremental forms ------------------------------------------------------------------------------------------
-
-
-def _events_folder(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
-    items = _view(spark, sf_dir, "raw_items").select("id", "thread_key", "occurred_at", "signal_type", "subject", "from_actor", "issue_id")
-    items = items.withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
-    folder = work_dir(spark)
-    items.repartition(4).write.parquet(folder)
-    return folder, items.schema
-
-
-@query("g01_classification_stream", "select id, case when contains(lower(subject), 'approve') then 'ask' when contains(lower(subject), 'status') then 'status' else 'other' end as item_class from raw_items")
-def classification_stream(spark, sf_dir):
-    """Files as they arrive, a bounded number to a micro-batch, classified and appended."""
-    folder, schema = _events_folder(spark, sf_dir)
-    low = F.lower("subject")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    return _stream_to_table(spark, stream.select("id", F.when(F.contains(low, F.lit("approve")), "ask").when(F.contains(low, F.lit("status")), "status").otherwise("other").alias("item_class")), "classified")
-
-
-@query("g02_proactive_cursor", "select id, signal_type from raw_items where id > 5 and signal_type = 'error' and id % 2 = 0")
-def proactive_cursor(spark, sf_dir):
-    """Rows beyond a monotonic id, once each: the stream's checkpoint is the cursor."""
-    folder, schema = _events_folder(spark, sf_dir)
-    stream = spark.readStream.schema(schema).parquet(folder).where("id > 5 and signal_type = 'error' and id % 2 = 0")
-    return _stream_to_table(spark, stream.select("id", "signal_type"), "actions")
-
-
-@query("g03b_observations_stream", "select signal_type, DAY(occurred_at) as day, count(*) as n from raw_items where occurred_at < cast('2024-01-28' as timestamp) group by 1, 2")
-def observations_stream(spark, sf_dir):
-    """Counts per signal and day with an event-time watermark; days that the watermark has passed are final."""
-    folder, schema = _events_folder(spark, sf_dir)
-    stream = spark.readStream.schema(schema).parquet(folder).withWatermark("occurred_at", "1 day")
-    counted = stream.groupBy(F.window("occurred_at", "1 day"), "signal_type").agg(F.count("*").alias("n"))
-    out = _stream_to_table(spark, counted.select("signal_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n"), "days")
-    return out.where("day < '2024-01-28'")
-
-
-@query("g04_exactly_once", "select id, issue_id from raw_items")
-def exactly_once(spark, sf_dir):
-    """The same files delivered twice: each (id, content hash) is materialised once, in idempotent micro-batches."""
-    folder, schema = _events_folder(spark, sf_dir)
-    spark.read.schema(schema).parquet(folder).write.mode("append").parquet(folder)
-    target = work_dir(spark)
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.select("id", "issue_id", F.sha2("subject", 256).alias("content_hash")).dropDuplicates(["id", "content_hash"])
-        if number:
-            past = [f"{target}/batch={n}" for n in range(number)]
-            fresh = fresh.join(batch.sparkSession.read.parquet(*past), ["id", "content_hash"], "left_anti")
-        fresh.select("id", "issue_id", "content_hash").write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}-check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select("id", "issue_id")
-
-
-@query("g05b_dormant_stream", "select issue_id, count(*) as n_items, case when max(EPOCH(occurred_at)) < 1706572800e0 - 2 * 86400 then 'dormant' else 'active' end as state from raw_items group by issue_id")
-def dormant_stream(spark, sf_dir):
-    """Per issue the last evidence and a state, kept by a stateful operator; late evidence makes it active again."""
-    folder, schema = _events_folder(spark, sf_dir)
-    limit = 1706572800.0 - 2 * 86400
-
-    def update(key, batches, state):
-        n, last = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n += len(b)
-            last = max(last, float((b["occurred_at"].astype("int64") / 1e9).max()) if str(b["occurred_at"].dtype).endswith("[ns]") else float(b["occurred_at"].map(lambda t: t.timestamp()).max()))
-        state.update((n, last))
-        yield pd.DataFrame({"issue_id": [key[0]], "n_items": [n], "state": ["dormant" if last < limit else "active"]})
-
-    stream = spark.readStream.schema(schema).parquet(folder).select("issue_id", "occurred_at")
-    out = "issue_id long, n_items long, state string"
-    kept = stream.groupBy("issue_id").applyInPandasWithState(update, out, "n long, last double", "update", "NoTimeout")
-    target = work_dir(spark)
-    kept.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{target}/batch={n}")).option("checkpointLocation", f"{target}-check").trigger(availableNow=True).start().awaitTermination()
-    seen = spark.read.parquet(target)
-    return seen.groupBy("issue_id").agg(F.max(F.struct("batch", "n_items", "state")).alias("s")).select("issue_id", "s.n_items", "s.state")
-
-
-@query("g09_tail_scan", "select id, occurred_ts from raw_items where signal_type = 'purchase' order by id desc limit 20")
-def tail_scan(spark, sf_dir):
-    """The newest matching rows: a descending top-k, which reads statistics first and keeps 20 rows to a task."""
-    return _view(spark, sf_dir, "raw_items").where("signal_type = 'purchase'").orderBy(F.desc("id")).limit(20).select("id", "occurred_ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from weftline.functions import text as t
 from weftline.plans.registry import operator
 
-operator("w01_sessionize", """
+SESSIONIZE = operator("w01_sessionize", """
     with gaps as (select id, thread_key, occurred_ts, pr_number_base as ref, coalesce(pr_number_base is null and occurred_ts - lag(occurred_ts) over (partition by thread_key order by occurred_ts, id) > :gap_hours * 3600, false) as is_gap from raw_items),
     islands as (select *, sum(case when is_gap then 1 else 0 end) over (partition by thread_key order by occurred_ts, id) as g from gaps),
     carried as (select *, LAST_KNOWN(ref) over (partition by thread_key, g order by occurred_ts, id rows between unbounded preceding and 1 preceding) as held from islands)

@@ -14,7 +14,7 @@ from weftline.plans.dialect import render
 from weftline.sources.tables import table
 
 FLAGSHIP = "w02_rank_actions"
-MODULES = ["scalars", "rollups", "joins", "windows", "detectors", "imperative"]
+MODULES = [*(f"operators.{m}" for m in ("scalars", "rollups", "joins", "windows", "detectors", "imperative")), "sources.files", "streaming.incremental"]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -96,7 +96,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     for m in MODULES:
-        importlib.import_module(f"weftline.operators.{m}")
+        importlib.import_module(f"weftline.{m}")
 
 
 def queries() -> dict[str, Callable]:
