@@ -32,6 +32,8 @@ T, BANDS, ROWS = 256, 28, 4
 LEAST = 160
 #: Members of a bucket that are compared in one task at a time, and the pairs of two components tried there at first.
 BLOCK, BEST = 1024, 8
+#: Members of a bucket up to which it is compared pair by pair with others.
+SMALL = 48
 #: Ids up to which a set of ids is broadcast (16 bytes each); a larger one is joined by a shuffle.
 FEW_IDS = 2_000_000
 
@@ -133,34 +135,69 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "tb", "ta").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(most: int | None):
-    """Pairs of one bucket's blocks i and j, of different labels, whose sketches agree well enough.
+CELL = ["h", "i", "j"]
+
+
+def _alike_across(rows: pd.DataFrame, most: int | None) -> pd.DataFrame:
+    """The pairs of whole cells (a bucket, or two blocks of one), laid end to end, of different labels with sketches that agree well enough."""
+    n = len(rows)
+    rep, label, block = (rows[c].to_numpy() for c in ("rep", "label", "block"))
+    x = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, T)
+    cell = [rows[c].to_numpy() for c in CELL]
+    new = np.zeros(n, bool)
+    new[0] = True
+    for v in cell:
+        new[1:] |= v[1:] != v[:-1]
+    start = np.flatnonzero(new)
+    size = np.diff(np.concatenate((start, [n])))
+    few = (size <= SMALL) & (cell[1][start] == cell[2][start])
+    end = np.repeat(start + size, size)
+    found = []
+
+    def keep(p, q):
+        p, q = (v[label[p] != label[q]] for v in (p, q))
+        for at in range(0, len(p), 50_000):
+            a, b = p[at : at + 50_000], q[at : at + 50_000]
+            same = (x[a] == x[b]).sum(axis=1)
+            ok = same >= LEAST
+            found.append((a[ok], b[ok], same[ok]))
+
+    own = np.flatnonzero(np.repeat(few, size))
+    for d in range(1, int(size[few].max(initial=1))):
+        p = own[own + d < end[own]]
+        keep(p, p + d)
+    for k in np.flatnonzero(~few):
+        own = np.arange(start[k], start[k] + size[k])
+        left, right = own[block[own] == cell[1][start[k]]], own[block[own] == cell[2][start[k]]]
+        for at in range(0, len(left), 32):
+            p, q = np.nonzero((x[left[at : at + 32], None, :] == x[None, right, :]).sum(axis=2) >= LEAST)
+            keep(left[at + p], right[q])
+    p, q, same = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+    out = pd.DataFrame({"a": np.minimum(rep[p], rep[q]), "b": np.maximum(rep[p], rep[q]), "cell": (np.cumsum(new) - 1)[p], "la": np.minimum(label[p], label[q]), "lb": np.maximum(label[p], label[q]), "same": same})
+    out["cut"] = False
+    if most:
+        out = out.drop_duplicates(["cell", "a", "b"]).sort_values(["same", "a", "b"], ascending=[False, True, True])
+        group = out.groupby(["cell", "la", "lb"])
+        out["cut"] = group["a"].transform("size") > most
+        out = out[group.cumcount() < most]
+    return out[["a", "b", "cut"]].drop_duplicates()
 
-    With `most`: that many of each two labels, the best first; cut is true where there were more.
-    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.sort_values("rep")
-        rows, columns = group[group["block"] == i], group[group["block"] == j]
-        x, y = (np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, T) for g in (rows, columns))
-        (xr, xl), (yr, yl) = ((g["rep"].to_numpy(), g["label"].to_numpy()) for g in (rows, columns))
-        out = []
-        for at in range(0, len(x), 32):
-            same = (x[at : at + 32, None, :] == y[None, :, :]).sum(axis=2)
-            r, c = np.nonzero((same >= LEAST) & (xl[at : at + 32, None] != yl[None, :]))
-            a, b, la, lb = xr[at + r], yr[c], xl[at + r], yl[c]
-            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "la": np.minimum(la, lb), "lb": np.maximum(la, lb), "same": same[r, c]})
-            if most:  # two more than are kept, so that a cut shows
-                found = found.sort_values(["same", "a", "b"], ascending=[False, True, True]).groupby(["la", "lb"]).head(2 * most + 2)
-            out.append(found)
-        found = pd.concat(out).drop_duplicates(["a", "b"])
-        found["cut"] = False
-        if most:
-            found = found.sort_values(["same", "a", "b"], ascending=[False, True, True])
-            found["cut"] = found.groupby(["la", "lb"])["a"].transform("size") > most
-            found = found.groupby(["la", "lb"]).head(most)
-        return found[["a", "b", "cut"]]
+def _across(most: int | None):
+    """Over rows sorted by cell; with `most`, that many pairs of each two labels in a cell, the best first, and cut where there were more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= 20_000:
+                rows = pd.concat(held, ignore_index=True)
+                tail = (rows[CELL] == rows[CELL].iloc[-1]).all(axis=1).to_numpy()
+                if not tail.all():
+                    yield _alike_across(rows[~tail], most)
+                held = [rows[tail]]
+        if held and sum(map(len, held)):
+            yield _alike_across(pd.concat(held, ignore_index=True), most)
 
     return run
 
@@ -187,7 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     tried = stored(alike(members.where("rep <> p").groupBy(F.col("rep").alias("b")).agg(F.min("p").alias("a"))), "pairs")
     roots = connected_components(verified(tried, docs, percent))
-    for step in ("ends", "ends", "best", "all"):
+    for step in ("ends", "best", "all"):
         labelled = stored(members.join(roots, members["rep"] == roots["node"], "left").select("h", "rep", F.coalesce("root", "rep").alias("label")), "labelled")
         mixed = labelled.groupBy("h").agg(F.min(F.struct("label", "rep")).alias("lo"), F.max(F.struct("label", "rep")).alias("hi"), F.count("*").alias("n")).where("lo.label < hi.label")
         if step == "ends":
@@ -198,15 +235,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             dealt = dealt.select("h", "rep", "label", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-            more = dealt.groupBy("h", "i", "j").applyInPandas(_across(BEST if step == "best" else None), "a long, b long, cut boolean")
+            dealt = dealt.repartition(*CELL).sortWithinPartitions(*CELL, "rep")
+            more = dealt.mapInPandas(_across(BEST if step == "best" else None), "a long, b long, cut boolean")
             more = more.groupBy("a", "b").agg(F.max("cut").alias("cut"))
         more = stored(more, "more")
         state = more.agg(F.count("*"), F.count_if("cut")).first()
         if state[0]:
-            new = more.select("a", "b").join(tried, ["a", "b"], "left_anti")
-            links = stored(verified(stored(new, "new"), docs, percent), "links")
-            tried = tried.unionByName(more.select("a", "b"))
-            if not links.isEmpty():
+            new = stored(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
+            links = None if new.isEmpty() else stored(verified(new, docs, percent), "links")
+            tried = tried.unionByName(new)
+            if links is not None and not links.isEmpty():
                 roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if step == "best" and not state[1]:
             break
