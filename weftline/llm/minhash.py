@@ -8,7 +8,7 @@ agree in a share of coordinates that is concentrated around the Jaccard similari
 Texts with equal sets are one class from the start, so copies cost nothing further. Bands of ROWS coordinates put
 classes in buckets. First each class is compared with the smallest member it meets in any bucket. Then, in the
 buckets whose members aren't all connected yet, ever more is compared: members of the first and the last component,
-the best pairs of any two components, and at last all pairs across components, in blocks. Pairs whose sketches
+the best pair of any two components, and at last all pairs across components, in blocks. Pairs whose sketches
 agree in under LEAST coordinates are put aside (more than four standard deviations below the threshold); all
 others are confirmed on full sets. So every pair that meets in a bucket is confirmed, ruled out, or connected by
 other links, and a large group of near copies needs few comparisons.
@@ -30,8 +30,8 @@ from weftline.llm.words import Words, grouped, mix
 
 T, BANDS, ROWS = 256, 28, 4
 LEAST = 160
-#: Members of a bucket that are compared in one task at a time, and the pairs of two components tried there at first.
-BLOCK, BEST = 1024, 8
+#: Members of a bucket that are compared in one task at a time, and the pairs of two components tried there before all others.
+BLOCK, BEST = 1024, 1
 #: Members of a bucket up to which it is compared pair by pair with others.
 SMALL = 48
 #: Ids up to which a set of ids is broadcast (16 bytes each); a larger one is joined by a shuffle.
