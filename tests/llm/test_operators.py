@@ -348,6 +348,17 @@ def test_ctw_matches_a_direct_context_tree(spark):
         assert abs((10 ** ctw.log10_of(code + np.arange(256, dtype=np.int64), model)).sum() - 1) < 1e-9
 
 
+def test_ctw_scores_with_every_node_however_small_its_tables(spark, monkeypatch):
+    rng = random.Random(6)
+    many = spark.createDataFrame([(i, prose(rng, 40) + "".join(chr(rng.randrange(97, 123)) for _ in range(200))) for i in range(60)], "doc_id long, text string")
+    model = ctw.slot_table(ctw.tree(ctw.corpus_counts(many.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0"))))
+    expected = {r["doc_id"]: ctw.log10_of(ctw.codes(*ctw.stream(ctw.Words([r["text"].encode()]))), model).sum() for r in many.collect()}
+    for bits in (22, 6, 0):
+        monkeypatch.setattr(ctw, "BITS", bits)
+        got = {r["doc_id"]: r["score"] for r in ctw.score_documents(many).collect()}
+        assert len(got) == 60 and all(abs(got[i] - expected[i]) < 1e-7 * abs(expected[i]) for i in got)
+
+
 # 7
 
 

@@ -6,10 +6,11 @@ a context tree over the DEPTH bytes before it. A context's block probability is
 estimate and half the product of its longer contexts' block probabilities; from those follow the weight `beta`
 that its own estimate has against the longer contexts, and the coded probability of a bit.
 
-The corpus is counted as byte strings of DEPTH + 1 and as words, all of them. The tree's nodes are computed in the
-cluster, level by level. For scoring they are put in a table of 2 ** BITS slots with a check number each: where two
-nodes meet, the one with the higher count stays, and a context that isn't there ends the mixture at the one before
-it. Words that the (equally bounded) table of word counts lacks are looked up by a join.
+The corpus is counted as byte strings of DEPTH + 1 and as words, all of them. Strings that share their SHARED nearest
+context bytes share all nodes from that level down, so these are computed together, and the few nodes above them
+level by level. A context that isn't there ends the mixture at the one before it. Every string of the texts to score
+is coded once, with every node. The most frequent strings' scores are sent to the executors, at most 2 ** BITS; the
+other strings, and the words that the (equally bounded) table of word counts lacks, are looked up by a join.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import fold, stored
-from weftline.llm.words import Words, grouped, mix
+from weftline.llm.words import Words, grouped
 
-DEPTH, BITS, WORD_BITS = 5, 22, 20
+DEPTH, SHARED, BITS, WORD_BITS = 5, 3, 22, 20
 END, SPACE = 0x0A, 0x20
 #: The key of the end token among word hashes.
 END_KEY = 0
@@ -66,43 +67,51 @@ def codes(data: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> np.ndarray
     return out
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
+def _summed(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    k = np.concatenate(keys)
     order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
+    k = k[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(first) else n
+    return k[first], *(np.add.reduceat(np.concatenate(n)[order], first) if len(first) else np.concatenate(n) for n in counts)
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind (0: byte strings, 1: words), key, n over all texts."""
+    """kind (0: byte strings, 1: words), key, n over all texts; held counts the strings of texts that are held out, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (([], []), ([], []))
-
-        def out(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
+        held: tuple = (([], [], []), ([], [], []))
+
+        def out(kind, *columns):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", "key", "n", "held"])
+
+        def add(kind, x, column):
+            x = np.sort(x)
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+            counts = np.diff(np.concatenate((first, [len(x)]))).astype(np.int64)
+            for c, v in enumerate((x[first], counts, counts)):
+                held[kind][c].append(v if c in (0, column) else np.zeros(len(first), np.int64))
+            if sum(map(len, held[kind][0])) > HELD:
+                for c, v in zip(held[kind], _summed(*held[kind]), strict=True):
+                    c[:] = [v]
+                if len(held[kind][0][0]) > HELD // 2:
+                    yield out(kind, *(c.pop() for c in held[kind]))
 
         for batch in batches:
-            for _, texts in grouped(batch.column(0).to_pylist()):
-                words = Words(texts)
-                found = (np.sort(codes(*stream(words))), np.sort(words.hash.view(np.int64)))
-                for kind, x in enumerate(found):
-                    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
-                    keys, counts = held[kind]
-                    keys.append(x[first])
-                    counts.append(np.diff(np.concatenate((first, [len(x)]))).astype(np.int64))
-                    if sum(map(len, keys)) > HELD:
-                        keys[:], counts[:] = ([v] for v in _summed(keys, counts))
-                        if len(keys[0]) > HELD // 2:
-                            yield out(kind, keys.pop(), counts.pop())
-                held[1][0].append(np.array([END_KEY], np.int64))
-                held[1][1].append(np.array([len(texts)], np.int64))
-        for kind, (keys, counts) in enumerate(held):
-            if keys:
-                yield out(kind, *_summed(keys, counts))
-
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            out_of_fold = batch.column(1).to_pylist()
+            for column in (1, 2):
+                mine = [t for t, h in zip(batch.column(0).to_pylist(), out_of_fold, strict=True) if bool(h) == (column == 2)]
+                for _, texts in grouped(mine):
+                    words = Words(texts)
+                    yield from add(0, codes(*stream(words)), column)
+                    if column == 1:
+                        yield from add(1, np.concatenate((words.hash.view(np.int64), np.full(len(texts), END_KEY, np.int64))), column)
+        for kind, columns in enumerate(held):
+            if columns[0]:
+                yield out(kind, *_summed(*columns))
+
+    texts = docs.select("text", F.col("held_out") if "held_out" in docs.columns else F.lit(False).alias("held_out"))
+    found = texts.mapInArrow(run, "kind int, key long, n long, held long")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -139,9 +148,9 @@ def _nodes_of(group: np.ndarray, inverse: np.ndarray, zeros, ones, below=None):
 NODE = "depth int, key long, zeros double, ones double, total double, beta double, p double"
 
 
-def _deep_nodes(pdf_code: np.ndarray, n: np.ndarray, depth: int) -> list[pd.DataFrame]:
-    """The nodes of the two deepest levels, from strings that share the rest of their contexts."""
-    symbol, context = pdf_code & 0xFF, pdf_code >> 8
+def _deep_nodes(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[pd.DataFrame]:
+    """The nodes of levels `depth` to `top`, from all strings that share the nearest `top` bytes of their contexts."""
+    symbol, context = code & 0xFF, code >> 8
     node, bit, weight, at = [], [], [], []
     for k in range(8):
         node.append((1 << k) | (symbol >> (8 - k)))
@@ -151,78 +160,80 @@ def _deep_nodes(pdf_code: np.ndarray, n: np.ndarray, depth: int) -> list[pd.Data
     bit, weight = np.concatenate(bit), np.concatenate(weight).astype(float)
     key = np.concatenate(at) << 8 | np.concatenate(node)
     out, zeros, ones, below = [], weight * (1 - bit), weight * bit, None
-    for d in (depth, depth - 1):
+    for d in range(depth, top - 1, -1):
         group, inverse = np.unique(key, return_inverse=True)
         z, o, total, beta, p = _nodes_of(group, inverse, zeros, ones, below)
         out.append(pd.DataFrame({"depth": np.int32(d), "key": group, "zeros": z, "ones": o, "total": total, "beta": beta, "p": p}))
         zeros, ones, below = z, o, total
-        key = (group >> 8 & ((1 << 8 * (d - 1)) - 1)) << 8 | (group & 0xFF)
+        key = (group >> 8 & ((1 << 8 * max(d - 1, 0)) - 1)) << 8 | (group & 0xFF)
     return out
 
 
-def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All nodes of the weighted tree: depth, key (context << 8 | node of the bit tree), zeros, ones, total, beta, p."""
-    shared = (1 << 8 * (depth - 1)) - 1
-    strings = counts.where("kind = 0").select(F.shiftright("key", 8).bitwiseAND(shared).alias("shared"), "key", "n")
-    strings = strings.repartition("shared").sortWithinPartitions("shared")
+def _together(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """The strings, those that share their nearest context bytes one after the other in a partition."""
+    shared = F.shiftright("key", 8).bitwiseAND((1 << 8 * SHARED) - 1).alias("shared")
+    return counts.where("kind = 0").select(shared, *columns).repartition("shared").sortWithinPartitions("shared")
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole values of `shared`."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        whole = int(np.searchsorted(held["shared"], held["shared"].iloc[-1])) if len(held) else 0
+        if whole > 50_000:
+            yield held.iloc[:whole]
+            held = held.iloc[whole:]
+    if held is not None and len(held):
+        yield held
+
+
+def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False) -> DataFrame:
+    """The nodes of the weighted tree: depth, key (context << 8 | node of the bit tree), zeros, ones, total, beta, p.
+
+    All of them, or with `upper` those of contexts shorter than SHARED.
+    """
 
     def deep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"shared": [], "key": [], "n": []}, dtype=np.int64)
-        for batch in batches:
-            held = pd.concat([held, batch], ignore_index=True)
-            whole = int(np.searchsorted(held["shared"], held["shared"].iloc[-1])) if len(held) else 0
-            if whole > 50_000:
-                done, held = held.iloc[:whole], held.iloc[whole:]
-                yield from _deep_nodes(done["key"].to_numpy(), done["n"].to_numpy(), depth)
-        if len(held):
-            yield from _deep_nodes(held["key"].to_numpy(), held["n"].to_numpy(), depth)
+        for x in _whole(batches):
+            yield from _deep_nodes(x["key"].to_numpy(), x["n"].to_numpy(), depth, SHARED)[-1 if upper else 0 :]
 
-    levels = [stored(strings.mapInPandas(deep, NODE), "nodes")]
+    levels = [stored(_together(counts.where("n > 0"), ["key", "n"]).mapInPandas(deep, NODE), "nodes")]
 
     def shallow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             total, beta, p = weigh(x["zeros"].to_numpy(), x["ones"].to_numpy(), x["below"].to_numpy())
             yield x[["depth", "key", "zeros", "ones"]].assign(total=total, beta=beta, p=p)
 
-    last = levels[0].where(F.col("depth") == depth - 1)
-    for d in range(depth - 2, -1, -1):
+    last = levels[0].where(F.col("depth") == SHARED)
+    for d in range(SHARED - 1, -1, -1):
         parent = (F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1) * 256 + F.col("key").bitwiseAND(255)).alias("key")
         up = last.groupBy(parent).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("below"))
         last = stored(up.select(F.lit(d).alias("depth"), "key", "zeros", "ones", "below").mapInPandas(shallow, NODE), "nodes")
         levels.append(last)
-    out = levels[0]
-    for x in levels[1:]:
+    out, *rest = levels[1:] if upper else levels
+    for x in rest:
         out = out.unionByName(x)
     return out
 
 
-def _slots(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(key.astype(np.uint64) * np.uint64(8) + np.uint64(depth + 1))
-    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), ((h >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def slot_table(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """check, p and beta (in 65535ths) of the node in each slot; check 0 for none. Bounded by 2 ** BITS rows."""
+def _level(key: np.ndarray, p: np.ndarray, beta: np.ndarray) -> Level:
+    order = np.argsort(key)
+    return key[order], p[order], beta[order]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for d, g in x.groupby("depth"):
-                slot, check = _slots(int(d), g["key"].to_numpy())
-                p, beta = (np.clip(np.rint(g[c].to_numpy() * 65535), lo, 65535 - lo).astype(np.int32) for c, lo in (("p", 1), ("beta", 0)))
-                yield pd.DataFrame({"slot": slot.astype(np.int32), "n": g["zeros"] + g["ones"], "entry": (check.astype(np.int64) << 32) | (p.astype(np.int64) << 16) | beta})
 
-    placed = nodes.select("depth", "key", "zeros", "ones", "beta", "p").mapInPandas(place, "slot int, n double, entry long")
-    best = placed.groupBy("slot").agg(F.max(F.struct("n", "entry")).alias("b")).select("slot", "b.entry")
-    found = best.toArrow()
-    slot, entry = found.column("slot").to_numpy(), found.column("entry").to_numpy()
-    check, p, beta = (np.zeros(1 << BITS, np.uint16) for _ in range(3))
-    check[slot], p[slot], beta[slot] = entry >> 32 & 0xFFFF, entry >> 16 & 0xFFFF, entry & 0xFFFF
-    return check, p, beta
+def slot_table(nodes: DataFrame) -> list[Level]:
+    """Sorted keys, p and beta of each level of these nodes, in one place: of the upper ones at most 255 for each byte pair."""
+    x = nodes.select("depth", "key", "p", "beta").toArrow()
+    depth, key, p, beta = (x.column(c).to_numpy() for c in ("depth", "key", "p", "beta"))
+    return [_level(key[depth == d], p[depth == d], beta[depth == d]) for d in range(DEPTH + 1)]
 
 
-def log10_of(code: np.ndarray, model, depth: int = DEPTH) -> np.ndarray:
+def log10_of(code: np.ndarray, model: list[Level], depth: int = DEPTH) -> np.ndarray:
     """Log10 of the probability of each string's last byte after the bytes before it."""
-    check, p_of, beta_of = model
     symbol, context = code & 0xFF, code >> 8
     out = np.zeros(len(code))
     for k in range(8):
@@ -231,21 +242,51 @@ def log10_of(code: np.ndarray, model, depth: int = DEPTH) -> np.ndarray:
         p, rest = np.full(len(code), 0.5), np.ones(len(code))
         mixed = np.zeros(len(code))
         on = np.arange(len(code))
-        for d in range(depth + 1):
-            slot, want = _slots(d, ((context[on] & ((1 << 8 * d) - 1)) << 8) | node[on])
-            hit = check[slot] == want
-            on, slot = on[hit], slot[hit]
+        for d, (keys, p_of, beta_of) in enumerate(model[: depth + 1]):
+            want = ((context[on] & ((1 << 8 * d) - 1)) << 8) | node[on]
+            at = np.searchsorted(keys, want)
+            hit = at < len(keys)
+            hit[hit] = keys[at[hit]] == want[hit]
+            on, at = on[hit], at[hit]
             if not len(on):
                 break
-            p[on] = p_of[slot] / 65535.0  # where the next context is missing, this estimate takes all the rest
-            beta = beta_of[slot] / 65535.0
-            mixed[on] += rest[on] * beta * p[on]
-            rest[on] *= 1 - beta
+            p[on] = p_of[at]  # where the next context is missing, this estimate takes all the rest
+            mixed[on] += rest[on] * beta_of[at] * p[on]
+            rest[on] *= 1 - beta_of[at]
         one = mixed + rest * p
         out += np.log10(np.where(bit == 1, one, 1 - one))
     return out
 
 
+def string_scores(counts: DataFrame) -> DataFrame:
+    """key, seen, score: log10 of the probability of each string in the texts, and how often it stands there."""
+    upper = counts.sparkSession.sparkContext.broadcast(slot_table(tree(counts, upper=True)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in _whole(batches):
+            code, n = x["key"].to_numpy(), x["n"].to_numpy()
+            order = np.argsort(code)
+            code, n = code[order], n[order]
+            deep = _deep_nodes(code[n > 0], n[n > 0], DEPTH, SHARED)[::-1]
+            model = upper.value[:SHARED] + [(g["key"].to_numpy(), g["p"].to_numpy(), g["beta"].to_numpy()) for g in deep]
+            yield pd.DataFrame({"key": code, "seen": n + x["held"].to_numpy()[order], "score": log10_of(code, model)})
+
+    return stored(_together(counts, ["key", "n", "held"]).mapInPandas(run, "key long, seen long, score double"), "strings")
+
+
+def string_table(scores: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The count from which strings are in the table, with at most `most` of them; their sorted keys and scores."""
+    sizes = scores.groupBy("seen").count().toArrow()
+    seen, count = sizes.column("seen").to_numpy(), sizes.column("count").to_numpy()
+    order = np.argsort(-seen)
+    fit = int(np.searchsorted(np.cumsum(count[order]), most, "right"))
+    least = int(seen[order][fit - 1]) if fit else 1 << 62
+    found = scores.where(F.col("seen") >= least).select("key", "score").toArrow()
+    key, score = found.column("key").to_numpy(), found.column("score").to_numpy()
+    order = np.argsort(key)
+    return least, key[order], score[order]
+
+
 def word_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """key and count of the most frequent word in each of 2 ** WORD_BITS slots; count 0 for none."""
     slot = F.col("key").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
@@ -265,21 +306,30 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold("doc_id", modulus) == 0).alias("held_out"))
-    counts = stored(corpus_counts(docs.where(~F.col("held_out"))), "counts")
+    counts = stored(corpus_counts(docs), "counts")
     sums = counts.where("kind = 1").agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
     below = total + 0.1 * (distinct + 1)
-    shipped = spark.sparkContext.broadcast((slot_table(tree(counts)), word_table(counts)))
+    strings = string_scores(counts)
+    least, *table = string_table(strings, 1 << BITS)
+    shipped = spark.sparkContext.broadcast((*table, *word_table(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (word_key, word_n) = shipped.value
+        string_key, string_score, word_key, word_n = shipped.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, texts in grouped(batch.column(1).to_pylist()):
                 words, m = Words(texts), len(texts)
                 data, bound = stream(words)
                 code, inverse = np.unique(codes(data, bound), return_inverse=True)
-                score = np.add.reduceat(log10_of(code, model)[inverse], bound[:-1])
+                at = np.searchsorted(string_key, code)
+                there = at < len(string_key)
+                there[there] = string_key[at[there]] == code[there]
+                value = np.zeros(len(code))
+                value[there] = string_score[at[there]]
+                score = np.add.reduceat(value[inverse], bound[:-1])
+                lost = np.flatnonzero(~there[inverse])
+                lost_end = np.searchsorted(lost, bound[1:])
                 key = words.hash.view(np.int64)
                 # the end token as one more word of each text
                 key = np.insert(key, words.bound[1:], END_KEY)
@@ -296,21 +346,26 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
                         pa.array((ends - starts).astype(np.int64)), pa.array(np.add.reduceat(hit.astype(np.int64), starts)),
                         pa.array(np.add.reduceat(logs, starts)), pa.array(score),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], rare_end)).astype(np.int32)), pa.array(key[rare])),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], lost_end)).astype(np.int32)), pa.array(code[inverse[lost]])),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "lost"],
                 )
                 row += m
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, lost array<long>"
     scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("tf"))
-    known = rare.join(counts.where("kind = 1").select("key", "n"), "key", "left")
-    c = F.coalesce("n", F.lit(0))
-    per_row = known.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10((c + F.lit(0.1)) / F.lit(below))).alias("rest")
+    rare = scored.select("row", F.lit(1).alias("kind"), F.explode("rare").alias("key")).unionByName(scored.select("row", F.lit(0).alias("kind"), F.explode("lost").alias("key")))
+    rare = rare.groupBy("row", "kind", "key").agg(F.count("*").alias("tf"))
+    values = counts.where("kind = 1").select("kind", "key", F.log10((F.col("n") + F.lit(0.1)) / F.lit(below)).alias("value"))
+    values = values.unionByName(strings.where(F.col("seen") < least).select(F.lit(0).alias("kind"), "key", F.col("score").alias("value")))
+    word = F.col("kind") == 1
+    per_row = rare.join(values, ["kind", "key"], "left").groupBy("row").agg(
+        F.sum(F.when(word & F.col("value").isNotNull(), F.col("tf"))).alias("more"),
+        F.sum(F.when(word, F.col("tf") * F.coalesce("value", F.log10(F.lit(0.1) / F.lit(below))))).alias("rest"),
+        F.sum(F.when(~word, F.col("tf") * F.col("value"))).alias("tail"),
     )
-    out = scored.drop("rare").join(per_row, "row", "left")
+    out = scored.drop("rare", "lost").join(per_row, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )
