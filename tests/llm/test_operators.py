@@ -359,6 +359,13 @@ def test_ctw_scores_with_every_node_however_small_its_tables(spark, monkeypatch)
         assert len(got) == 60 and all(abs(got[i] - expected[i]) < 1e-7 * abs(expected[i]) for i in got)
 
 
+def test_ctw_contexts_reach_six_bytes_back(spark):
+    df = spark.createDataFrame([("1bcdefx" * 40,), ("2bcdefy" * 40,)], "text string")
+    model = ctw.slot_table(ctw.tree(ctw.corpus_counts(df)))
+    for text in (b"1bcdefx", b"2bcdefy"):
+        assert 10 ** ctw.log10_of(np.array([int.from_bytes(text, "big")]), model)[0] > 0.8
+
+
 # 7
 
 

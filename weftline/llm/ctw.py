@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 from weftline.llm.common import fold, stored
 from weftline.llm.words import Words, grouped
 
-DEPTH, SHARED, BITS, WORD_BITS = 5, 3, 22, 20
+DEPTH, SHARED, BITS, WORD_BITS = 6, 3, 22, 20
 END, SPACE = 0x0A, 0x20
 #: The key of the end token among word hashes.
 END_KEY = 0
 #: Distinct counts a task holds before it hands them on.
 HELD = 2_000_000
+#: Counts it hands on at a time.
+HANDED = 1 << 17
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -67,51 +70,51 @@ def codes(data: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> np.ndarray
     return out
 
 
-def _summed(keys: list[np.ndarray], *counts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    k = np.concatenate(keys)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
-    k = k[order]
+    k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    return k[first], *(np.add.reduceat(np.concatenate(n)[order], first) if len(first) else np.concatenate(n) for n in counts)
+    return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind (0: byte strings, 1: words), key, n over all texts; held counts the strings of texts that are held out, if any."""
+    """kind (0: byte strings, 1: words, 2: byte strings of texts that are held_out, if there is such a column), key, n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (([], [], []), ([], [], []))
-
-        def out(kind, *columns):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names=["kind", "key", "n", "held"])
-
-        def add(kind, x, column):
-            x = np.sort(x)
-            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
-            counts = np.diff(np.concatenate((first, [len(x)]))).astype(np.int64)
-            for c, v in enumerate((x[first], counts, counts)):
-                held[kind][c].append(v if c in (0, column) else np.zeros(len(first), np.int64))
-            if sum(map(len, held[kind][0])) > HELD:
-                for c, v in zip(held[kind], _summed(*held[kind]), strict=True):
-                    c[:] = [v]
-                if len(held[kind][0][0]) > HELD // 2:
-                    yield out(kind, *(c.pop() for c in held[kind]))
+        held: tuple = (([], []), ([], []), ([], []))
+
+        def out(kind, keys, counts):
+            for at in range(0, len(keys), HANDED):
+                k, n = keys[at : at + HANDED], counts[at : at + HANDED]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
 
         for batch in batches:
-            out_of_fold = batch.column(1).to_pylist()
-            for column in (1, 2):
-                mine = [t for t, h in zip(batch.column(0).to_pylist(), out_of_fold, strict=True) if bool(h) == (column == 2)]
+            for out_of_fold in (False, True):
+                mine = batch.column(0).filter(pc.equal(batch.column(1), out_of_fold)).to_pylist()
                 for _, texts in grouped(mine):
                     words = Words(texts)
-                    yield from add(0, codes(*stream(words)), column)
-                    if column == 1:
-                        yield from add(1, np.concatenate((words.hash.view(np.int64), np.full(len(texts), END_KEY, np.int64))), column)
-        for kind, columns in enumerate(held):
-            if columns[0]:
-                yield out(kind, *_summed(*columns))
+                    found = [(2 if out_of_fold else 0, codes(*stream(words)))]
+                    if not out_of_fold:
+                        found.append((1, words.hash.view(np.int64)))
+                        held[1][0].append(np.array([END_KEY], np.int64))
+                        held[1][1].append(np.array([len(texts)], np.int64))
+                    for kind, x in found:
+                        x = np.sort(x)
+                        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+                        keys, counts = held[kind]
+                        keys.append(x[first])
+                        counts.append(np.diff(np.concatenate((first, [len(x)]))).astype(np.int64))
+                        if sum(map(len, keys)) > HELD:
+                            keys[:], counts[:] = ([v] for v in _summed(keys, counts))
+                            if len(keys[0]) > HELD // 2:
+                                yield from out(kind, keys.pop(), counts.pop())
+        for kind, (keys, counts) in enumerate(held):
+            if keys:
+                yield from out(kind, *_summed(keys, counts))
 
     texts = docs.select("text", F.col("held_out") if "held_out" in docs.columns else F.lit(False).alias("held_out"))
-    found = texts.mapInArrow(run, "kind int, key long, n long, held long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -169,10 +172,10 @@ def _deep_nodes(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[p
     return out
 
 
-def _together(counts: DataFrame, columns: list[str]) -> DataFrame:
-    """The strings, those that share their nearest context bytes one after the other in a partition."""
+def _together(strings: DataFrame) -> DataFrame:
+    """Counts of strings, those that share their nearest context bytes one after the other in a partition."""
     shared = F.shiftright("key", 8).bitwiseAND((1 << 8 * SHARED) - 1).alias("shared")
-    return counts.where("kind = 0").select(shared, *columns).repartition("shared").sortWithinPartitions("shared")
+    return strings.select(shared, "kind", "key", "n").repartition("shared").sortWithinPartitions("shared")
 
 
 def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +201,7 @@ def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False) -> DataFram
         for x in _whole(batches):
             yield from _deep_nodes(x["key"].to_numpy(), x["n"].to_numpy(), depth, SHARED)[-1 if upper else 0 :]
 
-    levels = [stored(_together(counts.where("n > 0"), ["key", "n"]).mapInPandas(deep, NODE), "nodes")]
+    levels = [stored(_together(counts.where("kind = 0")).mapInPandas(deep, NODE), "nodes")]
 
     def shallow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -264,14 +267,14 @@ def string_scores(counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in _whole(batches):
-            code, n = x["key"].to_numpy(), x["n"].to_numpy()
-            order = np.argsort(code)
-            code, n = code[order], n[order]
+            code, inverse = np.unique(x["key"], return_inverse=True)
+            seen = np.bincount(inverse, x["n"]).astype(np.int64)
+            n = np.bincount(inverse, x["n"].where(x["kind"] == 0, 0)).astype(np.int64)
             deep = _deep_nodes(code[n > 0], n[n > 0], DEPTH, SHARED)[::-1]
             model = upper.value[:SHARED] + [(g["key"].to_numpy(), g["p"].to_numpy(), g["beta"].to_numpy()) for g in deep]
-            yield pd.DataFrame({"key": code, "seen": n + x["held"].to_numpy()[order], "score": log10_of(code, model)})
+            yield pd.DataFrame({"key": code, "seen": seen, "score": log10_of(code, model)})
 
-    return stored(_together(counts, ["key", "n", "held"]).mapInPandas(run, "key long, seen long, score double"), "strings")
+    return stored(_together(counts.where("kind <> 1")).mapInPandas(run, "key long, seen long, score double"), "strings")
 
 
 def string_table(scores: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
