@@ -25,3 +25,22 @@ def test_every_document_is_compared(spark):
     docs = view(spark, SMALL, "documents_")
     got = QUERIES["n07_compare_attachments"](spark, SMALL)
     assert got.select("id").distinct().count() == docs.select("id").distinct().count() > docs.where("id < 100").count()
+
+
+def test_files_hold_whole_tables(spark):
+    items = view(spark, SMALL, "raw_items")
+    drops = {r["source"]: r["count"] for r in QUERIES["s01_process_drops"](spark, SMALL).groupBy("source").count().collect()}
+    assert drops == {"calendar": items.where("id % 10 in (0, 3, 6)").count(), "teams_chat": items.where("id % 10 in (1, 7) and k % 4 <> 0").count(), "sharepoint": items.where("id % 10 in (2, 5, 8)").count()}
+    assert QUERIES["s04_chat_messages"](spark, SMALL).count() == drops["teams_chat"]
+    blocks = items.selectExpr("id div 200").distinct().count()
+    assert QUERIES["s06_content_but_empty"](spark, SMALL).count() == 2 * blocks > 2
+    assert QUERIES["s12_extract_text"](spark, SMALL).count() == items.count() > 300
+    assert QUERIES["s13_docx_text"](spark, SMALL).count() == items.where("id % 9 <> 0").count()
+    assert QUERIES["s20_report_sheet"](spark, SMALL).count() == view(spark, SMALL, "issues").count()
+
+
+def test_logs_hold_whole_messages(spark):
+    messages = view(spark, SMALL, "messages").selectExpr("'m' || conv_id || '.' || turn as message_id", "text", "conv_id")
+    got = QUERIES["s17_parse_blocks"](spark, SMALL).join(messages, "message_id")
+    assert got.count() == messages.count() and got.where("btrim(body, '\\n ') <> btrim(text, '\\n ')").isEmpty()
+    assert QUERIES["s18_list_messages"](spark, SMALL).count() == messages.where("conv_id % 4 >= 2").count()

@@ -6,6 +6,7 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,19 @@ DROP = ("source string, events array<struct<id:string,start:string,recurrence:st
 
 
 def drop_files(spark: SparkSession, sf_dir: str) -> str:
-    """Staged drop files made from the raw items, for the readers below."""
-    items = view(spark, sf_dir, "raw_items").where("id < 200")
+    """Staged drop files made from all raw items, for the readers below: ten drops of each 200 ids."""
+    items = view(spark, sf_dir, "raw_items")
     event = F.struct(F.col("id").cast("string").alias("id"), F.date_format("occurred_at", "yyyy-MM-dd").alias("start"), F.when(F.col("k") % 3 == 0, "weekly").alias("recurrence"), "subject")
     message = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("k") % 4 == 0, "system").otherwise("message").alias("messageType"), F.concat(F.lit("<p>"), "body_preview", F.lit("</p>")).alias("body"))
     doc = F.struct((F.col("id") % 4).cast("string").alias("driveId"), F.col("id").cast("string").alias("id"), F.col("subject").alias("name"))
-    grouped = items.groupBy((F.col("id") % 10).alias("g")).agg(F.collect_list(event).alias("events"), F.collect_list(message).alias("messages"), F.collect_list(doc).alias("results"))
+    grouped = items.groupBy(F.expr("id div 200").alias("block"), (F.col("id") % 10).alias("g")).agg(F.collect_list(event).alias("events"), F.collect_list(message).alias("messages"), F.collect_list(doc).alias("results"))
     kind = F.col("g") % 3
     body = F.to_json(F.struct(
         F.when(kind == 0, "calendar").when(kind == 1, "teams_chat").otherwise("sharepoint").alias("source"), F.when((kind == 0) & (F.col("g") != 9), F.col("events")).alias("events"),
         F.when(kind == 1, F.col("messages")).alias("messages"), F.when(kind == 2, F.col("results")).alias("results"), F.when(kind == 0, F.size("events")).alias("events_count"),
     ))
     folder = work_dir(spark)
-    grouped.select(F.when(F.col("g") == 4, F.lit("{broken")).otherwise(body).alias("value")).repartition(3).write.text(folder)
+    grouped.select(F.when(F.col("g") == 4, F.lit("{broken")).otherwise(body).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder)
     return folder
 
 
@@ -88,7 +89,7 @@ def docx_text(content: bytes) -> str:
 
 
 def plain_docx(paragraphs: list[str]) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+    body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
@@ -107,7 +108,7 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 def _attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = F.udf(lambda a, b, ok: plain_docx([a, b]) if ok else b"not a zip", T.BinaryType())
-    items = view(spark, sf_dir, "raw_items").where("id < 300")
+    items = view(spark, sf_dir, "raw_items")
     return items.select(F.concat(F.lit("/a/"), "id", F.lit(".docx")).alias("path"), make("subject", "signal_type", F.col("id") % 9 != 0).alias("content"))
 
 
@@ -132,9 +133,9 @@ def parse_blocks(logs: DataFrame) -> DataFrame:
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = view(spark, sf_dir, "messages").where("conv_id < 60")
-    one = F.concat(F.lit("from: "), "role", F.lit("\nts: "), "ts", F.lit("\nmessage_id: m"), "conv_id", F.lit("."), "turn", F.lit("\n"), F.substring("text", 1, 60))
-    return m.groupBy(F.concat(F.lit("2024-0"), F.col("conv_id") % 4 + 1).alias("month")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\n---\n").alias("text"))
+    m = view(spark, sf_dir, "messages")
+    one = F.concat(F.lit("from: "), "role", F.lit("\nts: "), "ts", F.lit("\nmessage_id: m"), "conv_id", F.lit("."), "turn", F.lit("\n"), "text")
+    return m.groupBy("conv_id", F.concat(F.lit("2024-0"), F.col("conv_id") % 4 + 1).alias("month")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\n---\n").alias("text")).drop("conv_id")
 
 
 @query("s17_parse_blocks")
@@ -155,10 +156,10 @@ def list_messages(spark, sf_dir):
 @query("s20_report_sheet")
 def report_sheet(spark, sf_dir):
     """The status report written as a sheet (CSV with nine fixed headers) and read back."""
-    issues = view(spark, sf_dir, "issues").where("id % 40 = 0")
+    issues = view(spark, sf_dir, "issues")
     sheet = issues.select(F.col("id").alias("Issue"), F.col("title").alias("Title"), F.col("category").alias("Category"), F.col("state").alias("State"), F.col("owner").alias("Owner"), F.col("value_amount").alias("Value"), F.col("opened_at").alias("Opened"), F.col("updated_at").alias("Updated"), F.col("due").alias("Due"))
     folder = work_dir(spark)
-    sheet.coalesce(1).write.option("header", True).csv(folder)
+    sheet.write.option("header", True).csv(folder)
     return spark.read.schema(sheet.schema).option("header", True).csv(folder)
 
 
