@@ -88,6 +88,56 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
+def xlsx_text(content: bytes) -> str:
+    """Cell values of all sheets of a workbook, in order, with spaces between; empty where it can't be read."""
+    main, rel = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+            shared = []
+            if "xl/sharedStrings.xml" in z.namelist():
+                shared = [_rich_text(s, main) for s in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+            out = []
+            for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"):
+                at = target[sheet.get(f"{rel}id")]
+                root = ET.fromstring(z.read(at.lstrip("/") if at.startswith("/") else f"xl/{at}"))
+                out += [v for v in (_cell_text(c, main, shared) for c in root.iter(f"{main}c")) if v is not None]
+    except (zipfile.BadZipFile, KeyError, IndexError, ValueError, ET.ParseError):
+        return ""
+    return " ".join(out)
+
+
+def _rich_text(node: ET.Element, main: str) -> str:
+    """The text of a string item: its own or its runs', without phonetic readings."""
+    return "".join(t.text or "" for part in [node, *node.findall(f"{main}r")] for t in part.findall(f"{main}t"))
+
+
+def _cell_text(cell: ET.Element, main: str, shared: list[str]) -> str | None:
+    kind, value = cell.get("t", "n"), cell.findtext(f"{main}v")
+    if kind == "inlineStr":
+        inline = cell.find(f"{main}is")
+        return None if inline is None else _rich_text(inline, main)
+    if not value:
+        return None
+    if kind == "s":
+        return shared[int(value)]
+    if kind == "b":
+        return str(bool(int(value)))
+    if kind == "n":
+        return str(float(value) if any(x in value for x in ".eE") else int(value))
+    return value
+
+
+#: By ending; any other has no text.
+EXTRACTORS = {".docx": docx_text, ".xlsx": xlsx_text, ".xlsm": xlsx_text}
+
+
+def file_text(path: str, content: bytes) -> str:
+    name = path.rsplit("/", 1)[-1]
+    extract = EXTRACTORS.get("." + name.rsplit(".", 1)[-1].lower() if "." in name else "")
+    return extract(content) if extract else ""
+
+
 def plain_docx(paragraphs: list[str]) -> bytes:
     body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
     out = io.BytesIO()
@@ -97,11 +147,11 @@ def plain_docx(paragraphs: list[str]) -> bytes:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """path, text of binary files (path, content), by the ending; empty for those that can't be read."""
+    """path, text of binary files (path, content), by the ending; empty for other types (pdf among them) and those that can't be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "text": [docx_text(c) if p.endswith(".docx") else c.decode("utf-8", "replace") for p, c in zip(b["path"], b["content"], strict=True)]})
+            yield pd.DataFrame({"path": b["path"], "text": [file_text(p, c) for p, c in zip(b["path"], b["content"], strict=True)]})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
