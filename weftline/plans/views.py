@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.plans.registry import frames
+from weftline.sources.tables import shared_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A fresh folder that every executor can reach."""
+    return f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -27,6 +28,22 @@ def ship(spark: SparkSession) -> None:
     context._weftline_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and every executor reach: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder of this machine does for a local master; on a cluster its executors would
+    each write to a disk of their own, so there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        found = tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
