@@ -22,7 +22,7 @@ from weftline.llm.labelled import labelled_sample
 DEPTH, WIDTH, STRIDE, FILTERS, UNITS, BLOCK = 6, 8, 2, 24, 16, 64
 SLOTS = BLOCK // STRIDE
 #: Bytes that are worked on together; a longer document is worked on alone, piece by piece of as many bytes.
-GROUP = 1_000_000
+GROUP = 200_000
 
 
 @dataclass

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are worked on together; a longer text is worked on alone.
-GROUP = 2_000_000
+GROUP = 400_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _P = np.uint64(0x9E3779B97F4A7C55)
