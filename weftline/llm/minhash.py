@@ -317,9 +317,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     all_rows = work.stored(sketched(docs), "sketches")
     rows = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = work.stored(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("rep", "c1", "c2", "n_shingles", F.explode("bands").alias("h"))
-    buckets = members.groupBy("h").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("h")
-    members = work.stored(members.join(buckets, "h"), "buckets")
+    slim = classes.select("rep", F.explode("bands").alias("h"))
+    buckets = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    members = work.stored(slim.join(buckets, "h").join(classes.select("rep", "c1", "c2", "n_shingles"), "rep"), "buckets")
     ids = work.stored(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)

@@ -27,7 +27,7 @@ from weftline.llm.labelled import labelled_sample
 BITS, PREFIXES = 20, (3, 4, 5, 6, 7, 8)
 #: Likelihood ratio (G2) and share of toxic documents from which a feature marks its words.
 SURE, PURE = 20.0, 0.9
-SEGMENT, CLIP, EXTREME, CACHE, GROUP = 32, 30.0, 4.0, 100_000, 200_000
+SEGMENT, CLIP, EXTREME, CACHE, GROUP = 32, 30.0, 4.0, 250_000, 200_000
 _WORD = re.compile("[a-z\x80-\U0010ffff]+")
 _APART = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
