@@ -59,15 +59,11 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def codes(data: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Each byte with the `depth` bytes before it, the nearest lowest; END stands before a text's start."""
-    x = data.astype(np.int64)
-    within = np.arange(len(x)) - np.repeat(bound[:-1], np.diff(bound))
-    out = x.copy()
-    for d in range(1, depth + 1):
-        before = np.full(len(x), END, np.int64)
-        before[d:] = x[:-d] if d < len(x) else before[d:]
-        before[within < d] = END
-        out |= before << (8 * d)
-    return out
+    padded = np.full(len(data) + depth * (len(bound) - 1) + 8, END, np.uint8)
+    at = np.arange(len(data)) + np.repeat(depth * np.arange(1, len(bound)), np.diff(bound))
+    padded[at + 7] = data  # so that the eight bytes from `at` on end with it
+    windows = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+    return (windows[at] & np.uint64((1 << 8 * (depth + 1)) - 1)).astype(np.int64)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
