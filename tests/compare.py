@@ -14,6 +14,8 @@ def rows(df: pd.DataFrame) -> list[tuple]:
             return str(bool(v))
         if isinstance(v, numbers.Number):
             return str(float(f"{float(v):.9g}"))
-        return str(list(v)) if hasattr(v, "tolist") and getattr(v, "ndim", 0) else str(v)
+        if isinstance(v, (list, tuple)) or getattr(v, "ndim", 0):
+            return str([plain(x) for x in v])
+        return str(v)
 
     return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))

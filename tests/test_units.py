@@ -1,11 +1,13 @@
 """Numeric examples of single operators, on invented rows."""
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from weftline.functions import text as t
-from weftline.operators import imperative, windows
+from weftline.operators import imperative, joins, rollups, windows
 from weftline.plans.dialect import render
+from weftline.plans.views import view
 from weftline.sources import files
 
 
@@ -41,7 +43,7 @@ def _sessions(spark, rows, gap="72"):
 
     schema = StructType([StructField("id", LongType()), StructField("thread_key", StringType()), StructField("occurred_ts", DoubleType()), StructField("pr_number_base", StringType())])
     df = spark.createDataFrame([(i, "t", h * 3600.0, r) for i, (h, r) in enumerate(rows)], schema)
-    found = windows.SESSIONIZE(spark, {"gap_hours": gap}, raw_items=df)
+    found = windows.SESSIONIZE(spark, {"gap_hours": gap} if gap else {}, raw_items=df)
     return [r["session"] for r in found.orderBy("id").collect()]
 
 
@@ -72,3 +74,90 @@ def test_docx_round_trip():
 
 def test_macros_nest_and_leave_literals_alone():
     assert render("SIZE(SET(x)) || 'SIZE(y)'", True) == "size(array_sort(collect_set(x))) || 'SIZE(y)'"
+
+
+@pytest.mark.parametrize("name,key", [("Dansk Felt A/S", "dansk felt"), ("Dansk Felt a / s.", "dansk felt"), ("Ohm & Öhm GmbH", "ohm & öhm"), ("The Blue Co KG (EU)", "blue"), ("", ""), (None, "")])
+def test_entity_key_of_other_forms(spark, name, key):
+    df = spark.createDataFrame([(name,)], "x string")
+    assert df.select(F.expr(render(t.entity_key("x"), True)).alias("v")).first()["v"] == key
+
+
+@pytest.mark.parametrize("name,key", [("Moss, Inc", "moss"), ("moss,", "moss"), ("Moss GmbH", "moss gmbh"), ("Moss Company", "moss company"), ("Disco", "disco"), ("Reed & Reed", "reed & reed"), ("Moss L.L.C.", "moss")])
+def test_company_names(spark, name, key):
+    assert value(spark, t.normalize_company_name("x"), x=name) == key
+
+
+def test_sessions_by_default_keep_a_gap_of_thirty_hours(spark):
+    assert _sessions(spark, [(0, None), (30, None), (60, None)], None) == [0, 0, 0]
+
+
+def test_a_promoted_signal_that_names_the_owner_is_actionable(spark):
+    rules = [("handed_on", "desk.example", "handed on to", "fyi")]
+    expression = t.signal_treatment("subject", "sender", "owner", ("handed_on",), rules)
+    assert value(spark, expression, subject="Handed on to Kim", sender="a@desk.example", owner="kim") == "actionable"
+    assert value(spark, expression, subject="Handed on to Lee", sender="a@x.desk.example", owner="kim") == "fyi"
+    assert value(spark, expression, subject="Handed on to Kim", sender="a@other.example", owner="kim") is None
+
+
+@pytest.mark.parametrize("scores,verdict,passes", [
+    ([0.5, 0.6], "surface_conflict", None), ([0.5, 0.5], "spend", None), ([0.5, 0.5, 0.5], "spinning", None), ([0.8, 0.4], "spend", 2), ([0.4], "no_history", None), ([0.2, 0.1], "spend", None),
+])
+def test_forecast(spark, scores, verdict, passes):
+    df = spark.createDataFrame([(1, k, s, float(k)) for k, s in enumerate(scores, 1)], "id long, seq int, score double, ts double")
+    r = windows.FORECAST(spark, scores=df).first()
+    assert (r["verdict"], r["passes"]) == (verdict, passes)
+
+
+def _pairs(spark, issues, links=(), claims=(), vetoes=()):
+    frames = {
+        "issues": spark.createDataFrame(issues, "id long, project_id long, category string, contact string, value_amount double, display_title string, state string, updated_at double"),
+        "links": spark.createDataFrame(list(links), "issue_id long, reference string"),
+        "claims": spark.createDataFrame(list(claims), "issue_id long, supplier_id long, escalated boolean, claim_type string, canonical_key long"),
+        "vetoes": spark.createDataFrame(list(vetoes), "id_a long, id_b long"),
+    }
+    found = {(r["id_a"], r["id_b"]): r["points"] for r in joins.MATCHED(spark, **frames).collect()}
+    return found, {(r["id_a"], r["id_b"]) for r in joins.CANDIDATES(spark, **frames).collect()}
+
+
+def _issue(k, contact, amount=1.0, category="buy", title=None):
+    return (k, k, category, contact, amount * 10.0**k, title, "active", 0.0)
+
+
+def test_an_equal_category_is_no_point(spark):
+    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "b")], links=[(1, "R1"), (2, "R1")])
+    assert found == {(1, 2): "reference"} and candidates == set()
+
+
+def test_two_points_need_no_reference(spark):
+    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "a")], claims=[(1, 5, True, "ask", 1), (2, 5, True, "ask", 2)])
+    assert found == {(1, 2): "supplier,stakeholder"} and candidates == {(1, 2)}
+
+
+def test_a_rejected_pair_has_no_points(spark):
+    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "a")], links=[(1, "R1"), (2, "R1")], vetoes=[(2, 1)])
+    assert found == {} and candidates == set()
+
+
+def test_sequences_of_five_and_their_parts(spark):
+    rows = [(f"t{k}", s, float(i)) for k in range(2) for i, s in enumerate("abcde")]
+    df = spark.createDataFrame(rows, "thread_key string, signal_type string, occurred_ts double")
+    assert [(r["pattern"], r["support"]) for r in rollups.SEQUENCES(spark, raw_items=df).collect()] == [("a>b>c>d>e", 2)]
+
+
+def test_issues_with_a_shared_reference_are_one_group(spark):
+    links = view(spark, SMALL, "links").collect()
+    root = {r["issue_id"]: r["issue_id"] for r in links}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for r in links:
+        a, b = find(r["issue_id"]), find(first.setdefault(r["reference"], r["issue_id"]))
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in imperative.merge_issues(spark, SMALL).collect()}
+    expected = {i: find(i) for i in root}
+    alone = {i for i in root if sum(find(j) == find(i) for j in root) == 1}
+    assert got == {i: r for i, r in expected.items() if i not in alone}

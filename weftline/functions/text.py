@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-# The reference's results depend on these words.
-LEGAL_SUFFIX = "(incorporated|corporation|company|limited|gmbh|corp|inc|llc|ltd|plc|co|sa|ag|bv)"
-LEGAL_TOKENS = ["inc", "incorporated", "corp", "corporation", "company", "co", "llc", "ltd", "limited", "gmbh", "plc", "sa", "ag", "bv", "lp", "llp"]
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "you", "your", "can"]
+# Fixed values, equal to the reference's because results depend on them: the legal suffix taken off a name's end and the
+# separators before it, the legal forms taken out of a name anywhere, and the stop words of situation signatures.
+LEGAL_SUFFIX = "(inc|incorporated|llc|l[.]l[.]c|ltd|limited|corp|corporation|co)"
+SEPARATORS = " .,;:&-"
+LEGAL_TOKENS = (
+    "inc incorporated llc llp lllp ltd limited corp corporation co company plc gmbh ag sa sas sarl bv nv ab as oy oyj pty kk spa srl aps kg mbh pte"
+).split()
+STOP_WORDS = (
+    "the a an of for to in on and or is are was were be with at by from as that this it what how when which who we our i do does can should will have has had any there"
+).split()
+#: The escape of both engines' patterns, which literals of the two write in different ways.
+_ESC = "chr(92)"
 FILE_NOISE = ["final", "draft", "copy", "signed", "version", "docx", "pdf", "xlsx", "doc"]
 
 
@@ -14,14 +22,24 @@ def quoted(words) -> str:
 
 
 def normalize_company_name(x):
-    """Lower case, one legal suffix and the separators before it removed."""
-    return f"trim(REPLACE_ALL(REPLACE_ALL(lower(trim({x})), '[ ,]+{LEGAL_SUFFIX}[.]?$', ''), '[ ,.;-]+$', ''))"
+    """Lower case, one legal suffix at the end removed, then separators at the end."""
+    bare = f"trim(REPLACE_ALL(' ' || lower(trim({x})), '[^a-z0-9_]{LEGAL_SUFFIX}[.]?[ ]*$', ' '))"
+    return f"coalesce(trim(REPLACE_ALL({bare}, '[{SEPARATORS}]+$', '')), '')"
 
 
 def entity_key(x):
-    """Words without punctuation, a trailing parenthesis, legal words anywhere and a leading `the`."""
-    plain = f"REPLACE_ALL(REPLACE_ALL(lower(trim({x})), '[ ]*[(][^)]*[)][ ]*$', ''), '[^a-z0-9 ]+', ' ')"
-    return f"JOINED(FILTER(SPLIT(trim(REPLACE_ALL(REPLACE_ALL({plain}, '^the ', ''), ' +', ' ')), ' '), w, not CONTAINS({quoted(LEGAL_TOKENS)}, w)), ' ')"
+    """Words without a trailing parenthesis, punctuation but `&`, a leading `the` and legal forms anywhere; `A/S` is one form.
+
+    Texts are taken as they are; operators.imperative.nfkc folds compatibility forms before.
+    """
+    bare = f"lower(REPLACE_ALL(trim({x}), '[ ]*[(][^()]*[)]$', ''))"
+    marks = f"REPLACE_ALL({bare}, '[^' || {_ESC} || 'pL' || {_ESC} || 'pN_ &/]', ' ')"
+    folded = f"' ' || REPLACE_ALL(REPLACE_ALL({marks}, ' */ *', '/'), ' ', '  ') || ' '"
+    for a in "as":
+        for b in "as":
+            folded = f"replace({folded}, ' {a}/{b} ', ' {a}{b} ')"
+    words = f"trim(REPLACE_ALL(replace({folded}, '/', ' '), ' +', ' '))"
+    return f"coalesce(JOINED(FILTER(SPLIT(REPLACE_ALL({words}, '^the( |$)', ''), ' '), w, w <> '' and not CONTAINS({quoted(LEGAL_TOKENS)}, w)), ' '), '')"
 
 
 def reference_base(x):
@@ -101,11 +119,43 @@ def situation_key(category, company):
     return f"case when {category} is null or {category} in ('', 'other') or {company} is null or {company} = '' then null else 'category:' || lower({category}) || '|company:' || lower({company}) end"
 
 
-def classify_signal(subject, sender):
-    """First match over an ordered rule table."""
-    rules = [("meeting:", "meeting"), ("out of office", "out_of_office"), ("invoice approved", "approval_complete"), ("action required: approve", "approval_request"), ("please review", "review_request"), ("status of", "status_request")]
-    whens = " ".join(f"when contains(lower({subject}), '{p}') then '{t}'" for p, t in rules)
-    return f"case when LIKES(coalesce({sender_domain(sender)}, ''), '^mail[.]firm[0-1][.]') and contains(lower({subject}), 'approve') then 'portal_approval' {whens} end"
+#: (type, sender's domain or None, pattern, treatment), the first match wins. Those of the queries; a caller has rules of its own.
+SIGNAL_RULES = [
+    ("portal_approval", "mail.firm0.example", "approve", "actionable"),
+    ("portal_approval", "mail.firm1.example", "approve", "actionable"),
+    ("meeting", None, "meeting:", "fyi"),
+    ("out_of_office", None, "out of office", "noise"),
+    ("approval_complete", None, "invoice approved", "closure"),
+    ("approval_request", None, "action required: approve", "actionable"),
+    ("review_request", None, "please review", "actionable"),
+    ("status_request", None, "status of", "fyi"),
+]
+
+
+def _signal(subject, sender, rules, pick):
+    whens = []
+    for rule in rules:
+        domain, pattern = rule[1], rule[2]
+        own = f"coalesce({sender_domain(sender)}, '')"
+        at = f"({own} = '{domain}' or {own} like '%.{domain}') and " if domain else ""
+        whens.append(f"when {at}LIKES(lower({subject}), '{pattern}') then {pick(rule)}")
+    return f"case {' '.join(whens)} end"
+
+
+def classify_signal(subject, sender, rules=SIGNAL_RULES):
+    """The type of the first rule in order whose sender domain (or a subdomain of it) and pattern fit."""
+    return _signal(subject, sender, rules, lambda r: f"'{r[0]}'")
+
+
+def signal_treatment(subject, sender, owner=None, promoted=(), rules=SIGNAL_RULES):
+    """The treatment of that rule; a `promoted` type whose subject names the owner is actionable."""
+
+    def pick(r):
+        if owner and r[0] in promoted:
+            return f"case when contains(lower({subject}), lower({owner})) then 'actionable' else '{r[3]}' end"
+        return f"'{r[3]}'"
+
+    return _signal(subject, sender, rules, pick)
 
 
 def value_urgency(v):

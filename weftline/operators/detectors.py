@@ -13,27 +13,46 @@ operator("d04_extraction_correction", """
     change as (select coalesce(o.issue_id, n.issue_id) as issue_id, coalesce(o.claim_type, n.claim_type) as claim_type, o.text as old_text, n.text as new_text from (select distinct * from old_rows) o full outer join (select distinct * from new_rows) n on o.issue_id = n.issue_id and o.claim_type = n.claim_type and o.text = n.text where o.text is null or n.text is null)
     select issue_id, claim_type, count(old_text) as superseded, count(new_text) as added, case when count(old_text) = 1 and count(new_text) = 1 then 'refine' else 'replace' end as action from change group by issue_id, claim_type""")
 operator("d06_relationship_sweep", f"select name, min(id) as id, count(*) as n_links from (select {t.normalize_company_name('name')} as name, id from companies) x where not exists (select 1 from projects p where lower(p.name) = x.name) group by name")
-operator("d07_seeds", "select distinct project_id, 'owner' as kind, owner as value from issues where id % 2 = 0 union select distinct project_id, 'category', category from issues where id % 2 = 0")
+operator("d07_seeds", "select distinct project_id, 'owner' as kind, owner as value from issues union select distinct project_id, 'category', category from issues")
 operator("d08_alerts", """
-    with found as (select id as issue_id, 'stale' as kind, case when :now - updated_at > 12 * 86400 then 'critical' else 'warn' end as severity from issues where state in ('waiting', 'blocked') and :now - updated_at > 5 * 86400
-      union all select id, 'overdue', 'warn' from issues where state <> 'done' and due < :now union all select id, 'gated', 'info' from issues where state = 'active' and has_unmet_prerequisite
-      union all select issue_id, 'escalated', 'critical' from (select issue_id from claims where escalated and status = 'open' group by issue_id having count(*) >= 2) e),
-    shown as (select id as issue_id, 'overdue' as kind from issues where id % 5 = 0)
-    select f.issue_id, f.kind, f.severity from found f where not exists (select 1 from shown s where s.issue_id = f.issue_id and s.kind = f.kind)""")
+    with activity as (select i.id, i.state, greatest(coalesce(max(c.last_seen_ts), i.updated_at), coalesce(max(s.changed_ts), i.updated_at)) as last_ts from issues i left join claims c on c.issue_id = i.id left join states s on s.issue_id = i.id where i.state in ('waiting', 'blocked') group by i.id, i.state, i.updated_at),
+    refs as (select l.reference, i.id, i.project_id from links l join issues i on l.issue_id = i.id where i.state <> 'done'),
+    figures as (select c.issue_id from claims c join issues i on i.id = c.issue_id where i.state <> 'done' and c.claim_type = 'commitment' group by c.issue_id having count(distinct c.amount) >= 2),
+    asks as (select i.project_id, c.claim_type, c.canonical_key, min(c.issue_id) as issue_id, count(distinct c.text) as texts from claims c join issues i on c.issue_id = i.id where c.status = 'open' group by i.project_id, c.claim_type, c.canonical_key having count(distinct c.issue_id) >= 2),
+    found as (select id as issue_id, 'stale' as kind, '' as source_ref, case when :now - last_ts >= :critical_days * 86400 then 'critical' else 'warn' end as severity from activity where :now - last_ts >= :warn_days * 86400
+      union all select issue_id, 'high_priority_ask', TEXT(id), 'warn' from claims where claim_type = 'ask' and status = 'open' and escalated
+      union all select issue_id, 'stuck_action', TEXT(id), 'critical' from actions where status <> 'done' and :now_events - requested_ts >= :stuck_minutes * 60
+      union all select id, 'unmet_prerequisite', '', 'warn' from issues where state <> 'done' and has_unmet_prerequisite
+      union all select a.id, 'reference_id_collision', TEXT(a.id) || '|' || TEXT(b.id), 'warn' from refs a join refs b on a.reference = b.reference and a.id < b.id and a.project_id <> b.project_id group by a.id, b.id
+      union all select issue_id, 'conflicting_value_figures', '', 'warn' from figures
+      union all select issue_id, 'duplicate_ask_across_project', claim_type || ':' || TEXT(canonical_key), case when texts > 1 then 'warn' else 'info' end from asks),
+    shown as (select id as issue_id, 'unmet_prerequisite' as kind, '' as source_ref from issues where id % 5 = 0 union all select issue_id, 'stuck_action', TEXT(id) from actions where id % 7 = 0)
+    select f.issue_id, f.kind, f.source_ref, f.severity from found f where not exists (select 1 from shown s where s.kind = f.kind and (s.source_ref <> '' and s.source_ref = f.source_ref or s.source_ref = '' and s.issue_id = f.issue_id))""", warn_days="5", critical_days="12", stuck_minutes="30")
 operator("d09_self_audit", """
-    with before as (select id as issue_id from issues where state = 'done' and id % 2 = 0), now_found as (select distinct c.issue_id from claims c join issues i on i.id = c.issue_id where i.state = 'done' and c.status = 'open')
-    select coalesce(b.issue_id, n.issue_id) as issue_id, case when b.issue_id is null then 'new' when n.issue_id is null then 'resolved' else 'kept' end as status from before b full outer join now_found n on b.issue_id = n.issue_id""")
+    with now_found as (
+      select distinct 'closed_with_open_claims' as detector, c.issue_id from claims c join issues i on i.id = c.issue_id where i.state = 'done' and c.status = 'open'
+      union all select 'resolved_but_open', i.id from issues i join claims c on c.issue_id = i.id where i.state in ('active', 'waiting') group by i.id having count_if(c.status = 'open') = 0
+      union all select distinct 'contradictory_owners', issue_id from (select issue_id from claims where status = 'open' group by issue_id, claim_type, canonical_key having count(distinct owner) >= 2) a
+      union all select 'duplicate_asks', min(c.issue_id) from claims c join issues i on i.id = c.issue_id where c.status = 'open' group by i.project_id, c.claim_type, c.canonical_key having count(distinct c.issue_id) >= 2
+      union all select 'stale_active', i.project_id from issues i join projects p on p.id = i.project_id where p.status = 'active' group by i.project_id having max(i.updated_at) < :now - 30 * 86400
+      union all select distinct 'done_with_commitments', i.project_id from projects p join issues i on i.project_id = p.id join claims c on c.issue_id = i.id where p.status = 'done' and c.claim_type = 'commitment' and c.status = 'open'),
+    before as (select 'closed_with_open_claims' as detector, id as issue_id from issues where state = 'done' and id % 2 = 0), fresh as (select distinct detector, issue_id from now_found)
+    select coalesce(b.detector, n.detector) as detector, coalesce(b.issue_id, n.issue_id) as issue_id, case when b.issue_id is null then 'new' when n.issue_id is null then 'resolved' else 'kept' end as status
+    from before b full outer join fresh n on b.issue_id = n.issue_id and b.detector = n.detector""")
 operator("d10_identity_anchors", "select value, issue_id, r = 1 as owns from (select reference as value, issue_id, row_number() over (partition by reference order by issue_id) as r from links) x")
 operator("d12_stray_reference_clusters", "select reference, min(case when issue_id % 3 > 0 then issue_id end) as real_issue, count_if(issue_id % 3 = 0) as n_clusters from links group by reference having count_if(issue_id % 3 > 0) = 1 and count_if(issue_id % 3 = 0) >= 1")
-operator("d13_timeline", "select issue_id, ts, kind, tier, id from (select issue_id, first_seen_ts as ts, 'claim' as kind, case claim_type when 'decision' then 'milestone' else 'activity' end as tier, id from claims where issue_id < 500 union all select id, updated_at, 'state', 'milestone', id from issues where id < 500) x")
-operator("d14_project_link_signals", "select distinct a.project_id as from_id, b.project_id as to_id from issues a join issues b on b.id = a.id + 1 join projects p on p.id = b.project_id where a.project_id <> b.project_id and a.id % 6 = 0 and not exists (select 1 from issues e where e.project_id = a.project_id and e.id = b.id + 6)")
+operator("d13_timeline", "select issue_id, ts, kind, tier, id from (select issue_id, first_seen_ts as ts, 'claim' as kind, case claim_type when 'decision' then 'milestone' else 'activity' end as tier, id from claims union all select id, updated_at, 'state', 'milestone', id from issues) x")
+operator("d14_project_link_signals", "select distinct a.project_id as from_id, b.project_id as to_id from issues a join issues b on b.id = a.id + 1 join projects p on p.id = b.project_id where a.project_id <> b.project_id and not exists (select 1 from issues e where e.project_id = a.project_id and e.id = b.id + 6)")
 operator("g05_dormant_sweep", "select i.id, i.state, case when greatest(i.updated_at, coalesce(max(c.last_seen_ts), 0e0)) < :now - 60 * 86400 then 'dormant' else i.state end as new_state from issues i left join claims c on c.issue_id = i.id where i.state in ('active', 'waiting') group by i.id, i.state, i.updated_at")
 operator("g06_revert_dormant", "select i.id from issues i join claims c on c.issue_id = i.id where i.state = 'waiting' and i.updated_at < :now - 60 * 86400 group by i.id, i.updated_at having max(c.last_seen_ts) > i.updated_at + 100 * 86400")
 operator("g07_recompute_state", """
     select x.issue_id, case when x.manual_closed and not x.new_actionable then 'done' when x.actionable then 'active' when x.waiting then 'waiting' else 'done' end as state
-    from (select issue_id, bool_or(item_class = 'ACTIONABLE-ASK') as actionable, bool_or(item_class = 'WAITING-ON-OTHERS') as waiting, issue_id % 4 = 0 as manual_closed, bool_or(item_class = 'ACTIONABLE-ASK' and occurred_ts > :now_events - 86400) as new_actionable from raw_items where id % 40 = 1 group by issue_id) x""")
+    from (select issue_id, bool_or(item_class = 'ACTIONABLE-ASK') as actionable, bool_or(item_class = 'WAITING-ON-OTHERS') as waiting, issue_id % 4 = 0 as manual_closed, bool_or(item_class = 'ACTIONABLE-ASK' and occurred_ts > :now_events - 86400) as new_actionable from raw_items group by issue_id) x""")
 operator("g08_target_state", """
-    select issue_id, case when bool_or(item_class = 'ACTIONABLE-ASK') then 'active' when bool_or(item_class = 'WAITING-ON-OTHERS') then 'waiting' when bool_or(signal_type = 'click') and not bool_or(signal_type = 'purchase') then 'active' else 'done' end as state from raw_items where id % 30 = 2 group by issue_id""")
+    with kinds as (select distinct issue_id, signal_type from raw_items),
+    unanswered as (select distinct k.issue_id from kinds k join closures c on k.signal_type = c.request_type where not exists (select 1 from kinds q where q.issue_id = k.issue_id and q.signal_type = c.closure_type))
+    select r.issue_id, case when bool_or(r.item_class = 'ACTIONABLE-ASK') then 'active' when bool_or(r.item_class = 'WAITING-ON-OTHERS') then 'waiting' when bool_or(u.issue_id is not null) then 'active' else 'done' end as state
+    from raw_items r left join unanswered u on u.issue_id = r.issue_id group by r.issue_id""")
 operator("g03_observations", f"select {t.sender_domain('from_actor')} as domain, count(*) as n, count(distinct thread_key) as n_threads, min(occurred_ts) as first_ts, max(occurred_ts) as last_ts from raw_items group by 1")
 operator("g10_cursor_lag", "select source, max(occurred_ts) as cursor_ts, :now_events - max(occurred_ts) > 48 * 3600 as lagging from raw_items where source is not null group by source")
 operator("g11_needing_extraction", "select i.project_id, max(c.id) as rev, min(i.id) as marker from issues i join claims c on c.issue_id = i.id group by i.project_id having max(c.id) % 7 <> min(i.id) % 7 order by i.project_id limit 100")

@@ -67,28 +67,26 @@ def merged_groups(edges: DataFrame, spark: SparkSession) -> DataFrame:
     both.write.parquet(f"{folder}/edges")
     both = spark.read.parquet(f"{folder}/edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    step, before = 0, None
+    labels, step = labels.withColumn("moved", F.lit(True)), 0
     while True:
         labels.write.parquet(f"{folder}/labels{step}")
         labels = spark.read.parquet(f"{folder}/labels{step}")
-        now = labels.agg(F.sum("root")).first()[0]
-        if now == before:
-            return labels
-        before, step = now, step + 1
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+        labels, was, step = labels.drop("moved"), labels.select("node", F.col("root").alias("was")), step + 1
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         better = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
         jump = better.select(F.col("node").alias("root"), F.col("root").alias("further"))  # pointer jumping
         labels = better.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
+        labels = labels.join(was, "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved"))
 
 
-@query("d11_merge_issues", """
-    with recursive pairs as (select distinct l.issue_id as a, m.issue_id as b from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id where l.issue_id % 6 = 0 and m.issue_id % 6 = 0),
-    reach as (select a as node, b as other from pairs union select r.node, p.b from reach r join pairs p on r.other = p.a)
-    select node, least(node, min(other)) as root from reach group by node""")
+@query("d11_merge_issues")
 def merge_issues(spark, sf_dir):
-    links = view(spark, sf_dir, "links").where("issue_id % 6 = 0")
-    a, b = links.select(F.col("issue_id").alias("a"), "reference"), links.select(F.col("issue_id").alias("b"), "reference")
-    return merged_groups(a.join(b, "reference").where("a <> b").select("a", "b"), spark)
+    """Issues that share a reference, directly or through others, with the smallest of their group; each is tied to its reference's smallest."""
+    links = view(spark, sf_dir, "links")
+    first = links.groupBy("reference").agg(F.min("issue_id").alias("b"))
+    return merged_groups(links.join(first, "reference").select(F.col("issue_id").alias("a"), "b").where("a <> b"), spark)
 
 
 def upsert(current: DataFrame, fresh: DataFrame, keys: list[str], touch: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:

@@ -8,25 +8,37 @@ from weftline.plans.registry import operator
 operator("j01_reference_collisions", """
     with one as (select l.reference, i.id, i.project_id from links l join issues i on l.issue_id = i.id where i.state <> 'done')
     select a.id as id_a, b.id as id_b, JOINED(SET(a.reference), ',') as shared from one a join one b on a.reference = b.reference and a.id < b.id and a.project_id <> b.project_id group by a.id, b.id""")
-operator("j02_collisions_for_issue", "select l.issue_id, m.issue_id as other_id, count(*) as n from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id where l.issue_id % 1000 = 7 group by l.issue_id, m.issue_id")
-operator("j03_related_open_issues", "select distinct l.issue_id, m.issue_id as other_id from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id join issues i on i.id = m.issue_id where l.issue_id % 100 = 3 and i.state <> 'done'")
+operator("j02_collisions_for_issue", "select l.issue_id, m.issue_id as other_id, count(*) as n from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id group by l.issue_id, m.issue_id")
+operator("j03_related_open_issues", "select distinct l.issue_id, m.issue_id as other_id from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id join issues i on i.id = m.issue_id where i.state <> 'done'")
 operator("j04_amount_band_pool", """
     with one as (select id, project_id, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
     near as (select id, project_id, value_amount, band, UNNEST(ARRAY(band - 1, band, band + 1)) as probe from one)
     select a.id as id_a, b.id as id_b from near a join one b on a.project_id = b.project_id and a.probe = b.band and a.id < b.id where abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount)""")
-operator("j05_matched_points", """
-    with refs as (select l.reference, i.id, i.project_id, i.owner, i.category, i.value_amount from links l join issues i on i.id = l.issue_id),
-    pairs as (select distinct a.id as id_a, b.id as id_b, a.owner = b.owner as same_owner, a.category = b.category as same_category, abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount) as same_amount from refs a join refs b on a.reference = b.reference and a.id < b.id)
-    select id_a, id_b, JOINED(FILTER(ARRAY('reference', case when same_owner then 'stakeholder' end, case when same_category then 'subject_entity' end, case when same_amount then 'amount' end), w, w is not null), ',') as points from pairs""")
-operator("j06_candidates", """
-    with refs as (select l.reference, i.id, i.project_id, i.owner, i.category, i.state, i.updated_at from links l join issues i on i.id = l.issue_id)
-    select id_a, id_b, n_points from (select distinct a.id as id_a, b.id as id_b, 1 + case when a.owner = b.owner then 1 else 0 end + case when a.category = b.category then 1 else 0 end as n_points
-      from refs a join refs b on a.reference = b.reference and a.id < b.id and a.project_id <> b.project_id where not (b.state = 'done' and b.updated_at < :now - 365 * 86400)) x where n_points >= 2""")
+#: Of two issues: what each point is. Points that few issues share find the pairs; the others are counted on those.
+_SIGNS = """
+    rare as (select issue_id, 'reference' as point, reference as value from links union select issue_id, 'supplier', TEXT(supplier_id) from claims where escalated
+      union select issue_id, 'document', TEXT(canonical_key) from claims where claim_type = 'date' union select id, 'subject_entity', lower(display_title) from issues where length(display_title) >= 12),
+    banded as (select id, contact, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
+    probes as (select id, contact, value_amount, UNNEST(ARRAY(band - 1, band, band + 1)) as band from banded),
+    shared as (select a.issue_id as id_a, b.issue_id as id_b, a.point from rare a join rare b on a.point = b.point and a.value = b.value and a.issue_id < b.issue_id
+      union select a.id, b.id, 'amount' from probes a join banded b on a.contact = b.contact and a.band = b.band and a.id < b.id where abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount)),
+    pairs as (select id_a, id_b, bool_or(point = 'reference') as reference, bool_or(point = 'supplier') as supplier, bool_or(point = 'document') as document, bool_or(point = 'subject_entity') as subject from shared s
+      where not exists (select 1 from vetoes v where v.id_a = s.id_a and v.id_b = s.id_b) and not exists (select 1 from vetoes v where v.id_b = s.id_a and v.id_a = s.id_b) group by id_a, id_b),
+    points as (select p.id_a, p.id_b, a.project_id as project_a, b.project_id as project_b, b.state as state_b, b.updated_at as updated_b,
+        FILTER(ARRAY(case when p.reference then 'reference' end, case when p.supplier then 'supplier' end, case when a.contact = b.contact then 'stakeholder' end, case when p.subject then 'subject_entity' end,
+          case when abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount) then 'amount' end, case when p.document then 'document' end), w, w is not null) as found
+      from pairs p join issues a on a.id = p.id_a join issues b on b.id = p.id_b)"""
+MATCHED = operator("j05_matched_points", f"""
+    with {_SIGNS.strip()}
+    select id_a, id_b, JOINED(found, ',') as points from points where SIZE(found) > 0""")
+CANDIDATES = operator("j06_candidates", f"""
+    with {_SIGNS.strip()}
+    select id_a, id_b, SIZE(found) as n_points from points where SIZE(found) >= 2 and project_a <> project_b and not (state_b = 'done' and updated_b < :now - 365 * 86400)""")
 operator("j07_discovered_points", "select a.id as id_a, b.id as id_b, a.definition from (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') a join (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') b on a.definition = b.definition and a.value = b.value and a.id < b.id")
 operator("j08_cross_mention", "select r.id, c.firm from raw_items r join (select distinct 'firm' || TEXT(id % 7) as firm from companies) c on contains(r.from_actor, c.firm) where LIKES(lower(r.subject), '(approve|review|invoice)')")
 operator("j09_path_company", "select distinct p.id, p.token from (select id, UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_) p join (select distinct token from (select UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_ where id % 10 = 0) y where length(token) >= 5) c on p.token = c.token")
 operator("j10_alias_prefixes", f"select distinct a.entity as short_name, b.entity as long_name from (select {t.entity_key('name')} as entity from companies) a join (select {t.entity_key('name')} as entity from companies) b on substr(a.entity, 1, 4) = substr(b.entity, 1, 4) and b.entity like a.entity || '%' and a.entity <> b.entity and length(a.entity) >= 4")
-operator("j11_prerequisite_satisfied", "select i.id, exists (select 1 from raw_items r where r.issue_id = i.id and r.signal_type = 'signup') as satisfied from issues i where i.id < 400")
+operator("j11_prerequisite_satisfied", "select i.id, exists (select 1 from raw_items r where r.issue_id = i.id and r.signal_type = 'signup') as satisfied from issues i")
 operator("j12_prerequisites", """
     with firsts as (select issue_id, signal_type, min(id) as id from raw_items where occurred_ts < :now_events - 2592000 + 86400 group by issue_id, signal_type)
     select f.issue_id, r.rule_id, f.id from firsts f join rules r on f.signal_type = r.trigger_type where not exists (select 1 from firsts g where g.issue_id = f.issue_id and g.signal_type = r.requires_type)""")
@@ -44,12 +56,18 @@ operator("j15_link_cascade", f"""
     left join (select {t.normalize_subject('subject')} as s, min(issue_id) as issue_id from raw_items group by 1) c on {t.normalize_subject('r.subject')} = c.s and r.item_class = 'FYI-EVIDENCE'""")
 operator("j16_sender_anchor", "select r.id, p.party_id from raw_items r join (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1) p on split_part(r.from_actor, '@', 1) = p.local_part where r.item_class = 'ACTIONABLE-ASK' and (r.pr_number_base is not null or contains(r.subject, 'PR'))")
 operator("j17_subject_fragments", """
-    with grams as (select distinct id, project_id, substr(lower(title), p, 15) as gram from (select id, project_id, title, UNNEST(SPAN(1, length(title) - 14)) as p from issues where id % 40 = 0) x)
-    select a.id, b.project_id, count(*) as n_shared from grams a join grams b on a.gram = b.gram and a.id <> b.id group by a.id, b.project_id having count(*) >= 3""")
+    with grams as (select distinct id, project_id, substr(lower(title), p, 15) as gram from (select id, project_id, title, UNNEST(SPAN(1, length(title) - 14)) as p from issues) x),
+    by_project as (select gram, project_id, count(distinct id) as n, min(id) as only_id from grams group by gram, project_id)
+    select a.id, b.project_id, count(*) as n_shared from grams a join by_project b on a.gram = b.gram and (b.n > 1 or b.only_id <> a.id) group by a.id, b.project_id""")
 operator("j18_value_corroborated", "select c.id from claims c where c.claim_type = 'commitment' and exists (select 1 from claims d where d.issue_id = c.issue_id and d.claim_type <> 'commitment' and round(d.amount / 1000e0, 0) = round(c.amount / 1000e0, 0))")
-operator("j19_likely_reply", "select a.id, min_by(b.id, b.occurred_ts) as reply_id, round(min(b.occurred_ts) - a.occurred_ts, 3) as latency from raw_items a join raw_items b on a.issue_id = b.issue_id and b.direction = 'outbound' and b.occurred_ts > a.occurred_ts and b.occurred_ts <= a.occurred_ts + 7 * 86400 where a.direction = 'inbound' and a.item_class = 'ACTIONABLE-ASK' group by a.id, a.occurred_ts")
-operator("j20_closure_signals", "select r.id, c.claim_id, case when c.n is null then 'no_open_claim' when c.n > 1 then 'ambiguous' else 'resolved' end as outcome from raw_items r left join (select issue_id % 150 as issue_id, count(*) as n, min(id) as claim_id from claims where status = 'open' and claim_type in ('ask', 'commitment') and id % 400 = 11 group by 1) c on c.issue_id = r.issue_id where r.signal_type = 'purchase'")
-operator("j21_closure_without_request", "select r.id, r.issue_id from raw_items r where r.signal_type = 'purchase' and r.occurred_ts < :now_events - 2592000 + 2 * 86400 and not exists (select 1 from raw_items q where q.issue_id = r.issue_id and q.signal_type = 'click' and q.occurred_ts < r.occurred_ts)")
+operator("j19_likely_reply", """
+    with marked as (select id, issue_id, occurred_ts, direction, item_class, min(case when direction = 'outbound' then occurred_ts end) over (partition by issue_id order by occurred_ts range between 1e-6 following and 604800e0 following) as reply_ts from raw_items),
+    replies as (select issue_id, occurred_ts, min(id) as id from raw_items where direction = 'outbound' group by issue_id, occurred_ts)
+    select a.id, r.id as reply_id, round(a.reply_ts - a.occurred_ts, 3) as latency from marked a join replies r on r.issue_id = a.issue_id and r.occurred_ts = a.reply_ts where a.direction = 'inbound' and a.item_class = 'ACTIONABLE-ASK'""")
+operator("j20_closure_signals", "select r.id, c.claim_id, case when c.n is null then 'no_open_claim' when c.n > 1 then 'ambiguous' else 'resolved' end as outcome from raw_items r left join (select issue_id % 150 as issue_id, count(*) as n, min(id) as claim_id from claims where status = 'open' and claim_type in ('ask', 'commitment') and escalated group by 1) c on c.issue_id = r.issue_id where r.signal_type = 'purchase'")
+operator("j21_closure_without_request", """
+    with firsts as (select issue_id, min(occurred_ts) as ts from raw_items where signal_type = 'click' group by issue_id)
+    select r.id, r.issue_id from raw_items r left join firsts f on f.issue_id = r.issue_id where r.signal_type = 'purchase' and r.occurred_ts < :now_events - 2592000 + 2 * 86400 and (f.ts is null or f.ts >= r.occurred_ts)""")
 operator("j22_orphans", """
     select 'claim' as kind, c.id from claims c where not exists (select 1 from issues i where i.id = c.issue_id and i.id % 11 <> 0)
     union all select 'issue', i.id from issues i where not exists (select 1 from claims c where c.issue_id = i.id)
@@ -58,12 +76,14 @@ operator("j23_actions_without_evidence", "select a.id from outcomes a where a.ou
 operator("j24_stray_clusters", "select a.id as cluster_id, min(b.id) as issue_id from issues a join issues b on a.project_id = b.project_id and a.owner = b.owner and a.id <> b.id where a.id % 4 = 0 and b.id % 4 <> 0 group by a.id having count(*) = 1")
 operator("j25_shared_lineage", "select canonical_key as lineage, count(distinct i.project_id) as n_projects from claims c join issues i on i.id = c.issue_id where c.escalated group by canonical_key having count(distinct i.project_id) >= 2")
 operator("j26_triggered_experts", "select r.id, s.expert from raw_items r join (select * from (values ('legal', 'signed'), ('finance', 'invoice'), ('security', 'urgent'), ('finance', 'range')) as v(expert, keyword)) s on LIKES(' ' || lower(r.subject || ' ' || r.body_preview) || ' ', '[^a-z0-9]' || s.keyword || '[^a-z0-9]') group by r.id, s.expert")
-operator("j27_search_evidence", "select id, issue_id from claims where ANY_OF(ARRAY('part 13 ', 'worth $44k'), w, contains(lower(text), w))")
+operator("j27_search_evidence", "select id, issue_id from claims where ANY_OF(ARRAY(:terms), w, contains(lower(text), w))", terms="'part 13 ', 'worth $44k'")
 operator("j28_deep_links", "select c.id, 'https://mail.example/item/' || TEXT(r.id) as link, r.occurred_ts from claims c left join raw_items r on r.id = c.raw_item_id where c.claim_type = 'date'")
 operator("j29_shared_supplier", f"select distinct a.id as id_a, b.id as id_b, {t.normalize_company_name('a.name')} as name from companies a join companies b on {t.normalize_company_name('a.name')} = {t.normalize_company_name('b.name')} and a.id < b.id")
 operator("j30_full_text_search", """
-    with tokens as (select distinct id, w from (select id, UNNEST(EXTRACT_ALL(lower(text), '([a-z]+)', 1)) as w from documents_) x), wanted as (select * from (values ('the'), ('and'), ('that')) as v(w))
-    select t.id from tokens t join wanted q on t.w = q.w group by t.id having count(*) = 3""")
-operator("j31_projects_by_recipients", "select distinct i.project_id from parties p join issues i on i.project_id = p.id where lower(p.primary_email) in ('user10@home.example', 'user25@home.example', 'nobody@x.example') and i.state <> 'done'")
+    with wanted as (select UNNEST(ARRAY(:terms)) as w),
+    hits as (select id, w, count(*) as tf from (select id, UNNEST(FILTER(EXTRACT_ALL(lower(text), '([a-z]+)', 1), w, CONTAINS(ARRAY(:terms), w))) as w from documents_) x group by id, w),
+    sizes as (select count(*) as n from documents_), spread as (select w, count(*) as df from hits group by w)
+    select h.id, round(sum(h.tf / (h.tf + 1.2e0) * ln(1e0 + (s.n - p.df + 0.5e0) / (p.df + 0.5e0))), 6) as relevance from hits h join wanted q on h.w = q.w join spread p on p.w = h.w cross join sizes s group by h.id having count(*) = SIZE(ARRAY(:terms))""", terms="'the', 'and', 'that'")
+operator("j31_projects_by_recipients", "select distinct i.project_id from parties p join issues i on i.project_id = p.id where lower(p.primary_email) in (:addresses) and i.state <> 'done'", addresses="'user10@home.example', 'user25@home.example', 'nobody@x.example'")
 operator("j32_projects_of_conversation", "select r.thread_key, i.project_id, max(r.occurred_ts) as last_ts from raw_items r join issues i on i.id = r.issue_id * 7 + r.k % 3 group by r.thread_key, i.project_id")
 operator("j33_issue_parties", "select r.issue_id, lower(w) as email, count(*) as n from (select issue_id, UNNEST(ARRAY(from_actor, 'user' || TEXT(k) || '@home.example')) as w from raw_items) r group by r.issue_id, lower(w)")

@@ -37,8 +37,9 @@ operator("a11_monthly_signal_trends", """
     select s.month_key, k.signal_type, coalesce(c.n, 0) as n from spine s cross join kinds k left join counted c on s.month_key = c.month_key and k.signal_type = c.signal_type""")
 operator("a12_todo_summary", "select claim_type, owner, count(*) as n, count(distinct issue_id) as n_issues, count(*) > 40 as cut_off from claims where status = 'open' group by claim_type, owner")
 operator("a13_duplicate_asks_in_project", """
-    select i.project_id, c.claim_type, c.canonical_key, count(distinct c.issue_id) as n_issues, case when count(distinct c.text) = 1 then 'duplicate' else 'conflicting' end as verdict, JOINED(MAP_EACH(SET(c.issue_id), v, TEXT(v)), ',') as issue_list
-    from claims c join issues i on c.issue_id = i.id where c.status = 'open' group by i.project_id, c.claim_type, c.canonical_key having count(distinct c.issue_id) >= 2""")
+    with texts as (select i.project_id, c.claim_type, c.canonical_key, c.issue_id, min(c.text) as low, max(c.text) as high from claims c join issues i on c.issue_id = i.id where c.status = 'open' group by i.project_id, c.claim_type, c.canonical_key, c.issue_id)
+    select project_id, claim_type, canonical_key, count(*) as n_issues, case when min(low) = max(high) then 'duplicate' else 'conflicting' end as verdict, JOINED(MAP_EACH(LIST(issue_id), v, TEXT(v)), ',') as issue_list
+    from texts group by project_id, claim_type, canonical_key having count(*) >= 2""")
 operator("a14_contradictory_owners", "select issue_id, claim_type, canonical_key % 50 as key, count(distinct owner) as n_owners from claims where status = 'open' group by issue_id, claim_type, canonical_key % 50 having count(distinct owner) >= 2")
 operator("a15_stale_active_projects", "select p.id, max(i.updated_at) as last_ts from projects p left join issues i on p.id = i.project_id where p.status = 'active' group by p.id having max(i.updated_at) is null or max(i.updated_at) < :now - 30 * 86400")
 operator("a16_done_projects_with_commitments", "select p.id, count(*) as n_open from projects p join issues i on p.id = i.project_id join claims c on c.issue_id = i.id where p.status = 'done' and c.claim_type = 'commitment' and c.status = 'open' group by p.id")
@@ -50,17 +51,21 @@ operator("a21_candidate_rules", """
     with firsts as (select thread_key, signal_type, min(occurred_ts) as ts from raw_items group by thread_key, signal_type)
     select a.signal_type as requires_type, b.signal_type as trigger_type, count(*) as observed, count_if(a.ts < b.ts) as consistent, count(*) >= 2 and bool_and(a.ts < b.ts) as holds
     from firsts a join firsts b on a.thread_key = b.thread_key and a.signal_type <> b.signal_type group by a.signal_type, b.signal_type""")
-operator("a22_occurrences_by_group", "select thread_key, SIZE(LIST(occurred_ts)) as n, round(AT(LIST(occurred_ts), 1), 3) as first_ts, round(AT(LIST(occurred_ts), -1), 3) as last_ts from raw_items where signal_type = 'error' group by thread_key")
+operator("a22_occurrences_by_group", "select thread_key, count(*) as n, round(min(occurred_ts), 3) as first_ts, round(max(occurred_ts), 3) as last_ts from raw_items where signal_type = 'error' group by thread_key")
 operator("a23_gate_board", """
     with has as (select distinct issue_id, signal_type from raw_items where occurred_ts < :now_events - 2592000 + 86400),
     unmet as (select h.issue_id, min(r.rule_id) as rule_id from has h join rules r on h.signal_type = r.trigger_type where not exists (select 1 from has q where q.issue_id = h.issue_id and q.signal_type = r.requires_type) group by h.issue_id)
     select r.rule_id, count(u.issue_id) as n_gated from rules r left join unmet u on r.rule_id = u.rule_id group by r.rule_id""")
-operator("a24_sequence_patterns", """
+SEQUENCES = operator("a24_sequence_patterns", """
     with stage as (select thread_key, signal_type, row_number() over (partition by thread_key order by min(occurred_ts), signal_type) as pos from raw_items group by thread_key, signal_type),
-    seq as (select a.thread_key, a.signal_type as s1, b.signal_type as s2, c.signal_type as s3 from stage a join stage b on a.thread_key = b.thread_key and b.pos = a.pos + 1 join stage c on a.thread_key = c.thread_key and c.pos = a.pos + 2),
-    found as (select s1, s2, s3, count(distinct thread_key) as windows from seq group by s1, s2, s3)
-    select f.s1, f.s2, f.s3, count(distinct x.thread_key) as support from found f join stage x on x.signal_type = f.s1 join stage y on y.thread_key = x.thread_key and y.signal_type = f.s2 and y.pos > x.pos join stage z on z.thread_key = x.thread_key and z.signal_type = f.s3 and z.pos > y.pos
-    group by f.s1, f.s2, f.s3 having count(distinct x.thread_key) >= 2""")
+    windows_of as (select a.thread_key, a.signal_type as s1, b.signal_type as s2, c.signal_type as s3, d.signal_type as s4, e.signal_type as s5 from stage a join stage b on a.thread_key = b.thread_key and b.pos = a.pos + 1 join stage c on a.thread_key = c.thread_key and c.pos = a.pos + 2
+      left join stage d on a.thread_key = d.thread_key and d.pos = a.pos + 3 left join stage e on a.thread_key = e.thread_key and e.pos = a.pos + 4),
+    candidates as (select s1, s2, s3, '' as s4, '' as s5 from windows_of union select s1, s2, s3, s4, '' from windows_of where s4 is not null union select s1, s2, s3, s4, s5 from windows_of where s5 is not null),
+    matching as (select f.*, x.thread_key from candidates f join stage x on x.signal_type = f.s1 join stage y on y.thread_key = x.thread_key and y.signal_type = f.s2 and y.pos > x.pos join stage z on z.thread_key = x.thread_key and z.signal_type = f.s3 and z.pos > y.pos
+      left join stage u on u.thread_key = x.thread_key and u.signal_type = f.s4 and u.pos > z.pos left join stage v on v.thread_key = x.thread_key and v.signal_type = f.s5 and v.pos > u.pos where (f.s4 = '' or u.pos is not null) and (f.s5 = '' or v.pos is not null)),
+    counted as (select s1, s2, s3, s4, s5, count(*) as support, SHA256(JOINED(LIST(thread_key), ',')) as evidence, 3 + case when s4 <> '' then 1 else 0 end + case when s5 <> '' then 1 else 0 end as steps from matching group by s1, s2, s3, s4, s5 having count(*) >= 2),
+    longest as (select evidence, max(steps) as steps from counted group by evidence)
+    select concat_ws('>', c.s1, c.s2, c.s3, nullif(c.s4, ''), nullif(c.s5, '')) as pattern, c.support from counted c join longest l on l.evidence = c.evidence and l.steps = c.steps""")
 operator("a25_stage_sequence", """
     select thread_key, JOINED(MAP_EACH(LIST(step), w, split_part(w, '#', 2)), '>') as stages
     from (select thread_key, lpad(TEXT(row_number() over (partition by thread_key order by min(occurred_ts), signal_type)), 3, '0') || '#' || signal_type as step from raw_items group by thread_key, signal_type) x group by thread_key""")
@@ -81,9 +86,11 @@ operator("a34_context_accuracy", """
         coalesce(1e0 - FLOAT(count_if(c.reference_base is not null and c.status = 'superseded')) / nullif(count(c.reference_base), 0), 1e0) as referential
       from issues i left join claims c on i.id = c.issue_id group by i.id) x""")
 operator("a32_measure_project", """
-    select project_id, round(((1e0 - freshness) + ambiguity + (1e0 - coherence)) / 3e0, 4) as ambiguity_score from (
-      select i.project_id, avg(exp(-(:now - c.first_seen_ts) / 86400e0 / 90e0)) as freshness, FLOAT(count(distinct case when c.status = 'superseded' then c.reference_base end)) / greatest(count(distinct c.reference_base), 1) as ambiguity, 1e0 - FLOAT(count_if(c.status = 'superseded')) / count(*) as coherence
-      from issues i join claims c on i.id = c.issue_id where c.first_seen_ts <= :now group by i.project_id) x""")
+    with parts as (select i.project_id, 1e0 - avg(exp(-greatest(0e0, :now - c.first_seen_ts) / 86400e0 / 90e0)) as staleness, FLOAT(count(distinct case when c.status = 'superseded' then c.reference_base end)) / nullif(count(distinct c.reference_base), 0) as ambiguity,
+        FLOAT(count_if(c.status = 'superseded')) / count(*) as incoherence, 1e0 - FLOAT(count(distinct c.claim_type)) / 4e0 as missing
+      from issues i join claims c on i.id = c.issue_id where c.first_seen_ts <= :now group by i.project_id),
+    named as (select project_id, staleness, ambiguity, incoherence, missing, FILTER(ARRAY(case when staleness is null then 'freshness' end, case when ambiguity is null then 'referential' end, case when incoherence is null then 'coherence' end, case when missing is null then 'coverage' end), w, w is not null) as unmeasured from parts)
+    select project_id, case when SIZE(unmeasured) < 4 then round((coalesce(staleness, 0e0) + coalesce(ambiguity, 0e0) + coalesce(incoherence, 0e0) + coalesce(missing, 0e0)) / (4e0 - SIZE(unmeasured)), 4) end as ambiguity_score, JOINED(unmeasured, ',') as abstained from named""")
 operator("a36_volatility_population", "select id, case when count(*) >= 3 then round(least(1e0, stddev_pop(score) / 0.25e0), 6) end as volatility from (select id, score, row_number() over (partition by id order by seq desc) as r from scores) x where r <= 5 group by id")
 operator("a37_volatility_sample", "select id, round(least(1e0, stddev_samp(score) / 0.25e0), 6) as volatility from (select id, score, row_number() over (partition by id order by seq desc) as r from scores) x where r <= 5 group by id having count(*) >= 2")
 operator("a38_project_parties", """
@@ -94,7 +101,7 @@ operator("a39_away_summary", """
     select i.project_id, count(distinct case when i.updated_at > :now - 2592000 then i.id end) as touched, count(distinct case when i.state = 'done' and i.updated_at > :now - 2592000 then i.id end) as closed, count(case when c.first_seen_ts > :now - 2592000 then 1 end) as new_claims
     from issues i left join claims c on c.issue_id = i.id group by i.project_id having count(distinct case when i.updated_at > :now - 2592000 then i.id end) > 0""")
 operator("a40_status_report", """
-    with per_project as (select p.id, p.name, p.relationship_id, count(i.id) as n, count_if(i.state <> 'done') as n_open, max(i.value_amount) as top_value, min(i.due) as next_due from projects p join issues i on i.project_id = p.id where i.id % 7 = 0 group by p.id, p.name, p.relationship_id),
+    with per_project as (select p.id, p.name, p.relationship_id, count(i.id) as n, count_if(i.state <> 'done') as n_open, max(i.value_amount) as top_value, min(i.due) as next_due from projects p join issues i on i.project_id = p.id group by p.id, p.name, p.relationship_id),
     sizes as (select relationship_id, count(*) as members from per_project group by relationship_id)
     select 'relationship' as kind, TEXT(x.relationship_id) as name, SUMS(x.n) as n, SUMS(x.n_open) as n_open, max(x.top_value) as top_value, min(x.next_due) as next_due from per_project x join sizes s on x.relationship_id = s.relationship_id where s.members >= 2 group by x.relationship_id
     union all select 'project', x.name, x.n, x.n_open, x.top_value, x.next_due from per_project x join sizes s on x.relationship_id = s.relationship_id where s.members < 2""")
@@ -116,6 +123,11 @@ operator("a54_outcome_summary", "select action_kind, count(*) as n, count_if(out
 operator("a55_values_for_issues", "select i.id, coalesce(max(c.amount), 0e0) as amount from issues i left join claims c on i.id = c.issue_id and c.claim_type = 'commitment' group by i.id")
 operator("a56_content_hashes", "select id, SHA256(chr(123) || '\"owner\":\"' || owner || '\",\"text\":\"' || text || '\",\"type\":\"' || claim_type || '\"' || chr(125)) as content_hash from claims")
 operator("a57_handoff_package", "select p.id, p.name, count(distinct i.id) as n_issues, JOINED(MAP_EACH(SET(case when i.state <> 'done' then i.id end), v, TEXT(v)), ',') as open_issues, JOINED(SET(c.owner), ',') as owners, count_if(c.claim_type = 'decision') as n_decisions from projects p join issues i on i.project_id = p.id join claims c on c.issue_id = i.id group by p.id, p.name")
-operator("a58_other_portfolio_value", "select i.id, round(coalesce(sum(i.value_amount) over (partition by p.company), 0e0) - i.value_amount, 2) as other_value from issues i join parties p on p.id = i.project_id where i.state <> 'done' and p.company <> ''")
+operator("a58_other_portfolio_value", """
+    with open_issues as (select i.id, p.company, i.value_amount from issues i join parties p on p.id = i.project_id where i.state <> 'done' and p.company <> ''),
+    totals as (select company, sum(value_amount) as amount from open_issues group by company)
+    select o.id, round(t.amount - o.value_amount, 2) as other_value from open_issues o join totals t on o.company = t.company""")
 operator("a59_unmatched_definitions", "select signal_type, issue_id, max(occurred_ts) as last_ts from raw_items group by signal_type, issue_id having :now_events - max(occurred_ts) > 5 * 86400")
-operator("a60_party_indexes", "select lower(display_name) as name_key, count(*) as n, JOINED(MAP_EACH(FIRST_N(LIST(id), 5), v, TEXT(v)), ',') as ids from parties group by lower(display_name)")
+operator("a60_party_indexes", """
+    with ranked as (select lower(display_name) as name_key, id, row_number() over (partition by lower(display_name) order by id) as r from parties)
+    select name_key, max(r) as n, JOINED(MAP_EACH(LIST(case when r <= 5 then id end), v, TEXT(v)), ',') as ids from ranked group by name_key""")

@@ -14,7 +14,9 @@ def scalar(name: str, expression: str, view: str, key: str = "id", more: str = "
 scalar("f01_normalize_company_name", t.normalize_company_name("name"), "companies")
 scalar("f02_entity_key", t.entity_key("name"), "companies")
 scalar("f03_reference_base", t.reference_base("subject"), "raw_items")
-scalar("f04_classify_signal", t.classify_signal("subject", "from_actor"), "raw_items")
+operator("f04_classify_signal", f"""
+    select id, {t.classify_signal("subject", "from_actor")} as result, {t.signal_treatment("subject", "from_actor", "'PR' || TEXT(k)", ("status_request",))} as treatment,
+      nullif(regexp_extract(upper(subject), '(PR[0-9]+(-V[0-9]+)?)', 1), '') as pr_number from raw_items""")
 scalar("f06_normalize_subject", t.normalize_subject("subject"), "raw_items")
 scalar("f07_conservative_normalize", t.conservative_normalize("body_preview"), "raw_items")
 scalar("f08_sender_domain", t.sender_domain("from_actor"), "raw_items")
@@ -71,8 +73,8 @@ operator("f30_match_signal_type", """
     with types as (select * from (values (1, 'signup'), (2, 'click'), (3, 'view'), (4, 'error'), (5, 'purchase')) as v(n, name)),
     asked as (select id, case id % 6 when 0 then TEXT(id % 7) when 1 then upper(signal_type) when 2 then substr(signal_type, 2, 3) else 'i' end as answer from raw_items),
     exact as (select a.id, min(name) as name from asked a join types on LIKES(answer, '^[0-9]+$') and TOLONG(answer) = n or lower(answer) = name group by a.id),
-    part as (select a.id, min(name) as name from asked a join types on contains(name, lower(answer)) and not LIKES(answer, '^[0-9]+$') group by a.id having count(*) = 1)
-    select a.id, a.answer, coalesce(exact.name, part.name) as matched from asked a left join exact on a.id = exact.id left join part on a.id = part.id""")
+    partly as (select a.id, min(name) as name from asked a join types on contains(name, lower(answer)) and not LIKES(answer, '^[0-9]+$') group by a.id having count(*) = 1)
+    select a.id, a.answer, coalesce(exact.name, partly.name) as matched from asked a left join exact on a.id = exact.id left join partly on a.id = partly.id""")
 
 # time
 scalar("t01_parse_iso", "coalesce(EPOCH_ISO(case when id % 4 = 0 then 'not a date' else TEXT(occurred_at) end), :now_events)", "raw_items")
@@ -102,17 +104,25 @@ operator("m02_score_claim", f"""
     select id, issue_id, round(0.4e0 * greatest(0e0, {t.staleness_urgency('first_seen_ts')}) + 0.3e0 * case date_kind when 'hard' then 1e0 when 'soft' then 0.5e0 else 0e0 end
       + 0.15e0 * {t.value_urgency('amount')} + 0.15e0 * case when escalated then least(1e0, 1e0 / 3e0) else 0e0 end, 4) as score from claims where claim_type in ('ask', 'commitment')""")
 operator("m01_score_issue", f"""
-    select id, case when state = 'done' then 0e0 else round(case when has_unmet_prerequisite then 0.6e0 else 1e0 end * least(1e0, least(1e0, base * accuracy + 0.05e0 * least(snoozes, 5)) + 0.04e0 * least(greatest(0, asks - 1), 5)), 4) end as score,
+    with baselines as (select category, greatest(3e0, round(MEDIAN(gap), 6)) as days from (select category, (updated_at - lag(updated_at) over (partition by category, project_id order by updated_at, id)) / 86400e0 as gap from issues) g where gap > 0 group by category having count(*) >= 8),
+    evidence as (select issue_id, count_if(claim_type = 'ask' and status = 'open') as asks, round(avg(exp(-greatest(0e0, :now - last_seen_ts) / 86400e0 / 90e0)), 6) as freshness, bool_or(reference_base is not null) as referenced from claims group by issue_id),
+    backed as (select distinct i.id as issue_id from issues i join claims c on c.issue_id = i.id and c.claim_type = 'decision' where round(c.amount / 1000e0, 0) = round(i.value_amount / 1000e0, 0)),
+    snoozed as (select issue_id, count(*) as n, max(changed_ts) as last_ts from states where to_state = 'waiting' and actor is not null group by issue_id),
+    parts as (
+      select i.id, i.state, i.has_unmet_prerequisite, i.value_amount, coalesce(c.asks, 0) as asks, coalesce(s.n, 0) as snoozes, s.last_ts, b.issue_id is not null as corroborated, {t.due_urgency('i.due')} as due_urgency,
+        LONG(floor(greatest(0e0, :now - i.updated_at) / 86400e0)) as quiet,
+        round((case when i.category is null or i.category = 'other' then 0e0 else 0.5e0 end + case when c.issue_id is null then 0e0 else 0.5e0 end + coalesce(c.freshness, 1e0)
+          + case when c.referenced then 1e0 else 0.15e0 end + case when c.referenced then 1e0 else 0e0 end) / 4e0, 6) as accuracy,
+        0.45e0 * case i.state when 'active' then 1e0 when 'blocked' then 0.3e0 else 0e0 end + 0.25e0 * least(1e0, greatest(0e0, :now - i.updated_at) / 86400e0 / coalesce(l.days, 14e0)) + 0.12e0 * {t.due_urgency('i.due')} + 0.18e0 * {t.value_urgency('i.value_amount')} as base
+      from issues i left join evidence c on i.id = c.issue_id left join snoozed s on i.id = s.issue_id left join backed b on i.id = b.issue_id left join baselines l on l.category = i.category),
+    scored as (select *, least(1e0, least(1e0, round(base * accuracy, 6) + 0.05e0 * least(snoozes, 5)) + 0.04e0 * least(greatest(0, asks - 1), 5)) as boosted from parts)
+    select id, case when state = 'done' then 0e0 else FLOAT(round(cast(case when has_unmet_prerequisite then 0.6e0 else 1e0 end * case when corroborated then least(1e0, boosted + 0.05e0) else boosted end as decimal(18, 8)), 4)) end as score,
       case when state = 'done' then 'closed' when reasons = '' then 'waiting on someone else' else reasons end as reason
-    from (
-      select i.id, i.state, i.has_unmet_prerequisite, coalesce(c.asks, 0) as asks, coalesce(s.snoozes, 0) as snoozes, exp(-greatest(0e0, :now - i.updated_at) / 86400e0 / 900e0) as accuracy,
-        0.45e0 * case i.state when 'active' then 1e0 when 'blocked' then 0.3e0 else 0e0 end + 0.25e0 * {t.staleness_urgency('i.updated_at')} + 0.12e0 * {t.due_urgency('i.due')} + 0.18e0 * {t.value_urgency('i.value_amount')} as base,
-        concat_ws(' · ', case when i.has_unmet_prerequisite then 'prerequisite not met' end, case i.state when 'active' then 'your move' when 'blocked' then 'blocked' end,
-          case when :now - i.updated_at >= 604800 then 'quiet ' || TEXT(LONG(floor((:now - i.updated_at) / 86400e0))) || 'd' end, case when {t.due_urgency('i.due')} > 0.9e0 then 'overdue' when {t.due_urgency('i.due')} > 0.3e0 then 'due soon' end,
-          case when i.value_amount >= 1000 then 'value at stake' end, case when coalesce(s.snoozes, 0) >= 2 then 'snoozed' end, case when coalesce(c.asks, 0) >= 3 then TEXT(c.asks) || ' open asks' end) as reasons
-      from issues i left join (select issue_id, count(*) as asks from claims where claim_type = 'ask' and status = 'open' group by issue_id) c on i.id = c.issue_id
-      left join (select issue_id, count(*) as snoozes from states where to_state = 'waiting' and actor is not null group by issue_id) s on i.id = s.issue_id
-    ) x""")
+    from (select *, concat_ws(' · ', case when has_unmet_prerequisite then 'prerequisite not met' end, case state when 'active' then 'your move' when 'blocked' then 'blocked but stuck' end,
+        case when quiet >= 7 then 'quiet ' || TEXT(quiet) || 'd' end, case when due_urgency > 0.9e0 then 'overdue' when due_urgency > 0.3e0 then 'due soon' end,
+        case when value_amount >= 1000000 then '$' || TEXT(LONG(floor(value_amount / 100000e0)) / 10e0) || 'M' when value_amount >= 1000 then '$' || THOUSANDS(value_amount) end,
+        case when corroborated then 'value confirmed by attachment' end, case when snoozes >= 2 then 'snoozed ' || TEXT(snoozes) || 'x, last ' || TEXT(LONG(floor((:now - last_ts) / 86400e0))) || 'd ago' end,
+        case when asks >= 3 then TEXT(asks) || ' open asks' end) as reasons from scored) x""")
 
 # projections and predicates
 operator("p01_slim", "select id, coalesce(display_title, title) as title, state, category from issues")
@@ -122,8 +132,8 @@ operator("p04_meeting_prep", "select issue_id, min(occurred_ts) as next_ts, roun
 operator("p05_snooze_history", "select issue_id, changed_ts, actor from states where to_state = 'waiting' and actor is not null")
 operator("p06_closed_and_stale", "select id, state = 'done' and updated_at < :now - 365 * 86400 as closed_and_stale from issues")
 operator("p07_project_noise", f"""
-    select i.issue_id, bool_and(coalesce(i.domain, '') in ('mail.firm1.example', 'mail.firm2.example', 'home.example', 'mail.firm5.example')) and count(i.pr_number_base) = 0 and not bool_or(i.money) as noise
-    from (select issue_id, {t.sender_domain('from_actor')} as domain, pr_number_base, LIKES(body_preview, '[$][0-9]') as money from raw_items where id % 15 = 2) i group by i.issue_id""")
+    select i.issue_id, bool_and(coalesce(i.domain, '') in (:noise_domains)) and count(i.pr_number_base) = 0 and not bool_or(i.money) as noise
+    from (select issue_id, {t.sender_domain('from_actor')} as domain, pr_number_base, LIKES(body_preview, '[$][0-9]') as money from raw_items) i group by i.issue_id""", noise_domains="'mail.firm1.example', 'mail.firm2.example', 'home.example', 'mail.firm5.example'")
 operator("p08_repeat_signals", "select id, issue_id, round((last_seen_ts - first_seen_ts) / 86400e0, 2) as days_between from claims where last_seen_ts > first_seen_ts order by days_between desc, id")
 operator("p09_fyi_real_signal", "select id, pr_number_base is not null or LIKES(from_actor, 'firm[0-3]') or contains(subject, 'PR') or contains(body_preview, '/sites/') as real_signal from raw_items where item_class = 'FYI-EVIDENCE'")
 operator("p10_personal_block", "select id, SIZE(FILTER(ARRAY(lower(from_actor), case when id % 2 = 0 then lower(from_actor) else 'guest@x.example' end), w, w <> lower(from_actor))) = 0 as personal from raw_items where source = 'calendar'")
@@ -131,9 +141,17 @@ operator("p11_domain_matches", "select id, domain = 'mail.firm-3.com' or domain
 operator("p13_patterns", "select id, JOINED(FILTER(ARRAY(case when contains(lower(text), 'send') then 'send' end, case when LIKES(text, '[$][0-9]+k') then 'money' end, case when LIKES(text, 'part [0-9][0-9]') then 'part' end), w, w is not null), ',') as keys from claims")
 operator("p14_paragraphs", "select id, SIZE(FILTER(MAP_EACH(SPLIT(text, chr(10)), p, trim(p)), w, w <> '')) as n_paragraphs, AT(FILTER(MAP_EACH(SPLIT(text, chr(10)), p, trim(p)), w, w <> ''), 1) as first_paragraph from documents_")
 operator("p15_topic_key", "select id, case when id % 3 = 0 and length(lower(title)) >= 15 then lower(title) end as topic_key from issues")
-operator("p16_domain_seen_on_issue", f"select a.id, exists (select 1 from (select issue_id, {t.sender_domain('from_actor')} as domain, id from raw_items) b where b.issue_id = a.issue_id and b.id < a.id and (b.domain = a.domain)) as seen from (select id, issue_id, {t.sender_domain('from_actor')} as domain from raw_items) a")
+operator("p16_domain_seen_on_issue", f"""
+    with items as (select id, issue_id, {t.sender_domain('from_actor')} as domain from raw_items), firsts as (select issue_id, domain, min(id) as id from items where domain is not null group by issue_id, domain)
+    select a.id, coalesce(f.id < a.id, false) as seen from items a left join firsts f on f.issue_id = a.issue_id and f.domain = a.domain""")
 operator("p17_proactive_action", "select id, case when direction <> 'inbound' then null when k % 4 = 0 and contains(subject, 'review') then 'redline' when contains(subject, 'Status') then 'status_reply' end as action from raw_items")
-operator("p18_issues_to_check", "select i.id, j.id as related_id from (select id, project_id from issues where id % 50 = 0) i join issues j on i.project_id = j.project_id where j.state <> 'done'")
+operator("p18_issues_to_check", """
+    with siblings as (select i.id, j.id as related_id from issues i join issues j on i.project_id = j.project_id and i.id <> j.id),
+    suppliers as (select distinct issue_id, supplier_id from claims where escalated),
+    alone as (select i.id from issues i where not exists (select 1 from siblings s where s.id = i.id)),
+    shared as (select distinct a.id, y.issue_id as related_id from alone a join suppliers x on x.issue_id = a.id join suppliers y on y.supplier_id = x.supplier_id and y.issue_id <> x.issue_id)
+    select id, related_id, 'project' as via from siblings union all select id, related_id, 'supplier' from shared
+    union all select a.id, a.id, 'itself' from alone a where not exists (select 1 from shared s where s.id = a.id)""")
 
 # arrays, JSON, parsing
 operator("n02_claim_specs", "select id, 'ask' as claim_type, w as text from (select id, UNNEST(SPLIT(text, '[.] ')) as w from documents_ where lang = 'en') x where w <> '' union all select id, 'decision', w from (select id, UNNEST(SPLIT(text, chr(10))) as w from documents_ where lang = 'fr') y where w <> ''")

@@ -40,6 +40,7 @@ MACROS = {
     "MONTHS": ("sequence(add_months(date_trunc('month', {0}), 1 - {1}), date_trunc('month', {0}), interval 1 month)",
                "generate_series(date_trunc('month', {0}) - to_months({1} - 1), date_trunc('month', {0}), interval 1 month)"),
     "SPAN": ("sequence({0}, {1})", "generate_series({0}, {1})"),
+    "THOUSANDS": ("format_number(cast(round({0}, 0) as bigint), 0)", "format('{:,}', cast(round({0}, 0) as bigint))"),
     "TEXT": ("cast({0} as string)", "cast({0} as varchar)"),
     "FLOAT": ("cast({0} as double)", "cast({0} as double)"),
     "WHOLE": ("cast({0} as bigint)", "cast(trunc({0}) as bigint)"),

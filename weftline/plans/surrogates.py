@@ -31,7 +31,7 @@ VIEWS = {
         select o_orderkey as id, o_custkey as project_id, case o_orderstatus when 'O' then 'active' when 'P' then 'waiting' else 'done' end as state,
           o_orderpriority as category, EPOCH(o_orderdate) as updated_at, o_orderdate as updated_time, EPOCH(o_orderdate) - (o_orderkey % 40) * 86400e0 as opened_at,
           EPOCH(o_orderdate) + 1209600e0 as due, o_totalprice as value_amount, case when o_orderkey % 9 = 0 then null else round(o_totalprice / 500000e0, 4) end as priority_score,
-          'Order ' || TEXT(o_orderkey) || ' for customer ' || TEXT(o_custkey) as title, case when o_orderkey % 4 = 0 then 'Renewal ' || TEXT(o_custkey) end as display_title,
+          'Order ' || TEXT(o_orderkey) || ' deal ' || TEXT(100000000 + o_custkey * 48271 % 899999) as title, 'user' || TEXT(o_custkey % 997) as contact, case when o_orderkey % 4 = 0 then 'Renewal ' || TEXT(o_custkey) end as display_title,
           o_orderkey % 5 = 0 as has_unmet_prerequisite, 'user' || TEXT(o_orderkey % 13) as owner
         from orders""",
     "projects": """
@@ -45,7 +45,7 @@ VIEWS = {
         select s_suppkey as id, case s_suppkey % 6 when 0 then 'The ' else '' end || 'Firm' || TEXT(s_suppkey % 25) || case s_suppkey % 5 when 0 then ' Inc.' when 1 then ', LLC' when 2 then ' GmbH' when 3 then ' (Holdings)' else '' end as name,
           'mail.firm-' || TEXT(s_suppkey % 25) || case when s_suppkey % 2 = 0 then '.co.uk' else '.com' end as domain from supplier""",
     "claims": """
-        select l_orderkey * 10 + l_linenumber as id, l_orderkey as issue_id, l_partkey as raw_item_id,
+        select (l_orderkey * 10 + l_linenumber) * 1000000 + (l_partkey * 7 + l_suppkey * 977 + LONG(round(l_extendedprice * 100, 0))) % 1000000 as id, l_orderkey as issue_id, l_partkey as raw_item_id,
           case when l_linenumber = 7 then 'date' when l_returnflag = 'A' then 'ask' when l_returnflag = 'N' then 'commitment' else 'decision' end as claim_type,
           case when l_linestatus = 'O' then 'open' when l_linenumber % 2 = 0 then 'superseded' else 'done' end as status,
           'Send part ' || TEXT(l_partkey % 97) || ' worth $' || TEXT(LONG(l_quantity)) || 'k by the date' as text, 'user' || TEXT(l_suppkey % 13) as owner,
@@ -61,6 +61,9 @@ VIEWS = {
     "outcomes": "select doc_id as id, case quality when 1 then 'accepted' else 'dismissed' end as outcome, toxic = 1 as rewritten, case doc_id % 3 when 0 then 'reply' when 1 then 'escalate' else 'close' end as action_kind from labels",
     "scores": "select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, round(l_discount * 5 + l_tax, 4) as score, EPOCH(l_shipdate) as ts from lineitem",
     "rules": """select * from (values (1, 'signup', 'purchase'), (2, 'click', 'purchase'), (3, 'view', 'error'), (4, 'error', 'signup')) as t(rule_id, requires_type, trigger_type)""",
+    "vetoes": "select o_orderkey as id_a, o_orderkey + 7 as id_b from orders where o_orderkey % 50 = 0",
+    "closures": """select * from (values ('click', 'purchase'), ('view', 'signup')) as t(request_type, closure_type)""",
+    "actions": "select event_id as id, user_id as issue_id, EPOCH(ts) as requested_ts, case event_id % 3 when 0 then 'done' when 1 then 'pending' else 'running' end as status, event_type as action_kind from events",
     "states": "select o_orderkey as issue_id, o_orderkey % 3 as n, case when o_orderkey % 2 = 0 then 'waiting' else 'active' end as to_state, 'active' as from_state, EPOCH(o_orderdate) as changed_ts, case when o_orderkey % 4 < 3 then 'user' || TEXT(o_orderkey % 5) end as actor from orders",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -69,4 +72,5 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def used(text: str) -> list[str]:
     """The views and tables that a statement reads."""
     words = set(re.findall(r"(?:from|join) +([a-z_]+)", text))
+    words -= set(re.findall(r"(?:with(?: +recursive)?|,)\s+([a-z_]+) as \(", text))  # the statement's own names
     return [v for v in [*VIEWS, *TABLES] if v in words]
