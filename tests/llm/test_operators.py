@@ -287,6 +287,43 @@ def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
     assert embdedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_of_a_rarer_size_take_part(spark):
+    rng = np.random.default_rng(3)
+    common, rare = rng.normal(size=(300, 16)), rng.normal(size=(30, 9))
+    rare[1] = 2 * rare[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(common)] + [(1000 + i, v.tolist(), 1) for i, v in enumerate(rare)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embdedup.near_duplicates(df).collect()}
+    assert got[1000]["n_links"] == 1 and got[1001]["component_id"] == 1000 and len(got) == 330
+    near = ann.search(df).toPandas()
+    for q in (1000, 1020):
+        own = near[near["query_id"] == q].sort_values("rank")
+        s = rare @ rare[q - 1000]
+        s[q - 1000] = -np.inf
+        assert (own["vec_id"] - 1000).tolist() == np.lexsort((np.arange(30), -s))[:20].tolist()
+
+
+def test_a_query_goes_on_until_it_has_enough(spark, monkeypatch):
+    monkeypatch.setattr(ann, "fit", lambda x, parts, recall: ann.Router(np.eye(16), np.zeros(16), 1))
+    x = np.random.default_rng(5).normal(size=(200, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert (ann.search(df).toPandas().groupby("query_id").size() == 20).all()
+
+
+@pytest.mark.parametrize("rows", [1000, 1 << 21, 1 << 27])
+def test_tables_keep_the_recall_with_more_axes(rows):
+    plan = embdedup.plan_of(rows)
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.93 * a + (1 - 0.93**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = embdedup.codes(a, plan), embdedup.codes(b, plan)
+    met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=(1, 2))
+    assert met.mean() >= 0.97, met.mean()
+
+
 def test_hadamard_is_orthonormal():
     y = embdedup.hadamard(np.eye(8))
     assert np.allclose(y @ y.T, np.eye(8))

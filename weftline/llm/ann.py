@@ -15,13 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, LongType
 
-from weftline.llm.common import stored
-from weftline.llm.vectors import main_size, matrix, usable
+from weftline.llm.common import Scratch
+from weftline.llm.vectors import matrix, usable
 
-#: Vectors that the graph and the classifier are fitted on, at most.
+#: Vectors that the graph and the classifier are fitted on; with many parts, 32 a part.
 SAMPLE = 6000
+#: Vector sizes that have an index; parts of size d are numbered from d * STEP on.
+ROUTED, STEP = 4, 1 << 20
 NEIGHBOURS = 12
 #: Candidates and queries that meet in one task at a time.
 BLOCK, QUERY_BLOCK = 8192, 2048
@@ -33,6 +35,10 @@ class Router:
     bias: np.ndarray
     probes: int
 
+    @property
+    def parts(self) -> int:
+        return len(self.bias)
+
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """The parts of each vector, most probable first."""
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
@@ -142,54 +148,77 @@ def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": v})
 
 
+def routers(rows: DataFrame, sizes: dict[int, int], parts: int | None, recall: float) -> dict[int, Router]:
+    """A router for each of the ROUTED most common vector sizes, fitted on a sample of its rows with the smallest hash of vec_id."""
+    out = {}
+    for size in sorted(sizes, key=lambda d: (-sizes[d], d))[:ROUTED]:
+        wanted = parts or int(np.clip(np.sqrt(sizes[size]) / 8, 4, 1024))
+        sample = rows.where(F.size("embedding") == size).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, 32 * wanted))
+        out[size] = fit(matrix(sample.select("embedding").toPandas()["embedding"]), wanted, recall)
+    return out
+
+
 def search(vectors: DataFrame, modulus: int = 20, k: int = 20, parts: int | None = None, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every usable row whose vec_id is divisible by `modulus`.
 
-    Every usable row is indexed; the sample is the SAMPLE rows with the smallest hash of vec_id, and `recall` is
-    reached on it. Vectors that are null, zero, not finite, or of another size than most take no part, nor do rows
-    without an id. Repeated rows of one id count once. Parts grow with the square root of the rows; a part that
-    many equal vectors fall into is dealt out in blocks.
+    Every usable row is indexed, and only vectors of one size are compared. Parts grow with the square root of the rows, and
+    with them the sample that they are fitted on: max(SAMPLE, 32 a part) rows, 32,768 at most; `recall` is reached on it.
+    Sizes beyond the ROUTED most common have one part each, which is searched whole. A query goes on to further parts until
+    those it was routed to hold k candidates. Vectors that are null, zero or not finite take no part, nor do rows without an
+    id. Repeated rows of one id count once, with the best score. A part that many rows fall into is dealt out in blocks.
+    Other columns are ignored, whatever their names; an empty table has an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable("embedding"))
-    size = main_size(rows, "embedding")
-    rows = rows.where(F.size("embedding") == size)
-    total = rows.count()
+    common = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(ROUTED).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not total:
+    if not common:
         return spark.createDataFrame([], schema)
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"])
-    router = spark.sparkContext.broadcast(fit(sample, parts or int(np.clip(np.sqrt(total) / 8, 4, 1024)), recall))
+    work = Scratch(spark, "ann")
+    shipped = spark.sparkContext.broadcast(routers(rows, {r["d"]: r["n"] for r in common}, parts, recall))
+    is_query = F.pmod("vec_id", F.lit(modulus)) == 0
 
-    def route(x: pd.Series) -> pd.Series:
-        own = router.value
-        return pd.Series(list(own.ranked(matrix(x))[:, : own.probes].astype(np.int32)))
+    def by_size(x: pd.Series, of) -> pd.Series:
+        """`of` (router, vectors) over each size among the vectors."""
+        size, out = x.map(len).to_numpy(), pd.Series([None] * len(x), dtype=object)
+        for d in np.unique(size):
+            at = np.flatnonzero(size == d)
+            for i, v in zip(at, of(int(d), matrix(x.iloc[at])), strict=True):
+                out[i] = v
+        return out
 
-    routed = stored(rows.withColumn("parts", F.pandas_udf(route, ArrayType(IntegerType()))("embedding")), "routed")
-    is_query = F.pmod("vec_id", F.lit(modulus)) == 0
-    counts = routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count("*").alias("n")).collect()  # one row a part
-    asked = routed.where(is_query).select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
-    blocks = {r["part"]: -(-r["n"] // BLOCK) for r in counts}
-    query_blocks = {r["part"]: -(-r["n"] // QUERY_BLOCK) for r in asked}
+    def home(x: pd.Series) -> pd.Series:
+        own = shipped.value
+        return by_size(x, lambda d, v: own[d].ranked(v)[:, 0] + d * STEP if d in own else np.full(len(v), d * STEP)).astype(np.int64)
 
-    def number(of: dict, part) -> F.Column:
-        if not of:
-            return F.lit(0)
-        return F.coalesce(F.create_map(*[F.lit(v) for kv in of.items() for v in kv])[part], F.lit(0))
+    indexed = work.stored(rows.withColumn("part", F.pandas_udf(home, LongType())("embedding")), "indexed")
+    held = indexed.groupBy("part").agg(F.countDistinct("vec_id").alias("n"))
+    held = {r["part"]: r["n"] for r in held.where(F.col("part").isin([d["d"] * STEP + j for d in common for j in range(shipped.value[d["d"]].parts)])).collect()}  # at most ROUTED x 1,024 rows
+
+    def probed(x: pd.Series) -> pd.Series:
+        own = shipped.value
+
+        def of(d, v):
+            if d not in own:
+                return [[d * STEP]] * len(v)
+            ranked = own[d].ranked(v) + d * STEP
+            enough = np.cumsum(np.vectorize(lambda p: held.get(p, 0))(ranked), axis=1) > k
+            need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, ranked.shape[1])
+            return [r[: max(own[d].probes, n)].tolist() for r, n in zip(ranked, need, strict=True)]
+
+        return by_size(x, of)
+
+    asked = work.stored(indexed.where(is_query).withColumn("part", F.explode(F.pandas_udf(probed, ArrayType(LongType()))("embedding"))), "asked")
+    blocks = held_blocks(indexed, BLOCK).join(held_blocks(asked, QUERY_BLOCK).withColumnRenamed("blocks", "query_blocks"), "part")
 
     def spread(df, own, other):
         """A row's own block by hash, once for each block of the other side."""
-        mine = F.pmod(F.xxhash64("vec_id"), number(own, F.col("part"))).cast("int")
-        theirs = number(other, F.col("part"))
-        return df.withColumn("_own", mine).where((number(own, F.col("part")) > 0) & (theirs > 0)).withColumn("_other", F.explode(F.sequence(F.lit(0), theirs - 1)))
+        df = df.join(blocks, "part").withColumn("_own", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
+        return df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    c = spread(routed.select(F.col("parts")[0].alias("part"), "vec_id", "embedding"), blocks, query_blocks).select(
-        "part", F.col("_own").alias("cb"), F.col("_other").alias("qb"), "vec_id", "embedding"
-    )
-    q = spread(routed.where(is_query).select(F.explode("parts").alias("part"), "vec_id", "embedding"), query_blocks, blocks).select(
-        "part", F.col("_other").alias("cb"), F.col("_own").alias("qb"), "vec_id", "embedding"
-    )
+    c = spread(indexed, "blocks", "query_blocks").select("part", F.col("_own").alias("cb"), F.col("_other").alias("qb"), "vec_id", "embedding")
+    q = spread(asked, "query_blocks", "blocks").select("part", F.col("_other").alias("cb"), F.col("_own").alias("qb"), "vec_id", "embedding")
 
     def rerank(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
@@ -199,7 +228,12 @@ def search(vectors: DataFrame, modulus: int = 20, k: int = 20, parts: int | None
     cell = ["part", "cb", "qb"]
     found = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return spark.sql(
+    return work.keep(spark.sql(
         "select query_id, rank, vec_id, score from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank "
         f"from {{found}}) where rank <= {int(k)}", found=found
-    )
+    ))
+
+
+def held_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """part, blocks: how many blocks of `most` rows the rows of a part make."""
+    return rows.groupBy("part").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("blocks"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,3 @@ def usable(column: str) -> Column:
 
 def matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.empty((0, 0))
-
-
-def main_size(vectors: DataFrame, column: str) -> int:
-    """The number of components that most vectors have; 0 for an empty table."""
-    found = vectors.groupBy(F.size(column).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return int(found["d"]) if found else 0
