@@ -1,5 +1,6 @@
 """The training-data operators on small fixtures, against brute force, round trips and the cases their docstrings define."""
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -424,19 +425,47 @@ def test_packing_is_whole_and_tight(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_plan_places_every_rank_once():
-    rng = random.Random(5)
-    for _ in range(20):
-        capacity = rng.randrange(1, 60)
-        histogram = {n: rng.randrange(0, 200) for n in range(1, capacity + 1)}
-        used, ranks = Counter(), {n: [] for n in histogram}
-        for length, rank, count, first, offset in packing.plan(histogram, capacity):
-            ranks[length] += range(rank, rank + count)
-            for s in range(first, first + count):
-                assert used[s] == offset
-                used[s] += length
-        assert all(sorted(r) == list(range(histogram[n])) for n, r in ranks.items()) and max(used.values(), default=0) <= capacity
-        assert len(used) <= 1.25 * math.ceil(sum(n * c for n, c in histogram.items()) / capacity) + 1
+def test_a_sweep_matches_like_brackets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 60):
+        kind = rng.integers(0, 2, n)
+        stack, docs, slots, spare = [], [], [], []
+        for i, k in enumerate(kind):
+            if k == 0:
+                stack.append(i)
+            elif stack:
+                docs.append(stack.pop())
+                slots.append(i)
+            else:
+                spare.append(i)
+        got = packing.nested(kind)
+        assert sorted(zip(got[0], got[1], strict=True)) == sorted(zip(docs, slots, strict=True))
+        assert got[2].tolist() == spare and got[3].tolist() == stack
+
+
+def best_fit(lengths, capacity):
+    """The number of sequences by plain best fit, the longest first."""
+    gaps, used = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        used += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return used
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_packing_needs_no_more_sequences_than_best_fit(spark, monkeypatch, seed):
+    monkeypatch.setattr(packing, "RANGE", 300)
+    rng, capacity = random.Random(seed), 256
+    lengths = [min(capacity, 1 + int(rng.lognormvariate(3.5 + seed * 0.5, 0.8))) for _ in range(3000)] + [37] * 900 + [capacity] * 20
+    df = spark.createDataFrame([(i, 0, n, "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length int, row string").repartition(5)
+    got = packing.pack(df, capacity).toPandas()
+    assert sorted(got["doc_id"]) == list(range(len(lengths))) and got.columns.tolist() == [*df.columns, "sequence_id", "offset"]
+    assert (got["length"] == [lengths[i] for i in got["doc_id"]]).all()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s["offset"]) == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= capacity
+    assert got["sequence_id"].nunique() <= 1.01 * best_fit(lengths, capacity) + 1
 
 
 # 9

@@ -1,10 +1,11 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Lengths are whole numbers up to the capacity, so the range-sorted documents are runs of equal length and the
-sorted gaps are runs of equal gap. A superstep takes the longest unplaced run, sweeps the gap runs for its
-successors (the smallest gaps that hold it), settles who gets which gap by rank within the two runs, updates
-those gaps and goes on. The plan works on runs alone, a table bounded by the capacity and not by the documents;
-ranking the documents and placing them happens in the cluster.
+Classes of lengths are placed from the longest down. A superstep range-sorts the documents of a class together with
+the gaps of the open sequences, a gap that holds several of the class as so many slots, and sweeps the sorted rows: a
+document waits on a stack, and a slot takes the last one, which is the longest that fits it, so the slot is that
+document's nearest free successor. Each task sweeps its range; what it leaves over, first slots without a document and
+then documents without a slot, is matched between ranges by rank, for which the driver needs two counts a task. Then
+the gaps are updated and the superstep is repeated, until hardly a document finds a gap. Those left open new sequences.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ import json
 import sys
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.chunks import cut
-from weftline.llm.common import read_bytes, stored
+from weftline.llm.common import Scratch, read_bytes
 
+#: Rows that a task sweeps, about.
+RANGE = 25_000
+#: Documents without a gap open sequences once fewer than one in so many of them found one in the last sweep.
+FEW = 10
 #: Pieces kept by a worker's cache; it starts anew beyond that.
 CACHE = 600_000
 _ENCODERS: dict[int, object] = {}  # of this worker, by the vocabulary's checksum
@@ -114,90 +120,137 @@ def tokenized_pieces(docs: DataFrame, spec: bytes, capacity: int = 2048, end_id:
     )
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """{length: count} -> (length, first rank, count, first sequence, offset): best fit, longest first.
+def bounds(capacity: int) -> list[tuple[int, int]]:
+    """Classes (over, up to) of lengths, the longest first: about so many of a class fill a sequence."""
+    cuts, n = [capacity], 2
+    while cuts[-1] > 1:
+        cuts.append(min(cuts[-1] - 1, capacity // n))
+        n += max(1, n // 2) if n < 16 else n
+    return list(zip([*cuts[1:], 0], cuts, strict=True))
 
-    Gap runs are (first sequence, count) under their gap; a superstep gives each sequence of the successor
-    runs at most one document of the current run, in rank order, and returns the shrunken gaps.
+
+def nested(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of documents (0) and slots (1) in order: matched documents, their slots, slots left over, documents left over.
+
+    A slot takes the last document that waits, as a bracket closes the last one open.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []  # the gaps that exist, ascending
-
-    def add(gap, first, count):
-        if gap and count:
-            if gap not in gaps:
-                insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, count))
-
-    out, opened = [], 0
-    for length in sorted((n for n in histogram if histogram[n]), reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect_left(order, length)
-            if at == len(order):  # no gap holds it: open sequences, each for as many as fit
-                fit = capacity // length
-                new = left // fit
-                for k in range(fit):
-                    if new:
-                        out.append((length, rank, new, opened, k * length))
-                        rank += new
-                add(capacity - fit * length, opened, new)
-                opened, left = opened + new, left - new * fit
-                if left:
-                    for k in range(left):
-                        out.append((length, rank + k, 1, opened, k * length))
-                    add(capacity - left * length, opened, 1)
-                    opened, left = opened + 1, 0
-                break
-            gap = order[at]
-            first, count = gaps[gap].pop()
-            take = min(left, count)
-            if take < count:
-                gaps[gap].append((first + take, count - take))
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            out.append((length, rank, take, first, capacity - gap))
-            add(gap - length, first, take)
-            rank, left = rank + take, left - take
-    return out
-
-
-def pack(pieces: DataFrame, capacity: int = 2048, chunks: int = 256) -> DataFrame:
-    """Adds sequence_id and offset to rows with a `length` of 1 to capacity.
-
-    Rows of one length are ranked in `chunks` classes dealt by row number, whose counts give the offsets, so
-    a length that a third of the rows share is not ranked in one task. The plan joins by length and rank.
+    depth = np.cumsum(np.where(kind == 0, 1, -1))
+    low = np.minimum(np.minimum.accumulate(depth), 0) if len(depth) else depth
+    spare = (kind == 1) & (low < np.concatenate(([0], low[:-1])))
+    depth = depth - low
+    level = np.where(kind == 0, depth, depth + 1)
+    at = np.flatnonzero(~spare)
+    order = at[np.argsort(level[at], kind="stable")]  # each level holds documents and slots in turn
+    pair = np.flatnonzero((kind[order[:-1]] == 0) & (kind[order[1:]] == 1) & (level[order[:-1]] == level[order[1:]]))
+    docs, slots = order[pair], order[pair + 1]
+    waiting = kind == 0
+    waiting[docs] = False
+    return docs, slots, np.flatnonzero(spare), np.flatnonzero(waiting)
+
+
+SWEPT = "p int, kind int, rank long, row long, length long, seq long, slot long, gap long"
+
+
+def swept(items: DataFrame, tasks: int) -> DataFrame:
+    """One superstep's sweep of (size, kind, row, seq, slot, gap): matched rows (kind 2), and with their rank in task p documents (0) and slots (1) left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        size, kind, row, seq, slot, gap = (rows.column(c).to_numpy() for c in ("size", "kind", "row", "seq", "slot", "gap"))
+        docs, slots, spare, waiting = nested(kind)
+        p = TaskContext.get().partitionId()
+        for k, d, s in ((2, docs, slots), (1, spare, spare), (0, waiting, waiting)):
+            columns = (np.full(len(d), p, np.int32), np.full(len(d), k, np.int32), np.arange(len(d)), row[d], size[d], seq[s], slot[s], gap[s])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["p", "kind", "rank", "row", "length", "seq", "slot", "gap"])
+
+    key = ["size", "kind", "salt"]
+    salted = items.withColumn("salt", F.xxhash64("row", "seq", "slot"))
+    ranged = salted.repartitionByRange(tasks, *key) if tasks > 1 else salted.repartition(1)
+    return ranged.sortWithinPartitions(*key).drop("salt").mapInArrow(run, SWEPT)
+
+
+def between(left: dict[int, tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], dict[int, int]]:
+    """{task: (slots, documents) left over} -> matches between tasks as (task, kind, first rank, how many, first number), and the documents of each that stay.
+
+    The same stack over the tasks in order: a task's slots take documents of the nearest task before it that has some.
+    The documents that stay are those of the lowest ranks.
     """
+    out, stack, number = [], [], 0
+    for p in sorted(left):
+        slots, docs = left[p]
+        at = 0
+        while at < slots and stack:
+            q, free = stack[-1]
+            n = min(free, slots - at)
+            out += [(q, 0, free - n, n, number), (p, 1, at, n, number)]
+            number, at = number + n, at + n
+            stack[-1] = (q, free - n)
+            if free == n:
+                stack.pop()
+        if docs:
+            stack.append((p, docs))
+    return out, dict(stack)
+
+
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """Adds sequence_id and offset to rows with a `length` of 1 to capacity."""
     spark = pieces.sparkSession
-    dealt = stored(pieces.withColumn("_chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")), "pieces")
-    counts = stored(dealt.groupBy("length", "_chunk").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    runs = plan(histogram, capacity)
-    starts = spark.sql(
-        "select length, _chunk, coalesce(sum(n) over (partition by length order by _chunk "
-        "rows between unbounded preceding and 1 preceding), 0) as _start from {counts}", counts=counts
-    )
-    ranked = spark.sql(
-        "select *, row_number() over (partition by length, _chunk order by doc_id, piece) - 1 as _r from {dealt}", dealt=dealt
-    ).join(starts, ["length", "_chunk"]).withColumn("_rank", F.col("_start") + F.col("_r"))
-    by_length: dict[int, list] = {}
-    for r in runs:
-        by_length.setdefault(r[0], []).append(r[1:])
-    shipped = spark.sparkContext.broadcast({n: np.array(v, dtype=np.int64) for n, v in by_length.items()})
-
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        n, k = length.to_numpy(), rank.to_numpy()
-        for size in np.unique(n):
-            at, run = np.flatnonzero(n == size), shipped.value[int(size)]
-            hit = np.searchsorted(run[:, 0], k[at], side="right") - 1
-            seq[at], off[at] = run[hit, 2] + (k[at] - run[hit, 0]), run[hit, 3]
-        return pd.DataFrame({"sequence_id": seq, "offset": off})
-
-    placed = F.pandas_udf(place, "sequence_id long, offset long")(F.col("length"), F.col("_rank"))
-    keep = [c for c in pieces.columns]
-    return ranked.withColumn("_at", placed).select(*keep, "_at.sequence_id", "_at.offset")
+    work = Scratch(spark, "pack")
+    rows = work.stored(pieces.select(F.monotonically_increasing_id().alias("row"), F.col("length").cast("long").alias("n"), F.struct("*").alias("piece")), "pieces")
+    classes = bounds(capacity)
+    of_class = F.lit(len(classes) - 1)
+    for k in range(len(classes) - 2, -1, -1):
+        of_class = F.when(F.col("n") > classes[k][0], k).otherwise(of_class)
+    counts = {r["c"]: r["count"] for r in rows.groupBy(of_class.alias("c")).count().collect()}  # a row a class
+    gaps, opened, placed = spark.createDataFrame([], "seq long, gap long"), 0, []
+    for k in sorted(counts):
+        over, upto = classes[k]
+        docs, left = rows.where((F.col("n") > over) & (F.col("n") <= upto)).select("row", F.col("n").alias("length")), counts[k]
+        while left:
+            slots = gaps.where(F.col("gap") > over).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.floor(F.col("gap") / upto)) - 1)))
+            slots = slots.select(F.least("gap", F.lit(upto).cast("long")).alias("size"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("row"), "seq", "slot", "gap")
+            none = F.lit(-1).cast("long")
+            items = docs.select(F.col("length").alias("size"), F.lit(0).alias("kind"), "row", none.alias("seq"), none.alias("slot"), none.alias("gap"))
+            sweep = work.stored(swept(items.unionByName(slots), max(1, -(-(left + opened) // RANGE))), "swept")
+            found = sweep.groupBy("p", "kind").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect()  # three rows a task
+            count = {(r["p"], r["kind"]): r["n"] for r in found}
+            crossing, stay = between({p: (count.get((p, 1), 0), count.get((p, 0), 0)) for p, _ in count})
+            matched = sum(n for (_, kind), n in count.items() if kind == 2) + sum(c[3] for c in crossing if c[1] == 0)
+            left = sum(stay.values())
+            own = sweep.where("kind = 2").select("row", "length", "seq", "slot", "gap")
+            ranks = spark.createDataFrame(crossing, "p int, kind int, first long, many long, number long") if crossing else None
+            if ranks is not None:  # at most four rows a task
+                met = sweep.join(F.broadcast(ranks), ["p", "kind"]).where("rank >= first and rank < first + many").withColumn("number", F.col("number") + F.col("rank") - F.col("first"))
+                own = own.unionByName(met.where("kind = 0").select("number", "row", "length").join(met.where("kind = 1").select("number", "seq", "slot", "gap"), "number").drop("number"))
+            fresh = 0
+            if left:
+                start, total = [], 0
+                for p in sorted(stay, reverse=True):
+                    start.append((p, stay[p], total))
+                    total += stay[p]
+                rest = sweep.where("kind = 0").join(F.broadcast(spark.createDataFrame(start, "p int, stays long, start long")), "p").where("rank < stays")  # a row a task
+                if matched * FEW < left:
+                    each = capacity // max(r["top"] for r in found if r["kind"] == 0)
+                    fresh, left = -(-left // each), 0
+                    place = F.col("start") + F.col("stays") - 1 - F.col("rank")
+                    own = own.unionByName(rest.select("row", "length", (F.lit(opened) + F.floor(place / each)).alias("seq"), (place % each).alias("slot"), F.lit(capacity).cast("long").alias("gap")))
+            step = work.stored(spark.sql("select row, length, seq, :capacity - gap + sum(length) over (partition by seq order by slot) - length as offset from {own}", args={"capacity": capacity}, own=own), "placed")
+            placed.append(step)
+            if fresh:
+                gaps = gaps.unionByName(spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+                opened += fresh
+            taken = step.groupBy("seq").agg(F.sum("length").alias("taken"))
+            gaps = work.stored(gaps.join(taken, "seq", "left").select("seq", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0"), "gaps")
+            docs = rest.select("row", "length") if left else None
+    if not placed:
+        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    at = placed[0]
+    for x in placed[1:]:
+        at = at.unionByName(x)
+    out = rows.join(at.select("row", F.col("seq").alias("sequence_id"), "offset"), "row").select("piece.*", "sequence_id", "offset")
+    return work.keep(out)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
