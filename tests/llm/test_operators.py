@@ -152,6 +152,27 @@ def toxic_sample(n=400, seed=0):
     return pd.DataFrame(rows, columns=["text", "label"])
 
 
+def test_quality_equals_a_direct_net():
+    """Every window, filter and chunk by plain loops."""
+    net = quality.new_net()
+    rng = random.Random(2)
+    texts = ["", "a", "é", prose(rng, 3), prose(rng, 9), prose(rng, 40), prose(rng, 200)]
+    expected = []
+    for t in texts:
+        raw = t.encode()
+        blocks = max(2, -(-(len(raw) + quality.WIDTH) // quality.BLOCK))
+        x = net.embed[np.frombuffer(raw.ljust(blocks * quality.BLOCK, b"\0"), np.uint8)]
+        windows = {at: x[at : at + quality.WIDTH].reshape(-1) @ net.filters for at in range(0, len(x) - quality.WIDTH + 1, quality.STRIDE)}
+        units = np.zeros(quality.UNITS)
+        for b in range(blocks - 1):
+            chunk = [v for at, v in windows.items() if b * quality.BLOCK <= at < (b + 2) * quality.BLOCK]
+            pooled = np.maximum(np.max(chunk, axis=0) + net.filter_bias, 0)
+            units = np.maximum(units, np.maximum(pooled @ net.dense + net.dense_bias, 0))
+        expected.append(1 / (1 + math.exp(-(units @ net.out + net.out_bias[0]))))
+    assert np.allclose(quality.probabilities(net, texts), expected, atol=1e-5)
+    assert np.allclose([quality.probabilities(net, [t])[0] for t in texts], expected, atol=1e-5)
+
+
 def test_toxic_spans_are_found():
     model = toxicity.fit(toxic_sample())
     test = toxic_sample(200, 9)
@@ -468,6 +489,16 @@ def test_packing_needs_no_more_sequences_than_best_fit(spark, monkeypatch, seed)
     assert got["sequence_id"].nunique() <= 1.01 * best_fit(lengths, capacity) + 1
 
 
+def test_encoder_is_the_plain_one_only_for_plain_files():
+    import json
+
+    with open(tokenizers_files.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        j = json.load(f)
+    assert packing.encoder(json.dumps(j).encode()).__name__ == "fast"
+    j["model"]["ignore_merges"] = True
+    assert packing.encoder(json.dumps(j).encode()).__name__ == "slow"
+
+
 # 9
 
 
@@ -481,6 +512,9 @@ def test_sharding_is_gapless_and_moves_rows_only_into_the_new_shard(spark, docs,
     assert (moved["grown_shard"] == 40).all() and 40 < len(moved) < 200
     assert got["shard"].value_counts().between(50, 160).all() and got["shard"].nunique() == 40
     by_id = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    alone = sharding.shard_documents(docs).toPandas()
+    of_texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.size, r.text_crc32) for r in alone.itertuples(index=False)) == of_texts
     for r in got[got["doc_id"] == 24].itertuples():
         assert r.text_crc32 in (zlib.crc32(b"t"), zlib.crc32(by_id[24].encode()))
     assert sharding.shard_documents(empty).count() == 0

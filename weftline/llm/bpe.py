@@ -225,7 +225,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every (doc_id, text).
 
     Null and empty texts have no ids. Rows keep their number and repeated rows their own line; nothing is
-    shuffled, and a task holds one batch and the cache.
+    shuffled, and a task holds one batch and the cache. Other columns are ignored, whatever their names; an empty table has
+    an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_bytes(docs.sparkSession, ranks_path))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold, stored
+from weftline.llm.common import Scratch, fold, stored
 from weftline.llm.words import Words, grouped
 
 DEPTH, SHARED, BITS, WORD_BITS = 6, 3, 22, 20
@@ -187,7 +187,7 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False) -> DataFrame:
+def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False, store=stored) -> DataFrame:
     """The nodes of the weighted tree: depth, key (context << 8 | node of the bit tree), zeros, ones, total, beta, p.
 
     All of them, or with `upper` those of contexts shorter than SHARED.
@@ -197,7 +197,7 @@ def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False) -> DataFram
         for x in _whole(batches):
             yield from _deep_nodes(x["key"].to_numpy(), x["n"].to_numpy(), depth, SHARED)[-1 if upper else 0 :]
 
-    levels = [stored(_together(counts.where("kind = 0")).mapInPandas(deep, NODE), "nodes")]
+    levels = [store(_together(counts.where("kind = 0")).mapInPandas(deep, NODE), "nodes")]
 
     def shallow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -208,7 +208,7 @@ def tree(counts: DataFrame, depth: int = DEPTH, upper: bool = False) -> DataFram
     for d in range(SHARED - 1, -1, -1):
         parent = (F.shiftright("key", 8).bitwiseAND((1 << 8 * d) - 1) * 256 + F.col("key").bitwiseAND(255)).alias("key")
         up = last.groupBy(parent).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("below"))
-        last = stored(up.select(F.lit(d).alias("depth"), "key", "zeros", "ones", "below").mapInPandas(shallow, NODE), "nodes")
+        last = store(up.select(F.lit(d).alias("depth"), "key", "zeros", "ones", "below").mapInPandas(shallow, NODE), "nodes")
         levels.append(last)
     out, *rest = levels[1:] if upper else levels
     for x in rest:
@@ -257,9 +257,9 @@ def log10_of(code: np.ndarray, model: list[Level], depth: int = DEPTH) -> np.nda
     return out
 
 
-def string_scores(counts: DataFrame) -> DataFrame:
+def string_scores(counts: DataFrame, store=stored) -> DataFrame:
     """key, seen, score: log10 of the probability of each string in the texts, and how often it stands there."""
-    upper = counts.sparkSession.sparkContext.broadcast(slot_table(tree(counts, upper=True)))
+    upper = counts.sparkSession.sparkContext.broadcast(slot_table(tree(counts, upper=True, store=store)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in _whole(batches):
@@ -270,7 +270,7 @@ def string_scores(counts: DataFrame) -> DataFrame:
             model = upper.value[:SHARED] + [(g["key"].to_numpy(), g["p"].to_numpy(), g["beta"].to_numpy()) for g in deep]
             yield pd.DataFrame({"key": code, "seen": seen, "score": log10_of(code, model)})
 
-    return stored(_together(counts.where("kind <> 1")).mapInPandas(run, "key long, seen long, score double"), "strings")
+    return store(_together(counts.where("kind <> 1")).mapInPandas(run, "key long, seen long, score double"), "strings")
 
 
 def string_table(scores: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -301,15 +301,16 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
 
     Learns from the rows whose crc32(doc_id) mod `modulus` isn't 0. Null and empty texts are the end token alone;
     repeated rows count and are scored each. Without training rows every bit has probability one half and the
-    base is 0.
+    base is 0. Other columns are ignored, whatever their names; an empty table has an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold("doc_id", modulus) == 0).alias("held_out"))
-    counts = stored(corpus_counts(docs), "counts")
+    work = Scratch(spark, "ctw")
+    counts = work.stored(corpus_counts(docs), "counts")
     sums = counts.where("kind = 1").agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
     below = total + 0.1 * (distinct + 1)
-    strings = string_scores(counts)
+    strings = string_scores(counts, work.stored)
     least, *table = string_table(strings, 1 << BITS)
     shipped = spark.sparkContext.broadcast((*table, *word_table(counts)))
 
@@ -352,7 +353,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
                 row += m
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, lost array<long>"
-    scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
+    scored = work.stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.lit(1).alias("kind"), F.explode("rare").alias("key")).unionByName(scored.select("row", F.lit(0).alias("kind"), F.explode("lost").alias("key")))
     rare = rare.groupBy("row", "kind", "key").agg(F.count("*").alias("tf"))
     values = counts.where("kind = 1").select("kind", "key", F.log10((F.col("n") + F.lit(0.1)) / F.lit(below)).alias("value"))
@@ -364,7 +365,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         F.sum(F.when(~word, F.col("tf") * F.col("value"))).alias("tail"),
     )
     out = scored.drop("rare", "lost").join(per_row, "row", "left")
-    return out.select(
+    return work.keep(out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
-    )
+    ))

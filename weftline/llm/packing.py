@@ -32,6 +32,12 @@ RANGE = 25_000
 FEW = 10
 #: Pieces kept by a worker's cache; it starts anew beyond that.
 CACHE = 600_000
+#: The tokenizers library's pattern of matches of byte-level BPE, as it is and with possessive repeats.
+BYTE_LEVEL = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s""",
+)
+PROBES = ["", "It's  we'll\n\n 12345 x_y?!\t end ", "naïve façade 東京 \u00a0\u2003x", "aaaaaaaaaaaaaaaa" * 9, "\r\n\x00 \U0001f600\u200d"]
 _ENCODERS: dict[int, object] = {}  # of this worker, by the vocabulary's checksum
 
 
@@ -46,8 +52,9 @@ def cached_encoder(spec: bytes):
 def encoder(spec: bytes):
     """text list -> list of id bytes (little-endian uint32), by a tokenizers file of byte-level BPE.
 
-    Where the file's merges are in the order of the ids of what they make and nothing else changes the text,
-    ids are ranks and the faster tiktoken engine gives the same ids; otherwise the tokenizers library encodes.
+    Where the file's merges are in the order of the ids of what they make, nothing else changes the text or the merging,
+    and the pattern of matches is the library's own, ids are ranks and the faster tiktoken engine gives the same ids, which
+    a few probes confirm; otherwise the tokenizers library encodes.
     """
     from tokenizers import Tokenizer
 
@@ -57,18 +64,20 @@ def encoder(spec: bytes):
     made = [j["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in j["model"].get("merges", [])]
     plain = (
         pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        and not j.get("normalizer") and made == sorted(made)
+        and not j.get("normalizer") and made == sorted(made) and j["model"].get("type", "BPE") == "BPE"
+        and not any(j["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     )
     specials = [t["content"] for t in j.get("added_tokens", [])]
 
     def slow(texts):
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
 
-    if not plain or sys.byteorder != "little" or array("I").itemsize != 4:
-        return slow
     import public_tokenizers
     import tiktoken
 
+    if not plain or sys.byteorder != "little" or array("I").itemsize != 4 or public_tokenizers.PATTERN not in BYTE_LEVEL:
+        return slow
+
     units = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves
     rest = [b for b in range(256) if b not in units]
     byte = {chr(u): u for u in units} | {chr(256 + n): b for n, b in enumerate(rest)}
@@ -90,7 +99,7 @@ def encoder(spec: bytes):
                 cache.clear()
         return out
 
-    return fast
+    return fast if fast(PROBES) == slow(PROBES) else slow
 
 
 def tokenized_pieces(docs: DataFrame, spec: bytes, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -257,6 +266,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """One row per piece of every (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they occur, ties in any
-    order; an empty table packs into nothing. Extra columns are ignored.
+    order; an empty table packs into nothing. Other columns are ignored, whatever their names.
     """
     return pack(tokenized_pieces(docs, read_bytes(docs.sparkSession, tokenizer_path), capacity, end_id), capacity)

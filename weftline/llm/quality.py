@@ -198,7 +198,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> Net:
 def score_documents(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of (doc_id, text).
 
-    A null text is the empty one, which is a chunk of zeros. Repeated rows are scored each; nothing is shuffled.
+    A null text is the empty one, which is a chunk of zeros. Repeated rows are scored each; nothing is shuffled. Other
+    columns are ignored, whatever their names; an empty table has an empty result.
     Fitted on at most 4,000 rows outside the held-out fold.
     """
     score = prober(fit_documents(docs, labels), docs.sparkSession)(F.col("text"))
@@ -207,5 +208,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> Data
 
 
 def good_quality(docs: DataFrame, labels: DataFrame, at: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is `at` or more."""
+    """The rows of docs, with all their columns, whose score is `at` or more; null and empty texts have a score too."""
     return docs.where(prober(fit_documents(docs, labels), docs.sparkSession)(F.col("text")) >= at)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pyspark.sql import functions as F
 
 from weftline.llm import ann, bpe, ctw, embdedup, minhash, packing, quality, sharding, toxicity, urlrules
 from weftline.sources.tables import table
@@ -12,8 +11,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op1_crf_toxicity(spark, sf_dir):
-    found = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_byte_cnn_quality(spark, sf_dir):

@@ -84,14 +84,19 @@ def assign(key: Column, tree: list[Shard]) -> Column:
     return choose(region, inside).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, grown: int = 41, chunks: int = 64) -> DataFrame:
+#: Rows of a shard that are ranked together, about.
+TOGETHER = 1_000_000
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, grown: int = 41) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of (doc_id, text).
 
     Law `key`: doc_id and the shard count decide. Null text counts as no bytes, a null doc_id as the empty
     key; rows with equal doc_id land together, each with a slot of its own. Rows of
-    a shard are dealt to `chunks` classes by row number, so that not even one repeated doc_id fills a class; they
-    are ranked inside a class and the classes' counts give the offsets. The placement is stored once, so both
-    reads of it agree.
+    a shard are dealt to 64 classes or more, with TOGETHER rows each at most on average, by row number, so that not
+    even one repeated doc_id fills a class; they are ranked inside a class and the classes' counts give the offsets. The
+    placement is stored once, so both reads of it agree. Other columns are ignored, whatever their names; an empty table
+    has an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -102,9 +107,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, grown: int = 41, chunks:
         F.lit("key").alias("law"),
         assign(key, layout(shards)).alias("shard"),
         assign(key, layout(grown)).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
+        F.monotonically_increasing_id().alias("row"),
     )
     placed = stored(placed, "shards")
+    chunks = max(64, -(-placed.count() // (shards * TOGETHER)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
     sql = """
       select doc_id, size, text_crc32, law, shard, grown_shard, chunk,
              row_number() over (partition by shard, chunk order by doc_id, text_crc32) - 1 as r
@@ -114,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, grown: int = 41, chunks:
     starts = docs.sparkSession.sql(
         "select shard, chunk, coalesce(sum(n) over (partition by shard order by chunk "
         "rows between unbounded preceding and 1 preceding), 0) as start from {counts}", counts=counts
-    )  # shards x chunks rows
+    )  # a row for each shard and class: a millionth of the rows, or 64 a shard
     return ranked.join(F.broadcast(starts), ["shard", "chunk"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", (F.col("start") + F.col("r")).cast("long").alias("slot"), "grown_shard"
     )

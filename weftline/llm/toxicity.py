@@ -142,7 +142,11 @@ def _offending(words: list[list[bytes]], label: np.ndarray, codes: dict[bytes, l
 
 
 def fit(sample: pd.DataFrame, rounds: int = 60, width: int = 16, most: int = 6000, seed: int = 7) -> Crf:
-    """A field from rows of (text, label). Without rows of both labels: one that finds nothing."""
+    """A field from rows of (text, label). Without rows of both labels: one that finds nothing.
+
+    The field itself is fitted on a sample of windows of `width` tokens, `most` of them: around up to eight marked words of
+    a toxic document, and two at random places of any other.
+    """
     label = sample["label"].to_numpy(np.int64)
     words = [tokens(t) for t in sample["text"]]
     keep = [i for i, w in enumerate(words) if w]
@@ -303,7 +307,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans for every row of (doc_id, text).
 
     Null, empty and wordless texts have the score of no evidence and no spans; repeated rows are scored each;
-    nothing is shuffled. Fitted on at most labelled.ROWS rows outside the held-out fold.
+    nothing is shuffled. Other columns are ignored, whatever their names; an empty table has an empty result. Fitted on
+    at most labelled.ROWS rows outside the held-out fold.
     """
     found = tagger(fit_documents(docs, labels), docs.sparkSession)(F.col("text"))
     out = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), found.alias("found"))
@@ -311,6 +316,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under `at`."""
+    """The rows of docs, with all their columns, whose score is under `at`; a null or empty text has the score of no evidence."""
     found = tagger(fit_documents(docs, labels), docs.sparkSession)(F.col("text"))
     return docs.where(~(found["score"] >= at))
