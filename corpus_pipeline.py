@@ -15,10 +15,12 @@ from weftline.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more as toxic go. Those without words, with a null text or a null doc_id are scored like all others."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.3 for quality go. Null and empty texts have a score too, and repeated rows each their own."""
     return quality.good_quality(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,6 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, as pieces of token sequences; a null or empty text is its end token alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
