@@ -120,16 +120,19 @@ def marginals(e: np.ndarray, bound: np.ndarray, transition: np.ndarray, start: f
     return odds / (1 + odds)
 
 
-def _offending(words: list[list[bytes]], label: np.ndarray, codes: dict[bytes, list[int]]) -> bytes:
+def _offending(words: list[list[bytes]], label: np.ndarray, forms: list[bytes]) -> bytes:
     """Which features mark toxic words."""
-    number = {w: i for i, w in enumerate(codes)}
-    table = np.full((len(codes), len(PREFIXES) + 1), 1 << BITS)
-    for i, c in enumerate(codes.values()):
+    number = {w: i for i, w in enumerate(forms)}
+    table = np.full((len(forms), len(PREFIXES) + 1), 1 << BITS, np.int32)
+    for i, w in enumerate(forms):
+        c = features(w)
         table[i, : len(c)] = c
-    count = np.zeros((2, (1 << BITS) + 1))
+    count = np.zeros((2, (1 << BITS) + 1), np.float32)
     for w, y in zip(words, label, strict=True):
         count[y][np.unique(table[[number[x] for x in set(w)]])] += 1
     count = count[:, :-1]
+    some = np.flatnonzero(count.any(axis=0))
+    count = count[:, some].astype(float)
     total = np.array([(label == 0).sum(), (label == 1).sum()], float)
     k, n1, n = count[1], total[1], total.sum()
     seen = count.sum(axis=0)
@@ -138,7 +141,9 @@ def _offending(words: list[list[bytes]], label: np.ndarray, codes: dict[bytes, l
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300)), 0)
 
     g2 = 2 * (part(k, seen * n1 / n) + part(seen - k, seen * (n - n1) / n) + part(n1 - k, (n - seen) * n1 / n) + part(n - seen - n1 + k, (n - seen) * (n - n1) / n))
-    return ((g2 >= SURE) & (k >= PURE * seen) & (k > 0)).tobytes()
+    out = np.zeros(1 << BITS, bool)
+    out[some] = (g2 >= SURE) & (k >= PURE * seen) & (k > 0)
+    return out.tobytes()
 
 
 def fit(sample: pd.DataFrame, rounds: int = 60, width: int = 16, most: int = 6000, seed: int = 7) -> Crf:
@@ -148,16 +153,17 @@ def fit(sample: pd.DataFrame, rounds: int = 60, width: int = 16, most: int = 600
     a toxic document, and two at random places of any other.
     """
     label = sample["label"].to_numpy(np.int64)
-    words = [tokens(t) for t in sample["text"]]
+    one: dict[bytes, bytes] = {}  # a single object for each word form
+    words = [[one.setdefault(w, w) for w in tokens(t)] for t in sample["text"]]
     keep = [i for i, w in enumerate(words) if w]
     words, label = [words[i] for i in keep], label[keep]
     model = Crf()
     if not len(label) or label.min() == label.max():
         model.combine = (0.0, 20.0 if len(label) and label.min() == 1 else -20.0)
         return model
-    codes = {w: features(w) for w in sorted(set().union(*words))}
-    marks = _offending(words, label, codes)
-    toxic_word = {w: any([marks[k] for k in c]) for w, c in codes.items()}
+    forms = sorted(set().union(*words))
+    marks = _offending(words, label, forms)
+    toxic_word = {w: any([marks[k] for k in features(w)]) for w in forms}
     rng = np.random.default_rng(seed)
     windows, tags = [], []
     for d, y in zip(words, label, strict=True):
@@ -173,7 +179,8 @@ def fit(sample: pd.DataFrame, rounds: int = 60, width: int = 16, most: int = 600
     for i, (d, t) in enumerate(zip(windows, tags, strict=True)):
         used[i, : len(d)], gold[i, : len(d)] = True, t
         for j, w in enumerate(d):
-            feature[i, j, : len(codes[w])] = codes[w]
+            c = features(w)
+            feature[i, j, : len(c)] = c
     ids, index = np.unique(feature, return_inverse=True)
     index = index.reshape(feature.shape)
     theta = np.zeros(len(ids) + 6)  # emissions, bias, four transitions, start
