@@ -68,7 +68,7 @@ def codes(data: np.ndarray, bound: np.ndarray, depth: int = DEPTH) -> np.ndarray
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
     return k[first], np.add.reduceat(n, first) if len(first) else n
@@ -365,7 +365,7 @@ def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
         F.sum(F.when(~word, F.col("tf") * F.col("value"))).alias("tail"),
     )
     out = scored.drop("rare", "lost").join(per_row, "row", "left")
-    return work.keep(out.select(
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
-    ))
+    )
