@@ -35,9 +35,13 @@ CANDIDATES = operator("j06_candidates", f"""
     with {_SIGNS.strip()}
     select id_a, id_b, SIZE(found) as n_points from points where SIZE(found) >= 2 and project_a <> project_b and not (state_b = 'done' and updated_b < :now - 365 * 86400)""")
 operator("j07_discovered_points", "select a.id as id_a, b.id as id_b, a.definition from (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') a join (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') b on a.definition = b.definition and a.value = b.value and a.id < b.id")
-operator("j08_cross_mention", "select r.id, c.firm from raw_items r join (select distinct 'firm' || TEXT(id % 7) as firm from companies) c on contains(r.from_actor, c.firm) where LIKES(lower(r.subject), '(approve|review|invoice)')")
+operator("j08_cross_mention", """
+    with firms as (select distinct 'firm' || TEXT(id % 7) as firm from companies), words as (select id, UNNEST(UNIQUE(EXTRACT_ALL(lower(from_actor), '([a-z0-9]+)', 1))) as word from raw_items where LIKES(lower(subject), '(approve|review|invoice)'))
+    select w.id, f.firm from words w join firms f on w.word = f.firm""")
 operator("j09_path_company", "select distinct p.id, p.token from (select id, UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_) p join (select distinct token from (select UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_ where id % 10 = 0) y where length(token) >= 5) c on p.token = c.token")
-operator("j10_alias_prefixes", f"select distinct a.entity as short_name, b.entity as long_name from (select {t.entity_key('name')} as entity from companies) a join (select {t.entity_key('name')} as entity from companies) b on substr(a.entity, 1, 4) = substr(b.entity, 1, 4) and b.entity like a.entity || '%' and a.entity <> b.entity and length(a.entity) >= 4")
+ALIASES = operator("j10_alias_prefixes", f"""
+    with names as (select distinct {t.entity_key('name')} as entity from companies), heads as (select entity, UNNEST(MAP_EACH(SPAN(4, length(entity) - 1), n, substr(entity, 1, cast(n as int)))) as head from names where length(entity) > 4)
+    select a.entity as short_name, h.entity as long_name from names a join heads h on h.head = a.entity""")
 operator("j11_prerequisite_satisfied", "select i.id, exists (select 1 from raw_items r where r.issue_id = i.id and r.signal_type = 'signup') as satisfied from issues i")
 operator("j12_prerequisites", """
     with firsts as (select issue_id, signal_type, min(id) as id from raw_items where occurred_ts < :now_events - 2592000 + 86400 group by issue_id, signal_type)
@@ -73,12 +77,16 @@ operator("j22_orphans", """
     union all select 'issue', i.id from issues i where not exists (select 1 from claims c where c.issue_id = i.id)
     union all select 'link', l.issue_id from links l where not exists (select 1 from projects p where 'R' || TEXT(p.id) = l.reference)""")
 operator("j23_actions_without_evidence", "select a.id from outcomes a where a.outcome = 'accepted' and not exists (select 1 from documents_ d where d.id = a.id and length(d.text) >= 1000)")
-operator("j24_stray_clusters", "select a.id as cluster_id, min(b.id) as issue_id from issues a join issues b on a.project_id = b.project_id and a.owner = b.owner and a.id <> b.id where a.id % 4 = 0 and b.id % 4 <> 0 group by a.id having count(*) = 1")
+operator("j24_stray_clusters", """
+    with anchors as (select project_id, owner, min(id) as issue_id from issues where id % 4 <> 0 group by project_id, owner having count(*) = 1)
+    select a.id as cluster_id, b.issue_id from issues a join anchors b on a.project_id = b.project_id and a.owner = b.owner where a.id % 4 = 0""")
 operator("j25_shared_lineage", "select canonical_key as lineage, count(distinct i.project_id) as n_projects from claims c join issues i on i.id = c.issue_id where c.escalated group by canonical_key having count(distinct i.project_id) >= 2")
 operator("j26_triggered_experts", "select r.id, s.expert from raw_items r join (select * from (values ('legal', 'signed'), ('finance', 'invoice'), ('security', 'urgent'), ('finance', 'range')) as v(expert, keyword)) s on LIKES(' ' || lower(r.subject || ' ' || r.body_preview) || ' ', '[^a-z0-9]' || s.keyword || '[^a-z0-9]') group by r.id, s.expert")
 operator("j27_search_evidence", "select id, issue_id from claims where ANY_OF(ARRAY(:terms), w, contains(lower(text), w))", terms="'part 13 ', 'worth $44k'")
 operator("j28_deep_links", "select c.id, 'https://mail.example/item/' || TEXT(r.id) as link, r.occurred_ts from claims c left join raw_items r on r.id = c.raw_item_id where c.claim_type = 'date'")
-operator("j29_shared_supplier", f"select distinct a.id as id_a, b.id as id_b, {t.normalize_company_name('a.name')} as name from companies a join companies b on {t.normalize_company_name('a.name')} = {t.normalize_company_name('b.name')} and a.id < b.id")
+operator("j29_shared_supplier", f"""
+    with named as (select id, {t.normalize_company_name('name')} as name from companies), shared as (select name, min(id) as first_id, count(distinct id) as n from named group by name having count(distinct id) >= 2)
+    select n.id, s.first_id, s.n, s.name from named n join shared s on n.name = s.name""")
 operator("j30_full_text_search", """
     with wanted as (select UNNEST(ARRAY(:terms)) as w),
     hits as (select id, w, count(*) as tf from (select id, UNNEST(FILTER(EXTRACT_ALL(lower(text), '([a-z]+)', 1), w, CONTAINS(ARRAY(:terms), w))) as w from documents_) x group by id, w),
