@@ -1,5 +1,7 @@
 """Numeric examples of single operators, on invented rows."""
 
+import random
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -61,6 +63,39 @@ def test_greedy_budget_skips_and_goes_on(spark):
     assert sorted((r["g"], r["id"]) for r in got) == [("g", 1), ("g", 3), ("h", 4)]
 
 
+def test_greedy_budget_equals_a_plain_pass(spark):
+    rng = random.Random(3)
+    items = [(g, float(rng.randrange(6)), float(rng.randrange(3)), g * 1000 + k, rng.choice([1, 1, 2, 3, 7, 9, 30, 31, 500])) for g in range(12) for k in range(90)]
+    got = imperative.greedy_budget(spark.createDataFrame(items, "g long, score double, ts double, id long, cost int"), "g", "score", "ts", "id", "cost", 30).collect()
+    expected = []
+    for g in range(12):
+        used, taken = 0, []
+        for _, _, _, key, cost in sorted((x for x in items if x[0] == g), key=lambda x: (-x[1], -x[2], x[3])):
+            if not taken or used + cost <= 30:
+                used, taken = used + cost, [*taken, key]
+        expected += [(g, place, key) for place, key in enumerate(taken)]
+    assert sorted((r["g"], r["place"], r["id"]) for r in got) == expected
+
+
+@pytest.mark.parametrize("block", [2, 7, 4096])
+def test_clamped_fold_equals_a_plain_loop(spark, block):
+    rng = random.Random(block)
+    steps = [(g, at, rng.choice([10, 10, -15])) for g in "abc" for at in sorted(rng.sample(range(400), 150))]
+    steps += [("one", 5, -15), ("ties", 1, 10), ("ties", 1, -15), ("ties", 1, 10)]
+    got = imperative.clamped_fold(spark.createDataFrame(steps, "g string, at long, d int"), "g", "at", "d", 10, 90, 50, block)
+    expected = {}
+    for g, _, d in sorted(steps):
+        v, n = expected.get(g, (50, 0))
+        expected[g] = (min(90, v + d) if d > 0 else max(10, v + d), n + 1)
+    assert {r["g"]: (r["value"], r["n"]) for r in got.collect()} == expected
+
+
+def test_aliases_are_longer_names_that_begin_alike(spark):
+    companies = spark.createDataFrame([(1, "Acme"), (2, "Acme Tools"), (3, "Acm"), (4, "Acme Tools Nord"), (5, "Other"), (6, "acme")], "id long, name string")
+    got = joins.ALIASES(spark, companies=companies).collect()
+    assert sorted((r["short_name"], r["long_name"]) for r in got) == [("acme", "acme tools"), ("acme", "acme tools nord"), ("acme tools", "acme tools nord")]
+
+
 def test_merged_groups(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in imperative.merged_groups(edges, spark).collect()}

@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,13 @@ from weftline.plans.views import view, work_dir
 def greedy_budget(items: DataFrame, group: str, score: str, ts: str, key: str, cost: str, budget: int) -> DataFrame:
     """Per group, the items that a greedy pass by (score desc, ts desc, key) takes under a budget.
 
-    An item that doesn't fit is skipped and the pass goes on; the first one is always taken.
+    An item that doesn't fit is skipped and the pass goes on; the first one is always taken. Costs are 1 or more.
+    Of the items of one cost no more can be taken than fit the budget, and of those beyond the budget only the first,
+    so each group's fold sees a number of items that only the budget bounds.
     """
+    beyond = F.least(F.col(cost), F.lit(budget + 1))
+    best = Window.partitionBy(group, beyond).orderBy(F.desc(score), F.desc(ts), key)
+    items = items.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= F.greatest(F.lit(1), F.lit(budget) / F.col(cost)))
     order = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), (-F.col(ts)).alias("t"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c"))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
 
@@ -32,21 +37,57 @@ def greedy_budget(items: DataFrame, group: str, score: str, ts: str, key: str, c
     return items.groupBy(group).agg(F.aggregate(order, start, step).alias("r")).select(group, F.posexplode("r.taken").alias("place", key))
 
 
-@query("l01_assemble_evidence")
+@query("l01_assemble_evidence", """
+    with items as (select issue_id, id, amount as score, first_seen_ts as ts, greatest(1, length(text) // 4) as cost from claims),
+    lists as (select issue_id, list({'used': cost, 'taken': [id]} order by score desc, ts desc, id) as steps from items group by issue_id),
+    folded as (select issue_id, list_reduce(steps, lambda a, x: case when a.used + x.used <= 30 then {'used': a.used + x.used, 'taken': list_concat(a.taken, x.taken)} else a end).taken as taken from lists)
+    select issue_id, cast(unnest(range(len(taken))) as int) as place, unnest(taken) as id from folded""")
 def assemble_evidence(spark, sf_dir):
     items = view(spark, sf_dir, "claims").select("issue_id", "id", "first_seen_ts", F.col("amount").alias("score"), F.greatest(F.lit(1), F.expr("length(text) div 4")).alias("cost"))
     return greedy_budget(items, "issue_id", "score", "first_seen_ts", "id", "cost", 30)
 
 
-@query("m14_trust_fold")
+def clamped_fold(steps: DataFrame, key: str, order: str, step: str, low: int, high: int, start: int, block: int = 4096) -> DataFrame:
+    """key, value, n: `start` moved by each step in the order of a whole number, held at `high` on the way up and at `low` on the way down.
+
+    A run of steps acts as one move held between two bounds, and such moves compose. So runs of `block` numbers fold to
+    one move each, runs of those again, and a key of any size never meets in one task as a list of its rows.
+    """
+    moves = steps.select(key, F.col(order).cast("long").alias("at"), F.col(step).cast("long").alias("d"), F.when(F.col(step) < 0, low).cast("long").alias("lo"), F.when(F.col(step) > 0, high).cast("long").alias("hi"), F.lit(1).cast("long").alias("n"))
+
+    def held(v, m):
+        return F.least(m["hi"], F.greatest(v, m["lo"]))  # a bound that is null is left out
+
+    def then(a, b):
+        """One move, then the other."""
+        lo = F.when(a["lo"].isNotNull(), held(a["lo"] + b["d"], b)).otherwise(b["lo"])
+        hi = F.when(a["hi"].isNotNull(), held(a["hi"] + b["d"], b)).otherwise(b["hi"])
+        return F.struct((a["d"] + b["d"]).alias("d"), lo.alias("lo"), hi.alias("hi"), (a["n"] + b["n"]).alias("n"))
+
+    def folded(m, *by):
+        row = F.array_sort(F.collect_list(F.struct("at", "d", "lo", "hi", "n")))
+        nothing = F.struct(F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(0).cast("long").alias("n"))
+        return m.groupBy(key, *by).agg(F.aggregate(row, nothing, then).alias("m"))
+
+    for _ in range(2):
+        moves = folded(moves, F.expr(f"at div {block}").alias("at")).select(key, "at", "m.*")
+    whole = folded(moves).select(key, "m.*")
+    return whole.select(key, held(F.lit(start).cast("long") + F.col("d"), {"lo": F.col("lo"), "hi": F.col("hi")}).alias("value"), "n")
+
+
+@query("m14_trust_fold", """
+    select action_kind, round(list_reduce(list_prepend(50, list(case when outcome = 'accepted' then 10 else -15 end order by id, outcome = 'accepted')), lambda t, s: case when s > 0 then least(90, t + s) else greatest(10, t + s) end) / 100e0, 6) as trust, cast(count(*) as bigint) as n
+    from outcomes group by action_kind""")
 def trust_fold(spark, sf_dir):
-    """Trust per situation: every confirmation adds 0.1 up to 0.9, every rejection takes 0.15 down to 0.1, in order."""
-    seen = view(spark, sf_dir, "outcomes").groupBy("action_kind").agg(F.array_sort(F.collect_list(F.struct("id", (F.col("outcome") == "accepted").alias("up")))).alias("steps"))
-    fold = F.aggregate("steps", F.lit(0.5), lambda t, s: F.when(s["up"], F.least(F.lit(0.9), t + 0.1)).otherwise(F.greatest(F.lit(0.1), t - 0.15)))
-    return seen.select("action_kind", F.round(fold, 6).alias("trust"), F.size("steps").alias("n"))
+    """Trust per situation: every confirmation adds 0.1 up to 0.9, every rejection takes 0.15 down to 0.1, in order; of one id rejections come first."""
+    seen = view(spark, sf_dir, "outcomes").select("action_kind", "id", F.when(F.col("outcome") == "accepted", 10).otherwise(-15).alias("step"))
+    return clamped_fold(seen, "action_kind", "id", "step", 10, 90, 50).select("action_kind", F.round(F.col("value") / 100, 6).alias("trust"), "n")
 
 
-@query("m11_tiered_answer")
+@query("m11_tiered_answer", """
+    with best as (select issue_id, case claim_type when 'decision' then 1 when 'commitment' then 2 else 3 end as tier, max(amount) as amount, arg_max(id, (amount, -id)) as id from claims group by 1, 2),
+    placed as (select *, row_number() over (partition by issue_id order by case when amount >= 40000 then tier else 9 end, amount desc, id, tier desc) as place from best)
+    select issue_id, tier, amount from placed where place = 1""")
 def tiered_answer(spark, sf_dir):
     """The first tier, in order, whose best score reaches the band; the best of all where none does."""
     claims = view(spark, sf_dir, "claims")
@@ -56,7 +97,6 @@ def tiered_answer(spark, sf_dir):
     return ranked.select("issue_id", F.coalesce("first.tier", "top.tier").alias("tier"), F.coalesce("first.b.amount", "top.b.amount").alias("amount"))
 
 
-
 # --- merges and upserts ----------------------------------------------------------------------------------------
 
 
@@ -128,20 +168,26 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
 
-@query("f02b_nfkc_entity_key")
+@query("f02b_nfkc_entity_key", "select id, lower('A' || name) as result from companies")
 def nfkc_entity_key(spark, sf_dir):
     names = view(spark, sf_dir, "companies").select("id", F.concat(F.lit("Ａ"), "name").alias("name"))
     return names.select("id", F.lower(nfkc("name")).alias("result"))
 
 
-@query("f13_labelled_party")
+@query("f13_labelled_party", r"""
+    with found as (select id, regexp_extract(body_preview, 'Owner: ([^\n]+)', 1) as value from raw_items)
+    select id, case when value <> '' and not starts_with(value, 'Due') then value end as result from found""")
 def labelled_party(spark, sf_dir):
     """A labelled value that isn't itself another label (negative look-ahead)."""
     items = view(spark, sf_dir, "raw_items")
     return items.select("id", F.expr(r"nullif(regexp_extract(body_preview, r'Owner: (?!Due)([^\n]+)', 1), '')").alias("result"))
 
 
-@query("f19_amount_candidates")
+@query("f19_amount_candidates", r"""
+    with found as (select id, body_preview, unnest(regexp_extract_all(body_preview, '[$][0-9]+( - [$][0-9]+)?[km]?')) as hit from raw_items),
+    placed as (select id, hit, cast(strpos(body_preview, hit) as int) as place, case right(hit, 1) when 'm' then 1e6 when 'k' then 1e3 else 1e0 end as scale,
+        regexp_matches(lower(substr(body_preview, greatest(1, strpos(body_preview, hit) - 40), length(hit) + 80)), 'about|range|order') as preferred from found)
+    select id, place, cast(unnest(regexp_extract_all(hit, '[0-9]+')) as double) * scale as amount, preferred from placed""")
 def amount_candidates(spark, sf_dir):
     """Dollar figures, both ends of a range scaled by its suffix, with whether a cue word stands within 40 characters."""
     items = view(spark, sf_dir, "raw_items")
@@ -193,7 +239,8 @@ def rewrite_severities(spark, sf_dir):
     return view(spark, sf_dir, "raw_items").select("id", rewrite_severity("subject", F.lower("body_preview")).alias("severity"))
 
 
-@query("n01_date_mentions")
+@query("n01_date_mentions", """
+    select id, case when id % 2 = 0 then 'next week ' || k else 'by ' || k end as text, case when id % 2 <> 0 and k is not null then '2024-02-01' end as resolved, id % 2 <> 0 and k is not null as hard from raw_items""")
 def date_mentions(spark, sf_dir):
     """A JSON element that is a text or a struct: (id, text, resolved date, hard)."""
     raw = view(spark, sf_dir, "raw_items").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit('"next week '), F.col("k"), F.lit('"'))).otherwise(F.concat(F.lit('{"text": "by '), "k", F.lit('", "date": "2024-02-01", "hard": true}'))).alias("entry"))

@@ -42,6 +42,13 @@ def read_drops(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
 
 
+#: The items of the staged drops, straight from the raw items: every tenth drop is corrupt, another claims content and is empty.
+DROPPED = """
+    select 'calendar' as source, case when k % 3 = 0 then TEXT(id) || ':' || DAY(occurred_at) else TEXT(id) end as stable_key, subject from raw_items where id % 10 in (0, 3, 6)
+    union all select 'teams_chat', TEXT(id), body_preview from raw_items where id % 10 in (1, 7) and (k is null or k % 4 <> 0)
+    union all select 'sharepoint', TEXT(id % 4) || ':' || TEXT(id), subject from raw_items where id % 10 in (2, 5, 8)"""
+
+
 def flatten_drops(drops: DataFrame) -> DataFrame:
     """source, stable_key, subject of every item; corrupt drops give none."""
     calendar = drops.where("source = 'calendar'").select("source", F.explode("events").alias("e")).select("source", F.when(F.col("e.recurrence").isNotNull(), F.concat_ws(":", "e.id", "e.start")).otherwise(F.col("e.id")).alias("stable_key"), F.col("e.subject").alias("subject"))
@@ -50,20 +57,22 @@ def flatten_drops(drops: DataFrame) -> DataFrame:
     return calendar.unionByName(chat).unionByName(files)
 
 
-@query("s01_process_drops")
+@query("s01_process_drops", DROPPED)
 def process_drops(spark, sf_dir):
     return flatten_drops(read_drops(spark, drop_files(spark, sf_dir)))
 
 
-@query("s04_chat_messages")
+@query("s04_chat_messages", f"select * from ({DROPPED}) x where source = 'teams_chat'")
 def chat_messages(spark, sf_dir):
     return flatten_drops(read_drops(spark, drop_files(spark, sf_dir))).where("source = 'teams_chat'")
 
 
-@query("s06_content_but_empty")
+@query("s06_content_but_empty", """
+    select case id % 10 when 9 then 'calendar' end as source, case id % 10 when 9 then cast(count(*) as int) end as events_count, case id % 10 when 9 then 'claims content but empty' else 'corrupt' end as reason
+    from raw_items where id % 10 in (4, 9) group by id // 200, id % 10""")
 def content_but_empty(spark, sf_dir):
     """Drops to set aside: corrupt ones, and those that claim a count and hold nothing."""
-    drops = read_drops(spark, drop_files(spark, sf_dir)).cache()
+    drops = read_drops(spark, drop_files(spark, sf_dir))
     why = F.when(F.col("_corrupt").isNotNull(), "corrupt").when((F.col("events_count") > 0) & F.coalesce(F.size("events") <= 0, F.lit(True)), "claims content but empty")
     return drops.select("source", "events_count", why.alias("reason")).where("reason is not null")
 
@@ -162,12 +171,15 @@ def _attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.concat(F.lit("/a/"), "id", F.lit(".docx")).alias("path"), make("subject", "signal_type", F.col("id") % 9 != 0).alias("content"))
 
 
-@query("s12_extract_text")
+_WRITTEN = "select '/a/' || id || '.docx' as path, case when id % 9 = 0 then '' else concat_ws(chr(10), nullif(trim(subject), ''), nullif(trim(signal_type), '')) end as text from raw_items"
+
+
+@query("s12_extract_text", _WRITTEN)
 def extracted_text(spark, sf_dir):
     return extract_text(_attachments(spark, sf_dir))
 
 
-@query("s13_docx_text")
+@query("s13_docx_text", f"select * from ({_WRITTEN}) x where text <> ''")
 def extracted_docx(spark, sf_dir):
     return extract_text(_attachments(spark, sf_dir)).where("text <> ''")
 
@@ -179,7 +191,7 @@ def parse_blocks(logs: DataFrame) -> DataFrame:
     def header(name):
         return F.nullif(F.trim(F.regexp_extract("b", rf"(?m)^{name}: (.*)$", 1)), F.lit(""))
 
-    return block.select("month", header("from").alias("sender"), header("ts").cast("double").alias("ts"), header("message_id").alias("message_id"), F.trim(F.regexp_replace("b", r"(?m)^(from|ts|message_id): .*$", "")).alias("body")).where("message_id is not null")
+    return block.select("month", header("from").alias("sender"), header("ts").cast("double").alias("ts"), header("message_id").alias("message_id"), F.regexp_replace(F.regexp_replace("b", r"(?m)^(from|ts|message_id): .*$", ""), r"^\s+|\s+$", "").alias("body")).where("message_id is not null")
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +200,17 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("conv_id", F.concat(F.lit("2024-0"), F.col("conv_id") % 4 + 1).alias("month")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\n---\n").alias("text")).drop("conv_id")
 
 
-@query("s17_parse_blocks")
+_PARSED = r"select '2024-0' || TEXT(conv_id % 4 + 1) as month, role as sender, ts, 'm' || TEXT(conv_id) || '.' || TEXT(turn) as message_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as body from messages where text is not null"
+
+
+@query("s17_parse_blocks", _PARSED)
 def parsed_blocks(spark, sf_dir):
     return parse_blocks(_logs(spark, sf_dir))
 
 
-@query("s18_list_messages")
+@query("s18_list_messages", f"""
+    with parsed as ({_PARSED}), reactions as (select 'm' || TEXT(conv_id) || '.' || TEXT(turn) as message_id, count_if(turn % 2 = 0) as reactions from messages group by 1)
+    select p.*, r.reactions from parsed p left join reactions r on r.message_id = p.message_id where p.month >= '2024-03'""")
 def list_messages(spark, sf_dir):
     """The last two months' messages, from files partitioned by month, with their reactions."""
     folder = work_dir(spark)
@@ -203,7 +220,7 @@ def list_messages(spark, sf_dir):
     return parse_blocks(months).join(reactions, "message_id", "left")
 
 
-@query("s20_report_sheet")
+@query("s20_report_sheet", "select id as Issue, title as Title, category as Category, state as State, owner as Owner, value_amount as Value, opened_at as Opened, updated_at as Updated, due as Due from issues")
 def report_sheet(spark, sf_dir):
     """The status report written as a sheet (CSV with nine fixed headers) and read back."""
     issues = view(spark, sf_dir, "issues")
@@ -213,7 +230,7 @@ def report_sheet(spark, sf_dir):
     return spark.read.schema(sheet.schema).option("header", True).csv(folder)
 
 
-@query("s21_emit_events")
+@query("s21_emit_events", "select id, occurred_ts, signal_type as kind, from_actor as actor from raw_items")
 def emit_events(spark, sf_dir):
     """Two appends to an event log, which only grows."""
     folder, items = work_dir(spark), view(spark, sf_dir, "raw_items").select("id", "occurred_ts", F.col("signal_type").alias("kind"), F.col("from_actor").alias("actor"))
@@ -222,7 +239,7 @@ def emit_events(spark, sf_dir):
     return spark.read.schema(items.schema).parquet(folder)
 
 
-@query("s22_snapshot")
+@query("s22_snapshot", "select id, state, updated_at, '2001-08-02' as snapshot from issues")
 def snapshot(spark, sf_dir):
     folder = work_dir(spark)
     issues = view(spark, sf_dir, "issues").select("id", "state", "updated_at")
@@ -230,18 +247,20 @@ def snapshot(spark, sf_dir):
     return spark.read.parquet(folder).withColumn("snapshot", F.col("snapshot").cast("string"))
 
 
-@query("s24_chat_records")
+@query("s24_chat_records", "select conv_id, turn, role, substr(text, 1, 2000) as text, cast(length(text) as int) + 3 as tokens from messages where role in ('user', 'assistant')")
 def chat_records(spark, sf_dir):
     """JSON chat records whose content is a text or a list of blocks: kept roles, joined text cut to 2,000, token sums."""
     m = view(spark, sf_dir, "messages")
-    content = F.when(F.col("turn") % 2 == 0, F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))).otherwise(F.to_json(F.struct(F.col("text").alias("v"))))
-    line = m.select("conv_id", "turn", F.to_json(F.struct("role", content.alias("content"), F.struct((F.length("text")).alias("input"), F.lit(3).alias("output")).alias("usage"))).alias("line"))
-    parsed = line.select("conv_id", "turn", F.from_json("line", "role string, content string, usage struct<input:int,output:int>").alias("r")).where("r.role in ('user', 'assistant')")
-    text = F.coalesce(F.array_join(F.transform(F.from_json("r.content", "array<struct<type:string,text:string>>"), lambda b: b["text"]), "\n"), F.from_json("r.content", "v string")["v"])
+    usage = F.struct(F.length("text").alias("input"), F.lit(3).alias("output")).alias("usage")
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    line = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", blocks.alias("content"), usage))).otherwise(F.to_json(F.struct("role", F.col("text").alias("content"), usage)))
+    parsed = m.select("conv_id", "turn", F.from_json(line, "role string, content string, usage struct<input:int,output:int>").alias("r")).where("r.role in ('user', 'assistant')")
+    listed = F.array_join(F.transform(F.from_json("r.content", "array<struct<type:string,text:string>>"), lambda b: b["text"]), "\n")
+    text = F.coalesce(F.when(F.col("r.content").startswith("[{"), listed), F.col("r.content"))
     return parsed.select("conv_id", "turn", F.col("r.role").alias("role"), F.substring(text, 1, 2000).alias("text"), (F.col("r.usage.input") + F.col("r.usage.output")).alias("tokens"))
 
 
-@query("s25_expert_directory")
+@query("s25_expert_directory", "select n_name as expert, 'e' || n_nationkey || '@x.example' as email, unnest(['a' || n_nationkey, 'b']) as trigger, cast(n_nationkey as bigint) * 100 as threshold from nation")
 def expert_directory(spark, sf_dir):
     """Markdown sections (Email, Triggers, Threshold) to rows, one per trigger."""
     nation = frames(spark, sf_dir, ["nation"])["nation"]
@@ -264,7 +283,11 @@ def scan_since(items: DataFrame, seen: DataFrame, cursor: float, limit: int, **f
 
 
 def _scan(source: str, name: str, **fixed: str):
-    @query(name)
+    extra = "".join(f", '{v}' as {k}" for k, v in fixed.items())
+
+    @query(name, f"""
+        with seen_window as (select id, occurred_ts, subject from raw_items where source = '{source}' and occurred_ts > :now_events - 864000 order by occurred_ts, id limit 100)
+        select id, occurred_ts, subject, (select max(occurred_ts) from seen_window) as cursor_ts{extra} from seen_window where id % 5 <> 0""")
     def run(spark, sf_dir):
         items = view(spark, sf_dir, "raw_items").where(F.col("source") == source).select("id", "occurred_ts", "subject")
         return scan_since(items, items.where("id % 5 = 0").select("id"), float(NOW_EVENTS[:-2]) - 864000, 100, **fixed)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from weftline.plans.registry import query
 from weftline.plans.views import view, work_dir
-from weftline.sources.files import DROP, drop_files, flatten_drops
+from weftline.sources.files import DROP, DROPPED, drop_files, flatten_drops
 
 def stream_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there, into Parquet, and read the result."""
@@ -18,13 +18,13 @@ def stream_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
-@query("s02_inbox_stream")
+@query("s02_inbox_stream", DROPPED)
 def inbox_stream(spark, sf_dir):
     drops = spark.readStream.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(drop_files(spark, sf_dir))
     return stream_to_table(spark, flatten_drops(drops), "items")
 
 
-@query("s23_tail_lines")
+@query("s23_tail_lines", "select concat_ws('|', conv_id, turn, role) as value from messages where conv_id % 2 = 1")
 def tail_lines(spark, sf_dir):
     """Lines that arrive after the first sight of a text folder: what was there before is skipped by file time."""
     folder = work_dir(spark)
