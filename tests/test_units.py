@@ -196,3 +196,41 @@ def test_issues_with_a_shared_reference_are_one_group(spark):
     expected = {i: find(i) for i in root}
     alone = {i for i in root if sum(find(j) == find(i) for j in root) == 1}
     assert got == {i: r for i, r in expected.items() if i not in alone}
+
+
+def test_the_link_cascade_takes_the_first_rule_that_fits(spark):
+    def item(key, thread, kind="ACTIONABLE-ASK", reference=None, subject="x", actor="q@far.example", source="outlook_mail", body=""):
+        return (key, thread, reference, kind, subject, actor, source, body)
+
+    fyi, chat = "FYI-EVIDENCE", "teams_chat"
+    items = [
+        item(1, "t0"), item(2, "t1", "NOISE", "R1"), item(3, "t1", reference="R1"), item(4, "t1", fyi), item(5, "t2", reference="R2"), item(6, "t2", fyi),
+        item(7, "t3", fyi, subject="RE: Weekly sync", actor="a@mail.x.example"), item(8, "t3", fyi), item(9, "t4", fyi, subject="Weekly sync"),
+        item(10, "t5", actor="zoe@home.example", source=chat), item(11, "t6", source=chat), item(12, "t7", body="signed copy by Friday? About $10k."), item(13, "t8", body="signed copy by Friday? About $11k."),
+        item(14, None, reference="R1"),
+    ]
+    got = joins.CASCADE(
+        spark, raw_items=spark.createDataFrame(items, "id long, thread_key string, pr_number_base string, item_class string, subject string, from_actor string, source string, body_preview string"),
+        issues=spark.createDataFrame([(10, 1, "active"), (11, 1, "done"), (12, 2, "waiting")], "id long, project_id long, state string"), links=spark.createDataFrame([(10, "R1"), (11, "R2")], "issue_id long, reference string"),
+        containers=spark.createDataFrame([("t0", 11)], "thread_key string, issue_id long"), issue_evidence=spark.createDataFrame([(12, "Weekly sync", "mail.x.example")], "issue_id long, subject string, domain string"),
+        parties=spark.createDataFrame([(2, "zoe@home.example")], "id long, primary_email string"),
+    ).collect()
+    assert {r["id"]: (r["rule"], r["issue_id"]) for r in got} == {
+        1: ("container", 11), 2: ("noise", None), 3: ("reference", 10), 4: ("container", 10), 5: ("new", -5), 6: ("container", -5), 7: ("subject", 12), 8: ("fyi_standalone", None),
+        9: ("fyi_standalone", None), 10: ("sender", 12), 11: ("chat_standalone", None), 12: ("tag", 10), 13: ("new", -13), 14: ("reference", 10),
+    }
+
+
+@pytest.mark.parametrize("body,actor,target", [("please ask ab about it", None, "builder"), ("for cb and @ab", None, "builder"), ("for cb and @ab", "builder", "curator"), ("about cabs", None, None)])
+def test_the_member_a_text_addresses(spark, body, actor, target):
+    df = spark.createDataFrame([(body, actor)], "body string, actor string")
+    assert df.select(F.expr(render(t.target_member("body", "actor", {"ab": "builder", "cb": "curator"}), True)).alias("v")).first()["v"] == target
+
+
+def test_a_snippet_reaches_eighty_characters_around_the_match(spark):
+    text = "a" * 100 + " we are\nblocked on you " + "b" * 100
+    patterns = next(p for kind, _, p in t.INTENTS if kind == "blocked_on")
+    snippet = value(spark, t.intent_around("body", patterns, "manager", {"ab": "builder"}), body=text)
+    start, end = text.index("blocked on") - 80, text.index("blocked on") + len("blocked on") + 80
+    assert snippet == "…" + text[start:end].replace("\n", " ").strip() + "…"
+    assert value(spark, t.intent_around("body", patterns, "manager", {"ab": "builder"}), body="all is well") is None

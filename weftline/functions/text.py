@@ -168,3 +168,45 @@ def staleness_urgency(ts, saturation="14e0", now=":now"):
 
 def due_urgency(due, now=":now"):
     return f"case when {due} is null then 0e0 when {due} < {now} then 1e0 else greatest(0e0, 1e0 - ({due} - {now}) / 86400e0 / 14e0) end"
+
+
+# Fixed values, equal to the reference's because results depend on them: the patterns of message intents, the first of each
+# kind that fits counts. MANAGER and MEMBERS stand for the manager's name and the members' short names.
+INTENTS = [
+    ("needs_manager", "0.85e0", [r"@MANAGER\b", r"\bneeds? MANAGER\b", r"\bescalat(?:e|ing) to MANAGER\b", r"\bMANAGER.{0,30}(?:decision|approval|sign[- ]?off|input|to (?:decide|approve|review))"]),
+    ("blocked_on", "0.7e0", [r"\b(?:blocked on|waiting for|stuck on|can'?t (?:proceed|continue|ship)|need(?:s)? .+ before)\b", r"\b(?:unable to|prevented from)\s+\w+"]),
+    ("asking_question", "0.6e0", [r"\?\s*$", r"^(?:can|could|would|should|will|do|does|is|are)\s.+\?", r"\bwhat (?:do|does|is|are|would|should|about)\b.+\?"]),
+    ("handoff", "0.7e0", [
+        r"\b(?:MEMBERS)[:,]\s+(?:please|can you|could you|need you to|own this|take this|action item|take action|action for)\b",
+        r"\b(?:handing off to|handoff to|over to|action item for|ownership goes to)\s+(?:MEMBERS)\b",
+    ]),
+    ("proposing_decision", "0.55e0", [r"^\s*(?:proposal|recommendation|recommend|suggest|let'?s|i propose|propose to)\b", r"\bdecision:\s+"]),
+    ("completed", "0.5e0", [
+        r"\b(?:done|shipped|landed|merged|completed|finished|wrote|built|deployed|published)\b.{0,80}\b(?:it|that|this|the .+|to .+)\b",
+        r"^\s*(?:✓|✅|done\.|shipped\.|complete\.|finished\.)",
+    ]),
+]
+ADDRESSED = [r"\b(?:ask|tell|ping|notify|hand off to|loop in|cc) WHO\b", r"\bWHO: ", r"\bWHO,\s+", r"\bWHO (?:will|can|should|needs to|please|owns)", r"\bfor WHO\b"]
+
+
+def raw(pattern: str) -> str:
+    """A pattern as an expression of both engines; apostrophes are joined in."""
+    return "(" + " || chr(39) || ".join(f"RAW('{part}')" for part in pattern.split("'")) + ")"
+
+
+def target_member(text: str, actor: str, members: dict[str, str]) -> str:
+    """The member whom a text mentions with an @, else the first one that it addresses; never the actor."""
+    whens = [f"when coalesce({actor} <> '{who}', true) and LIKES(lower({text}), {raw(p.replace('WHO', short))}) then '{who}'" for patterns in ([r"@WHO\b"], ["|".join(ADDRESSED)]) for p in patterns for short, who in members.items()]
+    return f"case {' '.join(whens)} end"
+
+
+def intent_around(text: str, patterns, manager: str, members: dict[str, str]) -> str:
+    """What stands within 80 characters of the first pattern that fits, on one line; null where none does."""
+    cases = []
+    for p in patterns:
+        p = p.replace("MANAGER", manager).replace("MEMBERS", "|".join(members))
+        found = raw(rf"\A((?s:.*?))((?im:{p}))")
+        before, hit = f"length(regexp_extract({text}, {found}, 1))", f"length(regexp_extract({text}, {found}, 2))"
+        inner = f"trim(replace(substr({text}, greatest(0, {before} - 80) + 1, least(length({text}), {before} + {hit} + 80) - greatest(0, {before} - 80)), chr(10), ' '))"
+        cases.append(f"when LIKES({text}, {raw(f'(?im:{p})')}) then case when {before} > 80 then '…' else '' end || {inner} || case when {before} + {hit} + 80 < length({text}) then '…' else '' end")
+    return f"case {' '.join(cases)} end"

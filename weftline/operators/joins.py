@@ -53,11 +53,27 @@ operator("j13_link_prerequisite", """
 operator("j14_bare_names", """
     with exact as (select lower(display_name) as k, count(*) as n, min(id) as id from parties group by 1), local_part as (select split_part(primary_email, '@', 1) as k, count(*) as n, min(id) as id from parties group by 1)
     select r.id, coalesce(case when e.n = 1 then e.id end, case when l.n = 1 then l.id end) as party_id from (select id, case when id % 2 = 0 then 'first' || TEXT(k % 40) || ' last' || TEXT(k % 60) else 'user' || TEXT(k) end as name from raw_items) r left join exact e on r.name = e.k left join local_part l on r.name = l.k""")
-operator("j15_link_cascade", f"""
-    select r.id, coalesce(a.issue_id, b.issue_id, c.issue_id, -1) as issue_id, case when r.item_class = 'NOISE' then 'skip' when a.issue_id is not null then 'container' when b.issue_id is not null then 'reference' when c.issue_id is not null then 'subject' else 'new' end as rule
-    from raw_items r left join (select thread_key, min(issue_id) as issue_id from raw_items where k % 2 = 0 group by thread_key) a on r.thread_key = a.thread_key and r.k % 3 = 0
-    left join (select pr_number_base, min(issue_id) as issue_id from raw_items where pr_number_base is not null group by pr_number_base) b on r.pr_number_base = b.pr_number_base
-    left join (select {t.normalize_subject('subject')} as s, min(issue_id) as issue_id from raw_items group by 1) c on {t.normalize_subject('r.subject')} = c.s and r.item_class = 'FYI-EVIDENCE'""")
+#: Links unlinked items, by the first that fits: the container's issue, a tag that names an open issue, an open issue with the reference, an
+#: FYI's subject with a sender's domain known on the issue, a chat's sender, or a new cluster (minus the id of the item that opens it). An item
+#: linked by tag, reference or sender, or to a new cluster, sets its container's issue for the later items there; a subject doesn't.
+CASCADE = operator("j15_link_cascade", f"""
+    with pending as (select id, thread_key, pr_number_base, item_class, {t.normalize_subject('subject')} as subject_key, {t.sender_domain('from_actor')} as domain, split_part(from_actor, '@', 1) as local_part,
+        source = 'teams_chat' and item_class in ('ACTIONABLE-ASK', 'WAITING-ON-OTHERS') as asks_in_chat, pr_number_base is not null or LIKES(from_actor, 'firm[0-3]') or contains(subject, 'PR1') or contains(body_preview, '/sites/') as real_signal,
+        TOLONG(nullif(regexp_extract(body_preview, 'signed copy by Friday[?] About .([0-9]+)k', 1), '')) as tag from raw_items),
+    open_issues as (select id, project_id from issues where state in ('active', 'waiting', 'blocked')),
+    by_reference as (select l.reference, min(o.id) as issue_id from links l join open_issues o on o.id = l.issue_id group by l.reference),
+    by_subject as (select {t.normalize_subject('e.subject')} as subject_key, min(o.id) as issue_id from issue_evidence e join open_issues o on o.id = e.issue_id group by 1),
+    by_domain as (select distinct issue_id, domain from issue_evidence),
+    by_sender as (select p.local_part, min(o.id) as issue_id from (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1 having count(*) = 1) p join open_issues o on o.project_id = p.party_id group by p.local_part),
+    matched as (select p.id, p.thread_key, p.item_class, p.asks_in_chat, p.real_signal, c.issue_id as by_container, g.id as by_tag, r.issue_id as by_reference, case when p.item_class = 'FYI-EVIDENCE' then d.issue_id end as by_subject, case when p.asks_in_chat then a.issue_id end as by_sender
+      from pending p left join containers c on c.thread_key = p.thread_key left join open_issues g on g.id = p.tag left join by_reference r on r.reference = p.pr_number_base
+      left join by_subject s on s.subject_key = p.subject_key left join by_domain d on d.issue_id = s.issue_id and d.domain = p.domain left join by_sender a on a.local_part = p.local_part),
+    ruled as (select id, thread_key, coalesce(by_container, by_tag, by_reference, by_subject, by_sender, -id) as issue_id,
+        case when item_class = 'NOISE' then 'noise' when by_container is not null then 'container' when by_tag is not null then 'tag' when by_reference is not null then 'reference' when by_subject is not null then 'subject'
+          when item_class = 'FYI-EVIDENCE' and not real_signal then 'fyi_standalone' when by_sender is not null then 'sender' when asks_in_chat then 'chat_standalone' else 'new' end as rule from matched),
+    setters as (select thread_key, min(id) as since, min_by(issue_id, id) as issue_id from ruled where rule in ('tag', 'reference', 'sender', 'new') group by thread_key),
+    linked as (select r.id, r.issue_id, r.rule, case when r.rule not in ('noise', 'container') and r.id > s.since then s.issue_id end as later from ruled r left join setters s on s.thread_key = r.thread_key)
+    select id, case when later is not null then 'container' else rule end as rule, case when later is not null then later when rule in ('noise', 'fyi_standalone', 'chat_standalone') then null else issue_id end as issue_id from linked""")
 operator("j16_sender_anchor", "select r.id, p.party_id from raw_items r join (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1) p on split_part(r.from_actor, '@', 1) = p.local_part where r.item_class = 'ACTIONABLE-ASK' and (r.pr_number_base is not null or contains(r.subject, 'PR'))")
 operator("j17_subject_fragments", """
     with grams as (select distinct id, project_id, substr(lower(title), p, 15) as gram from (select id, project_id, title, UNNEST(SPAN(1, length(title) - 14)) as p from issues) x),

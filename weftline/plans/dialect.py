@@ -1,7 +1,7 @@
 """Operators are written once, in SQL with a few macros; this renders them for Spark and for DuckDB.
 
 A macro is a name in capitals with its arguments in parentheses, such as EPOCH(ts). Patterns use character
-classes and no backslashes, so that both engines read the same literal.
+classes and no backslashes, so that both engines read the same literal, or are RAW literals.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ MACROS = {
     "EPOCH": ("(unix_micros(cast({0} as timestamp)) / 1000000e0)", "epoch({0})"),
     "EPOCH_ISO": ("(unix_micros(try_cast({0} as timestamp)) / 1000000e0)", "epoch(try_cast({0} as timestamp))"),
     "LIKES": ("({0} rlike {1})", "regexp_matches({0}, {1})"),
+    "RAW": ("r{0}", "{0}"),
     "REPLACE_ALL": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "EXTRACT_ALL": ("regexp_extract_all({0}, {1}, {2})", "regexp_extract_all({0}, {1}, {2})"),
     "SPLIT": ("split({0}, {1})", "string_split_regex({0}, {1})"),

@@ -32,7 +32,7 @@ class Operator:
         return render(_filled(self.text, dict(self.defaults) | params), spark)
 
     def __call__(self, spark: SparkSession, params: dict[str, str] | None = None, **frames: DataFrame) -> DataFrame:
-        text = self.sql(True, **(params or {}))
+        text = self.sql(True, **(params or {})).replace("{", "{{").replace("}", "}}")
         for name in self.inputs:
             text = re.sub(rf"\b(from|join) +{name}\b", r"\1 {%s}" % name, text)
         return spark.sql(text, **{n: frames[n] for n in self.inputs})

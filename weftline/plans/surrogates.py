@@ -62,6 +62,10 @@ VIEWS = {
     "scores": "select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, round(l_discount * 5 + l_tax, 4) as score, EPOCH(l_shipdate) as ts from lineitem",
     "rules": """select * from (values (1, 'signup', 'purchase'), (2, 'click', 'purchase'), (3, 'view', 'error'), (4, 'error', 'signup')) as t(rule_id, requires_type, trigger_type)""",
     "vetoes": "select o_orderkey as id_a, o_orderkey + 7 as id_b from orders where o_orderkey % 50 = 0",
+    "containers": "select TEXT(o_custkey) as thread_key, min(o_orderkey) as issue_id from orders where o_custkey % 3 = 0 group by o_custkey",
+    "issue_evidence": """
+        select o_orderkey as issue_id, 'Invoice approved for ' || case o_orderkey % 3 when 0 then 'click' when 1 then 'signup' else 'purchase' end || ' PR' || TEXT(o_orderkey % 50) as subject,
+          'mail.firm' || TEXT(o_orderkey % 7) || '.example' as domain from orders""",
     "closures": """select * from (values ('click', 'purchase'), ('view', 'signup')) as t(request_type, closure_type)""",
     "actions": "select event_id as id, user_id as issue_id, EPOCH(ts) as requested_ts, case event_id % 3 when 0 then 'done' when 1 then 'pending' else 'running' end as status, event_type as action_kind from events",
     "states": "select o_orderkey as issue_id, o_orderkey % 3 as n, case when o_orderkey % 2 = 0 then 'waiting' else 'active' end as to_state, 'active' as from_state, EPOCH(o_orderdate) as changed_ts, case when o_orderkey % 4 < 3 then 'user' || TEXT(o_orderkey % 5) end as actor from orders",
