@@ -107,6 +107,14 @@ def test_docx_round_trip():
     assert files.docx_text(b"broken") == ""
 
 
+def test_workbooks_round_trip(spark):
+    rows = [(1, "a <b> & c", 1.5), (2, None, 1e-7), (3, " spaced ", None), (None, "", 12345678.25), (2**60 + 1, "q", 0.0)]
+    df = spark.createDataFrame(rows, "Issue long, Title string, Value double")
+    made = files.workbooks(df.coalesce(1), most=3)
+    assert [(r["Issue"], r["Title"] or None, r["Value"]) for r in files.read_workbooks(made, df.schema).collect()] == [(a, b or None, c) for a, b, c in rows]
+    assert files.xlsx_text(files.workbook(["One", "Two"], [(7, "x")])) == "One Two 7 x"
+
+
 def test_macros_nest_and_leave_literals_alone():
     assert render("SIZE(SET(x)) || 'SIZE(y)'", True) == "size(array_sort(collect_set(x))) || 'SIZE(y)'"
 

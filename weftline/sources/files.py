@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,14 +221,94 @@ def list_messages(spark, sf_dir):
     return parse_blocks(months).join(reactions, "message_id", "left")
 
 
+_RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+#: What each file of a workbook with one sheet holds, but for the sheet itself.
+_WORKBOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_RELATIONS}"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_SHEET}" xmlns:r="{_OFFICE}"><sheets><sheet name="Report" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_RELATIONS}"><Relationship Id="rId1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
+def _column(k: int) -> str:
+    name = ""
+    while k >= 0:
+        name, k = chr(65 + k % 26) + name, k // 26 - 1
+    return name
+
+
+def _cell(place: str, v) -> str:
+    if v is None or v != v:
+        return ""
+    if isinstance(v, str):
+        return f'<c r="{place}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    return f'<c r="{place}"><v>{v!r}</v></c>'
+
+
+def workbook(headers: list[str], rows) -> bytes:
+    """An xlsx file of one sheet: the headers, then the rows of texts and numbers; a null is an empty cell."""
+    lines = (f'<row r="{y}">{"".join(_cell(f"{_column(x)}{y}", v) for x, v in enumerate(row))}</row>' for y, row in enumerate([headers, *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in _WORKBOOK.items():
+            z.writestr(name, content)
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_SHEET}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def workbooks(sheet: DataFrame, most: int = 50_000) -> DataFrame:
+    """name, content: workbooks of at most `most` rows of a table of texts and numbers, as each task comes to them."""
+    headers, whole = sheet.columns, [isinstance(f.dataType, T.IntegralType) for f in sheet.schema]
+    sheet = sheet.select(*[F.col(h).cast("string").alias(h) if w else F.col(h) for h, w in zip(headers, whole, strict=True)])  # pandas has no whole numbers with nulls
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n, held = TaskContext.get().partitionId(), 0, []
+        for b in batches:
+            held += [[int(v) if w and v is not None else v for v, w in zip(row, whole, strict=True)] for row in b.astype(object).where(b.notna(), None).values.tolist()]
+            while len(held) >= most:
+                yield pd.DataFrame({"name": [f"report-{part}-{n}.xlsx"], "content": [workbook(headers, held[:most])]})
+                held, n = held[most:], n + 1
+        if held:
+            yield pd.DataFrame({"name": [f"report-{part}-{n}.xlsx"], "content": [workbook(headers, held)]})
+
+    return sheet.mapInPandas(run, "name string, content binary")
+
+
+def sheet_rows(content: bytes) -> list[dict[str, str]]:
+    """The rows of a workbook's first sheet after its headers, by header; empty cells are left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    main = f"{{{_SHEET}}}"
+    lines = [{c.get("r").rstrip("0123456789"): _cell_text(c, main, []) if c.get("t") else c.findtext(f"{main}v") for c in row} for row in root.iter(f"{main}row")]
+    return [{lines[0][k]: v for k, v in line.items()} for line in lines[1:]]
+
+
+def read_workbooks(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of the workbooks that `workbooks` made, with the types of `schema`."""
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                yield pd.DataFrame([[line.get(n) for n in names] for line in sheet_rows(content)], columns=names, dtype=object)
+
+    texts = files.select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+    return texts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
 @query("s20_report_sheet", "select id as Issue, title as Title, category as Category, state as State, owner as Owner, value_amount as Value, opened_at as Opened, updated_at as Updated, due as Due from issues")
 def report_sheet(spark, sf_dir):
-    """The status report written as a sheet (CSV with nine fixed headers) and read back."""
+    """The status report written as workbooks with nine fixed headers, stored, and read back."""
     issues = view(spark, sf_dir, "issues")
     sheet = issues.select(F.col("id").alias("Issue"), F.col("title").alias("Title"), F.col("category").alias("Category"), F.col("state").alias("State"), F.col("owner").alias("Owner"), F.col("value_amount").alias("Value"), F.col("opened_at").alias("Opened"), F.col("updated_at").alias("Updated"), F.col("due").alias("Due"))
     folder = work_dir(spark)
-    sheet.write.option("header", True).csv(folder)
-    return spark.read.schema(sheet.schema).option("header", True).csv(folder)
+    workbooks(sheet).write.parquet(folder)
+    return read_workbooks(spark.read.schema("name string, content binary").parquet(folder), sheet.schema)
 
 
 @query("s21_emit_events", "select id, occurred_ts, signal_type as kind, from_actor as actor from raw_items")
