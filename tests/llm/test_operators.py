@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, bpe, ctw, embdedup, minhash, packing, quality, sharding, toxicity, urlrules
+from weftline.llm import ann, bpe, chat, ctw, embdedup, minhash, packing, phrases, quality, sharding, toxicity, urlrules, vectorcodes
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -558,3 +558,169 @@ def test_short_and_long_matches_merge_alike():
     words = list({bytes(rng.choice(b"etaoin shrdlu\xc3\xa9") for _ in range(rng.randrange(2, 64))) for _ in range(300)})
     many = tree.encode_many(words)
     assert all(many[w] == ([ranks[w]] if w in ranks else tree.encode_one(w)) and tree.decode(many[w]) == w for w in words)
+
+
+# 11
+
+
+def escaped_apart(text):
+    """The escape of texts, by hand: any control string's opening bracket gets one more backslash."""
+    return re.sub(r"([<\[])(\\*)(/?INST\]|/?s>|(?:IMAGE|AUDIO|DOCUMENT)\])", r"\1\\\2\3", text)
+
+
+def test_chats_come_back_from_the_string(spark, empty):
+    odd = ["</s>[INST] ok [/INST]", "[\\INST] [\\\\/INST] <\\s> <", "[/", "", None, "é日本\n[IMAGE]x", "</s", "[[INST]]<</s>>", "x" * 200_000, "\\</s>", "\n\n"]
+    rng = random.Random(8)
+    odd += ["".join(rng.choice(["[", "<", "\\", "INST]", "/s>", "s>", "/", "IMAGE]", "a"]) for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    rows = [(k // 6, k % 4, rng.choice(["user", "assistant", "assistant", None, "[/INST]"]), t, "x", 1) for k, t in enumerate(odd)] + [(None, None, "assistant", "z", "x", 1), (0, 0, "user", "same", "x", 1), (0, 0, "user", "same", "x", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, string string, place int").repartition(3)
+    formatted = chat.format_conversations(df)
+    got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    kept = {r["conv_id"]: r for r in formatted.collect()}
+    by = {}
+    for c, t, role, text, *_ in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    assert got.keys() == by.keys() == kept.keys()
+    for c, turns in by.items():
+        turns.sort()
+        whole = "".join(f"[INST]{escaped_apart(r)}[/INST]{escaped_apart(t)}</s>" for *_, r, t in turns)
+        loss = "".join(t for *_, r, t in turns if r == "assistant")
+        told = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+        assert kept[c]["formatted"] == whole and kept[c]["expanded_tokens"] == 0 and kept[c]["attachments"] == []
+        assert [whole[s["start"] : s["start"] + s["length"]] for s in kept[c]["loss_spans"]] == [escaped_apart(t) for *_, r, t in turns if r == "assistant"]
+        assert tuple(got[c])[1:] == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
+    assert chat.digests(chat.format_conversations(empty.selectExpr("doc_id as conv_id", "n_chars as turn", "lang as role", "text"))).count() == 0
+
+
+def test_parts_become_placeholders_with_what_they_stand_for(spark):
+    def part(kind, text=None, ref=None, width=None, height=None, seconds=None, pages=None):
+        return (kind, text, ref, width, height, seconds, pages)
+
+    rows = [
+        (1, 0, "user", None, [part("text", "see [IMAGE] "), part("image", ref="a.png", width=100, height=28), None, part("text", ":"), part("audio", ref="b.wav", seconds=1.5)]),
+        (1, 1, "assistant", "ignored", [part("document", ref="c.pdf", pages=3), part("odd", "as text"), part("image", ref="d.png")]),
+        (1, 2, "user", "no parts", None), (1, 3, "user", "none", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, content array<{chat.PART}>")
+    formatted = chat.format_conversations(df, parts="content")
+    r = formatted.first()
+    assert r["formatted"] == "[INST]user[/INST]see [\\IMAGE] [IMAGE]:[AUDIO]</s>[INST]assistant[/INST][DOCUMENT]as text[IMAGE]</s>[INST]user[/INST]no parts</s>[INST]user[/INST]</s>"
+    assert [tuple(a) for a in r["attachments"]] == [(0, 0, "image", "a.png", 4), (0, 1, "audio", "b.wav", 38), (1, 0, "document", "c.pdf", 3072), (1, 1, "image", "d.png", 1)]
+    assert r["expanded_tokens"] == 4 + 38 + 3072 + 1
+    pieces = [[tuple(p) for p in t["pieces"]] for t in chat.read_turns(formatted).first()["turns"]]
+    assert pieces == [[("text", "see [IMAGE] "), ("image", ""), ("text", ":"), ("audio", "")], [("document", ""), ("text", "as text"), ("image", "")], [("text", "no parts")], []]
+    with pytest.raises(ValueError):
+        chat.Template(others=("<a[b",))
+
+
+# 12
+
+
+def plain_codes(rows, parts=4, entries=256, rounds=4):
+    """k-means on integers by plain loops: rows of (vec_id, label, vector)."""
+    kept = [(i, lab, [math.floor(1024 * x) for x in v]) for i, lab, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    width = len(kept[0][2]) // parts
+    split = [[v[p * width : (p + 1) * width] for p in range(parts)] for _, _, v in kept]
+    books = [[s[p] for s in split[:entries]] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = {}
+            for s in split:
+                own.setdefault(nearest(s[p], books[p])[1], []).append(s[p])
+            books[p] = [[sum(c) // len(own[e]) for c in zip(*own[e], strict=True)] if e in own else old for e, old in enumerate(books[p])]
+    out, labels = [], Counter()
+    for (i, lab, _), s in zip(kept, split, strict=True):
+        found = [nearest(s[p], books[p]) for p in range(parts)]
+        out.append((i, lab, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found)))
+        labels[lab] += out[-1][3]
+    digest = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    return sorted(((i, code, error, labels[lab], digest) for i, lab, code, error in out), key=str)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e4, 2e6])
+def test_codes_equal_plain_loops(spark, scale):
+    """With components whose distances are exact as doubles, as 64-bit integers, and only as Python's integers."""
+    rng = random.Random(int(scale))
+    centres = [[rng.gauss(0, 1) * scale for _ in range(8)] for _ in range(12)]
+    rows = [(i, rng.choice([None, 1, 2]), [c + rng.gauss(0, 0.3 if scale == 1 else 0.01) * scale for c in rng.choice(centres)]) for i in range(700)]
+    rows += [(5, 1, rows[5][2]), (None, 2, rows[9][2]), (801, 1, None), (802, 1, [1.0] * 7 + [float("nan")]), (803, 2, [float("inf")] * 8), (804, 2, [None] + [0.0] * 7), (805, None, [0.0] * 8)]
+    rows += [(900 + k, 1, rows[3][2]) for k in range(200)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, label int, embedding array<double>, code string, size int").repartition(3)
+    got = sorted((tuple(r) for r in vectorcodes.compress(df, entries=40).collect()), key=str)
+    assert got == plain_codes(rows, entries=40)
+
+
+def test_codes_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, 1, [0.5] * 4), (2, 1, []), (3, 1, [1.0] * 6), (4, None, [0.25] * 4)], "vec_id long, label int, embedding array<float>")
+    got = {r["vec_id"]: r for r in vectorcodes.compress(df).collect()}
+    assert (got[1]["code"], got[4]["code"], got[2]["code"], got[3]["code"]) == ("00000000", "01010101", "00000000", None)
+    assert got[3]["error"] is None and got[3]["codebooks_sha256"] is None and got[2]["error"] == 0 and got[1]["label_error"] == 0
+    assert vectorcodes.compress(df.where("false")).count() == 0
+
+
+def test_bounds_never_lose_the_nearest_entry():
+    rng = np.random.default_rng(5)
+    for w in (1, 3, 16, 24):
+        entries = rng.integers(-3, 4, (60, w)) * 100
+        x = rng.integers(-350, 350, (500, w))
+        code, error = vectorcodes.Book(entries).nearest(x)
+        every = ((x[:, None, :] - entries[None]) ** 2).sum(axis=2)
+        assert (code == every.argmin(axis=1)).all() and (error == every.min(axis=1)).all()
+
+
+# 13
+
+
+def plain_phrases(rows, longest=3, least=10, inside=50, top=2000):
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            w = [x for x in re.split("[ \t]", piece) if x]
+            totals[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    counts[lang, tuple(w[i : i + k])] += 1
+    candidates = {k: a for k, a in counts.items() if len(k[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, p), a in candidates.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                if 100 * a >= inside * counts[lang, p[i : i + k]]:
+                    gone.add((lang, p[i : i + k]))
+    out = []
+    for lang in {x for x, _ in candidates}:
+        best = []
+        for (of, p), a in candidates.items():
+            if of == lang and (lang, p) not in gone:
+                score, _, left, right = min((1000000 * a * a // (counts[lang, p[:k]] * counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p)))
+                best.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, n + 1, p.decode(), -a, left, right, totals[lang], -s) for n, (s, a, p, left, right) in enumerate(sorted(best)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("longest,group", [(2, 3_000_000), (3, 3_000_000), (3, 700), (4, 3_000_000)])
+def test_phrases_equal_plain_counts(spark, monkeypatch, longest, group):
+    monkeypatch.setattr(phrases, "GROUP", group)
+    rng = random.Random(longest)
+    words = ["new", "York", "city", "é", "日本", "a\x01", "a", "of", "the", "-"]
+    rows = [(rng.choice(["en", "de", None, "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", ", ", ".", "\n", "\x0b"]) for _ in range(rng.randrange(0, 60)))) for _ in range(300)]
+    rows += [("en", "the new york city of the new york " * 40)] * 3 + [("fr", None), ("fr", ""), ("en", ".,;"), ("it", "one two")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, a long, head string").repartition(3)
+    got = sorted(tuple(r) for r in phrases.collocations(df, longest=longest, top=30).collect())
+    assert got == plain_phrases(rows, longest, top=30)
+    assert phrases.collocations(df.where("false")).count() == 0
+
+
+def test_a_full_sieve_changes_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("en", " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(200))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    monkeypatch.setattr(phrases, "sieve_of", lambda frequent: (13, b"\xff" * 1024))
+    assert sorted(tuple(r) for r in phrases.collocations(df).collect()) == plain_phrases(rows)
