@@ -77,7 +77,7 @@ class Occurrences:
         if words > 1:
             data[ends[np.arange(len(at)) % words < words - 1] - 1] = 0x20
         offsets = np.concatenate(([0], ends[words - 1 :: words])).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _parts(text: bytes) -> Iterator[bytes]:
@@ -161,7 +161,7 @@ def sieve_of(frequent: DataFrame) -> tuple[int, bytes]:
 
 
 def _pointers(sieve, longest: int):
-    """lang, head, tail, n: each word with no tail, and with each run of words right of it that the sieve lets through."""
+    """lang, phrase, n: each word alone, and with each run of words right of it that the sieve lets through."""
 
     def run(batches):
         bits, data = sieve.value
@@ -179,11 +179,9 @@ def _pointers(sieve, longest: int):
             _, first, word, count = np.unique(o.hash, return_index=True, return_inverse=True, return_counts=True)
 
             def rows(first, count, words):
-                heads = o.spelled(first, 1)
-                tails = o.spelled(first + 1, words) if words else pa.array([b""] * len(first), pa.binary())
-                return pa.RecordBatch.from_arrays([names.take(pa.array(o.lang[first])), heads, tails, pa.array(count.astype(np.int64))], ["lang", "head", "tail", "n"])
+                return pa.RecordBatch.from_arrays([names.take(pa.array(o.lang[first])), o.spelled(first, words), pa.array(count.astype(np.int64))], ["lang", "phrase", "n"])
 
-            yield rows(first, count, 0)
+            yield rows(first, count, 1)
             for words in range(1, longest):
                 at = np.flatnonzero(reach == words)
                 if not len(at):
@@ -192,7 +190,7 @@ def _pointers(sieve, longest: int):
                 for j in range(1, words + 1):  # a number for each different run of words
                     _, key = np.unique(key * (int(word.max()) + 1) + word[at + j], return_inverse=True)
                 _, which, count = np.unique(key, return_index=True, return_counts=True)
-                yield rows(at[which], count, words)
+                yield rows(at[which], count, words + 1)
 
     return run
 
@@ -216,8 +214,9 @@ def _grow(least: int):
 
     def rows(batches):
         for b in batches:
-            for lang, head, tail, n in zip(b.column("lang").to_pylist(), b.column("head").to_pylist(), b.column("tail").to_pylist(), b.column("n").to_pylist(), strict=True):
-                yield (lang, head), (tail.split(b" "), n)
+            for lang, phrase, n in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), b.column("n").to_pylist(), strict=True):
+                told = phrase.split(b" ")
+                yield (lang, told[0]), (told, n)
 
     def run(batches):
         langs, found = [], []
@@ -227,7 +226,7 @@ def _grow(least: int):
 
         for (lang, head), group in groupby(rows(batches), key=lambda r: r[0]):
             before = len(found)
-            extend([head], (p for _, p in group), 0, found)
+            extend([head], (p for _, p in group), 1, found)
             langs.extend([lang] * (len(found) - before))
             if len(found) > 10_000:
                 yield batch()
@@ -251,16 +250,16 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     pairs = texts.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     sieve = spark.sparkContext.broadcast(sieve_of(work.stored(pairs.select("pair"), "pairs")))
-    pointers = texts.mapInArrow(_pointers(sieve, longest), "lang string, head binary, tail binary, n long")
-    pointers = work.stored(pointers.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")), "pointers")
+    pointers = texts.mapInArrow(_pointers(sieve, longest), "lang string, phrase string, n long")
+    pointers = work.stored(pointers.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "pointers")
 
-    tails = pointers.where(F.octet_length("tail") > 0)
-    block = F.pmod(F.xxhash64(F.substring_index(F.col("tail").cast("string"), " ", 1)), F.lit(BLOCKS))
-    tails = tails.withColumn("block", block).repartition("lang", "head", "block").drop("block")
-    tails = tails.sortWithinPartitions("lang", "head", F.concat("tail", F.lit(b" ")))  # words end in a space, so that equal ones stay together
+    block = F.pmod(F.xxhash64(F.substring_index("phrase", " ", 2)), F.lit(BLOCKS))
+    tails = pointers.where(F.instr("phrase", " ") > 0).repartition("lang", F.substring_index("phrase", " ", 1), block)
+    tails = tails.select("lang", F.col("phrase").cast("binary").alias("phrase"), "n")
+    tails = tails.sortWithinPartitions("lang", F.concat("phrase", F.lit(b" ")))  # words end in a space, so that equal ones stay together
     grown = tails.mapInArrow(_grow(least), "lang string, phrase binary, words int, a long")
     phrases = work.stored(grown.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
-    words = pointers.where(F.octet_length("tail") == 0).select("lang", F.col("head").cast("string").alias("phrase"), F.col("n").alias("a"))
+    words = pointers.where(F.instr("phrase", " ") == 0).select("lang", "phrase", F.col("n").alias("a"))
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     counts = words.where(F.col("a") >= least).unionByName(phrases.select("lang", "phrase", "a"))
 
