@@ -250,6 +250,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     pairs = texts.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     sieve = spark.sparkContext.broadcast(sieve_of(work.stored(pairs.select("pair"), "pairs")))
+    del pairs
+    spark._jvm.System.gc()  # Spark removes the pairs' shuffle files once the driver has let go of them
     pointers = texts.mapInArrow(_pointers(sieve, longest), "lang string, phrase string, n long")
     pointers = work.stored(pointers.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "pointers")
 
