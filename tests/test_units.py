@@ -151,36 +151,6 @@ def test_forecast(spark, scores, verdict, passes):
     assert (r["verdict"], r["passes"]) == (verdict, passes)
 
 
-def _pairs(spark, issues, links=(), claims=(), vetoes=()):
-    frames = {
-        "issues": spark.createDataFrame(issues, "id long, project_id long, category string, contact string, value_amount double, display_title string, state string, updated_at double"),
-        "links": spark.createDataFrame(list(links), "issue_id long, reference string"),
-        "claims": spark.createDataFrame(list(claims), "issue_id long, supplier_id long, escalated boolean, claim_type string, canonical_key long"),
-        "vetoes": spark.createDataFrame(list(vetoes), "id_a long, id_b long"),
-    }
-    found = {(r["id_a"], r["id_b"]): r["points"] for r in joins.MATCHED(spark, **frames).collect()}
-    return found, {(r["id_a"], r["id_b"]) for r in joins.CANDIDATES(spark, **frames).collect()}
-
-
-def _issue(k, contact, amount=1.0, category="buy", title=None):
-    return (k, k, category, contact, amount * 10.0**k, title, "active", 0.0)
-
-
-def test_an_equal_category_is_no_point(spark):
-    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "b")], links=[(1, "R1"), (2, "R1")])
-    assert found == {(1, 2): "reference"} and candidates == set()
-
-
-def test_two_points_need_no_reference(spark):
-    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "a")], claims=[(1, 5, True, "ask", 1), (2, 5, True, "ask", 2)])
-    assert found == {(1, 2): "supplier,stakeholder"} and candidates == {(1, 2)}
-
-
-def test_a_rejected_pair_has_no_points(spark):
-    found, candidates = _pairs(spark, [_issue(1, "a"), _issue(2, "a")], links=[(1, "R1"), (2, "R1")], vetoes=[(2, 1)])
-    assert found == {} and candidates == set()
-
-
 def test_sequences_of_five_and_their_parts(spark):
     rows = [(f"t{k}", s, float(i)) for k in range(2) for i, s in enumerate("abcde")]
     df = spark.createDataFrame(rows, "thread_key string, signal_type string, occurred_ts double")

@@ -5,39 +5,10 @@ from __future__ import annotations
 from weftline.functions import text as t
 from weftline.plans.registry import operator
 
-operator("j01_reference_collisions", """
-    with one as (select l.reference, i.id, i.project_id from links l join issues i on l.issue_id = i.id where i.state <> 'done')
-    select a.id as id_a, b.id as id_b, JOINED(SET(a.reference), ',') as shared from one a join one b on a.reference = b.reference and a.id < b.id and a.project_id <> b.project_id group by a.id, b.id""")
-operator("j02_collisions_for_issue", "select l.issue_id, m.issue_id as other_id, count(*) as n from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id group by l.issue_id, m.issue_id")
-operator("j03_related_open_issues", "select distinct l.issue_id, m.issue_id as other_id from links l join links m on l.reference = m.reference and l.issue_id <> m.issue_id join issues i on i.id = m.issue_id where i.state <> 'done'")
 operator("j04_amount_band_pool", """
     with one as (select id, project_id, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
     near as (select id, project_id, value_amount, band, UNNEST(ARRAY(band - 1, band, band + 1)) as probe from one)
     select a.id as id_a, b.id as id_b from near a join one b on a.project_id = b.project_id and a.probe = b.band and a.id < b.id where abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount)""")
-#: Of two issues: what each point is. Points that few issues share find the pairs; the others are counted on those.
-_SIGNS = """
-    rare as (select issue_id, 'reference' as point, reference as value from links union select issue_id, 'supplier', TEXT(supplier_id) from claims where escalated
-      union select issue_id, 'document', TEXT(canonical_key) from claims where claim_type = 'date' union select id, 'subject_entity', lower(display_title) from issues where length(display_title) >= 12),
-    banded as (select id, contact, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
-    probes as (select id, contact, value_amount, UNNEST(ARRAY(band - 1, band, band + 1)) as band from banded),
-    shared as (select a.issue_id as id_a, b.issue_id as id_b, a.point from rare a join rare b on a.point = b.point and a.value = b.value and a.issue_id < b.issue_id
-      union select a.id, b.id, 'amount' from probes a join banded b on a.contact = b.contact and a.band = b.band and a.id < b.id where abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount)),
-    pairs as (select id_a, id_b, bool_or(point = 'reference') as reference, bool_or(point = 'supplier') as supplier, bool_or(point = 'document') as document, bool_or(point = 'subject_entity') as subject from shared s
-      where not exists (select 1 from vetoes v where v.id_a = s.id_a and v.id_b = s.id_b) and not exists (select 1 from vetoes v where v.id_b = s.id_a and v.id_a = s.id_b) group by id_a, id_b),
-    points as (select p.id_a, p.id_b, a.project_id as project_a, b.project_id as project_b, b.state as state_b, b.updated_at as updated_b,
-        FILTER(ARRAY(case when p.reference then 'reference' end, case when p.supplier then 'supplier' end, case when a.contact = b.contact then 'stakeholder' end, case when p.subject then 'subject_entity' end,
-          case when abs(a.value_amount - b.value_amount) <= 0.01e0 * greatest(a.value_amount, b.value_amount) then 'amount' end, case when p.document then 'document' end), w, w is not null) as found
-      from pairs p join issues a on a.id = p.id_a join issues b on b.id = p.id_b)"""
-MATCHED = operator("j05_matched_points", f"""
-    with {_SIGNS.strip()}
-    select id_a, id_b, JOINED(found, ',') as points from points where SIZE(found) > 0""")
-CANDIDATES = operator("j06_candidates", f"""
-    with {_SIGNS.strip()}
-    select id_a, id_b, SIZE(found) as n_points from points where SIZE(found) >= 2 and project_a <> project_b and not (state_b = 'done' and updated_b < :now - 365 * 86400)""")
-operator("j07_discovered_points", "select a.id as id_a, b.id as id_b, a.definition from (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') a join (select id, 'discount' as definition, canonical_key as value from claims where escalated and claim_type = 'ask') b on a.definition = b.definition and a.value = b.value and a.id < b.id")
-operator("j08_cross_mention", """
-    with firms as (select distinct 'firm' || TEXT(id % 7) as firm from companies), words as (select id, UNNEST(UNIQUE(EXTRACT_ALL(lower(from_actor), '([a-z0-9]+)', 1))) as word from raw_items where LIKES(lower(subject), '(approve|review|invoice)'))
-    select w.id, f.firm from words w join firms f on w.word = f.firm""")
 operator("j09_path_company", "select distinct p.id, p.token from (select id, UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_) p join (select distinct token from (select UNNEST(SPLIT(lower(url), '[^a-z0-9-]+')) as token from pages_ where id % 10 = 0) y where length(token) >= 5) c on p.token = c.token")
 ALIASES = operator("j10_alias_prefixes", f"""
     with names as (select distinct {t.entity_key('name')} as entity from companies), heads as (select entity, UNNEST(MAP_EACH(SPAN(4, length(entity) - 1), n, substr(entity, 1, cast(n as int)))) as head from names where length(entity) > 4)
@@ -75,10 +46,6 @@ CASCADE = operator("j15_link_cascade", f"""
     linked as (select r.id, r.issue_id, r.rule, case when r.rule not in ('noise', 'container') and r.id > s.since then s.issue_id end as later from ruled r left join setters s on s.thread_key = r.thread_key)
     select id, case when later is not null then 'container' else rule end as rule, case when later is not null then later when rule in ('noise', 'fyi_standalone', 'chat_standalone') then null else issue_id end as issue_id from linked""")
 operator("j16_sender_anchor", "select r.id, p.party_id from raw_items r join (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1) p on split_part(r.from_actor, '@', 1) = p.local_part where r.item_class = 'ACTIONABLE-ASK' and (r.pr_number_base is not null or contains(r.subject, 'PR'))")
-operator("j17_subject_fragments", """
-    with grams as (select distinct id, project_id, substr(lower(title), p, 15) as gram from (select id, project_id, title, UNNEST(SPAN(1, length(title) - 14)) as p from issues) x),
-    by_project as (select gram, project_id, count(distinct id) as n, min(id) as only_id from grams group by gram, project_id)
-    select a.id, b.project_id, count(*) as n_shared from grams a join by_project b on a.gram = b.gram and (b.n > 1 or b.only_id <> a.id) group by a.id, b.project_id""")
 operator("j18_value_corroborated", "select c.id from claims c where c.claim_type = 'commitment' and exists (select 1 from claims d where d.issue_id = c.issue_id and d.claim_type <> 'commitment' and round(d.amount / 1000e0, 0) = round(c.amount / 1000e0, 0))")
 operator("j19_likely_reply", """
     with marked as (select id, issue_id, occurred_ts, direction, item_class, min(case when direction = 'outbound' then occurred_ts end) over (partition by issue_id order by occurred_ts range between 1e-6 following and 604800e0 following) as reply_ts from raw_items),

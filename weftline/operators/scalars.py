@@ -158,14 +158,6 @@ operator("p16_domain_seen_on_issue", f"""
     with items as (select id, issue_id, {t.sender_domain('from_actor')} as domain from raw_items), firsts as (select issue_id, domain, min(id) as id from items where domain is not null group by issue_id, domain)
     select a.id, coalesce(f.id < a.id, false) as seen from items a left join firsts f on f.issue_id = a.issue_id and f.domain = a.domain""")
 operator("p17_proactive_action", "select id, case when direction <> 'inbound' then null when k % 4 = 0 and contains(subject, 'review') then 'redline' when contains(subject, 'Status') then 'status_reply' end as action from raw_items")
-operator("p18_issues_to_check", """
-    with siblings as (select i.id, j.id as related_id from issues i join issues j on i.project_id = j.project_id and i.id <> j.id),
-    suppliers as (select distinct issue_id, supplier_id from claims where escalated),
-    alone as (select i.id from issues i where not exists (select 1 from siblings s where s.id = i.id)),
-    shared as (select distinct a.id, y.issue_id as related_id from alone a join suppliers x on x.issue_id = a.id join suppliers y on y.supplier_id = x.supplier_id and y.issue_id <> x.issue_id)
-    select id, related_id, 'project' as via from siblings union all select id, related_id, 'supplier' from shared
-    union all select a.id, a.id, 'itself' from alone a where not exists (select 1 from shared s where s.id = a.id)""")
-
 # arrays, JSON, parsing
 operator("n02_claim_specs", "select id, 'ask' as claim_type, w as text from (select id, UNNEST(SPLIT(text, '[.] ')) as w from documents_ where lang = 'en') x where w <> '' union all select id, 'decision', w from (select id, UNNEST(SPLIT(text, chr(10))) as w from documents_ where lang = 'fr') y where w <> ''")
 operator("n03_work_object_signature", "select i.project_id, JOINED(SET(i.category), ',') as categories, JOINED(SET(i.owner), ',') as owners, count(distinct i.id) as n_issues, max(i.value_amount) as top_value from issues i group by i.project_id")

@@ -55,6 +55,15 @@ VIEWS = {
           case when l_quantity >= 45 then 'R' || TEXT(l_partkey) end as reference_base
         from lineitem""",
     "links": """select distinct l_orderkey as issue_id, 'R' || TEXT(l_partkey) as reference from lineitem where l_quantity >= 45""",
+    "descriptors": "select l_orderkey as issue_id, 'supply of ' || case l_partkey % 3 when 0 then 'small' when 1 then 'polished' else 'heavy duty' end || ' fittings grade ' || TEXT(l_partkey % 40) as descriptor from lineitem where l_linenumber = 7",
+    "issue_texts": """
+        select o_orderkey as issue_id, case o_orderkey % 6
+            when 0 then 'This is a Flow-Down from the existing FIRM' || TEXT(o_custkey % 25) || ' subcontract'
+            when 1 then 'the firm' || TEXT(o_custkey % 30) || repeat(' filler', cast(o_orderkey % 60 as int)) || ' teaming agreement of ' || TEXT(o_orderkey)
+            when 2 then 'A mail about firm' || TEXT(o_custkey % 25) || ' and nothing else'
+            when 3 then 'change order under ' || repeat('x', cast(o_orderkey % 300 as int)) || 'firm' || TEXT(o_custkey % 25)
+            when 4 then 'firm' || TEXT(o_custkey % 25) || ' (holdings)' || repeat('. Later', cast(o_orderkey % 45 as int)) || ' a prime contract, then a sub-contract with the firm' || TEXT(o_orderkey % 25) else '' end as text from orders""",
+    "definitions": "select * from (values ('discount', 'ask'), ('delivery', 'commitment'), ('penalty', 'decision')) as t(definition, claim_type)",
     "messages": "select conv_id, turn, role, text, case role when 'user' then 'inbound' when 'assistant' then 'outbound' else 'internal' end as direction, turn * 50e0 + conv_id % 7 as ts from conversations",
     "documents_": "select doc_id as id, text, lang, source from documents",
     "pages_": "select page_id as id, url, html from pages",

@@ -47,3 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows up to which a table may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether df has at most `rows` rows; reading stops one row beyond."""
+    return df.limit(rows + 1).count() <= rows
