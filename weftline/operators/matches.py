@@ -14,7 +14,7 @@ from weftline.plans.dialect import render
 from weftline.plans.registry import _filled, frames, query
 from weftline.plans.surrogates import NOW
 from weftline.plans.views import view
-from weftline.sources.tables import is_small
+from weftline.sources.tables import is_small, stored
 
 #: Equal points of an issue; what a statement reads, not how they are matched.
 VALUES = f"""
@@ -106,7 +106,7 @@ def point_values(values: DataFrame, titles: DataFrame, descriptors: DataFrame, t
     for point, frame in (("subject_entity", titles), ("product_service", descriptors)):
         grams = pairing.grams(frame.select("id", F.lower("title").alias("title"))).distinct().withColumn("point", F.lit(point))
         parts = grams if parts is None else parts.unionByName(grams)
-    suppliers = equal.where("point = 'supplier'")
+    suppliers = stored(equal.where("point = 'supplier'"), "suppliers")
     said = mentions.find(texts, suppliers.select(F.col("value").alias("name")).distinct()).select("id", F.col("name").alias("value"), F.lit(pairing.NAMES).alias("role"))
     named = said.select("value").distinct()
     owned = suppliers.join(named, "value", "left_semi").select("id", "value", F.lit(pairing.OWNS).alias("role"))
@@ -125,7 +125,7 @@ def _points(spark, sf_dir, stale: bool, grouped: bool):
     counts = F.expr(STALE.replace(":now", NOW)) if stale else F.lit(True)
     group = F.col("project_id") if grouped else F.lit(None).cast("long")
     items = issues.select("id", group.alias("grp"), counts.alias("counts"), F.round(F.col("value_amount") * 100).cast("long").alias("x"))
-    return points, items, found["vetoes"]
+    return stored(points, "points"), items, found["vetoes"]
 
 
 #: Every point of every issue, plainly: all substrings, and mentions by a look at each place of each name.
@@ -134,27 +134,27 @@ _PLAIN = f"""
       union select distinct issue_id, 'product_service', substr(d, p, 15) from (select issue_id, min(descriptor) as d, UNNEST(SPAN(1, length(min(descriptor)) - 14)) as p from descriptors group by issue_id) y),
     held as (select point, value, JOINED(LIST(id), ',') as holders, count(*) as n from grams group by point, value),
     kept as (select point, min(value) as value from held where n > 1 group by point, holders),
-    plain as (select id, point, value from ({VALUES}) v where value <> '' union select g.id, g.point, g.value from grams g join kept k on g.point = k.point and g.value = k.value),
+    plain as materialized (select id, point, value from ({VALUES}) v where value <> '' union select g.id, g.point, g.value from grams g join kept k on g.point = k.point and g.value = k.value),
     firms as (select distinct value as name from plain where point = 'supplier' and length(value) >= 3),
     places as (select issue_id as id, lower(text) as low, name, UNNEST(SPAN(1, length(text) - length(name) + 1)) as p from issue_texts x join firms on contains(lower(text), name)),
-    said as (select distinct id, name from places where substr(low, p, length(name)) = name
+    said as materialized (select distinct id, name from places where substr(low, p, length(name)) = name
       and LIKES(substr(low, greatest(p - 200, 1), least(200, p - 1) + length(name) + 200), '(subcontract|sub-contract|flow-down|flowdown|prime contract|teaming agreement|change order under|work order under)')),
-    points as (select id, point, value, 1 as names, 1 as owns from plain
+    points as materialized (select id, point, value, 1 as names, 1 as owns from plain
       union all select coalesce(s.id, o.id), 'cross_mention', coalesce(s.name, o.value), case when s.id is not null then 1 else 0 end, case when o.id is not null then 1 else 0 end
       from said s full join (select id, value from plain where point = 'supplier' and value in (select name from said)) o on s.id = o.id and s.name = o.value),
-    barred as (select id_a, id_b from vetoes union select id_b, id_a from vetoes)"""
+    barred as materialized (select id_a, id_b from vetoes union select id_b, id_a from vetoes)"""
 
 
 @query("j05_matched_points", f"""
     with {_PLAIN.strip()},
     pairs as (select a.id, a.point, a.value, b.id as other_id from points a join points b on a.point = b.point and a.value = b.value and a.id <> b.id and (a.names + b.owns = 2 or a.owns + b.names = 2)
-      where (a.id, b.id) not in (select (id_a, id_b) from barred)),
+      where not exists (select 1 from barred v where v.id_a = a.id and v.id_b = b.id)),
     lows as (select point, value, min(id) as class_id from points group by point, value),
     amounts as (select id, value_amount from issues where value_amount > 0)
     select p.id, p.point, p.value, l.class_id, count(*) as n_links from pairs p join lows l on p.point = l.point and p.value = l.value group by p.id, p.point, p.value, l.class_id
     union all select a.id, 'amount', null, null, count(*) from amounts a join amounts b on a.id <> b.id
       and abs(LONG(round(a.value_amount * 100, 0)) - LONG(round(b.value_amount * 100, 0))) * 100 <= greatest(LONG(round(a.value_amount * 100, 0)), LONG(round(b.value_amount * 100, 0)))
-      where (a.id, b.id) not in (select (id_a, id_b) from barred) group by a.id""")
+      where not exists (select 1 from barred v where v.id_a = a.id and v.id_b = b.id) group by a.id""")
 def _j05(spark, sf_dir):
     return pairing.matched(*_points(spark, sf_dir, stale=False, grouped=False))
 
@@ -165,9 +165,9 @@ def _j05(spark, sf_dir):
     twice as (select a.id, a.point || ' + ' || b.point as point, a.value || ' + ' || b.value as value, least(a.names, b.names) as names, least(a.owns, b.owns) as owns from points a join points b on a.id = b.id and a.point < b.point),
     lows as (select point, value, min(id) as class_id from twice group by point, value),
     pairs as (select a.id, a.point, a.value, count(*) as n_links from twice a join twice b on a.point = b.point and a.value = b.value and a.id <> b.id and (a.names + b.owns = 2 or a.owns + b.names = 2)
-      join issue i on i.id = a.id join issue j on j.id = b.id where i.project_id <> j.project_id and j.counts and (a.id, b.id) not in (select (id_a, id_b) from barred) group by a.id, a.point, a.value),
+      join issue i on i.id = a.id join issue j on j.id = b.id where i.project_id <> j.project_id and j.counts and not exists (select 1 from barred v where v.id_a = a.id and v.id_b = b.id) group by a.id, a.point, a.value),
     near as (select a.id, a.point, a.value, count(*) as n_links from points a join points b on a.point = b.point and a.value = b.value and a.id <> b.id and (a.names + b.owns = 2 or a.owns + b.names = 2)
-      join issue i on i.id = a.id join issue j on j.id = b.id where i.project_id <> j.project_id and j.counts and i.x > 0 and j.x > 0 and abs(i.x - j.x) * 100 <= greatest(i.x, j.x) and (a.id, b.id) not in (select (id_a, id_b) from barred) group by a.id, a.point, a.value)
+      join issue i on i.id = a.id join issue j on j.id = b.id where i.project_id <> j.project_id and j.counts and i.x > 0 and j.x > 0 and abs(i.x - j.x) * 100 <= greatest(i.x, j.x) and not exists (select 1 from barred v where v.id_a = a.id and v.id_b = b.id) group by a.id, a.point, a.value)
     select p.id, p.point, p.value, l.class_id, p.n_links from pairs p join lows l on p.point = l.point and p.value = l.value
     union all select id, least(point, 'amount') || ' + ' || greatest(point, 'amount'), value, null, n_links from near""")
 def _j06(spark, sf_dir):

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import stored
+
 #: Characters before and after a name in which a keyword counts.
 WINDOW = 200
 #: Words that tell of a relationship, the first that is found counts.
@@ -81,6 +83,10 @@ def _part(kind: str, skip: Column, anchor: Column) -> Column:
 
 def _inner_parts(n: int) -> Column:
     """Every part of n characters of a word."""
+    return F.when(F.length("word") < n, F.array().cast("array<struct<kind:string,skip:int,anchor:string>>")).otherwise(_parts_of(n))
+
+
+def _parts_of(n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length("word") - n), lambda p: _part("alone", p, F.col("word").substr(p + 1, F.lit(n))))
 
 
@@ -97,16 +103,14 @@ def find(texts: DataFrame, names: DataFrame, keywords: tuple[str, ...] = RELATIO
     reach = window + longest
     low = texts.select("id", F.lower("text").alias("text"))
     near = low.mapInPandas(_near_words(keywords, reach, longest), f"id {dict(texts.dtypes)['id']}, at long, word string, before string, after string, keyword int")
+    near = stored(near, "near-words")
     words = near.where("word is not null").select("id", "at", "word", "before", "after")
 
     # the parts of each different word that may be a name's word, by where a name's word of that kind can lie
-    known = words.select("word").distinct()
-    whole = known.select("word", _part("inside", F.lit(0), F.col("word")).alias("p"))
-    ends = known.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda p: _part("first", p, F.col("word").substr(p + 1, F.length("word"))))).alias("p"))
-    starts = known.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: _part("last", F.lit(0), F.col("word").substr(F.lit(1), n)))).alias("p"))
-    parts = whole.unionByName(ends).unionByName(starts)
-    for n in sizes:
-        parts = parts.unionByName(known.where(F.length("word") >= n).select("word", F.explode(_inner_parts(n)).alias("p")))
+    ends = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda p: _part("first", p, F.col("word").substr(p + 1, F.length("word"))))
+    starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: _part("last", F.lit(0), F.col("word").substr(F.lit(1), n)))
+    parts = F.concat(F.array(_part("inside", F.lit(0), F.col("word"))), ends, starts, *(_inner_parts(n) for n in sizes))
+    parts = words.select("word").distinct().select("word", F.explode(parts).alias("p"))
     of_word = parts.select("word", "p.*").join(keyed, ["kind", "anchor"]).select("word", "skip", "ahead", "name")
 
     hits = words.join(of_word, "word")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import stored
+
 #: Values of an item up to which its partners are counted by the subsets of its values.
 WIDEST = 8
 #: Blocks that the holders of a value are dealt to where pairs are made.
@@ -167,7 +169,7 @@ def candidates(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFr
     transitive) and has no class_id; its partners are those of the value's class whose amount is near.
     """
     members = values.join(items.select("id", "grp", "counts"), "id")
-    equal = classes(members, ["point", "value"])
+    equal = stored(classes(members, ["point", "value"]), "classes")
     pairs = classes(twice(equal), ["point", "value"], vetoes).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
     priced = equal.where("n_links > 0 or counts").select("id", "grp", "counts", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
     priced = near(priced, ["point", "value"], vetoes).where("n_links > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,10 @@ SMALL_ROWS = 100_000
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether df has at most `rows` rows; reading stops one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in a fresh place of the shared folder: read many times, made once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
