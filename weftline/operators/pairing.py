@@ -142,9 +142,9 @@ def fewest(values: DataFrame, key: list[str]) -> DataFrame:
 def twice(members: DataFrame) -> DataFrame:
     """Members of (point, value) classes -> members of the classes of two points: point and value of either, joined by ' + '.
 
-    Only members that have partners or can be one are combined.
+    A class of one is left out: what it would be combined to has one member too.
     """
-    useful = members.where("n_links > 0 or counts").select("id", "grp", "counts", "role", "point", "value")
+    useful = members.select("id", "grp", "counts", "role", "point", "value")
     other = useful.select("id", F.col("role").alias("role_b"), F.col("point").alias("point_b"), F.col("value").alias("value_b"))
     both = useful.join(other, "id").where("point < point_b").withColumn("role", F.col("role").bitwiseAND(F.col("role_b")))
     return both.select("id", "grp", "counts", "role", F.concat_ws(" + ", "point", "point_b").alias("point"), F.concat_ws(" + ", "value", "value_b").alias("value"))
@@ -171,7 +171,7 @@ def candidates(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFr
     members = values.join(items.select("id", "grp", "counts"), "id")
     equal = stored(classes(members, ["point", "value"]), "classes")
     pairs = classes(twice(equal), ["point", "value"], vetoes).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
-    priced = equal.where("n_links > 0 or counts").select("id", "grp", "counts", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
+    priced = equal.select("id", "grp", "counts", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
     priced = near(priced, ["point", "value"], vetoes).where("n_links > 0")
     priced = priced.select("id", F.concat_ws(" + ", F.least(F.col("point"), F.lit("amount")), F.greatest(F.col("point"), F.lit("amount"))).alias("point"), "value", F.lit(None).cast("long").alias("class_id"), "n_links")
     return pairs.unionByName(priced)
