@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from weftline.functions import text as t
-from weftline.plans.registry import operator
+from weftline.plans.registry import Operator, operator
+from weftline.plans.surrogates import used
 
 operator("j04_amount_band_pool", """
     with one as (select id, project_id, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
@@ -27,7 +28,7 @@ operator("j14_bare_names", """
 #: Links unlinked items, by the first that fits: the container's issue, a tag that names an open issue, an open issue with the reference, an
 #: FYI's subject with a sender's domain known on the issue, a chat's sender, or a new cluster (minus the id of the item that opens it). An item
 #: linked by tag, reference or sender, or to a new cluster, sets its container's issue for the later items there; a subject doesn't.
-CASCADE = operator("j15_link_cascade", f"""
+_LOOKUPS = f"""
     with pending as (select id, thread_key, pr_number_base, item_class, {t.normalize_subject('subject')} as subject_key, {t.sender_domain('from_actor')} as domain, split_part(from_actor, '@', 1) as local_part,
         source = 'teams_chat' and item_class in ('ACTIONABLE-ASK', 'WAITING-ON-OTHERS') as asks_in_chat, pr_number_base is not null or LIKES(from_actor, 'firm[0-3]') or contains(subject, 'PR1') or contains(body_preview, '/sites/') as real_signal,
         TOLONG(nullif(regexp_extract(body_preview, 'signed copy by Friday[?] About .([0-9]+)k', 1), '')) as tag from raw_items),
@@ -38,13 +39,17 @@ CASCADE = operator("j15_link_cascade", f"""
     by_sender as (select p.local_part, min(o.id) as issue_id from (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1 having count(*) = 1) p join open_issues o on o.project_id = p.party_id group by p.local_part),
     matched as (select p.id, p.thread_key, p.item_class, p.asks_in_chat, p.real_signal, c.issue_id as by_container, g.id as by_tag, r.issue_id as by_reference, case when p.item_class = 'FYI-EVIDENCE' then d.issue_id end as by_subject, case when p.asks_in_chat then a.issue_id end as by_sender
       from pending p left join containers c on c.thread_key = p.thread_key left join open_issues g on g.id = p.tag left join by_reference r on r.reference = p.pr_number_base
-      left join by_subject s on s.subject_key = p.subject_key left join by_domain d on d.issue_id = s.issue_id and d.domain = p.domain left join by_sender a on a.local_part = p.local_part),
+      left join by_subject s on s.subject_key = p.subject_key left join by_domain d on d.issue_id = s.issue_id and d.domain = p.domain left join by_sender a on a.local_part = p.local_part)"""
+CASCADE = operator("j15_link_cascade", f"""{_LOOKUPS},
     ruled as (select id, thread_key, coalesce(by_container, by_tag, by_reference, by_subject, by_sender, -id) as issue_id,
         case when item_class = 'NOISE' then 'noise' when by_container is not null then 'container' when by_tag is not null then 'tag' when by_reference is not null then 'reference' when by_subject is not null then 'subject'
           when item_class = 'FYI-EVIDENCE' and not real_signal then 'fyi_standalone' when by_sender is not null then 'sender' when asks_in_chat then 'chat_standalone' else 'new' end as rule from matched),
     setters as (select thread_key, min(id) as since, min_by(issue_id, id) as issue_id from ruled where rule in ('tag', 'reference', 'sender', 'new') group by thread_key),
     linked as (select r.id, r.issue_id, r.rule, case when r.rule not in ('noise', 'container') and r.id > s.since then s.issue_id end as later from ruled r left join setters s on s.thread_key = r.thread_key)
     select id, case when later is not null then 'container' else rule end as rule, case when later is not null then later when rule in ('noise', 'fyi_standalone', 'chat_standalone') then null else issue_id end as issue_id from linked""")
+#: What an item can be linked by, each looked up alone.
+LINKABLE = Operator("linkable", f"{_LOOKUPS} select m.*, p.pr_number_base as reference, o.id is not null as container_open from matched m join pending p on p.id = m.id left join open_issues o on o.id = m.by_container",
+                    tuple(used(_LOOKUPS)), ())
 operator("j16_sender_anchor", "select r.id, p.party_id from raw_items r join (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1) p on split_part(r.from_actor, '@', 1) = p.local_part where r.item_class = 'ACTIONABLE-ASK' and (r.pr_number_base is not null or contains(r.subject, 'PR'))")
 operator("j18_value_corroborated", "select c.id from claims c where c.claim_type = 'commitment' and exists (select 1 from claims d where d.issue_id = c.issue_id and d.claim_type <> 'commitment' and round(d.amount / 1000e0, 0) = round(c.amount / 1000e0, 0))")
 operator("j19_likely_reply", """
