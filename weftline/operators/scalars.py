@@ -108,7 +108,7 @@ scalar("m03_value_urgency", f"round({t.value_urgency('value_amount')}, 6)", "iss
 scalar("m05_snooze_boost", "round(least(1e0, coalesce(priority_score, 0e0) + 0.05e0 * least(LONG(id % 8), 5)), 6)", "issues")
 scalar("m06_ask_density_boost", "round(least(1e0, coalesce(priority_score, 0e0) + 0.04e0 * least(greatest(0, LONG(id % 9) - 1), 5)), 6)", "issues")
 scalar("m07_precedent_boost", "round(least(1e0, coalesce(priority_score, 0e0) + 0.1e0 * case when id % 3 = 0 then 0.9e0 else 0e0 end), 6)", "issues")
-scalar("m09_confidence_band", "case when score >= 0.25e0 then 'high' when score >= 0.1e0 then 'medium' else 'low' end", "scores", key="id, seq")
+operator("m09_confidence_band", "select id, seq, case when score >= :high then 'high' when score >= :least then 'medium' else 'low' end as result from scores", high="0.8e0", least="0.6e0")
 scalar("m12_referential_resolution", "round(1e0 - least(1e0, greatest(0e0, FLOAT(k % 7) / greatest(k % 11, 1))), 6)", "raw_items")
 scalar("m13_context_coverage", "round(FLOAT(SIZE(SHARED(SPLIT(subject, ' '), ARRAY('Approve', 'review', 'Status')))) / 3e0, 6)", "raw_items")
 scalar("p12_effective_score", "round(score * 0.85e0, 6)", "scores", key="id, seq")

@@ -12,13 +12,14 @@ SESSIONIZE = operator("w01_sessionize", """
     carried as (select *, LAST_KNOWN(ref) over (partition by thread_key, g order by occurred_ts, id rows between unbounded preceding and 1 preceding) as held from islands),
     reasons as (select *, case when is_first then 'first_message' when is_gap then 'gap_exceeds_' || ':gap_hours' || 'h' when ref is not null and held is not null and ref <> held then 'reference_mismatch' end as reason from carried)
     select id, thread_key, LONG(sum(case when reason is not null and not is_first then 1 else 0 end) over (partition by thread_key order by occurred_ts, id)) as session, reason as boundary_reason from reasons""", gap_hours="72")
-operator("w02_rank_actions", f"""
+_RANKED = f"""
     with urgency as (select issue_id, max(case date_kind when 'hard' then 1e0 when 'soft' then 0.5e0 else 0e0 end) as date_urgency, count(distinct author) as senders, max(amount) as amount,
         round((FLOAT(count(distinct claim_type)) / 4e0 + avg(exp(-greatest(0e0, :now - last_seen_ts) / 86400e0 / 90e0)) + avg(case claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 else 0.2e0 end)) / 3e0, 6) as accuracy from claims group by issue_id),
     scored as (select c.id, c.issue_id, round((0.4e0 * greatest(0e0, {t.staleness_urgency('c.first_seen_ts')}) + 0.3e0 * u.date_urgency + 0.15e0 * {t.value_urgency('u.amount')} + 0.15e0 * case when c.escalated then least(1e0, u.senders / 3e0) else 0e0 end) * u.accuracy, 4) as score
-      from claims c join issues i on i.id = c.issue_id join urgency u on u.issue_id = c.issue_id where i.state <> 'done' and c.status = 'open' and c.claim_type in ('ask', 'commitment') and c.owner = 'user3'),
+      from claims c join issues i on i.id = c.issue_id join urgency u on u.issue_id = c.issue_id where i.state <> 'done' and c.status = 'open' and c.claim_type in ('ask', 'commitment') and c.owner = :owner),
     top as (select id, issue_id, score, row_number() over (partition by issue_id order by score desc, id) as place from scored)
-    select id, issue_id, score from top where place <= 2 order by score desc, id limit 50""")
+    select id, issue_id, score from top where place <= 2 order by score desc, id limit :most"""
+operator("w02_rank_actions", _RANKED, owner="'user3'", most="50")
 operator("w03_uncertainty_trend", "select id, seq, round(greatest(-1e0, least(1e0, score - lag(score) over (partition by id order by seq))), 6) as trend from scores")
 operator("w04_trend_state", "select id, seq, case when d is null then 'first' when abs(d) <= 0.02e0 then 'exhausted' when d < 0 then 'improving' else 'conflict' end as state from (select id, seq, round(score - lag(score) over (partition by id order by seq), 6) as d from scores) x")
 FORECAST = operator("w05_forecast", """
@@ -36,9 +37,14 @@ operator("w07_deepdive_candidates", "select id, priority_score, updated_at from
 operator("w08_stale_entities", "select i.id, m.seen from issues i left join (select issue_id, max(id) as seen from claims where status = 'done' group by issue_id) m on m.issue_id = i.id where m.seen is null or m.seen % 10 <> i.id % 7 order by m.seen asc nulls first, i.id limit 50")
 operator("w09_reply_latency", "select conv_id, count(*) as alternations, round(avg(ts - last_ts), 6) as avg_latency from (select conv_id, ts, direction, lag(direction) over (partition by conv_id order by ts, turn) as last_direction, lag(ts) over (partition by conv_id order by ts, turn) as last_ts from messages where direction <> 'internal') x where direction <> last_direction group by conv_id")
 operator("w10_external_companies", "select thread_key, JOINED(SET(case when from_actor not like '%home.example' then split_part(split_part(from_actor, '@', 2), '.', 2) end), ',') as companies_seen from raw_items where source = 'calendar' group by thread_key")
-operator("l02_focus_today", "select id, round((due - :now) / 86400e0, 4) as days_left from issues where state <> 'done' and due <= :now + 604800 order by due desc, id limit 8")
+#: The day's focus: the first ranked actions, the meetings of the next day, and every open issue that is due within a week or overdue.
+FOCUS = operator("l02_focus_today", f"""
+    with actions as ({_RANKED}),
+    meetings as (select issue_id, min_by(id, occurred_ts) as id, min(occurred_ts) as next_ts from raw_items where source = 'calendar' and occurred_ts > :now_events - 604800 and occurred_ts <= :now_events - 604800 + :hours * 3600 group by issue_id)
+    select 'action' as kind, issue_id, id as item_id, score as measure from actions
+    union all select 'meeting', issue_id, id, round((next_ts - (:now_events - 604800)) / 3600e0, 1) from meetings
+    union all select 'deliverable', id, id, round((due - :now) / 86400e0, 1) from issues where state <> 'done' and (due - :now) / 86400e0 <= :days""", owner="'user3'", most="8", hours="24", days="7")
 operator("l03_renewal_outreach", "select issue_id, first_seen_ts, round((first_seen_ts - :back) / 86400e0, 2) as days_out from claims where claim_type = 'date' and date_kind = 'hard' and (first_seen_ts - :back) / 86400e0 between 30 and 90 order by first_seen_ts, id", back="962668800e0")
-operator("l04_identity_packet", "select issue_id, id, running from (select issue_id, id, LONG(sum(length(text)) over (partition by issue_id order by first_seen_ts desc, id rows between unbounded preceding and current row)) as running from claims) x where running <= 90")
 operator("l05_candidates_by_project", "select project_id, max_by(id, value_amount * 1000000 - id) as best_id, count(*) as n, JOINED(SET(owner), ',') as owners from issues group by project_id")
 operator("l06_open_asks", "select c.id, c.issue_id, c.first_seen_ts from claims c join issues i on i.id = c.issue_id where c.claim_type = 'ask' and c.status = 'open' and i.state <> 'done' order by c.first_seen_ts desc, c.id limit 100")
 operator("l07_open_commitments", "select c.id, c.issue_id, c.first_seen_ts from claims c join issues i on i.id = c.issue_id where c.claim_type = 'commitment' and c.status = 'open' and i.state <> 'done' order by c.first_seen_ts desc, c.id limit 100")

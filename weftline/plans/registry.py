@@ -14,7 +14,7 @@ from weftline.plans.dialect import render
 from weftline.sources.tables import table
 
 FLAGSHIP = "w02_rank_actions"
-MODULES = [*(f"operators.{m}" for m in ("scalars", "rollups", "joins", "linking", "matches", "windows", "detectors", "imperative")), "sources.files", "streaming.incremental"]
+MODULES = [*(f"operators.{m}" for m in ("scalars", "rollups", "joins", "linking", "matches", "packets", "windows", "detectors", "imperative")), "sources.files", "streaming.incremental"]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
