@@ -18,29 +18,52 @@ from weftline.plans.registry import frames, query
 from weftline.plans.surrogates import NOW_EVENTS
 from weftline.plans.views import view, work_dir
 
-DROP = ("source string, events array<struct<id:string,start:string,recurrence:string,subject:string>>, messages array<struct<id:string,messageType:string,body:string>>, results array<struct<driveId:string,id:string,name:string>>, events_count int, _corrupt string")
-
-
 def drop_files(spark: SparkSession, sf_dir: str) -> str:
-    """Staged drop files made from all raw items, for the readers below: ten drops of each 200 ids."""
+    """Staged drops made from all raw items, one to a line: ten drops of each 200 ids, chats in each of their three shapes."""
     items = view(spark, sf_dir, "raw_items")
     event = F.struct(F.col("id").cast("string").alias("id"), F.date_format("occurred_at", "yyyy-MM-dd").alias("start"), F.when(F.col("k") % 3 == 0, "weekly").alias("recurrence"), "subject")
-    message = F.struct(F.col("id").cast("string").alias("id"), F.when(F.col("k") % 4 == 0, "system").otherwise("message").alias("messageType"), F.concat(F.lit("<p>"), "body_preview", F.lit("</p>")).alias("body"))
+    html, short = F.concat(F.lit("<p>"), "body_preview", F.lit("</p>")), F.col("id") % 20 < 10
+    message = F.struct(
+        F.when(~short, F.col("id").cast("string")).alias("messageId"), F.when(short, F.col("id").cast("string")).alias("id"), F.when(F.col("k") % 4 == 0, "system").otherwise("message").alias("messageType"),
+        F.when(short, html).alias("bodyPreview"), F.when(~short, F.struct(html.alias("content"))).alias("body"),
+    )
     doc = F.struct((F.col("id") % 4).cast("string").alias("driveId"), F.col("id").cast("string").alias("id"), F.col("subject").alias("name"))
     grouped = items.groupBy(F.expr("id div 200").alias("block"), (F.col("id") % 10).alias("g")).agg(F.collect_list(event).alias("events"), F.collect_list(message).alias("messages"), F.collect_list(doc).alias("results"))
-    kind = F.col("g") % 3
+    kind, said = F.col("g") % 3, F.to_json("messages")
+    shape = F.when(F.col("g") == 1, said).when(F.col("block") % 2 == 0, F.concat(F.lit('{"value":'), said, F.lit("}"))).otherwise(F.concat(F.lit('{"count":1,"messages":'), said, F.lit("}")))
     body = F.to_json(F.struct(
-        F.when(kind == 0, "calendar").when(kind == 1, "teams_chat").otherwise("sharepoint").alias("source"), F.when((kind == 0) & (F.col("g") != 9), F.col("events")).alias("events"),
-        F.when(kind == 1, F.col("messages")).alias("messages"), F.when(kind == 2, F.col("results")).alias("results"), F.when(kind == 0, F.size("events")).alias("events_count"),
+        F.when(kind == 0, "calendar").otherwise("sharepoint").alias("source"), F.when((kind == 0) & (F.col("g") != 9), F.col("events")).alias("events"), F.when(kind == 2, F.col("results")).alias("results"), F.when(kind == 0, F.size("events")).alias("events_count"),
     ))
     folder = work_dir(spark)
-    grouped.select(F.when(F.col("g") == 4, F.lit("{broken")).otherwise(body).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder)
+    chat = F.concat(F.lit('{"source":"teams_chat","messages_raw":'), shape, F.lit("}"))
+    grouped.select(F.when(F.col("g") == 4, F.lit("{broken")).when(kind == 1, chat).otherwise(body).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder)
     return folder
 
 
+def parsed(drops: DataFrame) -> DataFrame:
+    """The lines with `v`, their JSON as a variant (null where a line isn't JSON), and `source`."""
+    v = F.try_parse_json("value")
+    return drops.withColumn("v", v).withColumn("source", F.try_variant_get("v", "$.source", "string"))
+
+
 def read_drops(spark: SparkSession, folder: str) -> DataFrame:
-    """Staged JSON drops, one to a line; a corrupt one has its text in _corrupt."""
-    return spark.read.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    """Staged JSON drops, one to a line."""
+    return parsed(spark.read.text(folder))
+
+
+def _list(v: str, path: str) -> F.Column:
+    """The list at a path, of whatever elements; null where it isn't one."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def _text(v: str, path: str) -> F.Column:
+    return F.try_variant_get(v, path, "string")
+
+
+def _chat_messages() -> F.Column:
+    """The messages of a chat drop, which are a list or under `value` or `messages`; an empty list gives way to the next."""
+    found = [_list("v", f"$.messages_raw{p}") for p in ("", ".value", ".messages")]
+    return F.coalesce(*(F.when(F.size(m) > 0, m) for m in found))
 
 
 #: The items of the staged drops, straight from the raw items: every tenth drop is corrupt, another claims content and is empty.
@@ -51,13 +74,39 @@ DROPPED = """
 
 
 def flatten_drops(drops: DataFrame) -> DataFrame:
-    """source, stable_key, subject of every item; corrupt drops give none."""
-    calendar = drops.where("source = 'calendar'").select("source", F.explode("events").alias("e")).select("source", F.when(F.col("e.recurrence").isNotNull(), F.concat_ws(":", "e.id", "e.start")).otherwise(F.col("e.id")).alias("stable_key"), F.col("e.subject").alias("subject"))
-    chat = drops.where("source = 'teams_chat'").select("source", F.explode("messages").alias("m")).where("m.messageType = 'message'").select("source", F.col("m.id").alias("stable_key"), F.trim(F.regexp_replace("m.body", "<[^>]*>", "")).alias("subject"))
-    files = drops.where("source = 'sharepoint'").select("source", F.explode("results").alias("r")).select("source", F.concat_ws(":", "r.driveId", "r.id").alias("stable_key"), F.col("r.name").alias("subject"))
+    """source, stable_key, subject of every item of parsed drops, and the drops' other columns; what isn't as it should be gives none.
+
+    A message's sender and body may be texts or objects; system messages and those without an id are left out.
+    """
+    more = [c for c in drops.columns if c not in ("value", "v", "source")]
+
+    def of(source: str, items: F.Column) -> DataFrame:
+        return drops.where(F.col("source") == source).select("source", *more, F.explode(items).alias("e"))
+
+    calendar = of("calendar", _list("v", "$.events")).select("source", *more, F.when(_text("e", "$.recurrence").isNotNull(), F.concat_ws(":", _text("e", "$.id"), _text("e", "$.start"))).otherwise(_text("e", "$.id")).alias("stable_key"), _text("e", "$.subject").alias("subject"))
+    body = F.coalesce(F.nullif(_text("e", "$.bodyPreview"), F.lit("")), F.nullif(_text("e", "$.body.content"), F.lit("")), _text("e", "$.body"))
+    key = F.coalesce(F.nullif(_text("e", "$.id"), F.lit("")), F.nullif(_text("e", "$.messageId"), F.lit("")))
+    chat = of("teams_chat", _chat_messages()).where((_text("e", "$.messageType") == "message") & key.isNotNull()).select("source", *more, key.alias("stable_key"), F.trim(F.regexp_replace(body, "<[^>]*>", "")).alias("subject"))
+    files = of("sharepoint", _list("v", "$.results")).select("source", *more, F.concat_ws(":", _text("e", "$.driveId"), _text("e", "$.id")).alias("stable_key"), _text("e", "$.name").alias("subject"))
     return calendar.unionByName(chat).unionByName(files)
 
 
+def refusal() -> F.Column:
+    """Why a parsed drop is set aside, or null: it isn't JSON, its source is unknown, or it tells of content and holds none.
+
+    What tells of content is a count over 0 (`count` beside the messages, or any name that ends in `_count`) or prose where a list
+    should be. An empty list is no refusal.
+    """
+    there = F.coalesce(F.size(F.coalesce(_list("v", "$.events"), _chat_messages(), _list("v", "$.results"))), F.lit(0)) > 0
+    counts = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, x: k.endswith("_count") & (F.coalesce(F.try_variant_get(x, "$", "long"), F.lit(0)) > 0))
+    told = (F.size(counts) > 0) | (F.coalesce(F.try_variant_get("v", "$.messages_raw.count", "long"), F.lit(0)) > 0)
+    prose = F.exists(F.array(*(F.schema_of_variant(F.try_variant_get("v", p, "variant")) for p in ("$.messages_raw", "$.events", "$.results"))), lambda t: t == "STRING")
+    return (
+        F.when(F.col("v").isNull(), "corrupt").when(F.col("source").isNull() | ~F.col("source").isin("calendar", "teams_chat", "sharepoint"), "unknown source")
+        .when(~F.coalesce(there, F.lit(False)) & (F.coalesce(told, F.lit(False)) | F.coalesce(prose, F.lit(False))), "claims content but empty")
+    )
+
+
 @query("s01_process_drops", DROPPED)
 def process_drops(spark, sf_dir):
     return flatten_drops(read_drops(spark, drop_files(spark, sf_dir)))
@@ -74,8 +123,7 @@ def chat_messages(spark, sf_dir):
 def content_but_empty(spark, sf_dir):
     """Drops to set aside: corrupt ones, and those that claim a count and hold nothing."""
     drops = read_drops(spark, drop_files(spark, sf_dir))
-    why = F.when(F.col("_corrupt").isNotNull(), "corrupt").when((F.col("events_count") > 0) & F.coalesce(F.size("events") <= 0, F.lit(True)), "claims content but empty")
-    return drops.select("source", "events_count", why.alias("reason")).where("reason is not null")
+    return drops.select("source", F.try_variant_get("v", "$.events_count", "int").alias("events_count"), refusal().alias("reason")).where("reason is not null")
 
 
 @query("s10_filename_index")

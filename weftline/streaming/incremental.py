@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from weftline.plans.registry import query
 from weftline.plans.views import view, work_dir
-from weftline.sources.files import DROP, DROPPED, drop_files, flatten_drops
+from weftline.sources.files import DROPPED, drop_files, flatten_drops, parsed, refusal
 
 def stream_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there, into Parquet, and read the result."""
@@ -18,10 +18,45 @@ def stream_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
+class Inbox:
+    """A folder's drops taken in once: items, refused lines and alerts as tables, files that are done in an archive.
+
+    Each micro-batch writes its items, refused lines (`failed`, under the name of their file) and alerts in folders of its
+    number, over what a failed try left there, so a drop counts once whatever fails. A file is moved to `archive` when the
+    batch after it is committed, at the next run at the latest. An item whose key an earlier batch has is a duplicate.
+    """
+
+    TABLES = {"items": "source string, stable_key string, subject string, file string", "failed": "file string, reason string, value string", "alerts": "kind string, severity string, summary string, source_ref string"}
+
+    def __init__(self, spark: SparkSession, inbox: str, home: str):
+        self.spark, self.inbox, self.home = spark, inbox, home
+
+    def _take(self, lines: DataFrame, batch: int) -> None:
+        drops = parsed(lines).withColumn("reason", refusal())
+        items = flatten_drops(drops.where("reason is null").drop("reason")).dropDuplicates(["source", "stable_key"])
+        if batch:
+            items = items.join(self.table("items", batch).select("source", "stable_key"), ["source", "stable_key"], "left_anti")
+        failed = drops.where("reason is not null").select("file", "reason", "value")
+        told = failed.select(F.lit("anomaly").alias("kind"), F.lit("warn").alias("severity"), F.concat(F.lit("ingest dead-letter: "), "file", F.lit(": "), "reason").alias("summary"), F.col("file").alias("source_ref"))
+        for name, df in {"items": items, "failed": failed, "alerts": told}.items():
+            df.write.mode("overwrite").parquet(f"{self.home}/{name}/batch={batch}")
+
+    def table(self, name: str, before: int | None = None) -> DataFrame:
+        found = self.spark.read.schema(self.TABLES[name] + ", batch long").parquet(f"{self.home}/{name}")
+        return (found if before is None else found.where(F.col("batch") < before)).drop("batch")
+
+    def run(self, files_a_batch: int = 1000) -> None:
+        """Take in what is there."""
+        lines = self.spark.readStream.schema("value string").option("maxFilesPerTrigger", files_a_batch).option("cleanSource", "archive").option("sourceArchiveDir", f"{self.home}/archive").text(self.inbox)
+        lines = lines.select("value", F.col("_metadata.file_name").alias("file"))
+        lines.writeStream.foreachBatch(self._take).option("checkpointLocation", f"{self.home}/check").trigger(availableNow=True).start().awaitTermination()
+
+
 @query("s02_inbox_stream", DROPPED)
 def inbox_stream(spark, sf_dir):
-    drops = spark.readStream.schema(DROP).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(drop_files(spark, sf_dir))
-    return stream_to_table(spark, flatten_drops(drops), "items")
+    inbox = Inbox(spark, drop_files(spark, sf_dir), work_dir(spark))
+    inbox.run()
+    return inbox.table("items").select("source", "stable_key", "subject")
 
 
 @query("s23_tail_lines", "select concat_ws('|', conv_id, turn, role) as value from messages where conv_id % 2 = 1")
