@@ -113,7 +113,8 @@ def near(members: DataFrame, key: list[str], vetoes: DataFrame | None = None) ->
     marked = members.where("x > 0").withColumns({"all": weight, "names": F.when(F.col("role") != OWNS, weight).otherwise(0), "owns": F.when(F.col("role") != NAMES, weight).otherwise(0)})
     names = ["all", "names", "owns"]
     whole = near_counts(marked, key, names).select(*key, "x", *(F.col(c).alias(f"w_{c}") for c in names))
-    own = near_counts(marked.where("grp is not null"), [*key, "grp"], names).select(*key, "grp", "x", *(F.col(c).alias(f"o_{c}") for c in names))
+    several = marked.where("grp is not null").groupBy(*key, "grp").agg(F.count("*").alias("n")).where("n > 1").select(*key, "grp")
+    own = near_counts(marked.join(several, [*key, "grp"], "left_semi"), [*key, "grp"], names).select(*key, "grp", "x", *(F.col(c).alias(f"o_{c}") for c in names))
     out = members.join(whole, [*key, "x"]).join(own, [*key, "grp", "x"], "left")
     itself = F.when(F.col("role") == ALL, weight).otherwise(0)
     out = out.withColumn("n_links", _partners("w") - F.coalesce(_partners("o"), itself)).select(*members.columns, "n_links")
