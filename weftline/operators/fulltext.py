@@ -55,11 +55,10 @@ class Index:
         now = self.documents()
         hits = self.postings(words).join(now, ["id", "generation"])
         spread = hits.groupBy("token").agg(F.count("*").alias("df"))
-        total = now.agg(F.count("*").alias("n"))
+        n = now.count()
         hits = hits if scope is None else hits.where(F.col("scope") == scope)
-        rare = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        scored = hits.join(spread, "token").join(F.broadcast(total), how="cross")  # one row with the number of documents
-        scored = scored.groupBy("id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2) * rare), 6).alias("relevance"), F.count("*").alias("held"))
+        rare = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        scored = hits.join(spread, "token").groupBy("id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2) * rare), 6).alias("relevance"), F.count("*").alias("held"))
         return scored.where(F.col("held") == len(words)).drop("held")
 
     def compact(self, generation: int, into: str) -> Index:
