@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from weftline.functions import text as t
-from weftline.operators import imperative, joins, rollups, windows
+from weftline.operators import imperative, joins, windows
 from weftline.plans.dialect import render
 from weftline.plans.views import view
 from weftline.sources import files
@@ -151,12 +151,6 @@ def test_forecast(spark, scores, verdict, passes):
     assert (r["verdict"], r["passes"]) == (verdict, passes)
 
 
-def test_sequences_of_five_and_their_parts(spark):
-    rows = [(f"t{k}", s, float(i)) for k in range(2) for i, s in enumerate("abcde")]
-    df = spark.createDataFrame(rows, "thread_key string, signal_type string, occurred_ts double")
-    assert [(r["pattern"], r["support"]) for r in rollups.SEQUENCES(spark, raw_items=df).collect()] == [("a>b>c>d>e", 2)]
-
-
 def test_issues_with_a_shared_reference_are_one_group(spark):
     links = view(spark, SMALL, "links").collect()
     root = {r["issue_id"]: r["issue_id"] for r in links}

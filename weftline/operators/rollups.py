@@ -56,16 +56,6 @@ operator("a23_gate_board", """
     with has as (select distinct issue_id, signal_type from raw_items where occurred_ts < :now_events - 2592000 + 86400),
     unmet as (select h.issue_id, min(r.rule_id) as rule_id from has h join rules r on h.signal_type = r.trigger_type where not exists (select 1 from has q where q.issue_id = h.issue_id and q.signal_type = r.requires_type) group by h.issue_id)
     select r.rule_id, count(u.issue_id) as n_gated from rules r left join unmet u on r.rule_id = u.rule_id group by r.rule_id""")
-SEQUENCES = operator("a24_sequence_patterns", """
-    with stage as (select thread_key, signal_type, row_number() over (partition by thread_key order by min(occurred_ts), signal_type) as pos from raw_items group by thread_key, signal_type),
-    windows_of as (select a.thread_key, a.signal_type as s1, b.signal_type as s2, c.signal_type as s3, d.signal_type as s4, e.signal_type as s5 from stage a join stage b on a.thread_key = b.thread_key and b.pos = a.pos + 1 join stage c on a.thread_key = c.thread_key and c.pos = a.pos + 2
-      left join stage d on a.thread_key = d.thread_key and d.pos = a.pos + 3 left join stage e on a.thread_key = e.thread_key and e.pos = a.pos + 4),
-    candidates as (select s1, s2, s3, '' as s4, '' as s5 from windows_of union select s1, s2, s3, s4, '' from windows_of where s4 is not null union select s1, s2, s3, s4, s5 from windows_of where s5 is not null),
-    matching as (select f.*, x.thread_key from candidates f join stage x on x.signal_type = f.s1 join stage y on y.thread_key = x.thread_key and y.signal_type = f.s2 and y.pos > x.pos join stage z on z.thread_key = x.thread_key and z.signal_type = f.s3 and z.pos > y.pos
-      left join stage u on u.thread_key = x.thread_key and u.signal_type = f.s4 and u.pos > z.pos left join stage v on v.thread_key = x.thread_key and v.signal_type = f.s5 and v.pos > u.pos where (f.s4 = '' or u.pos is not null) and (f.s5 = '' or v.pos is not null)),
-    counted as (select s1, s2, s3, s4, s5, count(*) as support, SHA256(JOINED(LIST(thread_key), ',')) as evidence, 3 + case when s4 <> '' then 1 else 0 end + case when s5 <> '' then 1 else 0 end as steps from matching group by s1, s2, s3, s4, s5 having count(*) >= 2),
-    longest as (select evidence, max(steps) as steps from counted group by evidence)
-    select concat_ws('>', c.s1, c.s2, c.s3, nullif(c.s4, ''), nullif(c.s5, '')) as pattern, c.support from counted c join longest l on l.evidence = c.evidence and l.steps = c.steps""")
 operator("a25_stage_sequence", """
     select thread_key, JOINED(MAP_EACH(LIST(step), w, split_part(w, '#', 2)), '>') as stages
     from (select thread_key, lpad(TEXT(row_number() over (partition by thread_key order by min(occurred_ts), signal_type)), 3, '0') || '#' || signal_type as step from raw_items group by thread_key, signal_type) x group by thread_key""")
