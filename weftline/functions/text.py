@@ -98,11 +98,11 @@ def action_family(x):
 
 
 def canonical_key(claim_type, text, owner, reference):
-    """A reference with an action family, else a normalised text of 8 characters and more."""
+    """The kind, action family (else generic), reference and owner where there is a reference; else the kind and a normalised text of 8 characters and more."""
     norm = conservative_normalize(text)
     return (
-        f"case when {reference} is not null and {action_family(text)} is not null then {claim_type} || ':' || {reference} || ':' || {action_family(text)} "
-        f"when length({norm}) >= 8 then {claim_type} || ':' || coalesce(lower({owner}), '') || ':' || {norm} end"
+        f"case when nullif({reference}, '') is not null then {claim_type} || '|' || coalesce({action_family(text)}, 'generic') || '|' || {reference} || '|' || coalesce(nullif({owner}, ''), 'unknown') "
+        f"when length({norm}) >= 8 then {claim_type} || '|text:' || {norm} end"
     )
 
 

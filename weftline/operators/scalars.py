@@ -159,7 +159,6 @@ operator("p16_domain_seen_on_issue", f"""
     select a.id, coalesce(f.id < a.id, false) as seen from items a left join firsts f on f.issue_id = a.issue_id and f.domain = a.domain""")
 operator("p17_proactive_action", "select id, case when direction <> 'inbound' then null when k % 4 = 0 and contains(subject, 'review') then 'redline' when contains(subject, 'Status') then 'status_reply' end as action from raw_items")
 # arrays, JSON, parsing
-operator("n02_claim_specs", "select id, 'ask' as claim_type, w as text from (select id, UNNEST(SPLIT(text, '[.] ')) as w from documents_ where lang = 'en') x where w <> '' union all select id, 'decision', w from (select id, UNNEST(SPLIT(text, chr(10))) as w from documents_ where lang = 'fr') y where w <> ''")
 operator("n03_work_object_signature", "select i.project_id, JOINED(SET(i.category), ',') as categories, JOINED(SET(i.owner), ',') as owners, count(distinct i.id) as n_issues, max(i.value_amount) as top_value from issues i group by i.project_id")
 operator("n04_index_values", "select 'reference' as definition, reference as value, issue_id as id from links union all select 'owner', owner, id from issues where state = 'waiting'")
 operator("n05_participants", "select id, SIZE(JSON_LIST('[\"' || from_actor || '\", \"' || signal_type || '\"]')) as n, AT(JSON_LIST('[\"' || from_actor || '\", \"' || signal_type || '\"]'), 1) as first_participant from raw_items")

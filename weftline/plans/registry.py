@@ -14,7 +14,7 @@ from weftline.plans.dialect import render
 from weftline.sources.tables import table
 
 FLAGSHIP = "w02_rank_actions"
-MODULES = [*(f"operators.{m}" for m in ("scalars", "rollups", "joins", "linking", "matches", "packets", "fulltext", "sequences", "windows", "detectors", "imperative")), "sources.files", "sources.mailbox", "streaming.incremental", "streaming.dormancy"]
+MODULES = [*(f"operators.{m}" for m in ("scalars", "rollups", "joins", "linking", "matches", "packets", "fulltext", "sequences", "claimspecs", "windows", "detectors", "imperative")), "sources.files", "sources.mailbox", "streaming.incremental", "streaming.dormancy"]
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
