@@ -72,7 +72,7 @@ _SPECS = f"""
 def specs_of_items(spark, sf_dir):
     """Results of many shapes, one an item, as their claims."""
     items = view(spark, sf_dir, "raw_items")
-    date = "to_json(named_struct('text', subject, 'kind', element_at(array('hard', 'soft', 'never'), cast(id % 3 as int) + 1), 'whose', element_at(array('manager', 'counterparty', 'shared'), k % 4 + 1)))"
+    date = "to_json(named_struct('text', subject, 'kind', element_at(array('hard', 'soft', 'never'), cast(id % 3 as int) + 1), 'whose', try_element_at(array('manager', 'counterparty', 'shared'), k % 4 + 1)))"
     fields = [
         "'{\"asks\":'", "case id % 5 when 0 then to_json(array(body_preview, '  ', subject)) when 1 then substr(to_json(array(body_preview)), 2, length(to_json(array(body_preview))) - 2) else to_json(array(' ' || subject || ' ')) end",
         "if(id % 3 = 0, ',\"decisions\":' || to_json(array(subject)), '')", "if(id % 4 = 1, ',\"commitments\":[7,' || substr(to_json(array(body_preview)), 2), ',\"commitments\":null')",
