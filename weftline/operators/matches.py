@@ -240,12 +240,26 @@ def issues_to_check(issues: DataFrame, suppliers: DataFrame) -> DataFrame:
     return in_project.unionByName(by_supplier).unionByName(itself)
 
 
+def scope_members(issues: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """id, via, scope, n_related, asks: `issues_to_check`, and all other members of the suppliers that are looked through (asks is false).
+
+    An issue's related issues are the other rows with its via and scope.
+    """
+    asked = issues_to_check(issues, suppliers).withColumn("asks", F.lit(True))
+    by_supplier = asked.where("via = 'supplier'")
+    held = suppliers.select("id", F.col("supplier").cast("string").alias("scope")).where("scope is not null").distinct()
+    sizes = by_supplier.groupBy("scope").agg(F.max("n_related").alias("n_related"))
+    others = held.join(sizes, "scope").join(by_supplier.select("id", "scope"), ["id", "scope"], "left_anti")
+    return asked.unionByName(others.select("id", F.lit("supplier").alias("via"), "scope", "n_related", F.lit(False).alias("asks")))
+
+
 @query("p18_issues_to_check", """
     with siblings as (select i.id, TEXT(i.project_id) as scope, count(*) as n from issues i join issues j on i.project_id = j.project_id and i.id <> j.id group by i.id, i.project_id),
     held as (select distinct issue_id as id, supplier_id from claims where escalated),
     shared as (select x.id, TEXT(x.supplier_id) as scope, count(*) as n from held x join held y on x.supplier_id = y.supplier_id and x.id <> y.id where x.id not in (select id from siblings) and x.id in (select id from issues) group by x.id, x.supplier_id)
-    select id, 'project' as via, scope, n as n_related from siblings union all select id, 'supplier', scope, n from shared
-    union all select id, 'itself', TEXT(id), 0 from issues where id not in (select id from siblings) and id not in (select id from shared)""")
+    select id, 'project' as via, scope, n as n_related, true as asks from siblings union all select id, 'supplier', scope, n, true from shared
+    union all select h.id, 'supplier', TEXT(h.supplier_id), s.n, false from held h join (select distinct scope, n from shared) s on s.scope = TEXT(h.supplier_id) where h.id not in (select id from shared)
+    union all select id, 'itself', TEXT(id), 0, true from issues where id not in (select id from siblings) and id not in (select id from shared)""")
 def _p18(spark, sf_dir):
     suppliers = view(spark, sf_dir, "claims").where("escalated").select(F.col("issue_id").alias("id"), F.col("supplier_id").alias("supplier"))
-    return issues_to_check(view(spark, sf_dir, "issues"), suppliers)
+    return scope_members(view(spark, sf_dir, "issues"), suppliers)
