@@ -28,6 +28,18 @@ def apart(a, b):
     return a is None or b is None or a != b
 
 
+def test_fragments_tell_projects_and_shared_substrings(spark):
+    titles = [(1, 10, "the annual renewal of licences"), (2, 20, "our annual renewal of support"), (3, 20, "an annual renewal of licences"), (4, 10, "something else altogether")]
+    grams = {i: {t[k : k + 15] for k in range(len(t) - 14)} for i, _, t in titles}
+    project = {i: p for i, p, _ in titles}
+    expected = Counter({(i, p): n for i in project for p in set(project.values()) if (n := len(grams[i] & set().union(*(grams[j] for j in project if j != i and project[j] == p))))})
+    rows, got = matches.subject_fragments(spark.createDataFrame(titles, "id long, project_id long, title string")).collect(), Counter()
+    for a in rows:
+        for p in {b["project_id"] for b in rows if b["value"] == a["value"] and b["id"] != a["id"]}:
+            got[a["id"], p] += a["n_values"]
+    assert got == expected and len(expected) > 2
+
+
 def test_scopes_list_their_members(spark):
     """Issue 4 looks through supplier 7, which issues of a project have too: they are among its rows."""
     issues = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, None), (5, None), (6, 30)], "id long, project_id long")

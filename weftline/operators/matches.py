@@ -200,25 +200,26 @@ def _j08(spark, sf_dir):
 
 
 def subject_fragments(titles: DataFrame) -> DataFrame:
-    """id, value, class_id, n_projects of (id, project_id, title): projects with a title of another issue that shares 15 characters with the issue's.
+    """id, project_id, value, n_values, class_id, n_projects of (id, project_id, title): projects with a title of another issue that shares 15 characters with the issue's.
 
-    value is the first of the substrings that the same issues share, class_id the smallest project that has it, n_projects how many do by
-    another issue. A pair of an issue and a project is one that shares a class; nothing is joined but counts.
+    value is the first of the n_values substrings that the same issues share, class_id the smallest project that has it, n_projects how
+    many do by another issue. A pair of an issue and a project is two rows of a value by different issues, and n_values added up over
+    those values is the number of substrings that the pair shares; nothing is joined but counts.
     """
     held = pairing.fewest(pairing.grams(titles.select("id", F.lower("title").alias("title"))).distinct(), [])
     held = held.join(titles.select("id", "project_id"), "id")
     own = held.groupBy("value", "project_id").agg(F.count("*").alias("n"))
     whole = own.groupBy("value").agg(F.count("*").alias("n_projects"), F.min("project_id").alias("class_id"))
     out = held.join(whole, "value").join(own, ["value", "project_id"])
-    return out.select("id", "value", "class_id", (F.col("n_projects") - F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_projects")).where("n_projects > 0")
+    return out.select("id", "project_id", "value", "n_values", "class_id", (F.col("n_projects") - F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_projects")).where("n_projects > 0")
 
 
 @query("j17_subject_fragments", """
     with grams as (select distinct id, project_id, substr(lower(title), p, 15) as value from (select id, project_id, title, UNNEST(SPAN(1, length(title) - 14)) as p from issues where length(title) >= 15) x),
     held as (select value, JOINED(LIST(id), ',') as holders, count(*) as n from grams group by value),
-    kept as (select min(value) as value from held where n > 1 group by holders)
-    select a.id, a.value, min(l.class_id) as class_id, count(distinct b.project_id) as n_projects from grams a join kept k on a.value = k.value join grams b on b.value = a.value and b.id <> a.id
-    join (select value, min(project_id) as class_id from grams group by value) l on l.value = a.value group by a.id, a.value""")
+    kept as (select min(value) as value, count(*) as n_values from held where n > 1 group by holders)
+    select a.id, a.project_id, a.value, k.n_values, min(l.class_id) as class_id, count(distinct b.project_id) as n_projects from grams a join kept k on a.value = k.value join grams b on b.value = a.value and b.id <> a.id
+    join (select value, min(project_id) as class_id from grams group by value) l on l.value = a.value group by a.id, a.project_id, a.value, k.n_values""")
 def _j17(spark, sf_dir):
     return subject_fragments(view(spark, sf_dir, "issues").select("id", "project_id", "title"))
 

@@ -129,15 +129,15 @@ def grams(titles: DataFrame, size: int = GRAM) -> DataFrame:
 
 
 def fewest(values: DataFrame, key: list[str]) -> DataFrame:
-    """(id, value) rows of the values that two or more hold; of values with the same holders, only the first one's.
+    """(id, value) rows of the values that two or more hold, with n_values; of values with the same holders, only the first one's.
 
-    Holders are compared by their number, least, greatest and two sums of hashes. Neighbouring substrings of a title
+    n_values is the number of values with those holders. Holders are compared by their number, least, greatest and two sums of hashes. Neighbouring substrings of a title
     mostly have the same holders, and what a whole collection shares leaves one value.
     """
     hashed = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
     held = values.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), *hashed).where("n > 1")
-    firsts = held.groupBy(*key, "n", "low", "high", "h1", "h2").agg(F.min("value").alias("value")).select(*key, "value")
-    return values.join(firsts, [*key, "value"], "left_semi")
+    firsts = held.groupBy(*key, "n", "low", "high", "h1", "h2").agg(F.min("value").alias("value"), F.count("*").alias("n_values")).select(*key, "value", "n_values")
+    return values.join(firsts, [*key, "value"])
 
 
 def twice(members: DataFrame) -> DataFrame:
