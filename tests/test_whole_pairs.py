@@ -28,6 +28,11 @@ def apart(a, b):
     return a is None or b is None or a != b
 
 
+def test_collisions_of_open_issues(spark):
+    rows = matches.open_reference_classes(*tables(spark)).collect()
+    assert joined(rows, lambda a, b: apart(a["project_id"], b["project_id"])) == pairs(lambda p, s, q, t: apart(p, q) and "done" not in (s, t))
+
+
 def test_fragments_tell_projects_and_shared_substrings(spark):
     titles = [(1, 10, "the annual renewal of licences"), (2, 20, "our annual renewal of support"), (3, 20, "an annual renewal of licences"), (4, 10, "something else altogether")]
     grams = {i: {t[k : k + 15] for k in range(len(t) - 14)} for i, _, t in titles}

@@ -44,11 +44,19 @@ def reference_members(links: DataFrame, issues: DataFrame, open_only: bool) -> D
     return held.join(issues.select("id", F.col("project_id").alias("grp"), F.coalesce(counts, F.lit(True)).alias("counts")), "id").withColumn("role", F.lit(pairing.ALL))
 
 
-def reference_collisions(links: DataFrame, issues: DataFrame) -> DataFrame:
-    """reference, issue_id, class_id, n_open, n_links: open issues whose reference open issues of other projects have too."""
+def open_reference_classes(links: DataFrame, issues: DataFrame) -> DataFrame:
+    """reference, issue_id, project_id, class_id, n_open, n_links: open issues whose reference open issues of other projects have too.
+
+    Two rows of one reference and different projects are a collision; a null project is none.
+    """
     members = reference_members(links, issues, True).where("counts")
     found = pairing.classes(members, ["value"]).where("n_links > 0")
-    return found.select(F.col("value").alias("reference"), F.col("id").alias("issue_id"), "class_id", F.col("n_members").alias("n_open"), "n_links")
+    return found.select(F.col("value").alias("reference"), F.col("id").alias("issue_id"), F.col("grp").alias("project_id"), "class_id", F.col("n_members").alias("n_open"), "n_links")
+
+
+def reference_collisions(links: DataFrame, issues: DataFrame) -> DataFrame:
+    """reference, issue_id, class_id, n_open, n_links of `open_reference_classes`."""
+    return open_reference_classes(links, issues).drop("project_id")
 
 
 def collisions_by_issue(links: DataFrame, issues: DataFrame) -> DataFrame:
@@ -76,10 +84,10 @@ def related_open(links: DataFrame, issues: DataFrame) -> DataFrame:
 
 @query("j01_reference_collisions", """
     with one as (select distinct l.reference, i.id, i.project_id from links l join issues i on l.issue_id = i.id where i.state <> 'done')
-    select a.reference, a.id as issue_id, (select min(c.id) from one c where c.reference = a.reference) as class_id, (select count(*) from one c where c.reference = a.reference) as n_open, count(*) as n_links
-    from one a join one b on a.reference = b.reference and a.id <> b.id and a.project_id <> b.project_id group by a.reference, a.id""")
+    select a.reference, a.id as issue_id, a.project_id, (select min(c.id) from one c where c.reference = a.reference) as class_id, (select count(*) from one c where c.reference = a.reference) as n_open, count(*) as n_links
+    from one a join one b on a.reference = b.reference and a.id <> b.id and a.project_id <> b.project_id group by a.reference, a.id, a.project_id""")
 def _j01(spark, sf_dir):
-    return reference_collisions(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
+    return open_reference_classes(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
 
 
 @query("j02_collisions_for_issue", """
