@@ -33,6 +33,14 @@ def test_collisions_of_open_issues(spark):
     assert joined(rows, lambda a, b: apart(a["project_id"], b["project_id"])) == pairs(lambda p, s, q, t: apart(p, q) and "done" not in (s, t))
 
 
+def test_collisions_in_any_state(spark):
+    rows = matches.collision_classes(*tables(spark)).collect()
+    expected = pairs(lambda p, s, q, t: apart(p, q))
+    assert joined(rows, lambda a, b: apart(a["project_id"], b["project_id"])) == expected
+    assert {r["issue_id"]: r["n_links"] for r in rows} == Counter(a for a, _ in expected)
+    assert sum(r["n_by_reference"] for r in rows) == sum(expected.values())
+
+
 def test_fragments_tell_projects_and_shared_substrings(spark):
     titles = [(1, 10, "the annual renewal of licences"), (2, 20, "our annual renewal of support"), (3, 20, "an annual renewal of licences"), (4, 10, "something else altogether")]
     grams = {i: {t[k : k + 15] for k in range(len(t) - 14)} for i, _, t in titles}

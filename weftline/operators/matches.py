@@ -59,6 +59,18 @@ def reference_collisions(links: DataFrame, issues: DataFrame) -> DataFrame:
     return open_reference_classes(links, issues).drop("project_id")
 
 
+def collision_classes(links: DataFrame, issues: DataFrame) -> DataFrame:
+    """issue_id, reference, project_id, class_id, n_by_reference, n_links: issues in any state as members of the references they share.
+
+    Two rows of one reference and different projects are a collision, and the references in which they are the shared ones.
+    n_by_reference counts an issue's partners by that reference, n_links those by any, each once.
+    """
+    members = reference_members(links, issues, False)
+    found = pairing.classes(members, ["value"]).where("n_links > 0")
+    found = found.select(F.col("id").alias("issue_id"), F.col("value").alias("reference"), F.col("grp").alias("project_id"), "class_id", F.col("n_links").alias("n_by_reference"))
+    return found.join(collisions_by_issue(links, issues), "issue_id")
+
+
 def collisions_by_issue(links: DataFrame, issues: DataFrame) -> DataFrame:
     """issue_id, n_links: issues of other projects, in any state, that share a reference, each counted once."""
     return pairing.linked(reference_members(links, issues, False)).select(F.col("id").alias("issue_id"), "n_links")
@@ -91,10 +103,13 @@ def _j01(spark, sf_dir):
 
 
 @query("j02_collisions_for_issue", """
-    select l.issue_id, count(distinct m.issue_id) as n_links from links l join links m on l.reference = m.reference join issues i on i.id = l.issue_id join issues j on j.id = m.issue_id
-    where l.issue_id <> m.issue_id and i.project_id <> j.project_id group by l.issue_id""")
+    with held as (select distinct l.reference, i.id, i.project_id from links l join issues i on i.id = l.issue_id),
+    pairs as (select a.id, a.reference, a.project_id, b.id as other_id from held a join held b on a.reference = b.reference and a.id <> b.id and coalesce(a.project_id <> b.project_id, true)),
+    lows as (select reference, min(id) as class_id from held group by reference), totals as (select id, count(distinct other_id) as n_links from pairs group by id)
+    select p.id as issue_id, p.reference, p.project_id, l.class_id, count(*) as n_by_reference, t.n_links from pairs p join lows l on l.reference = p.reference join totals t on t.id = p.id
+    group by p.id, p.reference, p.project_id, l.class_id, t.n_links""")
 def _j02(spark, sf_dir):
-    return collisions_by_issue(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
+    return collision_classes(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
 
 
 @query("j03_related_open_issues", """
