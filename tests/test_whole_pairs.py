@@ -41,6 +41,13 @@ def test_collisions_in_any_state(spark):
     assert sum(r["n_by_reference"] for r in rows) == sum(expected.values())
 
 
+def test_related_open_issues(spark):
+    rows = matches.related_classes(*tables(spark)).collect()
+    expected = pairs(lambda p, s, q, t: t != "done")
+    assert joined(rows, lambda a, b: b["is_open"]) == expected
+    assert {r["issue_id"]: r["n_open"] for r in rows if r["n_open"]} == Counter(a for a, _ in expected)
+
+
 def test_fragments_tell_projects_and_shared_substrings(spark):
     titles = [(1, 10, "the annual renewal of licences"), (2, 20, "our annual renewal of support"), (3, 20, "an annual renewal of licences"), (4, 10, "something else altogether")]
     grams = {i: {t[k : k + 15] for k in range(len(t) - 14)} for i, _, t in titles}

@@ -71,6 +71,18 @@ def collision_classes(links: DataFrame, issues: DataFrame) -> DataFrame:
     return found.join(collisions_by_issue(links, issues), "issue_id")
 
 
+def related_classes(links: DataFrame, issues: DataFrame) -> DataFrame:
+    """issue_id, reference, is_open, class_id, n_by_reference, n_open: members of references that an open issue shares with another issue.
+
+    A row's related issues are the other rows of its references with is_open. n_by_reference counts those of one reference, n_open
+    those of any, each once.
+    """
+    members = reference_members(links, issues, True).withColumn("grp", F.lit(None).cast("long"))
+    found = pairing.classes(members, ["value"]).where(F.col("n_links") + F.col("counts").cast("long") > 0)
+    found = found.select(F.col("id").alias("issue_id"), F.col("value").alias("reference"), F.col("counts").alias("is_open"), "class_id", F.col("n_links").alias("n_by_reference"))
+    return found.join(related_open(links, issues), "issue_id", "left").withColumn("n_open", F.coalesce("n_open", F.lit(0).cast("long")))
+
+
 def collisions_by_issue(links: DataFrame, issues: DataFrame) -> DataFrame:
     """issue_id, n_links: issues of other projects, in any state, that share a reference, each counted once."""
     return pairing.linked(reference_members(links, issues, False)).select(F.col("id").alias("issue_id"), "n_links")
@@ -113,9 +125,14 @@ def _j02(spark, sf_dir):
 
 
 @query("j03_related_open_issues", """
-    select l.issue_id, count(distinct m.issue_id) as n_open from links l join links m on l.reference = m.reference join issues j on j.id = m.issue_id where l.issue_id <> m.issue_id and j.state <> 'done' group by l.issue_id""")
+    with held as (select distinct l.reference, i.id, i.state <> 'done' as is_open from links l join issues i on i.id = l.issue_id),
+    pairs as (select a.id, a.reference, b.id as other_id from held a join held b on a.reference = b.reference and a.id <> b.id and b.is_open),
+    by_reference as (select id, reference, count(*) as n from pairs group by id, reference), totals as (select id, count(distinct other_id) as n_open from pairs group by id),
+    shared as (select reference, (select min(h.id) from held h where h.reference = p.reference) as class_id from pairs p group by reference)
+    select h.id as issue_id, h.reference, h.is_open, s.class_id, coalesce(b.n, 0) as n_by_reference, coalesce(t.n_open, 0) as n_open from held h join shared s on s.reference = h.reference
+    left join by_reference b on b.id = h.id and b.reference = h.reference left join totals t on t.id = h.id""")
 def _j03(spark, sf_dir):
-    return related_open(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
+    return related_classes(view(spark, sf_dir, "links"), view(spark, sf_dir, "issues"))
 
 
 def point_values(values: DataFrame, titles: DataFrame, descriptors: DataFrame, texts: DataFrame) -> DataFrame:
