@@ -346,6 +346,10 @@ def test_tables_keep_the_recall_with_more_axes(rows):
     assert met.mean() >= 0.97, met.mean()
 
 
+def test_the_plan_is_the_same_for_every_size():
+    assert len({embdedup.plan_of(n) for n in (0, 1000, 1 << 20, (1 << 20) + 1, 1 << 27)}) == 1
+
+
 def test_hadamard_is_orthonormal():
     y = embdedup.hadamard(np.eye(8))
     assert np.allclose(y @ y.T, np.eye(8))

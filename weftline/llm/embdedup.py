@@ -1,9 +1,8 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A vector is rotated by three rounds of random signs and fast Hadamard transforms, and its hash is the axis it is
-nearest to, with sign. A table joins several such axes to one bucket, more of them (and more tables, for the recall)
-where labels have more vectors, so that buckets stay small; a vector lives in its home bucket and probes the
-PROBES - 1 next likely ones. Vectors of a bucket, of which one at least lives there, are compared in double
+nearest to, with sign. A table joins three such axes to one bucket, whatever the number of vectors; a vector lives in
+its home bucket and probes the PROBES - 1 next likely ones. Vectors of a bucket, of which one at least lives there, are compared in double
 precision. A pair is counted in the first table and bucket where it meets, so no list of pairs is made: tasks give
 each vector's number of links and, of the links, a spanning forest.
 """
@@ -32,11 +31,13 @@ class Plan:
     hashes: int
 
 
+#: One plan for tables of every size, so that a row's links don't depend on how many other rows there are.
+PLAN = Plan(12, 3)
+
+
 def plan_of(rows: int) -> Plan:
-    """Two axes a bucket up to a million vectors of one label and size, three up to 64 million, then four."""
-    if rows <= 1 << 20:
-        return Plan(8, 2)
-    return Plan(12, 3) if rows <= 1 << 26 else Plan(18, 4)
+    """The plan of a table in which a label has up to `rows` vectors of one size: the same for all."""
+    return PLAN
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -203,8 +204,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     base = base.withColumn("ok", usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = base.where("ok").withColumns({"size": F.size("embedding"), "h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1))})
     key = ["label", "size", "h1", "h2"]
-    largest = rows.groupBy("label", "size").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    plan = plan_of(largest or 0)
+    plan = PLAN
 
     def hashed(x: pd.Series) -> pd.Series:
         size, out = x.map(len).to_numpy(), pd.Series([b""] * len(x), dtype=object)
