@@ -144,14 +144,14 @@ def point_values(values: DataFrame, titles: DataFrame, descriptors: DataFrame, t
     equal = values.where("value is not null and value <> ''").select("id", "point", "value").distinct()
     parts = None
     for point, frame in (("subject_entity", titles), ("product_service", descriptors)):
-        grams = pairing.grams(frame.select("id", F.lower("title").alias("title"))).distinct().withColumn("point", F.lit(point))
+        grams = pairing.fewest(pairing.grams(frame.select("id", F.lower("title").alias("title"))), []).withColumn("point", F.lit(point))
         parts = grams if parts is None else parts.unionByName(grams)
     suppliers = stored(equal.where("point = 'supplier'"), "suppliers")
     said = mentions.find(texts, suppliers.select(F.col("value").alias("name")).distinct()).select("id", F.col("name").alias("value"), F.lit(pairing.NAMES).alias("role"))
     named = said.select("value").distinct()
     owned = suppliers.join(named, "value", "left_semi").select("id", "value", F.lit(pairing.OWNS).alias("role"))
     across = said.unionByName(owned).groupBy("id", "value").agg(F.sum("role").cast("int").alias("role")).withColumn("point", F.lit("cross_mention"))
-    whole = equal.unionByName(pairing.fewest(parts, ["point"]).select("id", "point", "value")).withColumn("role", F.lit(pairing.ALL))
+    whole = equal.unionByName(parts.select("id", "point", "value")).withColumn("role", F.lit(pairing.ALL))
     return whole.unionByName(across.select(*whole.columns))
 
 
@@ -246,11 +246,11 @@ def subject_fragments(titles: DataFrame) -> DataFrame:
     many do by another issue. A pair of an issue and a project is two rows of a value by different issues, and n_values added up over
     those values is the number of substrings that the pair shares; nothing is joined but counts.
     """
-    held = pairing.fewest(pairing.grams(titles.select("id", F.lower("title").alias("title"))).distinct(), [])
-    held = held.join(titles.select("id", "project_id"), "id")
+    held = pairing.fewest(pairing.grams(titles.select("id", F.lower("title").alias("title"))), [])
+    held = stored(held.join(titles.select("id", "project_id"), "id"), "fragments")
     own = held.groupBy("value", "project_id").agg(F.count("*").alias("n"))
     whole = own.groupBy("value").agg(F.count("*").alias("n_projects"), F.min("project_id").alias("class_id"))
-    out = held.join(whole, "value").join(own, ["value", "project_id"])
+    out = held.join(own.join(whole, "value"), ["value", "project_id"])
     return out.select("id", "project_id", "value", "n_values", "class_id", (F.col("n_projects") - F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_projects")).where("n_projects > 0")
 
 

@@ -52,14 +52,39 @@ def classes(members: DataFrame, key: list[str], vetoes: DataFrame | None = None)
     return out if vetoes is None else _without(out, vetoes, key, F.lit(True))
 
 
+def classes_once(members: DataFrame, key: list[str]) -> DataFrame:
+    """As `classes`, with one exchange: for members of which no class is too large for a task."""
+    weight = F.col("counts").cast("long")
+    group, whole = Window.partitionBy(*key, "grp"), Window.partitionBy(*key)
+    of_role = {"all": weight, "names": F.when(F.col("role") != OWNS, weight).otherwise(0), "owns": F.when(F.col("role") != NAMES, weight).otherwise(0)}
+    out = members.withColumns({f"w_{c}": F.sum(w).over(whole) for c, w in of_role.items()} | {"n_members": F.count("*").over(whole), "class_id": F.min("id").over(whole)}).where("n_members > 1")
+    out = out.withColumns({f"o_{c}": F.sum(w).over(group) for c, w in of_role.items()})  # after the whole class, whose exchange does for groups
+    itself = F.when(F.col("role") == ALL, weight).otherwise(0)
+    mine = F.when(F.col("grp").isNull(), itself).otherwise(_partners("o"))
+    return out.withColumn("n_links", _partners("w") - mine).select(*members.columns, "class_id", "n_members", "n_links")
+
+
+def marked(items: DataFrame, vetoes: DataFrame) -> DataFrame:
+    """The items with barred: whether a veto names them. Only barred members take part in the search for vetoed partners."""
+    named = vetoes.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("barred", F.lit(True))
+    return items.join(named, "id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+
+
 def _without(counted: DataFrame, vetoes: DataFrame, key: list[str], near: Column) -> DataFrame:
-    """n_links less the vetoed partners; `near` is a condition on x and other_x."""
+    """n_links less the vetoed partners; `near` is a condition on x and other_x.
+
+    The counted members are stored, since they are read three times.
+    """
+    counted, free = stored(counted, "counted"), None
+    if "barred" in counted.columns:
+        counted, free = counted.where("barred"), counted.where("not barred")
     both = vetoes.select("id_a", "id_b").unionByName(vetoes.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).where("id_a <> id_b").distinct()
     mine = counted.select(*key, F.col("id").alias("id_a"), "grp", "role", *(["x"] if "x" in counted.columns else []))
     theirs = counted.where("counts").select(*key, F.col("id").alias("id_b"), F.col("grp").alias("other_grp"), F.col("role").alias("other_role"), *([F.col("x").alias("other_x")] if "x" in counted.columns else []))
     lost = both.join(mine, "id_a").join(theirs, [*key, "id_b"]).where(F.coalesce(F.col("grp") != F.col("other_grp"), F.lit(True))).where((F.col("role") != F.col("other_role")) | (F.col("role") == ALL)).where(near)
     lost = lost.groupBy(*key, F.col("id_a").alias("id")).agg(F.count("*").alias("lost"))
-    return counted.join(lost, [*key, "id"], "left").withColumn("n_links", F.col("n_links") - F.coalesce("lost", F.lit(0))).drop("lost")
+    less = counted.join(lost, [*key, "id"], "left").withColumn("n_links", F.col("n_links") - F.coalesce("lost", F.lit(0))).select(*counted.columns)
+    return less if free is None else free.unionByName(less)
 
 
 def linked(members: DataFrame, widest: int = WIDEST) -> DataFrame:
@@ -123,32 +148,42 @@ def near(members: DataFrame, key: list[str], vetoes: DataFrame | None = None) ->
 
 
 def grams(titles: DataFrame, size: int = GRAM) -> DataFrame:
-    """id, value: the substrings of `size` of (id, title). Two titles share a substring of that length or more where they share a value."""
-    at = F.sequence(F.lit(1), F.length("title") - (size - 1))
-    return titles.where(F.length("title") >= size).select("id", F.explode(F.array_distinct(F.transform(at, lambda p: F.substring("title", p, F.lit(size))))).alias("value"))
+    """id, value, each once: the substrings of `size` of (id, title). Two titles share a substring of that length or more where they share a value."""
+    at = lambda title: F.sequence(F.lit(1), F.length(title) - (size - 1))
+    parts = F.transform("titles", lambda title: F.transform(at(title), lambda p: F.substring(title, p, F.lit(size))))
+    of_id = titles.where(F.length("title") >= size).groupBy("id").agg(F.collect_set("title").alias("titles"))
+    return of_id.select("id", F.explode(F.array_distinct(F.flatten(parts))).alias("value"))
 
 
 def fewest(values: DataFrame, key: list[str]) -> DataFrame:
     """(id, value) rows of the values that two or more hold, with n_values; of values with the same holders, only the first one's.
 
-    n_values is the number of values with those holders. Holders are compared by their number, least, greatest and two sums of hashes. Neighbouring substrings of a title
+    n_values is the number of values with those holders. Holders are compared by their number and two sums of hashes. Neighbouring substrings of a title
     mostly have the same holders, and what a whole collection shares leaves one value.
     """
-    hashed = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
-    held = values.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), *hashed).where("n > 1")
-    firsts = held.groupBy(*key, "n", "low", "high", "h1", "h2").agg(F.min("value").alias("value"), F.count("*").alias("n_values")).select(*key, "value", "n_values")
+    hashed = [F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")]
+    held = values.groupBy(*key, "value").agg(F.count("*").alias("n"), *hashed).where("n > 1")
+    firsts = held.groupBy(*key, "n", "h1", "h2").agg(F.min("value").alias("value"), F.count("*").alias("n_values")).select(*key, "value", "n_values")
     return values.join(firsts, [*key, "value"])
 
 
+#: Members of a class up to which one task may take it whole.
+HOT = 100_000
+
+
 def twice(members: DataFrame) -> DataFrame:
-    """Members of (point, value) classes -> members of the classes of two points: point and value of either, joined by ' + '.
+    """Members of (point, value) classes, with n_members -> members of the classes of two points: point and value of either, joined by ' + '.
 
-    A class of one is left out: what it would be combined to has one member too.
+    An item's values come together once and are paired there. A class of one is left out: what it would be combined to has one
+    member too. n_most is the smaller class's number of members, which the class of two can't exceed.
     """
-    useful = members.select("id", "grp", "counts", "role", "point", "value")
-    other = useful.select("id", F.col("role").alias("role_b"), F.col("point").alias("point_b"), F.col("value").alias("value_b"))
-    both = useful.join(other, "id").where("point < point_b").withColumn("role", F.col("role").bitwiseAND(F.col("role_b")))
-    return both.select("id", "grp", "counts", "role", F.concat_ws(" + ", "point", "point_b").alias("point"), F.concat_ws(" + ", "value", "value_b").alias("value"))
+    item = [c for c in ("id", "grp", "counts", "barred") if c in members.columns]
+    held = members.groupBy(*item).agg(F.collect_list(F.struct("point", "value", "role", "n_members")).alias("held"))
+    both = held.select("*", F.explode("held").alias("a")).select("*", F.explode(F.filter("held", lambda b: b["point"] > F.col("a.point"))).alias("b"))
+    return both.select(
+        *item, F.col("a.role").bitwiseAND(F.col("b.role")).alias("role"), F.concat_ws(" + ", "a.point", "b.point").alias("point"), F.concat_ws(" + ", "a.value", "b.value").alias("value"),
+        F.least("a.n_members", "b.n_members").alias("n_most"),
+    )
 
 
 def matched(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame:
@@ -156,9 +191,10 @@ def matched(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame
 
     `values` has id, point, value and role, `items` id, grp, counts and x (an amount in cents, may be null).
     """
-    members = values.join(items.select("id", "grp", "counts"), "id")
+    items = marked(items, vetoes)
+    members = values.join(items.select("id", "grp", "counts", "barred"), "id")
     equal = classes(members, ["point", "value"], vetoes).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
-    amounts = items.where("x > 0").select("id", "grp", "counts", F.lit(ALL).alias("role"), "x", F.lit("amount").alias("point"))
+    amounts = items.where("x > 0").select("id", "grp", "counts", "barred", F.lit(ALL).alias("role"), "x", F.lit("amount").alias("point"))
     amounts = near(amounts, ["point"], vetoes).where("n_links > 0")
     return equal.unionByName(amounts.select("id", "point", F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("class_id"), "n_links"))
 
@@ -169,10 +205,13 @@ def candidates(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFr
     Points and values of the two are joined by ' + '. The class of a value and an amount isn't one (nearness of amounts isn't
     transitive) and has no class_id; its partners are those of the value's class whose amount is near.
     """
-    members = values.join(items.select("id", "grp", "counts"), "id")
+    items = stored(marked(items, vetoes), "items")
+    members = values.join(items.select("id", "grp", "counts", "barred"), "id")
     equal = stored(classes(members, ["point", "value"]), "classes")
-    pairs = classes(twice(equal), ["point", "value"], vetoes).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
-    priced = equal.select("id", "grp", "counts", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
-    priced = near(priced, ["point", "value"], vetoes).where("n_links > 0")
+    two, key = twice(equal), ["point", "value"]
+    found = classes_once(two.where(F.col("n_most") <= HOT).drop("n_most"), key).unionByName(classes(two.where(F.col("n_most") > HOT).drop("n_most"), key))
+    pairs = _without(found.where("n_links > 0 or barred"), vetoes, key, F.lit(True)).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
+    priced = equal.select("id", "grp", "counts", "barred", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
+    priced = near(stored(priced, "priced"), ["point", "value"], vetoes).where("n_links > 0")
     priced = priced.select("id", F.concat_ws(" + ", F.least(F.col("point"), F.lit("amount")), F.greatest(F.col("point"), F.lit("amount"))).alias("point"), "value", F.lit(None).cast("long").alias("class_id"), "n_links")
     return pairs.unionByName(priced)
