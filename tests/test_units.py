@@ -206,3 +206,15 @@ def test_a_snippet_reaches_eighty_characters_around_the_match(spark):
     start, end = text.index("blocked on") - 80, text.index("blocked on") + len("blocked on") + 80
     assert snippet == "…" + text[start:end].replace("\n", " ").strip() + "…"
     assert value(spark, t.intent_around("body", patterns, "manager", {"ab": "builder"}), body="all is well") is None
+
+
+def test_a_workbook_is_read_and_written_by_the_row():
+    import tracemalloc
+
+    rows = ([k, f"title {k}", "active", k / 7, "user"] for k in range(20_000))
+    content = files.workbook(["A", "B", "C", "D", "E"], rows)
+    tracemalloc.start()
+    n = sum(1 for line in files.sheet_rows(content) if line["C"] == "active")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and most < 5e6

@@ -6,6 +6,7 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from weftline.plans.registry import frames, query
 from weftline.plans.surrogates import NOW_EVENTS
 from weftline.plans.views import view, work_dir
+from weftline.sources.tables import stored
 
 def drop_files(spark: SparkSession, sf_dir: str) -> str:
     """Staged drops made from all raw items, one to a line: ten drops of each 200 ids, chats in each of their three shapes."""
@@ -299,13 +301,17 @@ def _cell(place: str, v) -> str:
 
 
 def workbook(headers: list[str], rows) -> bytes:
-    """An xlsx file of one sheet: the headers, then the rows of texts and numbers; a null is an empty cell."""
-    lines = (f'<row r="{y}">{"".join(_cell(f"{_column(x)}{y}", v) for x, v in enumerate(row))}</row>' for y, row in enumerate([headers, *rows], 1))
+    """An xlsx file of one sheet: the headers, then the rows of texts and numbers, as they come; a null is an empty cell."""
+    lines = (f'<row r="{y}">{"".join(_cell(f"{_column(x)}{y}", v) for x, v in enumerate(row))}</row>' for y, row in enumerate(chain([headers], rows), 1))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in _WORKBOOK.items():
             z.writestr(name, content)
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_SHEET}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{_SHEET}"><sheetData>'.encode())
+            while some := "".join(islice(lines, 1000)):
+                f.write(some.encode())
+            f.write(b"</sheetData></worksheet>")
     return out.getvalue()
 
 
@@ -315,35 +321,44 @@ def workbooks(sheet: DataFrame, most: int = 50_000) -> DataFrame:
     sheet = sheet.select(*[F.col(h).cast("string").alias(h) if w else F.col(h) for h, w in zip(headers, whole, strict=True)])  # pandas has no whole numbers with nulls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n, held = TaskContext.get().partitionId(), 0, []
-        for b in batches:
-            held += [[int(v) if w and v is not None else v for v, w in zip(row, whole, strict=True)] for row in b.astype(object).where(b.notna(), None).values.tolist()]
-            while len(held) >= most:
-                yield pd.DataFrame({"name": [f"report-{part}-{n}.xlsx"], "content": [workbook(headers, held[:most])]})
-                held, n = held[most:], n + 1
-        if held:
-            yield pd.DataFrame({"name": [f"report-{part}-{n}.xlsx"], "content": [workbook(headers, held)]})
+        part = TaskContext.get().partitionId()
+        rows = (row for b in batches for row in b.astype(object).where(b.notna(), None).values.tolist())
+        rows = ([int(v) if w and v is not None else v for v, w in zip(row, whole, strict=True)] for row in rows)
+        for n, first in enumerate(rows):  # each turn takes the rows of a workbook
+            yield pd.DataFrame({"name": [f"report-{part}-{n}.xlsx"], "content": [workbook(headers, chain([first], islice(rows, most - 1)))]})
 
     return sheet.mapInPandas(run, "name string, content binary")
 
 
-def sheet_rows(content: bytes) -> list[dict[str, str]]:
-    """The rows of a workbook's first sheet after its headers, by header; empty cells are left out."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ET.fromstring(z.read("xl/worksheets/sheet1.xml"))
-    main = f"{{{_SHEET}}}"
-    lines = [{c.get("r").rstrip("0123456789"): _cell_text(c, main, []) if c.get("t") else c.findtext(f"{main}v") for c in row} for row in root.iter(f"{main}row")]
-    return [{lines[0][k]: v for k, v in line.items()} for line in lines[1:]]
-
-
-def read_workbooks(files: DataFrame, schema: T.StructType) -> DataFrame:
-    """The rows of the workbooks that `workbooks` made, with the types of `schema`."""
+def sheet_rows(content: bytes) -> Iterator[dict[str, str]]:
+    """The rows of a workbook's first sheet after its headers, by header, as they are read; empty cells are left out."""
+    main, headers = f"{{{_SHEET}}}", None
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("xl/worksheets/sheet1.xml") as f:
+        for event, node in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                if node.tag == f"{main}sheetData":
+                    data = node
+                continue
+            if node.tag != f"{main}row":
+                continue
+            line = {c.get("r").rstrip("0123456789"): _cell_text(c, main, []) if c.get("t") else c.findtext(f"{main}v") for c in node}
+            data.clear()  # what is read goes
+            if headers is None:
+                headers = line
+            else:
+                yield {headers[k]: v for k, v in line.items()}
+
+
+def read_workbooks(files: DataFrame, schema: T.StructType, some: int = 5000) -> DataFrame:
+    """The rows of the workbooks that `workbooks` made, with the types of `schema`; a Python worker holds a few workbooks and `some` rows."""
     names = schema.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame([[line.get(n) for n in names] for line in sheet_rows(content)], columns=names, dtype=object)
+                rows = ([line.get(n) for n in names] for line in sheet_rows(content))
+                while part := list(islice(rows, some)):
+                    yield pd.DataFrame(part, columns=names, dtype=object)
 
     texts = files.select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
     return texts.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
@@ -356,7 +371,7 @@ def report_sheet(spark, sf_dir):
     sheet = issues.select(F.col("id").alias("Issue"), F.col("title").alias("Title"), F.col("category").alias("Category"), F.col("state").alias("State"), F.col("owner").alias("Owner"), F.col("value_amount").alias("Value"), F.col("opened_at").alias("Opened"), F.col("updated_at").alias("Updated"), F.col("due").alias("Due"))
     folder = work_dir(spark)
     workbooks(sheet).write.parquet(folder)
-    return read_workbooks(spark.read.schema("name string, content binary").parquet(folder), sheet.schema)
+    return stored(read_workbooks(spark.read.schema("name string, content binary").parquet(folder), sheet.schema), "report", batch=4)
 
 
 @query("s21_emit_events", "select id, occurred_ts, signal_type as kind, from_actor as actor from raw_items")

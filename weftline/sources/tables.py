@@ -59,11 +59,18 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in a fresh place of the shared folder: read many times, made once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df as a Parquet table in a fresh place of the shared folder: read many times, made once. `batch` is how many rows Python gets at a time meanwhile."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(key)
+    if batch:
+        spark.conf.set(key, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(tables: list[DataFrame]) -> None:
