@@ -218,3 +218,16 @@ def test_a_workbook_is_read_and_written_by_the_row():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 20_000 and most < 5e6
+
+
+def test_merging_moves_less_each_round_on_long_paths(spark, monkeypatch, tmp_path):
+    import random
+
+    nodes = list(range(1500))
+    random.Random(3).shuffle(nodes)
+    edges = [*zip(nodes[:1000], nodes[1:1000]), *zip(nodes[1001:], nodes[1000:]), (5000, 5000)]
+    monkeypatch.setattr(imperative, "work_dir", lambda spark: f"file://{tmp_path}/merge")
+    got = {r["node"]: r["root"] for r in imperative.merged_groups(spark.createDataFrame(edges, "a long, b long"), spark).collect()}
+    assert got == dict.fromkeys(nodes[:1000], min(nodes[:1000])) | dict.fromkeys(nodes[1000:], min(nodes[1000:])) | {5000: 5000}
+    made = sum(spark.read.parquet(str(f)).count() for f in (tmp_path / "merge").iterdir())
+    assert made < 8 * len(edges)

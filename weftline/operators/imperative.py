@@ -101,24 +101,39 @@ def tiered_answer(spark, sf_dir):
 
 
 def merged_groups(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """(a, b) pairs -> (node, root): the smallest member of each connected group, by stored rounds of minimum labels."""
-    folder = work_dir(spark)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both.write.parquet(f"{folder}/edges")
-    both = spark.read.parquet(f"{folder}/edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    labels, step = labels.withColumn("moved", F.lit(True)), 0
-    while True:
-        labels.write.parquet(f"{folder}/labels{step}")
-        labels = spark.read.parquet(f"{folder}/labels{step}")
-        if labels.where("moved").isEmpty():
-            return labels.drop("moved")
-        labels, was, step = labels.drop("moved"), labels.select("node", F.col("root").alias("was")), step + 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        better = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = better.select(F.col("node").alias("root"), F.col("root").alias("further"))  # pointer jumping
-        labels = better.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root"))
-        labels = labels.join(was, "node").select("node", "root", (F.col("root") != F.col("was")).alias("moved"))
+    """(a, b) pairs -> (node, root): the smallest member of each connected group, by contraction in stored rounds.
+
+    Each round draws an order of the nodes, gives every node the first of itself and its neighbours, and goes on with those and the
+    different pairs between them. A share of the nodes goes each round whatever the graph's shape, so all rounds together move
+    a few times what the first does. On the way back each node gets the root of the node that stands for it.
+    """
+    folder, rounds = work_dir(spark), []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}{len(rounds)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pairs = kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    low = None  # of each node, the smallest of those it stands for
+    while not pairs.isEmpty():
+        def drawn(c, salt=len(rounds)):
+            return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("draw"), F.col(c).alias("id"))
+
+        ends = pairs.select(F.col("a").alias("node"), drawn("b").alias("near")).unionAll(pairs.select(F.col("b").alias("node"), drawn("a").alias("near")))
+        chosen = kept(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("near", drawn("node"))["id"].alias("rep")), "chosen")
+        level = chosen.withColumn("low", F.col("node")) if low is None else kept(low.join(chosen, "node", "left").select("node", "rep", "low"), "level")
+        low = kept(level.where("rep is not null").groupBy(F.col("rep").alias("node")).agg(F.min("low").alias("low")), "low")
+        of_a, of_b = (chosen.select(F.col("node").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+        ties = pairs.where("a <> b").join(of_a, "a").join(of_b, "b").where("rep_a <> rep_b")
+        rounds.append(level)
+        pairs = kept(ties.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "pairs")
+    if low is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    roots = low.withColumnRenamed("low", "root")
+    for level in reversed(rounds):
+        roots = level.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("node", F.coalesce("root", "low").alias("root"))
+    return roots
 
 
 @query("d11_merge_issues")
