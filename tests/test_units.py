@@ -231,3 +231,10 @@ def test_merging_moves_less_each_round_on_long_paths(spark, monkeypatch, tmp_pat
     assert got == dict.fromkeys(nodes[:1000], min(nodes[:1000])) | dict.fromkeys(nodes[1000:], min(nodes[1000:])) | {5000: 5000}
     made = sum(spark.read.parquet(str(f)).count() for f in (tmp_path / "merge").iterdir())
     assert made < 8 * len(edges)
+
+
+def test_severities_are_dealt_to_tasks_by_rows(spark, tmp_path):
+    texts = spark.range(0, 100_000, 1, 1).selectExpr("id", "'abc' as subject", "'abd' as body_preview")
+    assert imperative.spread(texts).rdd.getNumPartitions() == 4 and imperative.spread(texts.limit(3)).rdd.getNumPartitions() == 1
+    got = texts.limit(3).select(imperative.rewrite_severity("subject", "body_preview").alias("s")).collect()
+    assert [r["s"] for r in got] == [0.3333] * 3

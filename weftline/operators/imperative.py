@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -243,15 +244,31 @@ def compare_attachments(spark, sf_dir):
     return paragraph_diff(docs.select("id", F.col("text").alias("old"), F.regexp_replace("text", "(?m)^The .*$", "Changed.").alias("new")))
 
 
+def _severity(a: str, b: str) -> float:
+    return round(1 - difflib.SequenceMatcher(None, a, b).ratio(), 4)
+
+
+@lru_cache(maxsize=50_000)
+def _severity_of_short(a: str, b: str) -> float:
+    """Short texts that a worker has met need no second comparison; it keeps the last of these pairs."""
+    return _severity(a, b)
+
+
 @F.pandas_udf(T.DoubleType())
 def rewrite_severity(suggested: pd.Series, sent: pd.Series) -> pd.Series:
     """1 less the similarity ratio of two texts, to four places; pass another function of two series to replace it."""
-    return pd.Series([round(1 - difflib.SequenceMatcher(None, a or "", b or "").ratio(), 4) for a, b in zip(suggested, sent, strict=True)])
+    pairs = ((a or "", b or "") for a, b in zip(suggested, sent, strict=True))
+    return pd.Series([(_severity_of_short if len(a) + len(b) < 1000 else _severity)(a, b) for a, b in pairs])
+
+
+def spread(df: DataFrame, rows: int = 25_000) -> DataFrame:
+    """df in parts of some `rows` rows, for steps whose time a row is long: a file's bytes alone would make a few long tasks."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 @query("u03_rewrite_severity")
 def rewrite_severities(spark, sf_dir):
-    return view(spark, sf_dir, "raw_items").select("id", rewrite_severity("subject", F.lower("body_preview")).alias("severity"))
+    return spread(view(spark, sf_dir, "raw_items").select("id", "subject", "body_preview")).select("id", rewrite_severity("subject", F.lower("body_preview")).alias("severity"))
 
 
 @query("n01_date_mentions", """
