@@ -38,7 +38,7 @@ operator("d09_self_audit", """
       union all select distinct 'done_with_commitments', i.project_id from projects p join issues i on i.project_id = p.id join claims c on c.issue_id = i.id where p.status = 'done' and c.claim_type = 'commitment' and c.status = 'open'),
     before as (select 'closed_with_open_claims' as detector, id as issue_id from issues where state = 'done' and id % 2 = 0), fresh as (select distinct detector, issue_id from now_found)
     select coalesce(b.detector, n.detector) as detector, coalesce(b.issue_id, n.issue_id) as issue_id, case when b.issue_id is null then 'new' when n.issue_id is null then 'resolved' else 'kept' end as status
-    from before b full outer join fresh n on b.issue_id = n.issue_id and b.detector = n.detector""")
+    from before b full outer join fresh n on b.issue_id = n.issue_id and b.detector = n.detector""", deal={"claims": ("issue_id",)})
 operator("d10_identity_anchors", "select value, issue_id, r = 1 as owns from (select reference as value, issue_id, row_number() over (partition by reference order by issue_id) as r from links) x")
 operator("d12_stray_reference_clusters", "select reference, min(case when issue_id % 3 > 0 then issue_id end) as real_issue, count_if(issue_id % 3 = 0) as n_clusters from links group by reference having count_if(issue_id % 3 > 0) = 1 and count_if(issue_id % 3 = 0) >= 1")
 operator("d13_timeline", "select issue_id, ts, kind, tier, id from (select issue_id, first_seen_ts as ts, 'claim' as kind, case claim_type when 'decision' then 'milestone' else 'activity' end as tier, id from claims union all select id, updated_at, 'state', 'milestone', id from issues) x")

@@ -38,7 +38,23 @@ class Operator:
         return spark.sql(text, **{n: frames[n] for n in self.inputs})
 
 
-def frames(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
+#: Rows of a dealt input that a task gets.
+DEALT_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys, in parts of some DEALT_ROWS rows: joins and groups by these keys hold as much in a task however large the table is."""
+    n = -(-df.count() // DEALT_ROWS)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
+
+
+def frames(spark: SparkSession, sf_dir: str, names, deal: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
+    """The views and tables by name; `deal` has the keys by which a view, or a table that views read, is dealt to tasks."""
+    deal = deal or {}
+
+    def given(name: str, df: DataFrame) -> DataFrame:
+        return dealt(df, *deal[name]) if name in deal else df
+
     out = {}
     for n in names:
         if n in surrogates.VIEWS:
@@ -46,9 +62,9 @@ def frames(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
             own = [t for t in surrogates.TABLES if re.search(rf"from {t}\b", text)]
             for t in own:
                 text = re.sub(rf"from {t}\b", "from {%s}" % t, text)
-            out[n] = spark.sql(text, **{t: table(spark, sf_dir, t) for t in own})
+            out[n] = given(n, spark.sql(text, **{t: given(t, table(spark, sf_dir, t)) for t in own}))
         else:
-            out[n] = table(spark, sf_dir, n)
+            out[n] = given(n, table(spark, sf_dir, n))
     return out
 
 
@@ -73,11 +89,11 @@ def _filled(text: str, params: dict[str, str]) -> str:
 TIMES = {"now": surrogates.NOW, "now_events": surrogates.NOW_EVENTS}
 
 
-def operator(name: str, text: str, **defaults: str) -> Operator:
-    """Define an operator and register the query that applies it to the views it names."""
+def operator(name: str, text: str, deal: dict[str, tuple[str, ...]] | None = None, **defaults: str) -> Operator:
+    """Define an operator and register the query that applies it to the views it names; `deal` is for `frames`."""
     inputs = tuple(surrogates.used(text))
     op = Operator(name, text, inputs, tuple((TIMES | defaults).items()))
-    _QUERIES[name] = lambda spark, sf_dir: op(spark, **frames(spark, sf_dir, inputs))
+    _QUERIES[name] = lambda spark, sf_dir: op(spark, **frames(spark, sf_dir, inputs, deal))
     _SQL[name] = oracle(_filled(text, TIMES | defaults))
     return op
 
