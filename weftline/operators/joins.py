@@ -63,7 +63,7 @@ operator("j21_closure_without_request", """
 operator("j22_orphans", """
     select 'claim' as kind, c.id from claims c where not exists (select 1 from issues i where i.id = c.issue_id and i.id % 11 <> 0)
     union all select 'issue', i.id from issues i where not exists (select 1 from claims c where c.issue_id = i.id)
-    union all select 'link', l.issue_id from links l where not exists (select 1 from projects p where 'R' || TEXT(p.id) = l.reference)""")
+    union all select 'link', l.issue_id from links l where not exists (select 1 from projects p where 'R' || TEXT(p.id) = l.reference)""", deal={"claims": ("issue_id",)})
 operator("j23_actions_without_evidence", "select a.id from outcomes a where a.outcome = 'accepted' and not exists (select 1 from documents_ d where d.id = a.id and length(d.text) >= 1000)")
 operator("j24_stray_clusters", """
     with anchors as (select project_id, owner, min(id) as issue_id from issues where id % 4 <> 0 group by project_id, owner having count(*) = 1)
