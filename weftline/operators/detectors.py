@@ -11,7 +11,7 @@ operator("d03_merge_duplicates", "select id, issue_id, r = 1 as survives, last_t
 operator("d04_extraction_correction", """
     with old_rows as (select issue_id, claim_type, text from claims where id % 3 > 0), new_rows as (select issue_id, claim_type, text from claims where id % 3 < 2),
     change as (select coalesce(o.issue_id, n.issue_id) as issue_id, coalesce(o.claim_type, n.claim_type) as claim_type, o.text as old_text, n.text as new_text from (select distinct * from old_rows) o full outer join (select distinct * from new_rows) n on o.issue_id = n.issue_id and o.claim_type = n.claim_type and o.text = n.text where o.text is null or n.text is null)
-    select issue_id, claim_type, count(old_text) as superseded, count(new_text) as added, case when count(old_text) = 1 and count(new_text) = 1 then 'refine' else 'replace' end as action from change group by issue_id, claim_type""")
+    select issue_id, claim_type, count(old_text) as superseded, count(new_text) as added, case when count(old_text) = 1 and count(new_text) = 1 then 'refine' else 'replace' end as action from change group by issue_id, claim_type""", deal={"claims": ("issue_id", "claim_type", "text")})
 operator("d06_relationship_sweep", f"select name, min(id) as id, count(*) as n_links from (select {t.normalize_company_name('name')} as name, id from companies) x where not exists (select 1 from projects p where lower(p.name) = x.name) group by name")
 operator("d07_seeds", "select distinct project_id, 'owner' as kind, owner as value from issues union select distinct project_id, 'category', category from issues")
 operator("d08_alerts", """
