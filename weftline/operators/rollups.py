@@ -74,7 +74,7 @@ operator("a34_context_accuracy", """
       select i.id, coalesce(FLOAT(count(distinct c.claim_type)) / 4e0, 0e0) as coverage, coalesce(avg(exp(-greatest(0e0, :now - c.last_seen_ts) / 86400e0 / 90e0)), 1e0) as freshness,
         coalesce(avg(case c.claim_type when 'ask' then 1e0 when 'commitment' then 0.8e0 when 'decision' then 0.4e0 when 'date' then 0.2e0 end), 1e0) as provenance,
         coalesce(1e0 - FLOAT(count_if(c.reference_base is not null and c.status = 'superseded')) / nullif(count(c.reference_base), 0), 1e0) as referential
-      from issues i left join claims c on i.id = c.issue_id group by i.id) x""")
+      from issues i left join claims c on i.id = c.issue_id group by i.id) x""", deal={"claims": ("issue_id",)})
 operator("a32_measure_project", """
     with parts as (select i.project_id, 1e0 - avg(exp(-greatest(0e0, :now - c.first_seen_ts) / 86400e0 / 90e0)) as staleness, FLOAT(count(distinct case when c.status = 'superseded' then c.reference_base end)) / nullif(count(distinct c.reference_base), 0) as ambiguity,
         FLOAT(count_if(c.status = 'superseded')) / count(*) as incoherence, 1e0 - FLOAT(count(distinct c.claim_type)) / 4e0 as missing
