@@ -80,7 +80,7 @@ operator("a32_measure_project", """
         FLOAT(count_if(c.status = 'superseded')) / count(*) as incoherence, 1e0 - FLOAT(count(distinct c.claim_type)) / 4e0 as missing
       from issues i join claims c on i.id = c.issue_id where c.first_seen_ts <= :now group by i.project_id),
     named as (select project_id, staleness, ambiguity, incoherence, missing, FILTER(ARRAY(case when staleness is null then 'freshness' end, case when ambiguity is null then 'referential' end, case when incoherence is null then 'coherence' end, case when missing is null then 'coverage' end), w, w is not null) as unmeasured from parts)
-    select project_id, case when SIZE(unmeasured) < 4 then round((coalesce(staleness, 0e0) + coalesce(ambiguity, 0e0) + coalesce(incoherence, 0e0) + coalesce(missing, 0e0)) / (4e0 - SIZE(unmeasured)), 4) end as ambiguity_score, JOINED(unmeasured, ',') as abstained from named""")
+    select project_id, case when SIZE(unmeasured) < 4 then round((coalesce(staleness, 0e0) + coalesce(ambiguity, 0e0) + coalesce(incoherence, 0e0) + coalesce(missing, 0e0)) / (4e0 - SIZE(unmeasured)), 4) end as ambiguity_score, JOINED(unmeasured, ',') as abstained from named""", deal={"claims": ("issue_id",)})
 operator("a36_volatility_population", "select id, case when count(*) >= 3 then round(least(1e0, stddev_pop(score) / 0.25e0), 6) end as volatility from (select id, score, row_number() over (partition by id order by seq desc) as r from scores) x where r <= 5 group by id")
 operator("a37_volatility_sample", "select id, round(least(1e0, stddev_samp(score) / 0.25e0), 6) as volatility from (select id, score, row_number() over (partition by id order by seq desc) as r from scores) x where r <= 5 group by id having count(*) >= 2")
 operator("a38_project_parties", """
