@@ -238,3 +238,20 @@ def test_severities_are_dealt_to_tasks_by_rows(spark, tmp_path):
     assert imperative.spread(texts).rdd.getNumPartitions() == 4 and imperative.spread(texts.limit(3)).rdd.getNumPartitions() == 1
     got = texts.limit(3).select(imperative.rewrite_severity("subject", "body_preview").alias("s")).collect()
     assert [r["s"] for r in got] == [0.3333] * 3
+
+
+def test_dealt_inputs_have_parts_of_a_size_and_the_same_rows(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    from tests.conftest import SMALL
+    from weftline.plans import registry
+
+    names = ["d09_self_audit", "j22_orphans", "d04_extraction_correction", "d08_alerts", "a34_context_accuracy", "a32_measure_project", "w05_forecast"]
+    whole = {n: sorted(map(str, entry.queries()[n](spark, SMALL).collect())) for n in names}
+    monkeypatch.setattr(registry, "DEALT_ROWS", 300)
+    for n in names:
+        df = entry.queries()[n](spark, SMALL)
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString(), n
+        assert sorted(map(str, df.collect())) == whole[n], n
+    claims = registry.frames(spark, SMALL, ["claims"], {"claims": ("issue_id",)})["claims"]
+    assert claims.rdd.getNumPartitions() == max(4, -(-claims.count() // 300))

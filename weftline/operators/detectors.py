@@ -27,7 +27,7 @@ operator("d08_alerts", """
       union all select issue_id, 'conflicting_value_figures', '', 'warn' from figures
       union all select issue_id, 'duplicate_ask_across_project', claim_type || ':' || TEXT(canonical_key), case when texts > 1 then 'warn' else 'info' end from asks),
     shown as (select id as issue_id, 'unmet_prerequisite' as kind, '' as source_ref from issues where id % 5 = 0 union all select issue_id, 'stuck_action', TEXT(id) from actions where id % 7 = 0)
-    select f.issue_id, f.kind, f.source_ref, f.severity from found f where not exists (select 1 from shown s where s.source_ref <> '' and s.kind = f.kind and s.source_ref = f.source_ref) and not exists (select 1 from shown s where s.source_ref = '' and s.kind = f.kind and s.issue_id = f.issue_id)""", warn_days="5", critical_days="12", stuck_minutes="30")
+    select f.issue_id, f.kind, f.source_ref, f.severity from found f where not exists (select 1 from shown s where s.source_ref <> '' and s.kind = f.kind and s.source_ref = f.source_ref) and not exists (select 1 from shown s where s.source_ref = '' and s.kind = f.kind and s.issue_id = f.issue_id)""", deal={"claims": ("issue_id",)}, warn_days="5", critical_days="12", stuck_minutes="30")
 operator("d09_self_audit", """
     with now_found as (
       select distinct 'closed_with_open_claims' as detector, c.issue_id from claims c join issues i on i.id = c.issue_id where i.state = 'done' and c.status = 'open'
