@@ -147,6 +147,16 @@ def test_mentions_equal_a_look_at_every_place(spark):
     assert {tuple(r) for r in got.collect()} == plain_mentions(texts, names)
 
 
+def test_places_of_a_frequent_word_are_dealt_to_tasks_where_names_are_many(spark, monkeypatch):
+    names = spark.createDataFrame([("abc",), ("abc def",)], "name string")
+    texts = spark.createDataFrame([(i, "abc subcontract " + "filler " * 5 + "abc def") for i in range(200)], "id long, text string")
+    few = sorted(map(tuple, mentions.find(texts, names).collect()))
+    asked = []
+    monkeypatch.setattr(mentions, "is_small", lambda df: asked.append(df.count()))
+    assert sorted(map(tuple, mentions.find(texts, names).collect())) == few and len(few) == 400
+    assert asked == [2]  # words that can't be a name's aren't among those that are joined
+
+
 def test_mentions_of_no_names(spark):
     texts = spark.createDataFrame([(1, "abc subcontract")], "id long, text string")
     assert mentions.find(texts, spark.createDataFrame([], "name string")).count() == 0

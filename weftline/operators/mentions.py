@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.sources.tables import stored
+from weftline.sources.tables import is_small, stored
 
 #: Characters before and after a name in which a keyword counts.
 WINDOW = 200
@@ -26,6 +26,8 @@ RELATIONSHIP_WORDS = (
 )
 #: Names shorter than this are too common to look for.
 SHORTEST = 3
+#: Tasks that the places of one word are dealt to, where the words that can be a name's are too many to go to all tasks.
+DEALS = 16
 
 
 def _places(text: str, part: str) -> Iterator[int]:
@@ -111,9 +113,13 @@ def find(texts: DataFrame, names: DataFrame, keywords: tuple[str, ...] = RELATIO
     starts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: _part("last", F.lit(0), F.col("word").substr(F.lit(1), n)))
     parts = F.concat(F.array(_part("inside", F.lit(0), F.col("word"))), ends, starts, *(_inner_parts(n) for n in sizes))
     parts = words.select("word").distinct().select("word", F.explode(parts).alias("p"))
-    of_word = parts.select("word", "p.*").join(keyed, ["kind", "anchor"]).select("word", "skip", "ahead", "name")
+    of_word = stored(parts.select("word", "p.*").join(keyed, ["kind", "anchor"]).select("word", "skip", "ahead", "name"), "word-names")
 
-    hits = words.join(of_word, "word")
+    if is_small(of_word):  # the words stay where they are
+        hits = words.join(F.broadcast(of_word), "word")
+    else:
+        deals = F.sequence(F.lit(0), F.lit(DEALS - 1))
+        hits = words.withColumn("deal", F.pmod(F.xxhash64("id", "at"), F.lit(DEALS)).cast("int")).join(of_word.withColumn("deal", F.explode(deals)), ["word", "deal"])
     spot = F.length("before") + F.col("skip") - F.col("ahead")
     hits = hits.where((spot >= 0) & (F.concat("before", "after").substr(spot + 1, F.length("name")) == F.col("name")))
     hits = hits.select("id", "name", (F.col("at") + F.col("skip") - F.col("ahead")).alias("at")).distinct()
