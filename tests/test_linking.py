@@ -1,5 +1,6 @@
 """Links in order against a loop over the items, whole and in batches."""
 
+import collections
 import random
 
 import pytest
@@ -97,3 +98,30 @@ def test_the_whole_table_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(linkable.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream.writeStream.foreachBatch(batches).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     assert {r["id"]: (r["rule"], r["issue_id"]) for r in batches.links().collect()} == expected
+
+
+def _largest_part(df):
+    """The share of rows in the largest part; all columns are read, so that no join is left out."""
+    parts = collections.Counter(r["part"] for r in df.withColumn("part", F.spark_partition_id()).collect())
+    return max(parts.values()) / sum(parts.values())
+
+
+@pytest.fixture
+def by_shuffles(spark):
+    """Joins by shuffles alone, in 16 parts that stay as they are dealt."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_items_without_a_key_are_dealt_to_all_tasks(by_shuffles):
+    """Four of five items have no reference, nine of ten no sender to look up."""
+    spark = by_shuffles
+    given = frames(spark, SMALL, LINKABLE.inputs)
+    linkable = LINKABLE(spark, **given)
+    assert linkable.count() == given["raw_items"].count() > 900 and linkable.where("reference is null").count() > 0.7 * linkable.count()
+    assert _largest_part(linkable) < 0.3

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from weftline.functions import text as t
-from weftline.plans.registry import Operator, operator
+from weftline.operators.lookups import hot_keys, look_up
+from weftline.plans.registry import Operator, frames, operator, query
 from weftline.plans.surrogates import used
+from weftline.sources.tables import stored
 
 operator("j04_amount_band_pool", """
     with one as (select id, project_id, value_amount, LONG(floor(ln(value_amount) / ln(1.01e0))) as band from issues where value_amount > 0),
@@ -28,28 +33,91 @@ operator("j14_bare_names", """
 #: Links unlinked items, by the first that fits: the container's issue, a tag that names an open issue, an open issue with the reference, an
 #: FYI's subject with a sender's domain known on the issue, a chat's sender, or a new cluster (minus the id of the item that opens it). An item
 #: linked by tag, reference or sender, or to a new cluster, sets its container's issue for the later items there; a subject doesn't.
-_LOOKUPS = f"""
-    with pending as (select id, thread_key, pr_number_base, item_class, {t.normalize_subject('subject')} as subject_key, {t.sender_domain('from_actor')} as domain, split_part(from_actor, '@', 1) as local_part,
+_PENDING = f"""select id, thread_key, pr_number_base, item_class, {t.normalize_subject('subject')} as subject_key, {t.sender_domain('from_actor')} as domain, split_part(from_actor, '@', 1) as local_part,
         source = 'teams_chat' and item_class in ('ACTIONABLE-ASK', 'WAITING-ON-OTHERS') as asks_in_chat, pr_number_base is not null or LIKES(from_actor, 'firm[0-3]') or contains(subject, 'PR1') or contains(body_preview, '/sites/') as real_signal,
-        TOLONG(nullif(regexp_extract(body_preview, 'signed copy by Friday[?] About .([0-9]+)k', 1), '')) as tag from raw_items),
-    open_issues as (select id, project_id from issues where state in ('active', 'waiting', 'blocked')),
-    by_reference as (select l.reference, min(o.id) as issue_id from links l join open_issues o on o.id = l.issue_id group by l.reference),
-    by_subject as (select {t.normalize_subject('e.subject')} as subject_key, min(o.id) as issue_id from issue_evidence e join open_issues o on o.id = e.issue_id group by 1),
-    by_domain as (select distinct issue_id, domain from issue_evidence),
-    by_sender as (select p.local_part, min(o.id) as issue_id from (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1 having count(*) = 1) p join open_issues o on o.project_id = p.party_id group by p.local_part),
+        TOLONG(nullif(regexp_extract(body_preview, 'signed copy by Friday[?] About .([0-9]+)k', 1), '')) as tag from raw_items"""
+_TABLES = {
+    "open_issues": "select id, project_id from issues where state in ('active', 'waiting', 'blocked')",
+    "by_reference": "select l.reference, min(o.id) as issue_id from links l join open_issues o on o.id = l.issue_id group by l.reference",
+    "by_subject": f"select {t.normalize_subject('e.subject')} as subject_key, min(o.id) as issue_id from issue_evidence e join open_issues o on o.id = e.issue_id group by 1",
+    "by_domain": "select distinct issue_id, domain from issue_evidence",
+    "by_sender": "select p.local_part, min(o.id) as issue_id from (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1 having count(*) = 1) p join open_issues o on o.project_id = p.party_id group by p.local_part",
+}
+_LOOKUPS = f"""
+    with pending as ({_PENDING}),
+    {""",
+    """.join(f"{name} as ({text})" for name, text in _TABLES.items())},
     matched as (select p.id, p.thread_key, p.item_class, p.asks_in_chat, p.real_signal, c.issue_id as by_container, g.id as by_tag, r.issue_id as by_reference, case when p.item_class = 'FYI-EVIDENCE' then d.issue_id end as by_subject, case when p.asks_in_chat then a.issue_id end as by_sender
       from pending p left join containers c on c.thread_key = p.thread_key left join open_issues g on g.id = p.tag left join by_reference r on r.reference = p.pr_number_base
       left join by_subject s on s.subject_key = p.subject_key left join by_domain d on d.issue_id = s.issue_id and d.domain = p.domain left join by_sender a on a.local_part = p.local_part)"""
-CASCADE = operator("j15_link_cascade", f"""{_LOOKUPS},
-    ruled as (select id, thread_key, coalesce(by_container, by_tag, by_reference, by_subject, by_sender, -id) as issue_id,
+_RULED = """select id, thread_key, coalesce(by_container, by_tag, by_reference, by_subject, by_sender, -id) as issue_id,
         case when item_class = 'NOISE' then 'noise' when by_container is not null then 'container' when by_tag is not null then 'tag' when by_reference is not null then 'reference' when by_subject is not null then 'subject'
-          when item_class = 'FYI-EVIDENCE' and not real_signal then 'fyi_standalone' when by_sender is not null then 'sender' when asks_in_chat then 'chat_standalone' else 'new' end as rule from matched),
-    setters as (select thread_key, min(id) as since, min_by(issue_id, id) as issue_id from ruled where rule in ('tag', 'reference', 'sender', 'new') group by thread_key),
+          when item_class = 'FYI-EVIDENCE' and not real_signal then 'fyi_standalone' when by_sender is not null then 'sender' when asks_in_chat then 'chat_standalone' else 'new' end as rule from matched"""
+_SETTERS = "select thread_key, min(id) as since, min_by(issue_id, id) as issue_id from ruled where rule in ('tag', 'reference', 'sender', 'new') group by thread_key"
+_CASCADE = f"""{_LOOKUPS},
+    ruled as ({_RULED}),
+    setters as ({_SETTERS}),
     linked as (select r.id, r.issue_id, r.rule, case when r.rule not in ('noise', 'container') and r.id > s.since then s.issue_id end as later from ruled r left join setters s on s.thread_key = r.thread_key)
-    select id, case when later is not null then 'container' else rule end as rule, case when later is not null then later when rule in ('noise', 'fyi_standalone', 'chat_standalone') then null else issue_id end as issue_id from linked""")
-#: What an item can be linked by, each looked up alone.
-LINKABLE = Operator("linkable", f"{_LOOKUPS} select m.*, p.pr_number_base as reference, o.id is not null as container_open from matched m join pending p on p.id = m.id left join open_issues o on o.id = m.by_container",
-                    tuple(used(_LOOKUPS)), ())
+    select id, case when later is not null then 'container' else rule end as rule, case when later is not null then later when rule in ('noise', 'fyi_standalone', 'chat_standalone') then null else issue_id end as issue_id from linked"""
+_LINKABLE = f"{_LOOKUPS} select m.*, p.pr_number_base as reference, o.id is not null as container_open from matched m join pending p on p.id = m.id left join open_issues o on o.id = m.by_container"
+
+
+def _part(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
+    return Operator("part", text, tuple(frames), ())(spark, **frames)
+
+
+def _matched(spark: SparkSession, containers: DataFrame, **frames: DataFrame) -> DataFrame:
+    """The rows of `matched`, with a container's further columns and the item's reference; each key is looked up by `look_up`."""
+    open_issues = _part(spark, _TABLES["open_issues"], issues=frames["issues"])
+    by_reference = _part(spark, _TABLES["by_reference"], links=frames["links"], open_issues=open_issues)
+    by_subject = _part(spark, _TABLES["by_subject"], issue_evidence=frames["issue_evidence"], open_issues=open_issues)
+    by_domain = _part(spark, _TABLES["by_domain"], issue_evidence=frames["issue_evidence"])
+    by_sender = _part(spark, _TABLES["by_sender"], parties=frames["parties"], open_issues=open_issues)
+
+    pending = _part(spark, _PENDING, raw_items=frames["raw_items"]).withColumnRenamed("pr_number_base", "reference")
+    pending = pending.withColumns({"subject_key": F.when(F.col("item_class") == "FYI-EVIDENCE", F.col("subject_key")), "local_part": F.when(F.col("asks_in_chat"), F.col("local_part"))})
+    items = stored(pending, "pending")
+    hot = hot_keys(items, ["thread_key"], ["tag"], ["reference"], ["subject_key", "domain"], ["local_part"])
+    items = look_up(items, containers.withColumnRenamed("issue_id", "by_container"), ["thread_key"], hot)
+    items = look_up(items, open_issues.select(F.col("id").alias("tag"), F.col("id").alias("by_tag")), ["tag"], hot)
+    items = look_up(items, by_reference.withColumnRenamed("issue_id", "by_reference"), ["reference"], hot)
+    items = look_up(items, by_subject.join(by_domain, "issue_id").select("subject_key", "domain", F.col("issue_id").alias("by_subject")), ["subject_key", "domain"], hot)
+    return look_up(items, by_sender.withColumnRenamed("issue_id", "by_sender"), ["local_part"], hot).drop("tag", "subject_key", "domain", "local_part")
+
+
+class Linkable(Operator):
+    """What an item can be linked by, each looked up alone."""
+
+    def __call__(self, spark: SparkSession, params: dict[str, str] | None = None, **frames: DataFrame) -> DataFrame:
+        opened = _part(spark, _TABLES["open_issues"], issues=frames["issues"]).select(F.col("id").alias("issue_id"), F.lit(True).alias("opened"))
+        containers = frames.pop("containers").select("thread_key", "issue_id").join(opened, "issue_id", "left")
+        return _matched(spark, containers, **frames).withColumn("container_open", F.coalesce("opened", F.lit(False))).drop("opened")
+
+
+LINKABLE = Linkable("linkable", _LINKABLE, tuple(used(_LOOKUPS)), ())
+
+
+class Cascade(Operator):
+    """The first rule that fits an item, and its container's issue where an earlier item has set it."""
+
+    def __call__(self, spark: SparkSession, params: dict[str, str] | None = None, **frames: DataFrame) -> DataFrame:
+        containers = frames.pop("containers").select("thread_key", "issue_id")
+        ruled = stored(_part(spark, _RULED, matched=_matched(spark, containers, **frames)), "ruled")
+        setters = _part(spark, _SETTERS, ruled=ruled).select("thread_key", "since", F.col("issue_id").alias("set_issue"))
+        later = F.when(~F.col("rule").isin("noise", "container") & (F.col("id") > F.col("since")), F.col("set_issue"))
+        linked = look_up(ruled, setters, ["thread_key"], hot_keys(ruled, ["thread_key"])).withColumn("later", later)
+        issue = F.when(F.col("later").isNotNull(), F.col("later")).when(~F.col("rule").isin("noise", "fyi_standalone", "chat_standalone"), F.col("issue_id"))
+        return linked.select("id", F.when(F.col("later").isNotNull(), "container").otherwise(F.col("rule")).alias("rule"), issue.alias("issue_id"))
+
+
+CASCADE = Cascade("j15_link_cascade", _CASCADE, tuple(used(_CASCADE)), ())
+
+
+@query("j15_link_cascade", _CASCADE)
+def link_cascade(spark, sf_dir):
+    return CASCADE(spark, **frames(spark, sf_dir, CASCADE.inputs))
+
+
 operator("j16_sender_anchor", "select r.id, p.party_id from raw_items r join (select split_part(primary_email, '@', 1) as local_part, min(id) as party_id from parties group by 1) p on split_part(r.from_actor, '@', 1) = p.local_part where r.item_class = 'ACTIONABLE-ASK' and (r.pr_number_base is not null or contains(r.subject, 'PR'))")
 operator("j18_value_corroborated", "select c.id from claims c where c.claim_type = 'commitment' and exists (select 1 from claims d where d.issue_id = c.issue_id and d.claim_type <> 'commitment' and round(d.amount / 1000e0, 0) = round(c.amount / 1000e0, 0))")
 operator("j19_likely_reply", """
