@@ -125,3 +125,22 @@ def test_items_without_a_key_are_dealt_to_all_tasks(by_shuffles):
     linkable = LINKABLE(spark, **given)
     assert linkable.count() == given["raw_items"].count() > 900 and linkable.where("reference is null").count() > 0.7 * linkable.count()
     assert _largest_part(linkable) < 0.3
+    items = linkable.localCheckpoint()
+    links = linking._round(items, None).localCheckpoint()
+    assert _largest_part(linking._round(items, links)) < 0.3
+
+
+def test_a_frequent_key_is_dealt_to_tasks_with_the_same_rows(by_shuffles, monkeypatch):
+    spark = by_shuffles
+    items = items_of(7, 260)
+    items = [(*i[:1], "t9" if i[0] % 4 else i[1], *i[2:10], "R9" if i[0] % 3 else i[10], i[11]) for i in items]
+    items = [i if i[1] != "t9" else (*i[:5], None, *i[6:11], False) for i in items]
+    expected = one_by_one(items)
+    monkeypatch.setattr("weftline.plans.registry.DEALT_ROWS", 20)
+    df = spark.createDataFrame(items, SCHEMA)
+    assert {r["id"]: (r["rule"], r["issue_id"]) for r in linking.link_in_order(df).collect()} == expected
+    assert _largest_part(linking._round(df, linking._round(df, None).localCheckpoint(), linking.hot_keys(df, ["thread_key"], ["reference"]))) < 0.3
+    batches = linking.OrderedLinks(spark)
+    batches(df.where("id <= 120"), 0)
+    batches(df.where("id > 120"), 1)
+    assert {r["id"]: (r["rule"], r["issue_id"]) for r in batches.links().collect()} == expected

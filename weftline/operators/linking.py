@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import LINKABLE
+from weftline.operators.lookups import hot_keys, look_up
 from weftline.plans.registry import frames, query
 from weftline.sources.tables import shared_dir, stored
 
@@ -22,15 +23,15 @@ SETTING = ("tag", "reference", "sender", "new")
 STATE = {"containers": "thread_key string, issue_id long, open boolean", "references": "reference string, issue_id long"}
 
 
-def _round(items: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Every item's rule and issue, given the links of the round before."""
+def _round(items: DataFrame, links: DataFrame | None, hot: DataFrame | None = None) -> DataFrame:
+    """Every item's rule and issue, given the links of the round before; hot are the frequent among containers and references."""
     if links is None:
         items = items.withColumns({"setter": F.lit(None).cast("long"), "holder": F.lit(None).cast("long")})
     else:
         first = F.min(F.struct("id", "issue_id"))
         setters = links.where(F.col("rule").isin(*SETTING) & F.col("thread_key").isNotNull()).groupBy("thread_key").agg(first.alias("by"))
         holders = links.where("reference is not null and issue_id is not null and open").groupBy("reference").agg(first.alias("of"))
-        items = items.join(setters, "thread_key", "left").join(holders, "reference", "left")
+        items = look_up(look_up(items, setters, ["thread_key"], hot), holders, ["reference"], hot)
         items = items.withColumns({"setter": F.when(F.col("by.id") < F.col("id"), F.col("by.issue_id")), "holder": F.when(F.col("of.id") < F.col("id"), F.col("of.issue_id"))})
     items = items.withColumns({"container": F.coalesce("by_container", "setter"), "referred": F.coalesce("by_reference", "holder")})
     rule = (
@@ -51,9 +52,10 @@ def link_in_order(items: DataFrame) -> DataFrame:
     reference sets none. No items, no links.
     """
     items = stored(items, "linkable")
+    hot = hot_keys(items, ["thread_key"], ["reference"])
     links = None
     while True:
-        now = stored(_round(items, links), "links")
+        now = stored(_round(items, links, hot), "links")
         if links is not None:
             before = links.select("id", F.col("rule").alias("old_rule"), F.col("issue_id").alias("old_issue"))
             if now.join(before, "id").where(~F.col("rule").eqNullSafe(F.col("old_rule")) | ~F.col("issue_id").eqNullSafe(F.col("old_issue"))).isEmpty():
@@ -88,7 +90,8 @@ class OrderedLinks:
     def __call__(self, items: DataFrame, batch: int) -> None:
         containers = self._before("containers", batch).groupBy("thread_key").agg(F.first("issue_id").alias("set_issue"), F.first("open").alias("set_open"))
         references = self._before("references", batch).groupBy("reference").agg(F.first("issue_id").alias("set_reference"))
-        items = items.join(containers, "thread_key", "left").join(references, "reference", "left")
+        hot = hot_keys(items, ["thread_key"], ["reference"])
+        items = look_up(look_up(items, containers, ["thread_key"], hot), references, ["reference"], hot)
         items = items.withColumns({"container_open": F.when(F.col("by_container").isNull(), F.coalesce("set_open", F.lit(False))).otherwise(F.col("container_open")), "by_container": F.coalesce("by_container", "set_issue"), "by_reference": F.coalesce("by_reference", "set_reference")})
         links = link_in_order(items.drop("set_issue", "set_open", "set_reference"))
         state = _new_state(links)
