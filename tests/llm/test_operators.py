@@ -728,3 +728,25 @@ def test_a_full_sieve_changes_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(phrases, "sieve_of", lambda frequent: (13, b"\xff" * 1024))
     assert sorted(tuple(r) for r in phrases.collocations(df).collect()) == plain_phrases(rows)
+
+
+def test_only_members_that_can_still_link_are_compared(spark):
+    """A bucket gives its sets to compare once, and none of a size that no other component's set can link to."""
+
+    def row(rep, n, band, h):
+        return rep, rep * 10, rep * 100, n, band, h
+
+    members = spark.createDataFrame(
+        [row(r, n, b, h) for b, h in ((3, 33), (1, 11), (2, 22)) for r, n in ((1, 30), (2, 40))]  # the same pair three times
+        + [row(r, n, 4, 44) for r, n in ((1, 30), (2, 40), (3, 400), (4, 410), (5, 54))]  # 3 and 4 are connected, 5 is a class above 2
+        + [row(r, n, 5, 55) for r, n in ((3, 400), (4, 410))],
+        "rep long, c1 long, c2 long, n_shingles long, band int, h long",
+    )
+    roots = spark.createDataFrame([(4, 3)], "node long, root long")
+    left = minhash.to_compare(members, roots, 75)
+    assert {(r["h"], r["c1"] // 10) for r in left.collect()} == {(11, 1), (11, 2), (44, 1), (44, 2), (44, 5)}
+    for percent in (50, 75, 100):  # pairs on the very edge stay, whichever way logarithms are rounded
+        edge = [(k * percent, k * 100) for k in (1, 2, 7, 64, 1000)] + [(1 << k, 1 << k + 1) for k in range(12) if percent == 50]
+        pairs = spark.createDataFrame([row(2 * i + j, n, 1, i) for i, pair in enumerate(edge) for j, n in enumerate(pair)], members.schema)
+        assert minhash.to_compare(pairs, roots.where("false"), percent).select("c1").distinct().count() >= 2
+        assert minhash.to_compare(pairs, roots.where("false"), percent).count() == 2 * len(edge)

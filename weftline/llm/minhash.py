@@ -17,6 +17,7 @@ its members.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,9 +290,27 @@ def first_cells(members: DataFrame) -> DataFrame:
     return own.unionByName(hubs).withColumns({"j": F.col("i"), "block": F.col("i")})
 
 
-def open_cells(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of the buckets that hold several components, dealt to cells. `major` are those of a bucket's largest component."""
-    labelled = members.join(roots, members["rep"] == roots["node"], "left").select("h", "c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("label"))
+def to_compare(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """h, band, c1, c2, n_shingles, label of the members that a bucket can still link to another component's.
+
+    Sets that link are of one size class or of two that follow each other, so a member stays where such classes hold more
+    than its own component. Of the buckets with the same members the one of the first band stays, where their pairs have their turn.
+    """
+    labelled = members.join(roots, members["rep"] == roots["node"], "left").select("h", "band", "c1", "c2", "n_shingles", F.coalesce("root", "rep").alias("label"))
+    ends = [F.min("label").alias("low"), F.max("label").alias("high")]
+    several = labelled.groupBy("h").agg(*ends).where("low < high").select("h")
+    width = math.log(max(100 / max(percent, 1), 1.01)) * (1 + 1e-9)  # a little wider, as logarithms are rounded
+    labelled = labelled.join(several, "h").withColumn("size", F.floor(F.log("n_shingles") / width))
+    near = labelled.groupBy("h", "size").agg(*ends).withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    near = near.groupBy("h", "size").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "size")
+    left = labelled.join(near, ["h", "size"]).drop("size")
+    same = left.groupBy("h").agg(F.first("band").alias("band"), F.count("*").alias("n"), *(F.sum(F.pmod(F.xxhash64("c1", "c2", F.lit(seed)), F.lit(1 << 40))).alias(f"s{seed}") for seed in range(3)))
+    same = same.groupBy("n", "s0", "s1", "s2").agg(F.min(F.struct("band", "h")).alias("first")).select("first.h")
+    return left.join(same, "h")
+
+
+def open_cells(labelled: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, dealt to cells. `major` are those of a bucket's largest component."""
     parts = labelled.groupBy("h", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     whole = parts.groupBy("h").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("top")).where("labels > 1")
     whole = whole.select("h", F.col("top.label").alias("top"), F.col("top.n").alias("tn"), F.col("top.s").alias("ts"), (F.col("n") - F.col("top.n")).alias("fn"), (F.col("s") - F.col("top.s")).alias("fs"))
@@ -317,18 +336,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     all_rows = work.stored(sketched(docs), "sketches")
     rows = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = work.stored(rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
-    slim = classes.select("rep", F.explode("bands").alias("h"))
+    slim = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     buckets = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     members = work.stored(slim.join(buckets, "h").join(classes.select("rep", "c1", "c2", "n_shingles"), "rep"), "buckets")
     ids = work.stored(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    banded = classes.select("rep", "c1", "c2", "bands")
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
+        banded = banded.join(ids, banded["rep"] == ids["doc_id"], "left_semi")
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = work.stored(shingle_sets(met).dropDuplicates(["c1", "c2"]), "sets")
 
     first = work.stored(links(first_cells(members), sets, percent, False), "links")
     roots = connected_components(first, store=work.stored)
-    cells = open_cells(members, roots).join(classes.select("c1", "c2", "bands"), ["c1", "c2"])
+    left = work.stored(to_compare(members, roots, percent), "left")
+    docs.sparkSession._jvm.System.gc()  # Spark removes the shuffle files of what is stored by now
+    cells = open_cells(left).join(banded.drop("rep"), ["c1", "c2"])
     more = work.stored(links(cells, sets, percent, True), "links")
     if not more.isEmpty():
         roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), store=work.stored)
