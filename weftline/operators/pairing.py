@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import gathered
 from weftline.sources.tables import stored
 
 #: Values of an item up to which its partners are counted by the subsets of its values.
@@ -169,21 +170,45 @@ def fewest(values: DataFrame, key: list[str]) -> DataFrame:
 
 #: Members of a class up to which one task may take it whole.
 HOT = 100_000
+#: Buckets that values are counted in by their hash; only those of buckets with more than HOT rows are counted one by one.
+BUCKETS = 1 << 16
+#: Rows of points that a task gets where classes come to tasks whole.
+TASK_ROWS = 200_000
 
 
-def twice(members: DataFrame) -> DataFrame:
-    """Members of (point, value) classes, with n_members -> members of the classes of two points: point and value of either, joined by ' + '.
+def _kinds(values: DataFrame) -> DataFrame:
+    """point, k: the points by the mean size of their classes, smallest first."""
+    sizes = values.groupBy("point").agg((F.count("*") / F.approx_count_distinct("value")).alias("size"))
+    return stored(sizes.select("point", F.row_number().over(Window.orderBy("size", "point")).alias("k")), "kinds")
+
+
+def _hot(coded: DataFrame) -> DataFrame:
+    """k, value, h: classes of more than HOT members, numbered; at most one for each HOT rows. Rare values don't move for it."""
+    bucket = F.pmod(F.xxhash64("k", "value"), F.lit(BUCKETS)).cast("int")
+    busy = coded.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket")
+    sizes = coded.withColumn("bucket", bucket).join(F.broadcast(busy), "bucket", "left_semi").groupBy("k", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    return stored(sizes.select("k", "value", F.row_number().over(Window.orderBy("k", "value")).alias("h")), "hot")
+
+
+def _coded(values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """The values as id, k, value, role and h (the number of a hot class), their `_kinds` and `_hot` (None: no class is hot), and how many tasks they call for."""
+    kinds = _kinds(values)
+    coded = values.join(F.broadcast(kinds), "point").select("id", "k", "value", "role")
+    hot = _hot(coded)
+    coded = coded.join(F.broadcast(hot), ["k", "value"], "left").select("id", "k", "value", "role", "h")
+    tasks = max(values.sparkSession.sparkContext.defaultParallelism, -(-values.count() // TASK_ROWS))
+    return coded, kinds, hot if hot.limit(1).count() else None, tasks
+
+
+def _vetoed(items: DataFrame, vetoes: DataFrame) -> DataFrame:
+    """The items with vetoed: the partners that are barred (null: none)."""
+    both = vetoes.select("id_a", "id_b").unionByName(vetoes.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))).where("id_a <> id_b")
+    return items.join(both.groupBy(F.col("id_a").alias("id")).agg(F.collect_set("id_b").alias("vetoed")), "id", "left")
 
-    An item's values come together once and are paired there. A class of one is left out: what it would be combined to has one
-    member too. n_most is the smaller class's number of members, which the class of two can't exceed.
-    """
-    item = [c for c in ("id", "grp", "counts", "barred") if c in members.columns]
-    held = members.groupBy(*item).agg(F.collect_list(F.struct("point", "value", "role", "n_members")).alias("held"))
-    both = held.select("*", F.explode("held").alias("a")).select("*", F.explode(F.filter("held", lambda b: b["point"] > F.col("a.point"))).alias("b"))
-    return both.select(
-        *item, F.col("a.role").bitwiseAND(F.col("b.role")).alias("role"), F.concat_ws(" + ", "a.point", "b.point").alias("point"), F.concat_ws(" + ", "a.value", "b.value").alias("value"),
-        F.least("a.n_members", "b.n_members").alias("n_most"),
-    )
+
+def _whole(rows: DataFrame, tasks: int, single: bool) -> DataFrame:
+    """id, k, value, other_k, other, class_id, n_links: counted where a class's rows are, which move once."""
+    return rows.repartition(tasks, "k", "value").sortWithinPartitions("value", "k").mapInArrow(gathered.links(single), gathered.OUT)
 
 
 def matched(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame:
@@ -199,19 +224,43 @@ def matched(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame
     return equal.unionByName(amounts.select("id", "point", F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("class_id"), "n_links"))
 
 
+def _among_hot(coded: DataFrame, items: DataFrame, vetoes: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
+    """As `_whole` for two hot classes, and for a hot class and an amount, by aggregates. `coded` has hot values only."""
+    items = marked(items, vetoes)
+    held = coded.repartition(tasks, "id").groupBy("id").agg(F.collect_list(F.struct("k", "role", "h")).alias("held"))
+    each = held.join(items.select("id", "grp", "counts", "barred"), "id").select("id", "grp", "counts", "barred", "held", F.explode("held").alias("a"))
+    two = each.select("id", "grp", "counts", "barred", "a", F.explode(F.filter("held", lambda b: b["k"] > F.col("a.k"))).alias("b"))
+    two = two.select("id", "grp", "counts", "barred", F.col("a.role").bitwiseAND(F.col("b.role")).alias("role"), F.col("a.h").alias("h"), F.col("b.h").alias("other_h"))
+    two = classes(two, ["h", "other_h"], vetoes).where("n_links > 0").select("id", "h", "other_h", "class_id", "n_links")
+    priced = coded.join(items.where("x > 0"), "id").select("id", "grp", "counts", "barred", "role", "h", "x")
+    priced = near(stored(priced, "priced"), ["h"], vetoes).where("n_links > 0")
+    found = two.unionByName(priced.select("id", "h", F.lit(None).cast("int").alias("other_h"), F.lit(None).cast("long").alias("class_id"), "n_links"))
+    others = hot.select(F.col("h").alias("other_h"), F.col("k").alias("other_k"), F.col("value").alias("other"))
+    found = found.join(F.broadcast(hot), "h").join(F.broadcast(others), "other_h", "left")
+    return found.select("id", "k", "value", "other_k", "other", "class_id", "n_links")
+
+
 def candidates(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame:
     """Candidates, which share two points: id, point, value, class_id, n_links for every two points that an item shares with others.
 
     Points and values of the two are joined by ' + '. The class of a value and an amount isn't one (nearness of amounts isn't
     transitive) and has no class_id; its partners are those of the value's class whose amount is near.
+
+    An item goes once to each of its values, with those of its other values that are more frequent as a rule, and there all
+    of the class's pairs are counted. Classes of more than HOT members are only taken along; what two of them share, or one and
+    an amount, is counted by aggregates.
     """
-    items = stored(marked(items, vetoes), "items")
-    members = values.join(items.select("id", "grp", "counts", "barred"), "id")
-    equal = stored(classes(members, ["point", "value"]), "classes")
-    two, key = twice(equal), ["point", "value"]
-    found = classes_once(two.where(F.col("n_most") <= HOT).drop("n_most"), key).unionByName(classes(two.where(F.col("n_most") > HOT).drop("n_most"), key))
-    pairs = _without(found.where("n_links > 0 or barred"), vetoes, key, F.lit(True)).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
-    priced = equal.select("id", "grp", "counts", "barred", "role", "point", "value").join(items.where("x > 0").select("id", "x"), "id")
-    priced = near(stored(priced, "priced"), ["point", "value"], vetoes).where("n_links > 0")
-    priced = priced.select("id", F.concat_ws(" + ", F.least(F.col("point"), F.lit("amount")), F.greatest(F.col("point"), F.lit("amount"))).alias("point"), "value", F.lit(None).cast("long").alias("class_id"), "n_links")
-    return pairs.unionByName(priced)
+    coded, kinds, hot, tasks = _coded(values)
+    held = coded.repartition(tasks, "id").groupBy("id").agg(F.collect_list(F.struct("k", "value", "role", "h")).alias("held"))
+    held = held.join(_vetoed(items.select("id", "grp", "counts", "x"), vetoes), "id")
+    each = held.select("id", "grp", "counts", "x", "vetoed", "held", F.explode("held").alias("a")).where("a.h is null")
+    beside = F.filter("held", lambda b: (b["k"] != F.col("a.k")) & (b["h"].isNotNull() | (b["k"] > F.col("a.k"))))
+    each = each.select("id", "grp", "counts", "x", "vetoed", "a.k", "a.value", "a.role", beside.alias("beside")).where("x > 0 or size(beside) > 0")
+    each = each.select("id", "grp", "counts", "x", "vetoed", "k", "value", "role", F.transform("beside", lambda b: b["k"] * 4 + b["role"]).alias("codes"), F.col("beside.value").alias("others"))
+    found = _whole(each, tasks, single=False)
+    if hot is not None:
+        found = found.unionByName(_among_hot(coded.where("h is not null").select("id", "k", "role", "h"), items, vetoes, hot, tasks))
+    found = found.join(F.broadcast(kinds), "k").join(F.broadcast(kinds.select(F.col("point").alias("beside"), F.col("k").alias("other_k"))), "other_k", "left")
+    found = found.withColumn("beside", F.coalesce("beside", F.lit("amount")))
+    value = F.when(F.col("other").isNull(), F.col("value")).when(F.col("point") < F.col("beside"), F.concat_ws(" + ", "value", "other")).otherwise(F.concat_ws(" + ", "other", "value"))
+    return found.select("id", F.concat_ws(" + ", F.least("point", "beside"), F.greatest("point", "beside")).alias("point"), value.alias("value"), "class_id", "n_links")
