@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as t
-from weftline.operators import mentions, pairing
+from weftline.operators import fragments, mentions, pairing
 from weftline.plans.dialect import render
 from weftline.plans.registry import _filled, frames, query
 from weftline.plans.surrogates import NOW
@@ -246,12 +246,8 @@ def subject_fragments(titles: DataFrame) -> DataFrame:
     many do by another issue. A pair of an issue and a project is two rows of a value by different issues, and n_values added up over
     those values is the number of substrings that the pair shares; nothing is joined but counts.
     """
-    held = pairing.fewest(pairing.grams(titles.select("id", F.lower("title").alias("title"))), [])
-    held = stored(held.join(titles.select("id", "project_id"), "id"), "fragments")
-    own = held.groupBy("value", "project_id").agg(F.count("*").alias("n"))
-    whole = own.groupBy("value").agg(F.count("*").alias("n_projects"), F.min("project_id").alias("class_id"))
-    out = held.join(own.join(whole, "value"), ["value", "project_id"])
-    return out.select("id", "project_id", "value", "n_values", "class_id", (F.col("n_projects") - F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_projects")).where("n_projects > 0")
+    found = fragments.shared(titles.select("id", F.col("project_id").alias("grp"), F.lower("title").alias("title")), projects=True)
+    return found.select("id", F.col("grp").alias("project_id"), "value", "n_values", "class_id", "n_projects").where("n_projects > 0")
 
 
 @query("j17_subject_fragments", """
