@@ -78,3 +78,11 @@ def test_titles_move_in_runs(spark):
     assert exchanges(found) == 2 and found.count() > 500
     cut = df.select("id", F.col("project_id").alias("grp"), "title").mapInArrow(fragments._cut(np.zeros(fragments.BUCKETS, np.uint64)), fragments._CUT)
     assert cut.count() < 500 * 15
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_few_titles_of_many_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(fragments, "FEW", few)
+    given = [(i, None, None if i % 13 == 0 else f"supply of {['small', 'polished', 'heavy duty'][i % 3]} fittings grade {i % 7}") for i in range(120)] + [(500, None, "held by one id alone"), (501, None, "short")]
+    rows = fragments.shared_by_title(spark.createDataFrame([(i, t) for i, _, t in given], "id long, title string")).collect()
+    assert {(r["id"], r["value"]): (None, r["n_values"]) for r in rows} == plain(given, False, False) and len(rows) > 200

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.sources.tables import stored
@@ -229,3 +229,22 @@ def shared(titles: DataFrame, apart: bool = False, projects: bool = False) -> Da
     each = told.repartition(tasks, "id").select("id", "grp", "text", F.explode(F.arrays_zip(*names)).alias("g"))
     each = each.select("id", "grp", F.col("text").substr(F.col("g.at") + 1, F.lit(GRAM)).alias("value"), *(f"g.{n}" for n in names[1:]))
     return each.groupBy("id", "grp", *names[1:]).agg(F.min("value").alias("value"), F.count("*").alias("n_values"))
+
+
+#: Different titles up to which they are told what they share, and it goes to all tasks.
+FEW = 10_000
+
+
+def shared_by_title(titles: DataFrame) -> DataFrame:
+    """id, value, n_values as `shared` has them, of (id, title) with one title an id: of few different titles no id moves.
+
+    Two substrings have the same holders just where the same titles have them. A title that several ids have comes twice, so that
+    its substrings are shared.
+    """
+    if titles.agg(F.approx_count_distinct("title")).first()[0] > FEW:
+        return shared(titles.select("id", F.lit(None).cast("long").alias("grp"), "title")).select("id", "value", "n_values")
+    counts = titles.where("title is not null").groupBy("title").agg(F.count("*").alias("n"))
+    few = stored(counts.select("title", "n", (2 * F.row_number().over(Window.orderBy("title"))).cast("long").alias("t")), "titles")
+    both = few.select(F.explode(F.when(F.col("n") > 1, F.array("t", F.col("t") + 1)).otherwise(F.array("t"))).alias("id"), F.lit(None).cast("long").alias("grp"), "title")
+    told = shared(both).join(few.select(F.col("t").alias("id"), "title"), "id").select("title", "value", "n_values")
+    return titles.join(F.broadcast(told), "title").select("id", "value", "n_values")

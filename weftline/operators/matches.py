@@ -138,20 +138,22 @@ def _j03(spark, sf_dir):
 def point_values(values: DataFrame, titles: DataFrame, descriptors: DataFrame, texts: DataFrame) -> DataFrame:
     """id, point, value, role of every point that is an equality: (id, point, value) `values`, substrings of titles and descriptors, mentions.
 
-    titles is (id, title), descriptors (id, title), texts (id, text). A mention names a supplier that any issue has; the issues
+    titles is (id, title), descriptors (id, title) with one an id, texts (id, text). Where titles have a grp, substrings that one group
+    alone has are left out: they link nothing. A mention names a supplier that any issue has; the issues
     that have the supplier match the one that names it.
     """
     equal = values.where("value is not null and value <> ''").select("id", "point", "value").distinct()
-    parts = None
-    for point, frame in (("subject_entity", titles), ("product_service", descriptors)):
-        grams = pairing.fewest(pairing.grams(frame.select("id", F.lower("title").alias("title"))), []).withColumn("point", F.lit(point))
-        parts = grams if parts is None else parts.unionByName(grams)
+    apart = "grp" in titles.columns
+    low = F.lower("title").alias("title")
+    said = fragments.shared(titles.select("id", (F.col("grp") if apart else F.lit(None).cast("long")).alias("grp"), low), apart).withColumn("point", F.lit("subject_entity"))
+    bought = fragments.shared_by_title(descriptors.select("id", low)).withColumn("point", F.lit("product_service"))
+    parts = said.select("id", "point", "value").unionByName(bought.select("id", "point", "value"))
     suppliers = stored(equal.where("point = 'supplier'"), "suppliers")
     said = mentions.find(texts, suppliers.select(F.col("value").alias("name")).distinct()).select("id", F.col("name").alias("value"), F.lit(pairing.NAMES).alias("role"))
     named = said.select("value").distinct()
     owned = suppliers.join(named, "value", "left_semi").select("id", "value", F.lit(pairing.OWNS).alias("role"))
     across = said.unionByName(owned).groupBy("id", "value").agg(F.sum("role").cast("int").alias("role")).withColumn("point", F.lit("cross_mention"))
-    whole = equal.unionByName(parts.select("id", "point", "value")).withColumn("role", F.lit(pairing.ALL))
+    whole = equal.unionByName(parts).withColumn("role", F.lit(pairing.ALL))
     return whole.unionByName(across.select(*whole.columns))
 
 
@@ -159,7 +161,7 @@ def _points(spark, sf_dir, stale: bool, grouped: bool):
     found = frames(spark, sf_dir, [*_READS, "descriptors", "issue_texts", "vetoes"])
     issues = found["issues"]
     values = _plain(spark, VALUES, _READS, **found)
-    titles = issues.select("id", "title")
+    titles = issues.select("id", "title", *([F.col("project_id").alias("grp")] if grouped else []))
     descriptors = found["descriptors"].groupBy(F.col("issue_id").alias("id")).agg(F.min("descriptor").alias("title"))
     points = point_values(values, titles, descriptors, found["issue_texts"].select(F.col("issue_id").alias("id"), "text"))
     counts = F.expr(STALE.replace(":now", NOW)) if stale else F.lit(True)

@@ -214,11 +214,17 @@ def _whole(rows: DataFrame, tasks: int, single: bool) -> DataFrame:
 def matched(values: DataFrame, items: DataFrame, vetoes: DataFrame) -> DataFrame:
     """Matched points: id, point, value, class_id, n_links of every item and value (of an amount: without value and class) with a partner.
 
-    `values` has id, point, value and role, `items` id, grp, counts and x (an amount in cents, may be null).
+    `values` has id, point, value and role, `items` id, grp, counts and x (an amount in cents, may be null). Classes of up to
+    HOT members are counted where their rows come together, the others by aggregates.
     """
+    coded, kinds, hot, tasks = _coded(values)
+    rows = coded.where("h is null").join(_vetoed(items.select("id", "grp", "counts", F.lit(None).cast("long").alias("x")), vetoes), "id")
+    equal = _whole(rows, tasks, single=True).select("id", "k", "value", "class_id", "n_links")
     items = marked(items, vetoes)
-    members = values.join(items.select("id", "grp", "counts", "barred"), "id")
-    equal = classes(members, ["point", "value"], vetoes).where("n_links > 0").select("id", "point", "value", "class_id", "n_links")
+    if hot is not None:
+        most = classes(coded.where("h is not null").join(items.select("id", "grp", "counts", "barred"), "id").select("id", "grp", "counts", "barred", "role", "h"), ["h"], vetoes)
+        equal = equal.unionByName(most.where("n_links > 0").join(F.broadcast(hot), "h").select("id", "k", "value", "class_id", "n_links"))
+    equal = equal.join(F.broadcast(kinds), "k").select("id", "point", "value", "class_id", "n_links")
     amounts = items.where("x > 0").select("id", "grp", "counts", "barred", F.lit(ALL).alias("role"), "x", F.lit("amount").alias("point"))
     amounts = near(amounts, ["point"], vetoes).where("n_links > 0")
     return equal.unionByName(amounts.select("id", "point", F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("class_id"), "n_links"))
